@@ -19,7 +19,12 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import WS_CLASS, drop_path, materialise, new_path, small_enough, text_of
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: RocksDB with logged changes. Space isn't allocated ahead, since many partitions hold little state each.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text_col: str) -> Column:
@@ -57,7 +62,7 @@ def build_state(spark: SparkSession, path: str, schema: StructType, id_col: str,
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{updates}/number={number}")
 
-    with settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}):
+    with settings(spark, **STATE_STORE):
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
         query.awaitTermination()
     if not query.lastProgress:
