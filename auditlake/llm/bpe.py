@@ -3,7 +3,8 @@
 A cut is certain where the byte pair around it occurs inside no vocabulary token: no merge can ever span it. To
 leave the pre-tokenizer's pattern undisturbed as well, a cut is taken only between an ASCII byte that isn't white
 space and one that is. No pattern alternative reaches over such a place and none looks behind it, so each
-fragment's ids are the same alone as within the text. Fragments repeat a lot; their ids are remembered.
+fragment's ids are the same alone as within the text. Texts are cut at the first certain place after every
+FRAGMENT bytes, the fragments encoded independently and their ids concatenated.
 
 Defined cases: null counts as the empty text (no ids); a text without any cut is one fragment; the string of a
 special token in a text gives that token's id, as the tokenizers library does by default.
@@ -13,9 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import zlib
-from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Entries that a worker remembers before it starts anew.
-CACHE_ENTRIES = 600_000
+#: Bytes of a fragment before the next certain cut is taken.
+FRAGMENT = 4096
 
 
 def default_tokenizer() -> str:
@@ -41,8 +39,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Texts of characters below this, without special tokens' strings or longer unbroken runs, are split alike by both libraries.
+LATIN_END, LONG_RUN = "ɐ", 10_000
+
+
+def latin_encoder(tokens: dict[int, bytes], special: tuple[str, ...]):
+    """The tiktoken library's encoder with the ranks of the same vocabulary; for Latin texts its ids are the same."""
+    import tiktoken
+
+    hidden = {s.encode() for s in special}
+    ranks = {raw: i for i, raw in tokens.items() if raw not in hidden}
+    # Fixed value: the public split pattern of this byte-level vocabulary.
+    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("same", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 class FragmentCodec:
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, fragment: int = FRAGMENT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,58 +64,55 @@ class FragmentCodec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
-        self.pieces: dict[int, bytes] = {}
+        tokens = {i: bytes(alphabet[c] for c in token) for token, i in spec["model"]["vocab"].items()}
+        tokens |= {a["id"]: a["content"].encode() for a in spec["added_tokens"]}
+        #: Bytes and decimal form by id.
+        self.pieces = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.decimal = [str(i) for i in range(len(self.pieces))]
         inside = np.zeros((256, 256), dtype=bool)
-        for token, i in spec["model"]["vocab"].items():
-            raw = bytes(alphabet[c] for c in token)
-            self.pieces[i] = raw
-            b = np.frombuffer(raw, dtype=np.uint8)
-            inside[b[:-1], b[1:]] = True
-        for added in spec["added_tokens"]:
-            raw = added["content"].encode()
-            self.pieces[added["id"]] = raw
+        for raw in tokens.values():
             b = np.frombuffer(raw, dtype=np.uint8)
             inside[b[:-1], b[1:]] = True
         space = np.zeros(256, dtype=bool)
         space[[0x20, *range(0x09, 0x0E)]] = True
         word = ~space
         word[0x80:] = False
-        #: cut[a, b]: between byte a and byte b lies a certain boundary.
-        self.forced = ~inside
-        self.cut = (self.forced & word[:, None] & space[None, :]).ravel()
-        self.entries = entries
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        #: cut[256 * a + b]: between byte a and byte b lies a certain boundary.
+        self.cut = (~inside & word[:, None] & space[None, :]).ravel()
+        self.fragment = fragment
+        self.special = tuple(a["content"] for a in spec["added_tokens"])
+        self.fast = latin_encoder(tokens, self.special)
+
+    def next_cut(self, raw: bytes, start: int) -> int:
+        """The first certain boundary after start, or the end."""
+        width = 256
+        while start < len(raw) - 1:
+            b = np.frombuffer(raw[start : start + width + 1], dtype=np.uint8).astype(np.uint16)
+            found = self.cut[b[:-1] << 8 | b[1:]]
+            if found.any():
+                return start + int(found.argmax()) + 1
+            start, width = start + width, width * 4
+        return len(raw)
 
     def fragments(self, raw: bytes) -> list[bytes]:
-        b = np.frombuffer(raw, dtype=np.uint8)
-        if len(b) < 2:
-            return [raw] if raw else []
-        pair = b[:-1].astype(np.uint16)
-        pair <<= 8
-        pair |= b[1:]
-        at = (np.flatnonzero(self.cut[pair]) + 1).tolist()
-        return [raw[i:j] for i, j in zip([0, *at], [*at, len(raw)], strict=True)]
-
-    def learn(self, fragments: list[bytes]) -> None:
-        """Encode the fragments that aren't known yet."""
-        known = self.known
-        new = list({f for f in fragments if f not in known})
-        if not new:
-            return
-        if len(known) + len(new) > self.entries:
-            known.clear()
-            new = list(set(fragments))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            done = self.tokenizer.encode_batch_fast([f.decode() for f in part], add_special_tokens=False)
-            for f, e in zip(part, done, strict=True):
-                known[f] = tuple(e.ids)
+        out, start = [], 0
+        while start < len(raw):
+            end = self.next_cut(raw, start + self.fragment - 1)
+            out.append(raw[start:end])
+            start = end
+        return out
+
+    def encode_fragment(self, text: str) -> list[int]:
+        if max(text) >= LATIN_END or any(s in text for s in self.special) or max(map(len, text.split()), default=0) > LONG_RUN:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
     def encode(self, text: str | None) -> list[int]:
-        fragments = self.fragments((text or "").encode())
-        self.learn(fragments)
-        known = self.known
-        return [i for f in fragments for i in known[f]]
+        if not text:
+            return []
+        if len(text) <= self.fragment:
+            return self.encode_fragment(text)
+        return [i for f in self.fragments(text.encode()) for i in self.encode_fragment(f.decode())]
 
     def decode(self, ids) -> str:
         pieces = self.pieces
@@ -113,28 +123,12 @@ _codecs: dict[str, FragmentCodec] = {}
 
 
 def codec(path: str) -> FragmentCodec:
-    """One codec a worker process, so that what it remembers lasts over batches and tasks."""
+    """One codec a worker process."""
     if path not in _codecs:
         _codecs[path] = FragmentCodec(path)
     return _codecs[path]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[list, list]]:
-    """Ids and texts in groups of about so many characters."""
-    for batch in batches:
-        ids, texts, size = [], [], 0
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            t = t.as_py() or ""
-            ids.append(i)
-            texts.append(t)
-            size += len(t)
-            if size >= most:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
-
-
 def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Ids of every text and the text decoded from them, as counts and SHA-256; with_ids adds both in full.
 
@@ -143,66 +137,21 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
     path = tokenizer or default_tokenizer()
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         c = codec(path)
-        for ids, texts in _slices(batches):
-            split = [c.fragments(t.encode()) for t in texts]
-            out = {"doc_id": ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
-            c.learn([f for fragments in split for f in fragments])
-            known = c.known
-            for fragments in split:
-                got = [i for f in fragments for i in known[f]]
-                decoded = c.decode(got)
-                out["n_tokens"].append(len(got))
-                out["ids_sha256"].append(hashlib.sha256(",".join(map(str, got)).encode()).hexdigest())
+        for batch in batches:
+            out = {name: [] for name in arrow.names}
+            for t in batch.column(1):
+                ids = c.encode(t.as_py())
+                decoded = c.decode(ids)
+                out["n_tokens"].append(len(ids))
+                out["ids_sha256"].append(hashlib.sha256(",".join([c.decimal[i] for i in ids]).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    out["ids"].append(got)
+                    out["ids"].append(ids)
                     out["decoded"].append(decoded)
-            if not with_ids:
-                del out["ids"], out["decoded"]
-            yield pa.RecordBatch.from_pydict(out, schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], arrow.field(n).type) for n in arrow.names[1:])], schema=arrow)
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
-
-
-class FastEncoder:
-    """The same ids at several times the speed, for operators that only need ids.
-
-    Latin texts go to the tiktoken library with the ranks of the same vocabulary file; texts with any character from
-    U+0250 on, a special token's string or an unbroken run of over 10,000 characters go through FragmentCodec.
-    """
-
-    LONG_RUN = 10_000
-
-    def __init__(self, path: str):
-        import tiktoken
-
-        self.codec = codec(path)
-        special = {a["content"] for a in json.load(open(path, encoding="utf-8"))["added_tokens"]}
-        ranks = {raw: i for i, raw in self.codec.pieces.items() if raw.decode("utf-8", "replace") not in special}
-        #: Fixed value: the public split pattern of this byte-level vocabulary.
-        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.fast = tiktoken.Encoding("same", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.special = tuple(special)
-
-    def encode(self, text: str) -> array:
-        if text and (max(text) >= "ɐ" or any(s in text for s in self.special) or max(map(len, text.split()), default=0) > self.LONG_RUN):
-            return array("I", self.codec.encode(text))
-        return array("I", self.fast.encode_ordinary(text))
-
-
-_encoders: dict[str, FastEncoder] = {}
-
-
-def fast_encoder(path: str) -> FastEncoder:
-    if path not in _encoders:
-        _encoders[path] = FastEncoder(path)
-    return _encoders[path]
-
-
-def crc32_ids(ids: array) -> int:
-    """CRC-32 of unsigned little-endian 32-bit ids."""
-    return zlib.crc32(np.asarray(ids, dtype="<u4").tobytes())

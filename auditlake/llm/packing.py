@@ -41,11 +41,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        e = bpe.fast_encoder(tokenizer)
+        c = bpe.codec(tokenizer)
         for batch in batches:
             out = {k: [] for k in arrow.names}
             for i, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = e.encode(text.as_py() or "")
+                ids = c.encode(text.as_py())
                 ids.append(end_id)
                 raw = np.asarray(ids, dtype="<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):

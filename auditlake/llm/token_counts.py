@@ -31,9 +31,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     arrow = to_arrow_schema(StructType.fromDDL("ids binary"))
 
     def run(batches):
-        e = bpe.fast_encoder(tokenizer)
+        c = bpe.codec(tokenizer)
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"ids": [np.asarray(e.encode(t.as_py() or ""), dtype=">u2").tobytes() for t in batch.column(0)]}, schema=arrow)
+            yield pa.RecordBatch.from_pydict({"ids": [np.asarray(c.encode(t.as_py()), dtype=">u2").tobytes() for t in batch.column(0)]}, schema=arrow)
 
     ids = docs.select(F.col(text_col)).mapInArrow(run, "ids binary")
     ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", "߿").text(path)
