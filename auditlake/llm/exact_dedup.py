@@ -43,12 +43,13 @@ def settings(spark: SparkSession, **values: str):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def _rows(df: DataFrame, id_col: str, text_col: str, digest_bytes: int) -> DataFrame:
+def _rows(df: DataFrame, id_col: str, text_col: str, digest_bytes: int, whole: list[str] | tuple[str, ...] = ()) -> DataFrame:
     text = normalised(text_col)
-    whole = F.sha2(text, 256)
+    full = F.sha2(text, 256)
     return df.select(
         F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"),
-        F.substring(F.unhex(whole), 1, digest_bytes).alias("digest"), whole.alias("text_sha256"), text.alias("text"),
+        F.substring(F.unhex(full), 1, digest_bytes).alias("digest"), full.alias("text_sha256"), text.alias("text"),
+        (F.struct(*whole) if whole else F.lit(None)).alias("whole"),
     )
 
 
@@ -76,17 +77,35 @@ def exact_dedup(spark: SparkSession, source: str | DataFrame, id_col: str = "doc
 
     digest_bytes shortens the state's keys; results don't depend on it.
     """
-    if isinstance(source, DataFrame):
-        schema, rows = source.select(id_col, text_col).schema, source.select(id_col, text_col)
-        source = new_path(spark, "dedup-source")
-        rows.write.option("compression", "zstd").parquet(source)
-    else:
-        schema = spark.read.parquet(source).select(id_col, text_col).schema
+    path, schema = _source(spark, source)
+    out = _decide(spark, path, schema, id_col, text_col, digest_bytes, files_per_batch)
+    return out.select(
+        F.col("at.id").alias("doc_id"), F.col("kept.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("at") == F.col("kept")).alias("kept"), "text_sha256",
+    )
+
+
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 4096) -> DataFrame:
+    """The rows that stay, with all their columns."""
+    path, schema = _source(docs.sparkSession, docs)
+    return _decide(docs.sparkSession, path, schema, id_col, text_col, 32, files_per_batch, whole=True).filter(F.col("at") == F.col("kept")).select("whole.*")
+
+
+def _source(spark: SparkSession, source: str | DataFrame) -> tuple[str, StructType]:
+    if isinstance(source, str):
+        return source, spark.read.parquet(source).schema
+    path = new_path(spark, "dedup-source")
+    source.write.option("compression", "zstd").parquet(path)
+    return path, source.schema
+
+
+def _decide(spark: SparkSession, source: str, schema: StructType, id_col: str, text_col: str, digest_bytes: int, files_per_batch: int, whole: bool = False) -> DataFrame:
+    """at (id and locator), kept (those of the row that stays), n and text_sha256 of every row, and on demand the whole row."""
     checkpoint, updates = new_path(spark, "dedup-state"), new_path(spark, "dedup-updates")
-    state = materialise(build_state(spark, source, schema, id_col, text_col, digest_bytes, files_per_batch, checkpoint, updates), "dedup-kept")
+    read = StructType([f for f in schema if f.name in (id_col, text_col)])
+    state = materialise(build_state(spark, source, read, id_col, text_col, digest_bytes, files_per_batch, checkpoint, updates), "dedup-kept")
     drop_path(spark, checkpoint)
     drop_path(spark, updates)
-    rows = _rows(spark.read.schema(schema).parquet(source), id_col, text_col, digest_bytes)
+    rows = _rows(spark.read.schema(schema if whole else read).parquet(source), id_col, text_col, digest_bytes, schema.names if whole else [])
 
     # Full bytes are compared on hits only: rows of groups of two and more.
     groups = state.filter("n > 1").select("digest", "kept")
@@ -97,13 +116,11 @@ def exact_dedup(spark: SparkSession, source: str | DataFrame, id_col: str = "doc
     hits = members.filter(F.col("at") != F.col("kept")).select("digest", "text")
     wrong = materialise(hits.join(held.hint("merge"), "digest").filter("text <> held").select("digest").distinct(), "dedup-wrong")
 
-    keys = rows.select("at", "digest", "text_sha256")
-    out = keys.join(state.hint("merge"), "digest")
-    if not wrong.isEmpty():
-        right = out.join(wrong, "digest", "left_anti").select("at", "text_sha256", "kept", "n")
-        mixed = rows.join(wrong, "digest", "left_semi")
-        anew = mixed.groupBy("digest", "text").agg(F.min("at").alias("kept"), F.count("*").alias("n"))
-        out = right.unionByName(mixed.join(anew, ["digest", "text"]).select("at", "text_sha256", "kept", "n"))
-    return out.select(
-        F.col("at.id").alias("doc_id"), F.col("kept.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("at") == F.col("kept")).alias("kept"), "text_sha256",
-    )
+    columns = ["at", "text_sha256", "kept", "n", "whole"]
+    out = rows.select("at", "digest", "text_sha256", "whole").join(state.hint("merge"), "digest")
+    if wrong.isEmpty():
+        return out.select(columns)
+    right = out.join(wrong, "digest", "left_anti").select(columns)
+    mixed = rows.join(wrong, "digest", "left_semi")
+    anew = mixed.groupBy("digest", "text").agg(F.min("at").alias("kept"), F.count("*").alias("n"))
+    return right.unionByName(mixed.join(anew, ["digest", "text"]).select(columns))

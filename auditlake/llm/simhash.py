@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import materialise
+from .common import materialise, small_enough
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -295,3 +295,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = materialise(labelled.join(least, "root").select("fp", "component_id"), "labels")
     return rows.join(by_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose document has the smallest id of its component, and rows without an id. Ids name documents: rows with one id stay or go together."""
+    rows = near_duplicates(docs, id_col, text_col)
+    gone = materialise(rows.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if small_enough(gone, 16) else gone, id_col, "left_anti").select(docs.columns)
