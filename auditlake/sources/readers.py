@@ -49,7 +49,7 @@ def source_sample(files: DataFrame, by: str) -> DataFrame:
 
 def markdown(spark: SparkSession, root: str) -> DataFrame:
     """path, header (key to value), body of markdown files but index.md; the header stands between the first two --- lines."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     head = F.regexp_extract("text", r"(?s)^---\n(.*?)\n---", 1)
     pairs = F.transform(F.filter(F.split(head, "\n"), lambda x: x.rlike(r"^[\w-]+:")), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.trim(F.regexp_replace(x, r"^[\w-]+:\s*", ""))))
     body = F.when(F.col("text").startswith("---\n"), F.regexp_replace("text", r"(?s)^---\n.*?\n---\n?", "")).otherwise(F.col("text"))
@@ -62,7 +62,7 @@ def header_list(value: Column) -> Column:
 
 
 def diff_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("diff_id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("diff_id"), F.col("value").alias("text"))
 
 
 def explorer_sources(payloads: DataFrame, id_col: str = "address", text_col: str = "source") -> DataFrame:
@@ -77,7 +77,7 @@ def explorer_sources(payloads: DataFrame, id_col: str = "address", text_col: str
 
 def findings_json(spark: SparkSession, path: str) -> DataFrame:
     """Findings of reports that are an object with findings or a bare list."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("report"), F.col("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("report"), F.col("value"))
     listed = F.when(F.trim("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", "$.findings"))
     return whole.select("report", F.posexplode(F.from_json(listed, f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in FINDING.split(', '))}>>")).alias("ord", "f")).select("report", "ord", "f.*")
 
