@@ -3,6 +3,8 @@
 Fingerprints within a radius of 4 differ in at most 4 of 6 blocks of bits, so two whole blocks agree: each fingerprint is
 dealt out by all 15 pairs of blocks, and only fingerprints with equal pairs meet. Those of a task are stored as 64 bit
 planes; distances of 64 pairs at a time are summed by carry-save counters, and blocks in which all exceed the radius are abandoned.
+For wider fingerprints and
+larger radii, as filtering by similarity needs, buckets are two bytes of the fingerprint each and linking is the same.
 Within a bucket only a spanning tree of the links is kept, never all pairs. Buckets over LARGE are dealt out anew by pairs of parts.
 
 Defined cases: null and wordless texts have fingerprint zero and are linked like any other; texts of under four words
@@ -12,6 +14,7 @@ smallest id; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,82 +38,97 @@ SHORT = 8
 LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    words = (text or "").encode().translate(LOWER).split()  # at blanks and the bytes 09 to 0D
-    if not words:
-        return 0
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """So many 64-bit words: the first from the shingles' hashes, the others from further hashes of those."""
+    tokens = (text or "").encode().translate(LOWER).split()  # at blanks and the bytes 09 to 0D
+    if not tokens:
+        return np.zeros(words, dtype="<u8")
+    line = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - shingle + 1)
-    first, last = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    counts, digest = np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, 1 << 16):
-        h = np.array([digest(line[i:j], SEED) for i, j in zip(first[at : at + (1 << 16)], last[at : at + (1 << 16)], strict=True)], dtype="<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp bigint"
+    n = max(1, len(tokens) - shingle + 1)
+    first, last = starts[:n].tolist(), ends[min(shingle, len(tokens)) - 1 :].tolist()
+    counts, digest = np.zeros(64 * words, dtype=np.int64), xxhash.xxh64_intdigest
+    step = (1 << 16) // words
+    for at in range(0, n, step):
+        h = np.array([digest(line[i:j], SEED) for i, j in zip(first[at : at + step], last[at : at + step], strict=True)], dtype="<u8")
+        if words > 1:
+            h = h[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            more = h[:, 1:]
+            more ^= more >> np.uint64(30)
+            more *= np.uint64(0xBF58476D1CE4E5B9)
+            more ^= more >> np.uint64(27)
+            more *= np.uint64(0x94D049BB133111EB)
+            more ^= more >> np.uint64(31)
+        bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * counts > n, bitorder="little").view("<u8")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """doc_id, node and sig of every row. sig: the fingerprint's bytes (null for one word); node: its bits as a signed long, or a hash of sig."""
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, node bigint, sig binary"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], schema=arrow)
+            found = [fingerprint(t.as_py(), shingle, words) for t in batch.column(1)]
+            sig = [f.tobytes() if words > 1 else None for f in found]
+            node = np.array([xxhash.xxh64_intdigest(x) if x else f[0] for f, x in zip(found, sig, strict=True)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), pa.array(sig, pa.binary())], schema=arrow)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
 def planes(fp: np.ndarray) -> np.ndarray:
-    """64 bit planes of so many fingerprints, 64 lanes a word."""
+    """The bit planes of so many fingerprints (rows of words), 64 lanes a word."""
     lanes = -len(fp) % 64
-    bits = np.unpackbits(np.concatenate([fp, np.zeros(lanes, np.uint64)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    padded = np.concatenate([fp, np.zeros((lanes, fp.shape[1]), np.uint64)])
+    bits = np.unpackbits(padded.view(np.uint8).reshape(len(padded), -1), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def near(differs, shape: tuple[int, ...], lanes: np.ndarray, radius: int) -> np.ndarray:
+def near(differs, n_planes: int, shape: tuple[int, ...], lanes: np.ndarray, radius: int) -> np.ndarray:
     """Lanes (bits of words) whose differing bits are at most radius. differs(b, at) gives plane b of the words at.
 
-    Counters are bit-sliced: ones, twos, fours, and a bit that stays set from eight on. Two planes are added at a time by
-    one carry-save adder. Every 16 planes the words in which no lane is left are abandoned.
+    Counters are bit-sliced: ones, twos, fours and so on, and a bit that stays set once they overflow. Two planes are added
+    at a time by one carry-save adder. Every quarter of the planes the words in which no lane is left are abandoned.
     """
-    at = np.flatnonzero(np.broadcast_to(lanes, shape).ravel())
-    out = np.zeros(int(np.prod(shape)), dtype=np.uint64)
-    wanted = np.broadcast_to(lanes, shape).ravel()[at]
-    ones, twos, fours, over = (np.zeros(len(at), dtype=np.uint64) for _ in range(4))
-    for b in range(0, 64, 2):
+    wanted = np.broadcast_to(lanes, shape).ravel()
+    out = np.zeros(len(wanted), dtype=np.uint64)
+    at = np.flatnonzero(wanted)
+    wanted = wanted[at]
+    counters = [np.zeros(len(at), dtype=np.uint64) for _ in range(radius.bit_length())]
+    over = np.zeros(len(at), dtype=np.uint64)
+    for b in range(0, n_planes, 2):
         x, y = differs(b, at), differs(b + 1, at)
         either = x ^ y
-        carry = (x & y) | (either & ones)
-        ones = ones ^ either
-        more = twos & carry
-        twos = twos ^ carry
-        over = over | (fours & more)
-        fours = fours ^ more
-        if b % 16 == 14:
-            left = wanted & ~_exceeds(ones, twos, fours, over, radius)
-            if b == 62:
+        carry = (x & y) | (either & counters[0])
+        counters[0] = counters[0] ^ either
+        for k in range(1, len(counters)):
+            counters[k], carry = counters[k] ^ carry, counters[k] & carry
+        over = over | carry
+        if (b + 2) % (n_planes // 4) == 0:
+            left = wanted & ~_exceeds(counters, over, radius)
+            alive = left != 0
+            if b + 2 == n_planes:
                 out[at] = left
-            elif not left.all():
-                alive = left != 0
-                at, wanted, ones, twos, fours, over = at[alive], left[alive], ones[alive], twos[alive], fours[alive], over[alive]
+            elif not alive.all():
+                at, wanted, over, counters = at[alive], left[alive], over[alive], [c[alive] for c in counters]
                 if not len(at):
                     break
     return out.reshape(shape)
 
 
-def _exceeds(ones, twos, fours, over, radius: int):
-    """Lanes counting more than radius (0 to 7), compared from the highest counter down."""
-    full, zero = ~np.zeros_like(ones), np.zeros_like(ones)
+def _exceeds(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes counting more than radius, compared from the highest counter down."""
     above, equal = over, ~over
-    for counter, bit in ((fours, 4), (twos, 2), (ones, 1)):
-        want = full if radius & bit else zero
-        above = above | (equal & counter & ~want)
-        equal = equal & ~(counter ^ want)
+    for k in range(len(counters) - 1, -1, -1):
+        if radius >> k & 1:
+            equal = equal & counters[k]
+        else:
+            above = above | (equal & counters[k])
+            equal = equal & ~counters[k]
     return above
 
 
@@ -121,7 +139,7 @@ def lanes_set(words: np.ndarray) -> np.ndarray:
 def short_links(fp: np.ndarray, run: np.ndarray, longest: int, radius: int) -> Iterator[tuple[int, int]]:
     """Links within short runs (equal run numbers are neighbours): every plane against itself, shifted by 1, 2, ... lanes."""
     p = planes(fp)
-    p = np.concatenate([p, np.zeros((64, 1), np.uint64)], axis=1)
+    p = np.concatenate([p, np.zeros((len(p), 1), np.uint64)], axis=1)
     n, width = len(fp), p.shape[1] - 1
     for s in range(1, longest):
         same = np.zeros(width * 64, dtype=bool)
@@ -130,7 +148,7 @@ def short_links(fp: np.ndarray, run: np.ndarray, longest: int, radius: int) -> I
             break
         valid = np.packbits(same, bitorder="little").view(np.uint64)
         down, up = np.uint64(s), np.uint64(64 - s)
-        hits = near(lambda b, at, down=down, up=up: p[b, at] ^ ((p[b, at] >> down) | (p[b, at + 1] << up)), (width,), valid, radius)
+        hits = near(lambda b, at, down=down, up=up: p[b, at] ^ ((p[b, at] >> down) | (p[b, at + 1] << up)), len(p), (width,), valid, radius)
         for i in lanes_set(hits).tolist():
             yield i, i + s
 
@@ -146,9 +164,9 @@ def long_links(fp: np.ndarray, radius: int) -> np.ndarray:
     open_ = np.concatenate([open_, np.zeros(-len(open_) % 8, np.uint8)]).view(np.uint64)
 
     def compare(queries: np.ndarray) -> np.ndarray:
-        q = np.where((fp[queries][None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1), ~np.uint64(0), np.uint64(0))
-        width = p.shape[1]
-        return near(lambda b, at: p[b, at % width] ^ q[b, at // width], (len(queries), width), open_, radius)
+        bits = np.unpackbits(np.ascontiguousarray(fp[queries]).view(np.uint8).reshape(len(queries), -1), axis=1, bitorder="little").T
+        q, width = np.where(bits, ~np.uint64(0), np.uint64(0)), p.shape[1]
+        return near(lambda b, at: p[b, at % width] ^ q[b, at // width], len(p), (len(queries), width), open_, radius)
 
     def close(positions: np.ndarray) -> None:
         np.bitwise_and.at(open_, positions // 64, ~(np.uint64(1) << (positions % 64).astype(np.uint64)))
@@ -187,88 +205,106 @@ def long_links(fp: np.ndarray, radius: int) -> np.ndarray:
 class Linker:
     """Turns rows sorted by bucket into links (member, first of its component within the bucket), batch by batch."""
 
-    def __init__(self, radius: int, large: int):
-        self.radius, self.large = radius, large
+    def __init__(self, radius: int, large: int, words: int, schema: pa.Schema):
+        self.radius, self.large, self.words, self.schema = radius, large, words, schema
 
-    def links(self, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def links(self, key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([edge, [len(key)]]))
-        run = np.repeat(np.arange(len(edge)), size)
-        each = np.repeat(size, size)
+        run, each = np.repeat(np.arange(len(edge)), size), np.repeat(size, size)
         a, b = [], []
         pick = np.flatnonzero((each > 1) & (each <= SHORT))
         if len(pick):
-            f, parent = fp[pick], {}
+            own, parent = node[pick], {}
 
             def find(i):
                 while parent.get(i, i) != i:
                     parent[i] = i = parent.get(parent[i], parent[i])
                 return i
 
-            for i, j in short_links(f, run[pick], SHORT, self.radius):
+            for i, j in short_links(fp[pick], run[pick], SHORT, self.radius):
                 i, j = find(i), find(j)
                 if i != j:
                     parent[j] = i
-            for i in parent:
-                a.append(f[i])
-                b.append(f[find(i)])
+            members = np.fromiter(parent, dtype=np.int64, count=len(parent))
+            a.append(own[members])
+            b.append(own[np.fromiter(map(find, members.tolist()), dtype=np.int64, count=len(members))])
         for k in np.flatnonzero(size > SHORT):
-            f = fp[edge[k] : edge[k] + size[k]]
-            root = long_links(f, self.radius)
-            moved = np.flatnonzero(root != np.arange(len(f)))
-            a.extend(f[moved])
-            b.extend(f[root[moved]])
-        return np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
-
-    def run(self, batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        """Rows (bucket, fp) to links; a bucket over the limit gives one row with its number and no link."""
-        key, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+            own = node[edge[k] : edge[k] + size[k]]
+            root = long_links(fp[edge[k] : edge[k] + size[k]], self.radius)
+            moved = np.flatnonzero(root != np.arange(len(own)))
+            a.append(own[moved])
+            b.append(own[root[moved]])
+        none = np.empty(0, np.int64)
+        return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+    def out(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], schema=self.schema)
+
+    def skip(self, bucket: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"a": [None], "b": [None], "large": [bucket]}, schema=self.schema)
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (bucket, node, sig) to links; a bucket over the limit gives one row with its name and no link."""
+        key, node, fp = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, self.words), np.uint64)
         skipped = None
-
-        def out(a, b, large=None):
-            big = [None] * len(a) if large is None else [large]
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)) if large is None else pa.array([None], pa.int64()), pa.array(b.view(np.int64)) if large is None else pa.array([None], pa.int64()), pa.array(big, pa.int64())], schema=schema)
-
         for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
+            more = batch.column(1).to_numpy()
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64).reshape(-1, self.words) if self.words > 1 else more.view(np.uint64)[:, None]
+            key, node, fp = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([node, more]), np.concatenate([fp, sig])
             if skipped is not None:
                 rest = key != skipped
-                key, fp = key[rest], fp[rest]
+                key, node, fp = key[rest], node[rest], fp[rest]
             if len(key) < 1 << 15:
                 continue
-            last = int(np.searchsorted(key, key[-1], side="left")) if (key[1:] >= key[:-1]).all() else int(np.flatnonzero(key[1:] != key[:-1])[-1]) + 1
+            ends = np.flatnonzero(key[1:] != key[:-1])
+            last = int(ends[-1]) + 1 if len(ends) else 0  # the last bucket may go on
             if last:
-                yield out(*self.links(key[:last], fp[:last]))
-                key, fp = key[last:], fp[last:]
+                yield self.out(*self.links(key[:last], node[:last], fp[:last]))
+                key, node, fp = key[last:], node[last:], fp[last:]
             if len(key) > self.large:
                 skipped = int(key[-1])
-                yield out(key[:1], fp[:1], skipped)
-                key, fp = key[:0], fp[:0]
-        if len(key) and (len(key) <= self.large or len(np.unique(key)) > 1):
-            yield out(*self.links(key, fp))
-        elif len(key):
-            yield out(key[:1], fp[:1], int(key[-1]))
-
-
-def buckets(fps: DataFrame, blocks: tuple[int, ...] = BLOCKS, radius: int = RADIUS) -> DataFrame:
-    """bucket, fp: each fingerprint once for every choice of blocks of which radius differing bits must leave one unchanged."""
+                yield self.skip(skipped)
+                key, node, fp = key[:0], node[:0], fp[:0]
+        if len(key):
+            each = np.unique(key, return_counts=True)
+            for bucket in each[0][each[1] > self.large].tolist():
+                yield self.skip(bucket)
+            rest = ~np.isin(key, each[0][each[1] > self.large])
+            if rest.any():
+                yield self.out(*self.links(key[rest], node[rest], fp[rest]))
+
+
+def buckets(nodes: DataFrame, blocks: tuple[int, ...] = BLOCKS, radius: int = RADIUS) -> DataFrame:
+    """bucket, node: each fingerprint of one word once for every choice of blocks of which radius differing bits must leave one unchanged."""
     edge = np.concatenate([[0], np.cumsum(blocks)])
     masks = []
     for chosen in combinations(range(len(blocks)), len(blocks) - radius):
         mask = sum(((1 << blocks[k]) - 1) << int(edge[k]) for k in chosen)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    keys = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)))
-    return fps.select(F.explode(keys).alias("bucket"), "fp")
+    keys = F.array(*(F.xxhash64(F.lit(k), F.col("node").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)))
+    return nodes.select(F.explode(keys).alias("bucket"), "node")
+
+
+def wide_buckets(nodes: DataFrame, words: int) -> DataFrame:
+    """bucket, node, sig: each fingerprint of several words once for every two bytes of it."""
+    keys = F.array(*(F.xxhash64(F.lit(k), F.substring("sig", 2 * k + 1, 2)) for k in range(4 * words)))
+    return nodes.select(F.explode(keys).alias("bucket"), "node", "sig")
 
 
-def links(fps: DataFrame, radius: int = RADIUS, large: int = LARGE) -> DataFrame:
-    """a, b: links between distinct fingerprints that connect all within the radius of one another."""
+def links(nodes: DataFrame, radius: int = RADIUS, large: int = LARGE, words: int = 1) -> DataFrame:
+    """a, b: links between nodes that connect all those within the radius of one another that share a bucket.
+
+    With one word every two within the radius do. With several words, two that agree in a share p of all bits share one
+    of the 4 * words buckets with probability 1 - (1 - p ** 16) ** (4 * words).
+    """
     schema = "a bigint, b bigint, large bigint"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    dealt = buckets(fps, radius=radius)
+    dealt = buckets(nodes, radius=radius) if words == 1 else wide_buckets(nodes, words)
+    columns = dealt.columns[1:]
+    linked = lambda rows, most: rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: Linker(radius, most, words, arrow).run(batches), schema)
     # Buckets are named by a hash; should two share a name, more fingerprints are compared, which does no harm.
-    first = materialise(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: Linker(radius, large).run(batches, arrow), schema), "links")
+    first = materialise(linked(dealt, large), "links")
     found = first.filter("large IS NULL").select("a", "b")
     over = first.filter("large IS NOT NULL").select(F.col("large").alias("bucket")).distinct()
     if over.isEmpty():
@@ -276,27 +312,39 @@ def links(fps: DataFrame, radius: int = RADIUS, large: int = LARGE) -> DataFrame
     # Large buckets: their fingerprints fall into parts by hash, and every pair of parts is compared by itself.
     members = dealt.join(over, "bucket")
     parts = members.groupBy("bucket").agg(F.ceil(F.count("*") * 3 / large).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts"))
-    pairs = members.join(parts.hint("merge"), "bucket").withColumn("own", own).select("bucket", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    named = pairs.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fp").distinct()
-    again = named.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: Linker(radius, 1 << 62).run(batches, arrow), schema)
-    return found.unionByName(again.select("a", "b"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, large: int = LARGE) -> DataFrame:
-    """doc_id, fp, component_id for every row: the smallest id among all documents reachable over links."""
-    rows = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    labels = components(links(nodes.select("fp"), radius, large))
-    labelled = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))
+    pairs = members.join(parts.hint("merge"), "bucket").withColumn("own", own).select("bucket", *columns, "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    named = pairs.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), *columns).distinct()
+    return found.unionByName(linked(named, 1 << 62).select("a", "b"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, large: int = LARGE, words: int = 1) -> DataFrame:
+    """doc_id, node, component_id for every row: the smallest id among all documents reachable over links."""
+    rows = materialise(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), *([F.any_value("sig").alias("sig")] if words > 1 else []))
+    nodes = materialise(nodes, "nodes")
+    labels = components(links(nodes.drop("least"), radius, large, words))
+    labelled = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     labelled = materialise(labelled, "labels")
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = materialise(labelled.join(least, "root").select("fp", "component_id"), "labels")
-    return rows.join(by_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    by_node = materialise(labelled.join(least, "root").select("node", "component_id"), "labels")
+    return rows.join(by_node.hint("merge"), "node").select("doc_id", "node", "component_id")
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """Differing bits to expect between texts whose shingle sets have this Jaccard similarity."""
+    cosine = 2 * similarity / (1 + similarity)
+    return round(bits * math.acos(cosine) / math.pi)
+
+
+#: Filtering takes shingles of five words, a similarity of 0.8 and fingerprints of 512 bits, so that a distance tells the
+#: similarity to within 0.03; MARGIN is left for that.
+FILTER_SHINGLE, FILTER_SIMILARITY, FILTER_WORDS, MARGIN = 5, 0.8, 8, 0.02
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose document has the smallest id of its component, and rows without an id. Ids name documents: rows with one id stay or go together."""
-    rows = near_duplicates(docs, id_col, text_col)
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = FILTER_SIMILARITY) -> DataFrame:
+    """The rows whose document has the smallest id of its group, and rows without an id. Ids name documents: rows with one id stay or go together."""
+    radius = radius_of(similarity - MARGIN, 64 * FILTER_WORDS)
+    rows = near_duplicates(docs, id_col, text_col, FILTER_SHINGLE, radius, words=FILTER_WORDS)
     gone = materialise(rows.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
     return docs.join(F.broadcast(gone) if small_enough(gone, 16) else gone, id_col, "left_anti").select(docs.columns)

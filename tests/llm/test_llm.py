@@ -435,7 +435,7 @@ def test_links_connect_all_within_the_radius(spark, large):
     rng = random.Random(8)
     bases = [rng.getrandbits(64) for _ in range(12)]
     fps = list({flipped(rng, rng.choice(bases), 7) for _ in range(400)})
-    df = spark.createDataFrame([(f - (1 << 64) * (f >> 63),) for f in fps], "fp bigint")
+    df = spark.createDataFrame([(f - (1 << 64) * (f >> 63),) for f in fps], "node bigint")
     root = {r.node: r.root for r in graph.components(simhash.links(df, large=large)).collect()}
     signed = lambda f: f - (1 << 64) * (f >> 63)
     got = [root.get(signed(f), signed(f)) for f in fps]
@@ -449,7 +449,7 @@ def test_near_duplicates(docs):
     comp = brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 4)
     least = {c: min((r.doc_id for r, x in zip(rows, comp, strict=True) if x == c and r.doc_id is not None), default=None) for c in comp}
     want = collections.Counter((r.doc_id, f, least[c]) for r, f, c in zip(rows, fps, comp, strict=True))
-    assert collections.Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()) == want
+    assert collections.Counter((r.doc_id, r.node % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()) == want
 
 
 def test_one_of_each_group(docs, empty):
