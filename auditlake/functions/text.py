@@ -69,7 +69,7 @@ def endpoint_segments(normal: Column) -> Column:
 
 def endpoints_named(text: Column) -> Column:
     """Every endpoint that a report's text lists: separated by commas or by a fresh method."""
-    return F.filter(F.transform(F.split(endpoint_normal(text), rf",\s*|\s+(?=(?:{METHODS}) /)"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(endpoint_normal(text), rf",\s*|\s+(?=(?:{METHODS}) /)"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def endpoint_match(report: Column, key: Column) -> Column:

@@ -87,3 +87,29 @@ def repeated(hits: DataFrame, by: list[str], runs: int) -> DataFrame:
     """Over runs: how often each check was hit, found by strict majority, flaky, and its catch rate."""
     f = hits.groupBy(*by).agg(F.count_if("hit").alias("freq"))
     return f.withColumns({"majority": F.col("freq") * 2 > runs, "flaky": (F.col("freq") > 0) & (F.col("freq") < runs), "catch_rate": T.ratio(F.col("freq"), F.lit(runs), 3, 0.0)})
+
+
+def score(reports: DataFrame, checks: DataFrame, by: str) -> DataFrame:
+    """Per benchmark, check or report: outcome found, missed, fp, quiet (a clean check that nothing claims) or extra.
+
+    reports: by, report, file, endpoint, category. checks: by, check_id, expectation, file, endpoint, category. Findings are
+    assigned reports one to one; each report left over claims at most one clean check, what claims nothing is extra.
+    """
+    r = reports.select(by, "report", F.col("file").alias("rf"), T.endpoint_normal(F.col("endpoint")).alias("re"), F.col("category").alias("rc"))
+    c = checks.select(by, "check_id", "expectation", F.col("file").alias("cf"), T.endpoint_normal(F.col("endpoint")).alias("ce"), F.col("category").alias("cc"))
+    # Reports and checks of one benchmark meet; both are short lists of one benchmark by nature.
+    met = r.join(c, by)
+    endpoint = (F.col("re") != "") & (F.col("ce") != "") & T.endpoint_match(F.col("re"), F.col("ce"))
+    weight = match_weight(endpoint, T.category_match(F.col("rc"), F.col("cc")), (F.col("rf") != "") & (F.col("rf") == F.col("cf")))
+    # A check that names an endpoint is matched by endpoint only.
+    weighted = met.withColumn("weight", F.when((F.col("ce") != "") & ~endpoint, 0).otherwise(weight)).filter("weight > 0")
+    finding = F.col("expectation") == "finding"
+    chosen = optimal_assignment(weighted.filter(finding).select(by, F.col("check_id").alias("row_id"), F.col("report").alias("col_id"), "weight"), by)
+    free = weighted.filter(~finding).join(weighted.filter(finding).select(by, "report").distinct(), [by, "report"], "left_anti")
+    claimed = free.groupBy(by, "report").agg(F.min("check_id").alias("check_id"))
+    hit = chosen.select(by, F.col("row_id").alias("check_id")).unionByName(claimed.select(by, "check_id")).distinct().withColumn("hit", F.lit(True))
+    judged = checks.select(by, "check_id", "expectation").join(hit, [by, "check_id"], "left")
+    outcome = F.when(finding, F.when(F.col("hit"), "found").otherwise("missed")).otherwise(F.when(F.col("hit"), "fp").otherwise("quiet"))
+    used = chosen.select(by, F.col("col_id").alias("report")).unionByName(claimed.select(by, "report"))
+    extra = reports.select(by, "report").join(used, [by, "report"], "left_anti")
+    return judged.select(by, F.col("check_id").alias("id"), outcome.alias("outcome")).unionByName(extra.select(by, F.col("report").alias("id"), F.lit("extra").alias("outcome")))
