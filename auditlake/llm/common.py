@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,29 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Paths that this session's operators wrote; clear_scratch drops them.
+_scratch: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Drop all intermediate tables. Results that were not written yet read them, so call it after their last use."""
+    while _scratch:
+        drop_path(spark, _scratch.pop())
+
+
+def located(df: DataFrame) -> DataFrame:
+    """The rows with file and row number at hand (_metadata): as they are if they come from files that have them, else written first."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+        return df
+    except AnalysisException:
+        return materialise(df, "source")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import materialise, text_of
+from .common import located, materialise, text_of
 from .suffixes import Text, repeated_windows
 
 WINDOW, GRAM = 400, 32
@@ -156,7 +156,8 @@ def covered(raw: bytes, starts: list[tuple[int, int]], window: int) -> list[tupl
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, large: int = LARGE, with_spans: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_spans adds the spans and the kept bytes. docs must be read from files."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_spans adds the spans and the kept bytes."""
+    docs = located(docs)
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), text_of(text_col).alias("text"))
     table = materialise(anchor_table(keyed, window), "anchors")
     grams = table.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import materialise, new_path, small_enough
+from .common import located, materialise, new_path, small_enough
 
 SEGMENT, CHUNK, MIN_REVISIT = 16_384, 4096, 100
 RECORDS_PER_FILE = 2048
@@ -109,7 +109,8 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment: int = SEGMENT) -> None:
-    """Gzipped archives under path, at most RECORDS_PER_FILE records each. pages must be read from files (they tell rows apart)."""
+    """Gzipped archives under path, at most RECORDS_PER_FILE records each."""
+    pages = located(pages)
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(payload, "UTF-8").alias("payload"), F.sha2(payload, 256).alias("digest"), place.alias("place"))

@@ -133,6 +133,13 @@ def test_suffix_dedup_spans(spark, tmp_path):
     assert [(s.a, s.b) for s in r.spans] == [(10, 460)] and bytes(r.kept) == b"q" * 10
 
 
+def test_rows_without_files(spark):
+    d = spark.createDataFrame([(1, "z" * 450), (2, "x"), (3, None)], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(d).collect()} == {1: 450, 2: 0, 3: 0}
+    pages = spark.createDataFrame([(1, None, "a"), (None, "u", "b" * 200), (3, "u", "b" * 200)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.refers_to for r in warc.round_trip(pages).collect()} == {1: None, None: 3, 3: None}
+
+
 def test_suffix_dedup_of_nothing(empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
