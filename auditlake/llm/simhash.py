@@ -154,11 +154,11 @@ def short_links(fp: np.ndarray, run: np.ndarray, longest: int, radius: int) -> I
 
 
 def long_links(fp: np.ndarray, radius: int) -> np.ndarray:
-    """The first member of each one's component within one run: a search from node to node over those not yet reached."""
-    n, root = len(fp), np.arange(len(fp))
+    """For each member of a run one within the radius through which a search from node to node reached it, itself where one began."""
+    n, via = len(fp), np.arange(len(fp))
     left = np.arange(n)  # not reached yet
     frontier: list[int] = []
-    start, batch = -1, 1
+    batch = 1
     p = planes(fp)
     open_ = np.packbits(np.ones(n, dtype=bool), bitorder="little")
     open_ = np.concatenate([open_, np.zeros(-len(open_) % 8, np.uint8)]).view(np.uint64)
@@ -181,29 +181,30 @@ def long_links(fp: np.ndarray, radius: int) -> np.ndarray:
         most = max(1, (1 << 15) // max(1, p.shape[1]))
         if frontier:
             queries, frontier = np.array(frontier[:most]), frontier[most:]
-            hits = lanes_set(np.bitwise_or.reduce(compare(queries), axis=0))
-            root[left[hits]] = start
+            found = compare(queries)
+            hits = lanes_set(np.bitwise_or.reduce(found, axis=0))
+            by = (found[:, hits // 64] >> (hits % 64).astype(np.uint64)) & np.uint64(1)
+            via[left[hits]] = queries[by.argmax(axis=0)] if len(hits) else hits
             frontier += left[hits].tolist()
             close(hits)
             continue
         if not live:
-            return root
+            return via
         # New starts, several at a time: those that reach nothing are done, the first that does leads a search.
         seeds = lanes_set(open_)[: min(batch, most)]
         reach = np.bitwise_count(compare(left[seeds])).sum(axis=1)
         linked = np.flatnonzero(reach > 1)
         close(seeds[reach <= 1] if len(linked) else seeds)
         if len(linked):
-            start, batch = int(left[seeds[linked[0]]]), 1
-            root[start] = start
-            frontier = [start]
+            batch = 1
+            frontier = [int(left[seeds[linked[0]]])]
             close(seeds[linked[:1]])
         else:
             batch *= 2
 
 
 class Linker:
-    """Turns rows sorted by bucket into links (member, first of its component within the bucket), batch by batch."""
+    """Turns rows sorted by bucket into a spanning forest of each bucket's links, batch by batch."""
 
     def __init__(self, radius: int, large: int, words: int, schema: pa.Schema):
         self.radius, self.large, self.words, self.schema = radius, large, words, schema
@@ -222,19 +223,21 @@ class Linker:
                     parent[i] = i = parent.get(parent[i], parent[i])
                 return i
 
+            tree = []
             for i, j in short_links(fp[pick], run[pick], SHORT, self.radius):
-                i, j = find(i), find(j)
-                if i != j:
-                    parent[j] = i
-            members = np.fromiter(parent, dtype=np.int64, count=len(parent))
-            a.append(own[members])
-            b.append(own[np.fromiter(map(find, members.tolist()), dtype=np.int64, count=len(members))])
+                x, y = find(i), find(j)
+                if x != y:
+                    parent[y] = x
+                    tree.append((i, j))
+            pairs = np.array(tree, dtype=np.int64).reshape(-1, 2)
+            a.append(own[pairs[:, 0]])
+            b.append(own[pairs[:, 1]])
         for k in np.flatnonzero(size > SHORT):
             own = node[edge[k] : edge[k] + size[k]]
-            root = long_links(fp[edge[k] : edge[k] + size[k]], self.radius)
-            moved = np.flatnonzero(root != np.arange(len(own)))
-            a.append(own[moved])
-            b.append(own[root[moved]])
+            via = long_links(fp[edge[k] : edge[k] + size[k]], self.radius)
+            reached = np.flatnonzero(via != np.arange(len(own)))
+            a.append(own[reached])
+            b.append(own[via[reached]])
         none = np.empty(0, np.int64)
         return np.concatenate([none, *a]), np.concatenate([none, *b])
 
@@ -318,12 +321,18 @@ def links(nodes: DataFrame, radius: int = RADIUS, large: int = LARGE, words: int
     return found.unionByName(linked(named, 1 << 62).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, large: int = LARGE, words: int = 1) -> DataFrame:
-    """doc_id, node, component_id for every row: the smallest id among all documents reachable over links."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, large: int = LARGE, words: int = 1, similarity: float | None = None) -> DataFrame:
+    """doc_id, node, component_id for every row: the smallest id among all documents reachable over links.
+
+    With a similarity only links between texts whose sets of shingles have at least this Jaccard similarity count.
+    """
     rows = materialise(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), *([F.any_value("sig").alias("sig")] if words > 1 else []))
     nodes = materialise(nodes, "nodes")
-    labels = components(links(nodes.drop("least"), radius, large, words))
+    found = links(nodes.drop("least"), radius, large, words)
+    if similarity is not None:
+        found = verified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), nodes, found, shingle, words, similarity)
+    labels = components(found)
     labelled = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     labelled = materialise(labelled, "labels")
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -331,20 +340,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_node.hint("merge"), "node").select("doc_id", "node", "component_id")
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted."""
+    tokens = (text or "").encode().translate(LOWER).split()
+    n = max(1, len(tokens) - shingle + 1)
+    h = {xxhash.xxh64_intdigest(b" ".join(tokens[i : i + shingle])) & 0xFFFFFFFF for i in range(n)} if tokens else ()
+    return np.sort(np.fromiter(h, dtype="<u4", count=len(h)))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def verified(docs: DataFrame, nodes: DataFrame, found: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
+    """The links whose texts are as similar as asked. Only texts with a link are read again; each node stands for the texts that share its fingerprint."""
+    pairs = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "pairs")
+    linked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialise(nodes.join(linked, "node").select(F.col("least").alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), "wanted")
+    again = docs.join(F.broadcast(wanted) if small_enough(wanted, 16) else wanted.hint("merge"), "doc_id")
+    schema = "node bigint, shingles binary"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def sets(batches):
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(0)]
+            sig = [fingerprint(t, shingle, words) for t in texts]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) if words > 1 else x[0] for x in sig], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())], schema=arrow)
+
+    held = materialise(again.select("text").mapInArrow(sets, schema).groupBy("node").agg(F.any_value("shingles").alias("shingles")), "shingles")
+    one = pairs.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+    both = one.join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
+    kept = to_arrow_schema(StructType.fromDDL("a bigint, b bigint"))
+
+    def check(batches):
+        for batch in batches:
+            near_ = [jaccard(np.frombuffer(x.as_py(), dtype="<u4"), np.frombuffer(y.as_py(), dtype="<u4")) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=kept).filter(pa.array(near_, pa.bool_()))
+
+    return both.mapInArrow(check, "a bigint, b bigint")
+
+
 def radius_of(similarity: float, bits: int) -> int:
     """Differing bits to expect between texts whose shingle sets have this Jaccard similarity."""
     cosine = 2 * similarity / (1 + similarity)
     return round(bits * math.acos(cosine) / math.pi)
 
 
-#: Filtering takes shingles of five words, a similarity of 0.8 and fingerprints of 512 bits, so that a distance tells the
-#: similarity to within 0.03; MARGIN is left for that.
-FILTER_SHINGLE, FILTER_SIMILARITY, FILTER_WORDS, MARGIN = 5, 0.8, 8, 0.02
+#: Filtering takes shingles of five words and a similarity of 0.8. Fingerprints of 512 bits tell the similarity to within
+#: about 0.03, so links are sought from MARGIN below on and then checked on the shingles themselves.
+FILTER_SHINGLE, FILTER_SIMILARITY, FILTER_WORDS, MARGIN = 5, 0.8, 8, 0.06
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = FILTER_SIMILARITY) -> DataFrame:
     """The rows whose document has the smallest id of its group, and rows without an id. Ids name documents: rows with one id stay or go together."""
     radius = radius_of(similarity - MARGIN, 64 * FILTER_WORDS)
-    rows = near_duplicates(docs, id_col, text_col, FILTER_SHINGLE, radius, words=FILTER_WORDS)
+    rows = near_duplicates(docs, id_col, text_col, FILTER_SHINGLE, radius, words=FILTER_WORDS, similarity=similarity)
     gone = materialise(rows.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
     return docs.join(F.broadcast(gone) if small_enough(gone, 16) else gone, id_col, "left_anti").select(docs.columns)

@@ -465,6 +465,32 @@ def test_one_of_each_group(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_filter_goes_by_the_similarity_of_shingles(spark):
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(4000)}" for _ in range(200)] for _ in range(8)]
+    texts = []
+    for words in base:
+        texts.append(words)
+        for edits in (1, 2, 8, 30):
+            changed = list(words)
+            for k in rng.sample(range(200), edits):
+                changed[k] = f"x{rng.randrange(10**6)}"
+            texts.append(changed)
+    texts = [" ".join(t) for t in texts]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    comp = brute_components(sets, lambda a, b: simhash.jaccard(a, b) >= 0.8)
+    kept = {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    first = {c: comp.index(c) for c in comp}
+    assert kept == set(first.values()) and len(kept) < len(texts)
+
+
+def test_links_within_a_run_are_within_the_radius():
+    rng = random.Random(13)
+    fps = np.array(list({flipped(rng, b, 7) for b in (rng.getrandbits(64), rng.getrandbits(64)) for _ in range(150)}), dtype=np.uint64)
+    via = simhash.long_links(fps[:, None], 4)
+    assert all(int(fps[i] ^ fps[j]).bit_count() <= 4 for i, j in enumerate(via))
+
+
 # Language model
 
 
