@@ -43,6 +43,16 @@ def byte_alphabet() -> dict[str, int]:
 LATIN_END, LONG_RUN = "ɐ", 10_000
 
 
+def is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")  # a fast look at most texts
+        return True
+    except UnicodeEncodeError:
+        return max(text) < LATIN_END
+
+
 def latin_encoder(tokens: dict[int, bytes], special: tuple[str, ...]):
     """The tiktoken library's encoder with the ranks of the same vocabulary; for Latin texts its ids are the same."""
     import tiktoken
@@ -103,7 +113,7 @@ class FragmentCodec:
         return out
 
     def encode_fragment(self, text: str) -> list[int]:
-        if max(text) >= LATIN_END or any(s in text for s in self.special) or max(map(len, text.split()), default=0) > LONG_RUN:
+        if not is_latin(text) or any(s in text for s in self.special) or max(map(len, text.split()), default=0) > LONG_RUN:
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
