@@ -105,12 +105,11 @@ def certify(scored: DataFrame, labels: DataFrame, risk: Risk, id_col: str = "doc
     each = F.array(*(F.struct(F.lit(rule).alias("rule"), _first(rule, grid).alias("first")) for rule, (_, grid) in SCORES.items()))
     counts = held.select("stratum", F.inline(each)).groupBy("stratum", "rule", "first").agg(F.count("*").alias("n"))
     cuts = F.create_map(*(x for rule, (_, grid) in SCORES.items() for x in (F.lit(rule), F.array(*(F.lit(float(c)) for c in grid)))))
-    by_rule = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("total"), F.collect_list(F.struct("first", "n")).alias("hits"))
+    by_rule = materialise(counts.groupBy("stratum", "rule").agg(F.sum("n").alias("total"), F.collect_list(F.struct("first", "n")).alias("hits")), "strata")
+    level = risk.delta / (len(SCORES) * max(1, by_rule.select("stratum").distinct().count()))
     tested = by_rule.select("stratum", "rule", "total", "hits", F.posexplode(F.element_at(cuts, F.col("rule"))).alias("k", "cutoff"))
     rejected = F.aggregate(F.filter("hits", lambda h: h["first"] <= F.col("k")), F.lit(0).cast("bigint"), lambda a, h: a + h["n"])
-    level = F.lit(risk.delta / len(SCORES)) / F.greatest(F.lit(1), F.col("n_strata"))
-    strata = counts.agg((F.count_distinct("stratum") + F.max(F.col("stratum").isNull().cast("int"))).alias("n_strata"))
-    tested = tested.withColumn("p", binomial_tail(rejected, F.col("total"), risk.alpha / len(SCORES))).join(F.broadcast(strata))  # one row
+    tested = tested.withColumn("p", binomial_tail(rejected, F.col("total"), risk.alpha / len(SCORES)))
     so_far = Window.partitionBy("stratum", "rule").orderBy("k")
     passed = tested.withColumn("passed", F.min((F.col("p") <= level).cast("int")).over(so_far)).filter("passed = 1")
     return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
