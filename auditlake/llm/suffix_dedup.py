@@ -29,9 +29,9 @@ WINDOW, GRAM = 400, 32
 #: Distinct excerpts of one gram that meet in one task.
 LARGE = 20_000
 #: Excerpt bytes for one suffix array, unless one gram alone has more.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Window starts of one text that are hashed at a time.
-STRIDE = 4 << 20
+STRIDE = 1 << 20
 
 
 def gram_hashes(b: np.ndarray, gram: int = GRAM) -> np.ndarray:
