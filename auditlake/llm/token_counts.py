@@ -10,6 +10,10 @@ file's last end id count as one unfinished document, finished = false.
 
 from __future__ import annotations
 
+import gzip
+import io
+from typing import BinaryIO
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,8 +29,8 @@ END_ID = 0xDFBF
 BLOCK_TOKENS = 1 << 19
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, text_col: str = "text") -> None:
-    """Flat token files of all documents, in the order in which the rows are read."""
+def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, text_col: str = "text", compression: str = "gzip") -> None:
+    """Flat token files of all documents, in the order in which the rows are read; each as a whole compressed (gzip or none)."""
     tokenizer = tokenizer or bpe.default_tokenizer()
     arrow = to_arrow_schema(StructType.fromDDL("ids binary"))
 
@@ -36,16 +40,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             yield pa.RecordBatch.from_pydict({"ids": [np.asarray(c.encode(t.as_py()), dtype=">u2").tobytes() for t in batch.column(0)]}, schema=arrow)
 
     ids = docs.select(F.col(text_col)).mapInArrow(run, "ids binary")
-    ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", "߿").text(path)
+    ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", "߿").option("compression", compression).text(path)
 
 
-def scan_blocks(content: bytes, end_id: int, block: int):
+def scan_blocks(file: BinaryIO, end_id: int, block: int):
     """(block number, start, gap lengths) with the lengths before, between and after a block's end ids."""
-    ids = np.frombuffer(content, dtype=">u2")
-    for k, start in enumerate(range(0, len(ids), block)):
-        part = ids[start : start + block]
+    k, start = 0, 0
+    while data := file.read(2 * block):
+        part = np.frombuffer(data, dtype=">u2")
         at = np.flatnonzero(part == end_id)
         yield k, start, np.diff(np.concatenate([[-1], at, [len(part)]])) - 1
+        k, start = k + 1, start + len(part)
 
 
 def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block: int = BLOCK_TOKENS) -> DataFrame:
@@ -56,7 +61,8 @@ def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block: in
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for k, start, gaps in scan_blocks(content.as_buffer(), end_id, block):
+                raw = io.BytesIO(content.as_py())
+                for k, start, gaps in scan_blocks(gzip.open(raw) if name.endswith(".gz") else raw, end_id, block):
                     yield pa.RecordBatch.from_pydict({"shard": [name.rpartition("/")[2]], "block": [k], "start": [start], "gaps": [gaps]}, schema=arrow)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)

@@ -189,9 +189,9 @@ def test_bpe(docs, tokenizer):
         assert r.decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block", [7, 1 << 19])
-def test_token_counts(spark, docs, tokenizer, tmp_path, block):
-    token_counts.write_token_files(docs, str(tmp_path / "t"))
+@pytest.mark.parametrize("block,compression", [(7, "none"), (7, "gzip"), (1 << 19, "gzip")])
+def test_token_counts(spark, docs, tokenizer, tmp_path, block, compression):
+    token_counts.write_token_files(docs, str(tmp_path / "t"), compression=compression)
     got = token_counts.count_tokens(spark, str(tmp_path / "t"), block=block).collect()
     want = sorted(len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect())
     assert sorted(r.n_tokens for r in got) == want and all(r.finished for r in got)
