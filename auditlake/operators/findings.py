@@ -34,8 +34,8 @@ def fold_evidence(pieces: Column) -> Column:
     return F.aggregate(pieces, F.lit(""), lambda a, x: F.when(a.contains(x), a).when(a == "", x).otherwise(F.concat(a, F.lit("; "), x)))
 
 
-def union_findings(rows: DataFrame, key: Column) -> DataFrame:
-    """One row per identity: the first row's columns, confirmed if any is, labels united, evidence folded, median severity.
+def union_findings(rows: DataFrame, key: Column, with_evidence: bool = True) -> DataFrame:
+    """One row per identity: the first row's columns, confirmed if any is, labels united, median severity, and on demand folded evidence.
 
     Equal evidence is reduced to its first place before it is collected, so a key's list holds distinct texts only.
     """
@@ -45,12 +45,15 @@ def union_findings(rows: DataFrame, key: Column) -> DataFrame:
         F.max(F.when(F.col("status") == "confirmed", 1).otherwise(0)).alias("confirmed"), F.array_sort(F.collect_set("label")).alias("found_by"),
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY rank)").alias("median"),
     )
+    columns = [
+        "key", "ord", "first.*", F.when(F.col("confirmed") == 1, "confirmed").otherwise("blocked").alias("status"), T.severity_of_rank(F.col("median").cast("int")).alias("severity"),
+        "found_by", F.size("found_by").alias("consensus"), "n_rows",
+    ]
+    if not with_evidence:
+        return first.select(*columns)
     evidence = keyed.filter(F.col("evidence") != "").groupBy("key", "evidence").agg(F.min("ord").alias("at")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "evidence"))).alias("e"))
     out = first.join(evidence, "key", "left")
-    return out.select(
-        "key", "ord", "first.*", F.when(F.col("confirmed") == 1, "confirmed").otherwise("blocked").alias("status"), T.severity_of_rank(F.col("median").cast("int")).alias("severity"),
-        "found_by", F.size("found_by").alias("consensus"), "n_rows", fold_evidence(F.transform(F.coalesce("e", F.array().cast("array<struct<at:bigint,evidence:string>>")), lambda x: x["evidence"])).alias("evidence"),
-    )
+    return out.select(*columns, fold_evidence(F.transform(F.coalesce("e", F.array().cast("array<struct<at:bigint,evidence:string>>")), lambda x: x["evidence"])).alias("evidence"))
 
 
 def rank_findings(union: DataFrame) -> DataFrame:

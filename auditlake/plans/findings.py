@@ -18,8 +18,8 @@ KEYED = f"""{view_sql("candidates_v")}, keyed AS (SELECT *, {RANK.format("severi
     WHEN endpoint <> '' THEN concat('ep|', {NORMAL}, '|', lower(category)) ELSE concat('fc|', lower(file), '|', lower(category)) END AS key FROM candidates_v)"""
 
 
-def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.union_findings(view(spark, sf_dir, "candidates_v"), findings.candidate_key()).withColumn("key", F.array_join("key", "|"))
+def _union(spark: SparkSession, sf_dir: str, with_evidence: bool = True) -> DataFrame:
+    return findings.union_findings(view(spark, sf_dir, "candidates_v"), findings.candidate_key(), with_evidence).withColumn("key", F.array_join("key", "|"))
 
 
 @query(f"""WITH {KEYED}, u AS (SELECT key, min(ord) AS ord, arg_min(title, ord) AS title, max(CASE WHEN status = 'confirmed' THEN 1 ELSE 0 END) AS c, quantile_disc(rank, 0.5) AS median,
@@ -27,7 +27,7 @@ def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT key, title, CASE WHEN c = 1 THEN 'confirmed' ELSE 'blocked' END AS status, {NAME.format("median")} AS severity, found_by, CAST(consensus AS INT) AS consensus, n_rows,
     row_number() OVER (ORDER BY consensus DESC, median, ord) AS position FROM u""")
 def ranked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = findings.rank_findings(_union(spark, sf_dir))
+    ranked = findings.rank_findings(_union(spark, sf_dir, with_evidence=False))
     return ranked.select("key", F.concat("category", F.lit(" in "), "file").alias("title"), "status", "severity", F.array_join("found_by", ",").alias("found_by"), "consensus", "n_rows", "position")
 
 
