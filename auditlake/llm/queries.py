@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, brown, exact_dedup, packing, quality, secrets, simhash, suffix_dedup, token_counts, warc
-from .common import documents
+from .common import documents, spread
 from .oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -23,7 +23,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.document_token_counts(documents(spark, sf_dir))
+    return token_counts.document_token_counts(spread(documents(spark, sf_dir)))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,25 +40,25 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.decide(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id", "lang"])
+    rows = quality.decide(spread(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id", "lang"])
     return rows.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(documents(spark, sf_dir))
+    return bpe.encode_decode(spread(documents(spark, sf_dir)))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = simhash.near_duplicates(documents(spark, sf_dir))
+    rows = simhash.near_duplicates(spread(documents(spark, sf_dir)))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brown.score_documents(documents(spark, sf_dir))
+    return brown.score_documents(spread(documents(spark, sf_dir)))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir))
+    return packing.pack_documents(spread(documents(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_token_counts, op4_secrets, op5_warc, op6_quality_rules, op7_bpe, op8_simhash, op9_brown_scores, op10_packing)}
