@@ -5,7 +5,8 @@ dealt out by all 15 pairs of blocks, and only fingerprints with equal pairs meet
 planes; distances of 64 pairs at a time are summed by carry-save counters, and blocks in which all exceed the radius are abandoned.
 For wider fingerprints and
 larger radii, as filtering by similarity needs, buckets are two bytes of the fingerprint each and linking is the same.
-Within a bucket only a spanning tree of the links is kept, never all pairs. Buckets over LARGE are dealt out anew by pairs of parts.
+Within a bucket only a spanning tree of the links is kept, never all pairs; where a similarity decides on links afterwards, all
+texts of a tree's component are compared anew. Buckets over LARGE are dealt out anew by pairs of parts.
 
 Defined cases: null and wordless texts have fingerprint zero and are linked like any other; texts of under four words
 are one shingle; equal fingerprints are one node, so copies never meet as pairs; a null id counts in no component's
@@ -33,6 +34,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Fingerprints of one bucket that one task compares.
 LARGE = 1 << 16
+#: Shingle hashes of one loose component, in bytes, that one task holds.
+GROUP_BYTES = 1 << 26
 #: Runs up to this length are compared by shifting all planes; longer ones by a search from node to node.
 SHORT = 8
 LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
@@ -173,6 +176,8 @@ def long_links(fp: np.ndarray, radius: int) -> np.ndarray:
 
     while True:
         live = int(np.bitwise_count(open_).sum())
+        if not live:
+            return via
         if live < len(left) // 2 and len(left) > 64:  # pack what is left into fewer words
             left = left[lanes_set(open_)]
             p = planes(fp[left])
@@ -188,8 +193,6 @@ def long_links(fp: np.ndarray, radius: int) -> np.ndarray:
             frontier += left[hits].tolist()
             close(hits)
             continue
-        if not live:
-            return via
         # New starts, several at a time: those that reach nothing are done, the first that does leads a search.
         seeds = lanes_set(open_)[: min(batch, most)]
         reach = np.bitwise_count(compare(left[seeds])).sum(axis=1)
@@ -331,7 +334,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialise(nodes, "nodes")
     found = links(nodes.drop("least"), radius, large, words)
     if similarity is not None:
-        found = verified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), nodes, found, shingle, words, similarity)
+        found = verified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), nodes, found, shingle, words, radius, similarity)
     labels = components(found)
     labelled = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     labelled = materialise(labelled, "labels")
@@ -353,13 +356,48 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def verified(docs: DataFrame, nodes: DataFrame, found: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
-    """The links whose texts are as similar as asked. Only texts with a link are read again; each node stands for the texts that share its fingerprint."""
-    pairs = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "pairs")
-    linked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(nodes.join(linked, "node").select(F.col("least").alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), "wanted")
+def similar(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets (sorted, as one is) have this Jaccard similarity to one."""
+    size = np.array([len(x) for x in others], dtype=np.int64)
+    each = np.concatenate([np.empty(0, "<u4"), *others])
+    at = np.searchsorted(one, each)
+    shared = np.concatenate([[0], np.cumsum(one[np.minimum(at, len(one) - 1)] == each)]) if len(one) else np.zeros(len(each) + 1, np.int64)
+    ends = np.cumsum(size)
+    both = shared[ends] - shared[ends - size]
+    return both / np.maximum(1, size + len(one) - both) >= similarity
+
+
+def confirmed_links(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links within the radius between sets as similar as asked: no other link closes a node, so none of them hides one."""
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    left, frontier, tree = np.arange(len(fp)), [], []
+    while len(left):
+        if frontier:
+            i = frontier.pop()
+        else:
+            i, left = int(left[0]), left[1:]
+        within = np.bitwise_count(fp[left] ^ fp[i]).sum(axis=1) <= radius
+        within &= np.minimum(size[left], size[i]) / np.maximum(1, np.maximum(size[left], size[i])) >= similarity
+        hits = np.flatnonzero(within)
+        hits = hits[similar(sets[i], [sets[j] for j in left[hits]], similarity)]
+        reached = left[hits].tolist()
+        tree += [(i, j) for j in reached]
+        frontier += reached
+        left = np.delete(left, hits)
+    return tree
+
+
+def verified(docs: DataFrame, nodes: DataFrame, found: DataFrame, shingle: int, words: int, radius: int, similarity: float, most: int = GROUP_BYTES) -> DataFrame:
+    """Links that connect all texts as similar as asked and within the radius that lie in one component of found.
+
+    A spanning tree of looser links does not hold every link, so all texts of its component are compared anew. Only texts with a link are read
+    again; each node stands for the texts that share its fingerprint. Components of over most bytes fall into parts by hash, and every pair of
+    parts is compared by itself.
+    """
+    loose = materialise(components(found), "loose")
+    wanted = materialise(nodes.join(loose, "node").select(F.col("least").alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), "wanted")
     again = docs.join(F.broadcast(wanted) if small_enough(wanted, 16) else wanted.hint("merge"), "doc_id")
-    schema = "node bigint, shingles binary"
+    schema = "node bigint, sig binary, shingles binary"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def sets(batches):
@@ -367,19 +405,39 @@ def verified(docs: DataFrame, nodes: DataFrame, found: DataFrame, shingle: int,
             texts = [t.as_py() for t in batch.column(0)]
             sig = [fingerprint(t, shingle, words) for t in texts]
             node = np.array([xxhash.xxh64_intdigest(x.tobytes()) if words > 1 else x[0] for x in sig], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())], schema=arrow)
-
-    held = materialise(again.select("text").mapInArrow(sets, schema).groupBy("node").agg(F.any_value("shingles").alias("shingles")), "shingles")
-    one = pairs.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
-    both = one.join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
+            columns = [pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(node), *columns], schema=arrow)
+
+    held = again.select("text").mapInArrow(sets, schema).groupBy("node").agg(F.any_value(F.struct("sig", "shingles")).alias("x")).select("node", "x.*")
+    held = materialise(held.join(loose.hint("merge"), "node"), "shingles")
+    over = held.groupBy("root").agg(F.sum(F.length("sig") + F.length("shingles")).alias("bytes")).filter(F.col("bytes") > most).select("root", F.ceil(F.col("bytes") * 3 / most).cast("int").alias("parts"))
+    over = materialise(over, "over")
+    parted = held.join(F.broadcast(over) if small_enough(over, 16) else over.hint("merge"), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    parted = parted.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # Groups are named by a hash; should two share a name, more texts are compared, which does no harm.
+    named = parted.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "node", "sig", "shingles")
     kept = to_arrow_schema(StructType.fromDDL("a bigint, b bigint"))
 
-    def check(batches):
-        for batch in batches:
-            near_ = [jaccard(np.frombuffer(x.as_py(), dtype="<u4"), np.frombuffer(y.as_py(), dtype="<u4")) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=kept).filter(pa.array(near_, pa.bool_()))
+    def confirm(batches):
+        group, node, sig, held_ = None, [], [], []
+
+        def out():
+            tree = confirmed_links(np.frombuffer(b"".join(sig), dtype="<u8").reshape(len(sig), -1), held_, radius, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in tree], pa.int64()), pa.array([node[j] for _, j in tree], pa.int64())], schema=kept)
 
-    return both.mapInArrow(check, "a bigint, b bigint")
+        for batch in batches:
+            for g, k, s, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group and node:
+                    yield out()
+                    node, sig, held_ = [], [], []
+                group = g
+                node.append(k)
+                sig.append(s)
+                held_.append(np.frombuffer(x, dtype="<u4"))
+        if node:
+            yield out()
+
+    return named.repartition("group").sortWithinPartitions("group").mapInArrow(confirm, "a bigint, b bigint")
 
 
 def radius_of(similarity: float, bits: int) -> int:

@@ -484,6 +484,32 @@ def test_filter_goes_by_the_similarity_of_shingles(spark):
     assert kept == set(first.values()) and len(kept) < len(texts)
 
 
+def test_a_search_that_reaches_all_at_once_ends():
+    fps = np.array([0, *(1 << k for k in range(64)), *(3 << k for k in range(63)), *(5 << k for k in range(62))], dtype=np.uint64)
+    via = simhash.long_links(fps[:, None], 4)
+    assert via[0] == 0 and all(via[1:] == 0)
+
+
+def boilerplate_family(rng, n, shared=160, own=28):
+    """Texts in pairs over one boilerplate: partners at a similarity of about 0.87, all others at about 0.74."""
+    words = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    common, texts = words(shared), []
+    for _ in range(n):
+        mine = words(own)
+        texts += [" ".join(common + mine), " ".join(common + mine[: own // 2] + words(own // 2))]
+    return texts
+
+
+@pytest.mark.parametrize("most", [simhash.GROUP_BYTES, 30_000])
+def test_dissimilar_links_hide_no_similar_ones(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash.verified, "__defaults__", (most,))
+    texts = boilerplate_family(random.Random(21), 120)
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    comp = brute_components(sets, lambda a, b: simhash.jaccard(a, b) >= 0.8)
+    kept = {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert len(set(comp)) == 120 and kept == {comp.index(c) for c in comp}
+
+
 def test_links_within_a_run_are_within_the_radius():
     rng = random.Random(13)
     fps = np.array(list({flipped(rng, b, 7) for b in (rng.getrandbits(64), rng.getrandbits(64)) for _ in range(150)}), dtype=np.uint64)
