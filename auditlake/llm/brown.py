@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql.types import StructType
 
 from .common import materialise
 
-CLUSTERED, CLASSES, HEAD, ALPHA, EXCHANGES = 1024, 32, 200_000, 0.5, 8
+CLUSTERED, CLASSES, HEAD, ALPHA = 1024, 32, 200_000, 0.5
 #: No word holds a line feed, so this names the end.
 END = b"\n"
 LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
@@ -111,10 +112,11 @@ def pair_counts(training: DataFrame, ids: dict[bytes, int]) -> DataFrame:
     return pairs.select(F.floor(F.col("pair") / width).cast("int").alias("a"), (F.col("pair") % width).cast("int").alias("b"), "n")
 
 
-def exchange(pairs: np.ndarray, fixed: dict[int, int], classes: int, rounds: int = EXCHANGES) -> np.ndarray:
+def exchange(pairs: np.ndarray, fixed: dict[int, int], classes: int, rounds: int | None = None) -> np.ndarray:
     """Classes of words from their pair counts (a square matrix). fixed: words that stay in a class, numbered from `classes` on.
 
-    Moving a word changes its class bigrams' rows and columns only, so each move's gain in sum n log n is exact.
+    Moving a word changes its class bigrams' rows and columns only, so each move's gain in sum n log n is exact up to rounding. Moves
+    must gain more than rounding can, so the likelihood rises with each and the search ends; without `rounds` it goes on until no word moves.
     """
     n, total = len(pairs), classes + len(set(fixed.values()))
     of = np.array([fixed.get(w, w % classes) for w in range(n)])
@@ -126,7 +128,8 @@ def exchange(pairs: np.ndarray, fixed: dict[int, int], classes: int, rounds: int
     columns = table.sum(axis=0)
     out, into = pairs.sum(axis=1), pairs.sum(axis=0)
     choice = np.arange(classes)
-    for _ in range(rounds):
+    least = max(1e-9, 64 * np.finfo(float).eps * float(xlog(pairs.sum())))
+    for _ in count() if rounds is None else range(rounds):
         moved = 0
         for w in range(n):
             if w in fixed:
@@ -146,7 +149,7 @@ def exchange(pairs: np.ndarray, fixed: dict[int, int], classes: int, rounds: int
             gain += xlog(d + r[:classes] + l[:classes] + own) - xlog(d + r[:classes]) - xlog(d + l[:classes]) + xlog(d)
             gain -= xlog(rows[:classes] + out[w]) - xlog(rows[:classes]) + xlog(columns[:classes] + into[w]) - xlog(columns[:classes])
             best = int(gain.argmax())
-            if gain[best] <= gain[c] + 1e-9:
+            if gain[best] <= gain[c] + least:
                 best = c
             table[best] += r
             table[:, best] += l

@@ -564,6 +564,13 @@ def test_exchange_raises_the_likelihood():
     assert values == sorted(values) and values[-1] > values[0]
 
 
+def test_exchange_goes_on_until_no_word_moves():
+    rng = np.random.default_rng(1)
+    p = rng.poisson(np.outer(rng.gamma(0.3, 3, 600), rng.gamma(0.3, 3, 600))).astype(float)
+    of = brown.exchange(p, {598: 12, 599: 13}, 12)
+    assert (of == brown.exchange(p, {598: 12, 599: 13}, 12, 1000)).all() and (of != brown.exchange(p, {598: 12, 599: 13}, 12, 8)).any()
+
+
 def test_scores_of_nothing(empty):
     assert brown.score_documents(empty).count() == 0
 
