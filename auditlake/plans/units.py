@@ -117,13 +117,13 @@ def budgeted_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def packed_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "intervals_v").filter("o % 5 = 0").selectExpr("s AS run", "o AS plan", "CAST(file % 4 AS STRING) AS file", "lo", "hi")
+    rows = view(spark, sf_dir, "intervals_v").selectExpr("s AS run", "o AS plan", "CAST(file % 4 AS STRING) AS file", "lo", "hi")
     return units.plan_units(rows, "run", 300)
 
 
 @query()
 def chosen_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "intervals_v").selectExpr("o AS unit", "n % 3 AS hop", "s % 2 AS ambiguous", "CAST(file AS STRING) AS file", "lo", "hi").filter("unit % 4 = 0")
+    rows = view(spark, sf_dir, "intervals_v").selectExpr("o AS unit", "n % 3 AS hop", "s % 2 AS ambiguous", "CAST(file AS STRING) AS file", "lo", "hi")
     return units.evidence_units(rows, "unit", 20)
 
 

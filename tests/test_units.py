@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.operators import context, facts, findings, scoring, sinks, units
+from tests.conftest import DATA
 
 
 def value(spark, column):
@@ -138,3 +139,23 @@ def test_finding_identity(spark):
     s = "file string, line int, category string, description string, change_anchor struct<file:string,line:int,side:string>"
     d = spark.createDataFrame([("f", 1, "c", "d", None), ("f", 1, "c", "d", ("f", 1, "new")), ("f", 1, "c", "d", ("f", 1, "old"))], s)
     assert d.select(findings.finding_key().alias("k")).distinct().count() == 2
+
+
+def test_unfiltered_queries_work_on_all_rows(spark):
+    from itertools import permutations
+
+    from auditlake.plans import judgments
+    from auditlake.plans import units as plans
+    from auditlake.sources.adapters import view
+
+    rows = view(spark, DATA, "intervals_v")
+    assert {r.plan for r in plans.packed_plans(spark, DATA).collect()} == {r.o for r in rows.select("o").distinct().collect()}
+    assert {r.unit for r in plans.chosen_evidence(spark, DATA).collect()} == {r.o for r in rows.select("o").distinct().collect()}
+    best: dict[int, dict] = {}
+    for r in spark.read.parquet(f"{DATA}/lineitem.parquet").selectExpr("l_suppkey AS s", "l_orderkey % 6 AS i", "l_partkey % 5 AS j", "(l_orderkey + l_partkey) % 5 AS w").collect():
+        best.setdefault(r.s, {})[r.i, r.j] = max(r.w, best.get(r.s, {}).get((r.i, r.j), 0))
+    want = {s: max(sum(w.get((i, j), 0) for j, i in enumerate(p)) for p in permutations(range(6), 5)) for s, w in best.items()}
+    got = dict.fromkeys(want, 0)
+    for r in judgments.optimal_assignment(spark, DATA).collect():
+        got[r.benchmark] += r.weight
+    assert got == want
