@@ -72,5 +72,5 @@ def bound_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def assembled_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("path"), (F.col("doc_id") % 5 == 0).alias("changed"), F.substring("text", 1, 400).alias("text"))
+    parts = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("path"), (F.col("doc_id") % 5 == 0).alias("changed"), "text")
     return grounding.assemble(parts, "source", 6000).select("source", "text", F.size("omitted").alias("n_omitted"))

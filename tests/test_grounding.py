@@ -31,3 +31,11 @@ def test_wire_entries(spark):
     f = spark.createDataFrame([(1, "k", "SQL injection!", "HIGH", 2, "f", 3)], "position int, key string, title string, severity string, consensus int, file string, line int")
     r = grounding.wire_entries(f, proofs=spark.createDataFrame([("k", "p.md")], "key string, proof string")).first()
     assert (r.name, r.owner, r.proof) == ("001-sql-injection", None, "p.md")
+
+
+def test_contexts_are_filled_from_whole_texts(spark):
+    from auditlake.plans import grounding as plans
+    from tests.conftest import DATA
+
+    long = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("length(text) BETWEEN 800 AND 3000").select("text").collect()]
+    assert any(t.strip() in r.text for r in plans.assembled_context(spark, DATA).collect() for t in long)
