@@ -1,19 +1,23 @@
 """Byte-level BPE, encoded in fragments between certain cuts.
 
-A cut is certain where the byte pair around it occurs inside no vocabulary token: no merge can ever span it. To
-leave the pre-tokenizer's pattern undisturbed as well, a cut is taken only between an ASCII byte that isn't white
-space and one that is. No pattern alternative reaches over such a place and none looks behind it, so each
-fragment's ids are the same alone as within the text. Texts are cut at the first certain place after every
-FRAGMENT bytes, the fragments encoded independently and their ids concatenated.
+A cut is certain where the byte pair around it occurs inside no vocabulary token: no merge can ever span it. The
+pre-tokenizer's pattern must be left undisturbed as well, so a cut is taken only where both bytes' classes tell that the
+pattern either ends a match there or would go on alike from there: before white space that follows something else, and
+between ASCII letters, digits and punctuation (but not behind an apostrophe, which may begin a contraction). Every text is
+cut at all such places, whatever its length or alphabet. A batch's fragments are told apart by a dictionary, each distinct
+one is encoded by itself, and the ids are concatenated by index.
 
 Defined cases: null counts as the empty text (no ids); a text without any cut is one fragment; the string of a
-special token in a text gives that token's id, as the tokenizers library does by default.
+special token in a text gives that token's id, as the tokenizers library does by default; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Bytes of a fragment before the next certain cut is taken.
-FRAGMENT = 4096
+#: Fragments that are told apart at a time, and remembered ones; only fragments of up to REMEMBERED bytes are remembered.
+GROUP, MEMORY, REMEMBERED = 1 << 19, 1 << 19, 64
+#: Bytes in which cuts are searched at a time.
+STRIDE = 1 << 22
+#: Bytes of a fragment from which on the library without a bound on its pattern's stack encodes it; ids are the same.
+LONG = 1 << 16
+# The public split pattern of this byte-level vocabulary and its contractions.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CONTRACTIONS = (b"'s", b"'d", b"'m", b"'t", b"'ll", b"'ve", b"'re")
 
 
 def default_tokenizer() -> str:
@@ -39,33 +50,31 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-#: Texts of characters below this, without special tokens' strings or longer unbroken runs, are split alike by both libraries.
-LATIN_END, LONG_RUN = "ɐ", 10_000
+def cut_table(tokens: list[bytes]) -> np.ndarray:
+    """table[256 * a + b]: between byte a and byte b lies a certain boundary."""
+    inside = np.zeros((256, 256), dtype=bool)
+    for raw in (*tokens, *CONTRACTIONS):
+        b = np.frombuffer(raw, dtype=np.uint8)
+        inside[b[:-1], b[1:]] = True
+    byte = np.arange(256)
+    space = np.isin(byte, [0x20, *range(0x09, 0x0E)])
+    # Last bytes of white space of any alphabet: none of these ends a word for certain.
+    blank = np.isin(byte, [chr(c).encode()[-1] for c in range(0x110000) if chr(c).isspace()])
+    kind = np.array([1 if chr(c).isalnum() else 2 if 0x20 < c < 0x7F else 0 for c in range(128)] + [0] * 128)
+    alike = (kind[:, None] > 0) & (kind[None, :] > 0) & (byte != ord("'"))[:, None] & ((kind == 1)[:, None] | (byte != ord("'"))[None, :])
+    return (~inside & ((~blank[:, None] & space[None, :]) | alike)).ravel()
 
 
-def is_latin(text: str) -> bool:
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")  # a fast look at most texts
-        return True
-    except UnicodeEncodeError:
-        return max(text) < LATIN_END
-
-
-def latin_encoder(tokens: dict[int, bytes], special: tuple[str, ...]):
-    """The tiktoken library's encoder with the ranks of the same vocabulary; for Latin texts its ids are the same."""
-    import tiktoken
-
-    hidden = {s.encode() for s in special}
-    ranks = {raw: i for i, raw in tokens.items() if raw not in hidden}
-    # Fixed value: the public split pattern of this byte-level vocabulary.
-    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("same", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+class Encoded(NamedTuple):
+    ids: np.ndarray  # of all rows, one after the other
+    start: np.ndarray  # of each row's ids, and the end
+    fragments: np.ndarray  # of each row
 
 
 class FragmentCodec:
-    def __init__(self, path: str, fragment: int = FRAGMENT):
+    def __init__(self, path: str, group: int = GROUP):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -76,57 +85,82 @@ class FragmentCodec:
         alphabet = byte_alphabet()
         tokens = {i: bytes(alphabet[c] for c in token) for token, i in spec["model"]["vocab"].items()}
         tokens |= {a["id"]: a["content"].encode() for a in spec["added_tokens"]}
-        #: Bytes and decimal form by id.
-        self.pieces = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-        self.decimal = [str(i) for i in range(len(self.pieces))]
-        inside = np.zeros((256, 256), dtype=bool)
-        for raw in tokens.values():
-            b = np.frombuffer(raw, dtype=np.uint8)
-            inside[b[:-1], b[1:]] = True
-        space = np.zeros(256, dtype=bool)
-        space[[0x20, *range(0x09, 0x0E)]] = True
-        word = ~space
-        word[0x80:] = False
-        #: cut[256 * a + b]: between byte a and byte b lies a certain boundary.
-        self.cut = (~inside & word[:, None] & space[None, :]).ravel()
-        self.fragment = fragment
+        self.size = max(tokens) + 1
+        #: Bytes, and decimal form with a comma, by id.
+        self.pieces = pa.array([tokens.get(i, b"") for i in range(self.size)], pa.binary())
+        self.decimal = pa.array([b"%d," % i for i in range(self.size)], pa.binary())
+        self.cut = cut_table(list(tokens.values()))
         self.special = tuple(a["content"] for a in spec["added_tokens"])
-        self.fast = latin_encoder(tokens, self.special)
-
-    def next_cut(self, raw: bytes, start: int) -> int:
-        """The first certain boundary after start, or the end."""
-        width = 256
-        while start < len(raw) - 1:
-            b = np.frombuffer(raw[start : start + width + 1], dtype=np.uint8).astype(np.uint16)
-            found = self.cut[b[:-1] << 8 | b[1:]]
-            if found.any():
-                return start + int(found.argmax()) + 1
-            start, width = start + width, width * 4
-        return len(raw)
-
-    def fragments(self, raw: bytes) -> list[bytes]:
-        out, start = [], 0
-        while start < len(raw):
-            end = self.next_cut(raw, start + self.fragment - 1)
-            out.append(raw[start:end])
-            start = end
+        ranks = {raw: i for i, raw in tokens.items() if raw.decode("utf-8", "replace") not in self.special}
+        self.short = tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.group = group
+        self.memory: dict[bytes, list[int]] = {}
+
+    def starts(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Where fragments begin in the bytes of rows (their offsets, the end included): at each row and each certain cut."""
+        base, stop = int(rows[0]), int(rows[-1])
+        mark = np.zeros(stop - base, dtype=bool)
+        for at in range(base, stop, STRIDE):
+            b = data[at : min(at + STRIDE + 1, stop)].astype(np.uint16)
+            mark[at - base + 1 : at - base + len(b)] = self.cut[b[:-1] << 8 | b[1:]]
+        mark[rows[:-1][rows[:-1] < rows[1:]] - base] = True
+        return np.flatnonzero(mark) + base
+
+    def encode_fragment(self, raw: bytes) -> list[int]:
+        text = raw.decode()
+        if len(raw) > LONG or any(s in text for s in self.special):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.short(text)
+
+    def distinct(self, fragments: list[bytes]) -> list[list[int]]:
+        """The ids of each fragment, every one encoded by itself unless it is remembered."""
+        memory = self.memory
+        if len(memory) > MEMORY:
+            memory.clear()
+        out = [memory.get(f) for f in fragments]
+        for k, ids in enumerate(out):
+            if ids is None:
+                raw = fragments[k]
+                out[k] = ids = self.encode_fragment(raw)
+                if len(raw) <= REMEMBERED:
+                    memory[raw] = ids
         return out
 
-    def encode_fragment(self, text: str) -> list[int]:
-        if not is_latin(text) or any(s in text for s in self.special) or max(map(len, text.split()), default=0) > LONG_RUN:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+    def encode_column(self, texts: pa.Array) -> Encoded:
+        """Ids of all rows of a column of strings."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        n = len(texts)
+        rows = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
+        if not n or rows[0] == rows[-1]:
+            return Encoded(np.empty(0, np.int32), np.zeros(n + 1, np.int64), np.zeros(n, np.int64))
+        data = texts.buffers()[2]
+        start = self.starts(np.frombuffer(data, dtype=np.uint8), rows)
+        ends = np.concatenate([start, rows[-1:]])
+        ids, lengths = [], []
+        for at in range(0, len(start), self.group):
+            own = ends[at : at + self.group + 1]
+            fragments = pa.Array.from_buffers(pa.large_binary(), len(own) - 1, [None, pa.py_buffer(np.ascontiguousarray(own)), data]).dictionary_encode()
+            found = self.distinct(fragments.dictionary.to_pylist())
+            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(size.sum()))
+            which = fragments.indices.to_numpy()
+            length = size[which]
+            shift = (np.cumsum(size) - size)[which] - (np.cumsum(length) - length)
+            ids.append(flat[np.repeat(shift, length) + np.arange(int(length.sum()))])
+            lengths.append(length)
+        so_far = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        first = np.searchsorted(start, rows)  # the first fragment of each row
+        return Encoded(np.concatenate(ids), so_far[first], np.diff(first))
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if len(text) <= self.fragment:
-            return self.encode_fragment(text)
-        return [i for f in self.fragments(text.encode()) for i in self.encode_fragment(f.decode())]
+        return self.encode_column(pa.array([text], pa.string())).ids.tolist()
+
+    def fragments(self, raw: bytes) -> list[bytes]:
+        edges = [*self.starts(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])).tolist(), len(raw)] if raw else [0]
+        return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
     def decode(self, ids) -> str:
-        pieces = self.pieces
-        return b"".join([pieces[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join(self.pieces.take(pa.array(ids, pa.int32())).to_pylist()).decode("utf-8", "replace")
 
 
 _codecs: dict[str, FragmentCodec] = {}
@@ -139,29 +173,33 @@ def codec(path: str) -> FragmentCodec:
     return _codecs[path]
 
 
+def spelled(forms: pa.Array, encoded: Encoded):
+    """For each row the forms of its ids, joined."""
+    for a, b in zip(encoded.start.tolist(), encoded.start[1:].tolist(), strict=False):
+        taken = forms.take(pa.array(encoded.ids[a:b]))
+        offsets = np.frombuffer(taken.buffers()[1], dtype=np.int32)
+        yield bytes(taken.buffers()[2][: int(offsets[len(taken)])]) if len(taken) else b""
+
+
 def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Ids of every text and the text decoded from them, as counts and SHA-256; with_ids adds both in full.
+    """Ids of every text and the text decoded from them, as counts and SHA-256, and into how many fragments it was cut; with_ids adds both in full.
 
     One row per input row, repeated rows included; a null id stays null.
     """
     path = tokenizer or default_tokenizer()
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    schema = f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_fragments bigint" + ", ids array<int>, decoded string" * with_ids
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         c = codec(path)
         for batch in batches:
-            out = {name: [] for name in arrow.names}
-            for t in batch.column(1):
-                ids = c.encode(t.as_py())
-                decoded = c.decode(ids)
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(",".join([c.decimal[i] for i in ids]).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                if with_ids:
-                    out["ids"].append(ids)
-                    out["decoded"].append(decoded)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], arrow.field(n).type) for n in arrow.names[1:])], schema=arrow)
+            e = c.encode_column(batch.column(1))
+            ids_sha256 = [hashlib.sha256(raw[:-1]).hexdigest() for raw in spelled(c.decimal, e)]
+            decoded = [raw.decode("utf-8", "replace") for raw in spelled(c.pieces, e)]
+            columns = [batch.column(0), pa.array(np.diff(e.start)), pa.array(ids_sha256, pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()), pa.array(e.fragments)]
+            if with_ids:
+                columns += [pa.array([e.ids[a:b].tolist() for a, b in zip(e.start, e.start[1:], strict=False)], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

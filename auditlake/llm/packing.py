@@ -44,11 +44,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
         c = bpe.codec(tokenizer)
         for batch in batches:
             out = {k: [] for k in arrow.names}
-            for i, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = c.encode(text.as_py())
-                ids.append(end_id)
-                raw = np.asarray(ids, dtype="<u4")
-                for k, (start, length) in enumerate(cut(len(ids), capacity)):
+            e = c.encode_column(batch.column(2))
+            for r, (i, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                raw = np.append(e.ids[e.start[r] : e.start[r + 1]], end_id).astype("<u4")
+                for k, (start, length) in enumerate(cut(len(raw), capacity)):
                     out["doc_id"].append(i)
                     out["row_key"].append(key)
                     out["piece"].append(k)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -11,6 +12,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -161,16 +163,20 @@ def tokenizer():
     return Tokenizer.from_file(bpe.default_tokenizer())
 
 
-ALPHABET = list("ab '!1\n\t\xa0é中　\x85\x1c") + ["<|endoftext|>", "ll", "'s", "  ", " the"]
+ALPHABET = list("abqxzQXV '!1?#\n\t\xa0é中　\x85\x1c٣") + ["<|endoftext|>", "ll", "'s", "'re", "'ve", "don't", "!'s", "  ", " the"]
+
+
+@functools.cache
+def both_encoders():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_tokenizer()), bpe.FragmentCodec(bpe.default_tokenizer(), 3)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(ALPHABET), max_size=30))
 def test_fragments_encode_as_the_whole(parts):
-    from tokenizers import Tokenizer
-
-    whole = test_fragments_encode_as_the_whole.__dict__.setdefault("t", Tokenizer.from_file(bpe.default_tokenizer()))
-    codec = test_fragments_encode_as_the_whole.__dict__.setdefault("c", bpe.FragmentCodec(bpe.default_tokenizer(), 4))
+    whole, codec = both_encoders()
     text = "".join(parts)
     ids = codec.encode(text)
     assert ids == whole.encode(text, add_special_tokens=False).ids
@@ -178,6 +184,22 @@ def test_fragments_encode_as_the_whole(parts):
     assert b"".join(codec.fragments(text.encode())) == text.encode()
 
 
+def test_every_text_is_cut_at_all_certain_places(tokenizer):
+    codec = bpe.FragmentCodec(bpe.default_tokenizer())
+    assert codec.fragments(b"a short text, 12 words") == [b"a", b" short", b" text", b",", b" 12", b" words"]
+    raw = b"".join(bytes([b]) for b in range(1, 128)) * 3 + "ęśćżźć 中文 ".encode() * 3
+    inside = {t.encode()[k : k + 2] for t in ("the", "<|endoftext|>") for k in range(len(t) - 1)}
+    assert not any(codec.cut[256 * p[0] + p[1]] for p in inside)
+    texts = pa.array([raw.decode(), None, "", "x" * (bpe.LONG + 5), " " * 70_000 + "b", "ab" * 9])[1:]
+    e = codec.encode_column(texts)
+    for k, t in enumerate(texts.to_pylist()):
+        assert e.ids[e.start[k] : e.start[k + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_bpe_of_nothing(empty):
+    assert bpe.encode_decode(empty).count() == 0
+
+
 def test_bpe(docs, tokenizer):
     got = bpe.encode_decode(docs, with_ids=True).collect()
     texts = collections.Counter((r.doc_id, r.text or "") for r in docs.collect())
