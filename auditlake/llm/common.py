@@ -17,12 +17,14 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests) is one made."""
+    """The folder that driver and executors share. Only in local mode (tests), where the session names none, is one made."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="auditlake-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -62,10 +64,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, where = _hadoop(spark, path)
+    fs.mkdirs(where)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    fs, where = _hadoop(spark, path)
+    fs.delete(where, True)
 
 
 def small_enough(df: DataFrame, bytes_per_row: int) -> bool:

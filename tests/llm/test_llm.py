@@ -211,12 +211,11 @@ def test_bpe(docs, tokenizer):
         assert r.decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block,compression", [(7, "none"), (7, "gzip"), (1 << 19, "gzip")])
-def test_token_counts(spark, docs, tokenizer, tmp_path, block, compression):
-    token_counts.write_token_files(docs, str(tmp_path / "t"), compression=compression)
-    got = token_counts.count_tokens(spark, str(tmp_path / "t"), block=block).collect()
-    want = sorted(len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect())
-    assert sorted(r.n_tokens for r in got) == want and all(r.finished for r in got)
+@pytest.mark.parametrize("block", [7, 1 << 19])
+def test_token_counts(docs, tokenizer, block):
+    got = token_counts.document_token_counts(docs, block=block).collect()
+    want = collections.Counter((r.doc_id, len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in got) == want and all(r.finished for r in got)
     for _, rows in itertools.groupby(sorted(got, key=lambda r: (r.shard, r.ordinal)), key=lambda r: r.shard):
         rows = list(rows)
         assert [r.ordinal for r in rows] == list(range(len(rows)))
@@ -224,9 +223,19 @@ def test_token_counts(spark, docs, tokenizer, tmp_path, block, compression):
 
 
 def test_unfinished_document(spark, tmp_path):
-    (tmp_path / "part-0").write_bytes(np.array([1, 2, token_counts.END_ID, 3], dtype=">u2").tobytes())
-    got = sorted(map(tuple, token_counts.count_tokens(spark, str(tmp_path), block=2).collect()))
-    assert got == [("part-0", 0, 0, 2, True), ("part-0", 1, 3, 1, False)]
+    kind = token_counts.token_type(50_257)
+    end = token_counts.end_of(kind)
+    for name, ids in (("a", [1, 2, end, 3]), ("b", [end, end]), ("c", [5] * 9), ("d", [])):
+        (tmp_path / f"{name}.tokens").write_bytes(np.array(ids, dtype=kind).tobytes())
+    (tmp_path / "other").write_bytes(b"no tokens")
+    got = sorted(map(tuple, token_counts.count_tokens(spark, str(tmp_path), kind, block=2).collect()))
+    assert got == [("a.tokens", 0, 0, 2, True), ("a.tokens", 1, 3, 1, False), ("b.tokens", 0, 0, 0, True), ("b.tokens", 1, 1, 0, True), ("c.tokens", 0, 0, 9, False)]
+
+
+def test_token_types():
+    assert token_counts.token_type(65_535).itemsize == 2 and token_counts.token_type(65_536).itemsize == 4
+    with pytest.raises(ValueError, match="four bytes"):
+        token_counts.token_type(1 << 32)
 
 
 def test_token_counts_of_nothing(empty):
