@@ -1,10 +1,11 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-Fingerprints within a radius of 4 differ in at most 4 of 6 blocks of bits, so two whole blocks agree: each fingerprint is
-dealt out by all 15 pairs of blocks, and only fingerprints with equal pairs meet. Those of a task are stored as 64 bit
+Fingerprints within a radius of 4 differ in at most 4 of n blocks of bits, so n - 4 whole blocks agree: each fingerprint is
+dealt out by all choices of n - 4 blocks, and only fingerprints with equal choices meet. The more fingerprints there are, the more
+blocks are made, so that keys get wider and buckets don't grow with the corpus. Those of a task are stored as 64 bit
 planes; distances of 64 pairs at a time are summed by carry-save counters, and blocks in which all exceed the radius are abandoned.
-For wider fingerprints and
-larger radii, as filtering by similarity needs, buckets are two bytes of the fingerprint each and linking is the same.
+For wider fingerprints and larger radii, as filtering by similarity needs, keys are samples of the fingerprint's bits; their
+width grows with the logarithm of the number of fingerprints, and their number such that near ones still meet as likely. Linking is the same.
 Within a bucket only a spanning tree of the links is kept, never all pairs; where a similarity decides on links afterwards, all
 texts of a tree's component are compared anew. Buckets over LARGE are dealt out anew by pairs of parts.
 
@@ -31,7 +32,8 @@ from .common import materialise, small_enough
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Chance that two wide fingerprints as far apart as the radius share no bucket.
+MISS = 0.09
 #: Fingerprints of one bucket that one task compares.
 LARGE = 1 << 16
 #: Shingle hashes of one loose component, in bytes, that one task holds.
@@ -281,7 +283,18 @@ class Linker:
                 yield self.out(*self.links(key[rest], node[rest], fp[rest]))
 
 
-def buckets(nodes: DataFrame, blocks: tuple[int, ...] = BLOCKS, radius: int = RADIUS) -> DataFrame:
+def key_bits(nodes: int) -> int:
+    """Bits of a key for so many fingerprints: with random bits, about one fingerprint a bucket."""
+    return max(16, math.ceil(math.log2(max(2, nodes))))
+
+
+def blocks_for(nodes: int, radius: int = RADIUS) -> tuple[int, ...]:
+    """Sizes of the fewest blocks of which every choice that radius differing bits can leave unchanged is as wide as key_bits asks."""
+    n = next(n for n in range(radius + 2, 65) if (n - radius) * (64 // n) >= min(key_bits(nodes), 64 - 2 * radius))
+    return tuple(64 // n + (k < 64 % n) for k in range(n))
+
+
+def buckets(nodes: DataFrame, blocks: tuple[int, ...], radius: int = RADIUS) -> DataFrame:
     """bucket, node: each fingerprint of one word once for every choice of blocks of which radius differing bits must leave one unchanged."""
     edge = np.concatenate([[0], np.cumsum(blocks)])
     masks = []
@@ -292,21 +305,48 @@ def buckets(nodes: DataFrame, blocks: tuple[int, ...] = BLOCKS, radius: int = RA
     return nodes.select(F.explode(keys).alias("bucket"), "node")
 
 
-def wide_buckets(nodes: DataFrame, words: int) -> DataFrame:
-    """bucket, node, sig: each fingerprint of several words once for every two bytes of it."""
-    keys = F.array(*(F.xxhash64(F.lit(k), F.substring("sig", 2 * k + 1, 2)) for k in range(4 * words)))
-    return nodes.select(F.explode(keys).alias("bucket"), "node", "sig")
+def samples(nodes: int, words: int, radius: int, miss: float = MISS) -> np.ndarray:
+    """The bits of each key (rows): as many keys as it takes for two fingerprints radius bits apart to meet with probability 1 - miss.
+
+    Keys take turns through random orders of all bits, so no bit is sampled much more often than another.
+    """
+    bits, width = 64 * words, key_bits(nodes)
+    n = math.ceil(math.log(miss) / math.log1p(-((1 - radius / bits) ** width)))
+    rng = np.random.default_rng(SEED)
+    each = bits // width
+    return np.concatenate([rng.permutation(bits)[: each * width].reshape(each, width) for _ in range(-(-n // each))])[:n]
+
+
+def wide_buckets(nodes: DataFrame, words: int, chosen: np.ndarray) -> DataFrame:
+    """bucket, node, sig: each fingerprint of several words once for every key."""
+    schema = "bucket bigint, node bigint, sig binary"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    weight = np.uint64(1) << np.arange(chosen.shape[1], dtype=np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+            bits = np.unpackbits(raw, axis=1, bitorder="little")
+            for k, own in enumerate(chosen):
+                key = bits[:, own].astype(np.uint64) @ weight
+                key = (key + np.uint64(k << 40 & (1 << 63) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), batch.column(1)], schema=arrow)
+
+    return nodes.select("node", "sig").mapInArrow(run, schema)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, large: int = LARGE, words: int = 1) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, large: int = LARGE, words: int = 1, meeting: int | None = None) -> DataFrame:
     """a, b: links between nodes that connect all those within the radius of one another that share a bucket.
 
-    With one word every two within the radius do. With several words, two that agree in a share p of all bits share one
-    of the 4 * words buckets with probability 1 - (1 - p ** 16) ** (4 * words).
+    With one word every two within the radius do. With several words, two that differ in `meeting` bits (the radius unless given) share
+    a bucket with probability 1 - MISS, closer ones more likely.
     """
     schema = "a bigint, b bigint, large bigint"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    dealt = buckets(nodes, radius=radius) if words == 1 else wide_buckets(nodes, words)
+    n = nodes.count()
+    dealt = buckets(nodes, blocks_for(n, radius), radius) if words == 1 else wide_buckets(nodes, words, samples(n, words, meeting or radius))
     columns = dealt.columns[1:]
     linked = lambda rows, most: rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: Linker(radius, most, words, arrow).run(batches), schema)
     # Buckets are named by a hash; should two share a name, more fingerprints are compared, which does no harm.
@@ -332,7 +372,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialise(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), *([F.any_value("sig").alias("sig")] if words > 1 else []))
     nodes = materialise(nodes, "nodes")
-    found = links(nodes.drop("least"), radius, large, words)
+    found = links(nodes.drop("least"), radius, large, words, meeting=radius_of(similarity, 64 * words) if similarity is not None else None)
     if similarity is not None:
         found = verified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), nodes, found, shingle, words, radius, similarity)
     labels = components(found)

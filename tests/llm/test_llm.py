@@ -468,8 +468,24 @@ def flipped(rng, base, most):
     return base
 
 
-@pytest.mark.parametrize("large", [1 << 16, 3])
-def test_links_connect_all_within_the_radius(spark, large):
+def test_keys_widen_with_the_corpus():
+    assert simhash.blocks_for(1000) == (11, 11, 11, 11, 10, 10)
+    for nodes, radius in ((10, 4), (1 << 24, 4), (1 << 30, 4), (1 << 40, 4), (1000, 2)):
+        blocks = simhash.blocks_for(nodes, radius)
+        assert sum(blocks) == 64 and min(sum(c) for c in itertools.combinations(blocks, len(blocks) - radius)) >= simhash.key_bits(nodes)
+    for nodes in (100, 1 << 20):
+        chosen = simhash.samples(nodes, 8, 78)
+        assert chosen.shape[1] == simhash.key_bits(nodes) and all(len(set(c)) == len(c) for c in chosen.tolist())
+        rng = np.random.default_rng(5)
+        flips = np.array([np.isin(np.arange(512), rng.choice(512, 78, replace=False)) for _ in range(2000)])
+        met = ~np.array([flips[:, own].any(axis=1) for own in chosen]).all(axis=0)
+        assert met.mean() > 0.89
+
+
+@pytest.mark.parametrize("large,nodes", [(1 << 16, None), (3, None), (1 << 16, 1 << 26), (1 << 16, 1 << 31)])
+def test_links_connect_all_within_the_radius(spark, monkeypatch, large, nodes):
+    if nodes:
+        monkeypatch.setattr(simhash, "key_bits", lambda _, f=simhash.key_bits: f(nodes))
     rng = random.Random(8)
     bases = [rng.getrandbits(64) for _ in range(12)]
     fps = list({flipped(rng, rng.choice(bases), 7) for _ in range(400)})
