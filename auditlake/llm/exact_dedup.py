@@ -1,23 +1,28 @@
 """Exact dedup by a streaming query with disk-backed keyed state.
 
-The stream reads the documents file by file. Its state, kept by RocksDB and never expired, holds for each digest the
-smallest id, the content's locator (file and row) and the number of rows. Partial aggregation makes at most one
-state update of a task's rows with equal digests, so one content held by a third of all rows doesn't load one task. On hits
-the full bytes are compared with those at the retained locator; rows that differ under one digest are grouped anew by their bytes.
+Texts are normalised and hashed once, into a table of digest, id and locator (file and row). A stream takes that table's new files. Its
+state, kept by RocksDB and never expired, holds for each digest the smallest id, the content's locator and the number of rows.
+Partial aggregation makes at most one state update of a task's rows with equal digests, so one content held by a third of all rows
+doesn't load one task. On hits the full bytes are compared with those at the retained locator; rows that differ under one digest
+are grouped anew by their bytes. With a state folder all this stays between calls: another call reads only its own rows, and finds copies of all
+earlier ones.
 
 Defined cases: null texts count as empty; null ids come after all others; of repeated rows with one id the first by
-locator stays; an empty table gives an empty result; other columns aren't read.
+locator stays; an empty table gives an empty result; other columns aren't read. A later call's smaller id takes over its group: that
+call's result names the new row, results already given aren't recalled.
 """
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import WS_CLASS, drop_path, materialise, new_path, small_enough, text_of
+from .common import WS_CLASS, drop_path, located, materialise, new_path, small_enough, text_of
 
 #: RocksDB with logged changes. Space isn't allocated ahead, since many partitions hold little state each.
 STATE_STORE = {
@@ -25,6 +30,7 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+DIGEST_BYTES, FILES_PER_BATCH = 32, 4096
 
 
 def normalised(text_col: str) -> Column:
@@ -43,84 +49,112 @@ def settings(spark: SparkSession, **values: str):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def _rows(df: DataFrame, id_col: str, text_col: str, digest_bytes: int, whole: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    text = normalised(text_col)
-    full = F.sha2(text, 256)
-    return df.select(
-        F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"),
-        F.substring(F.unhex(full), 1, digest_bytes).alias("digest"), full.alias("text_sha256"), text.alias("text"),
-        (F.struct(*whole) if whole else F.lit(None)).alias("whole"),
-    )
-
-
-def build_state(spark: SparkSession, path: str, schema: StructType, id_col: str, text_col: str, digest_bytes: int, files_per_batch: int, checkpoint: str, updates: str) -> DataFrame:
-    """Run the stream over all files that its checkpoint hasn't seen; the newest state of each digest: digest, kept, n."""
-    # A pattern, since the stream's reader takes a plain path for a folder.
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
-    state = _rows(stream, id_col, text_col, digest_bytes).groupBy("digest").agg(F.min("at").alias("kept"), F.count("*").alias("n"))
-    shape = StructType([*state.schema.fields, StructField("batch", LongType())])
-
-    def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{updates}/number={number}")
-
-    with settings(spark, **STATE_STORE):
-        query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
-        query.awaitTermination()
-    if not query.lastProgress:
-        return spark.createDataFrame([], state.schema)
-    newest = spark.read.schema(shape).parquet(f"{updates}/number=*")
-    return newest.groupBy("digest").agg(F.max_by(F.struct("kept", "n"), "batch").alias("s")).select("digest", "s.kept", "s.n")
-
-
-def exact_dedup(spark: SparkSession, source: str | DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32, files_per_batch: int = 4096) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row. source: a path, or rows that are written first.
-
-    digest_bytes shortens the state's keys; results don't depend on it.
+def _place() -> Column:
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """at (id and locator, in the order in which rows are kept) and the SHA-256 of every text."""
+    at = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return docs.select(at.alias("at"), F.unhex(F.sha2(normalised(text_col), 256)).alias("sha256"))
+
+
+class Deduplicator:
+    """The state in a folder: digests of all rows taken in, the stream's checkpoint, and what each of its batches changed."""
+
+    def __init__(self, spark: SparkSession, folder: str, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = DIGEST_BYTES, files_per_batch: int = FILES_PER_BATCH):
+        self.spark, self.folder, self.id_col, self.text_col, self.digest_bytes, self.files_per_batch = spark, folder, id_col, text_col, digest_bytes, files_per_batch
+
+    def take(self, docs: DataFrame) -> DataFrame:
+        """Take in new rows; at, sha256 of them. docs must come from files that stay where they are."""
+        path = f"{self.folder}/digests/{uuid.uuid4().hex}"
+        rows = digests(docs, self.id_col, self.text_col)
+        rows.write.option("compression", "zstd").parquet(path)
+        self.spark.createDataFrame([(f,) for f in docs.inputFiles()], "file string").coalesce(1).write.mode("append").parquet(f"{self.folder}/sources")
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def advance(self, schema: StructType) -> DataFrame:
+        """Run the stream over all that was taken in since; the newest state of each digest: digest, kept, n."""
+        stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(f"{self.folder}/digests/*")
+        state = stream.groupBy(self.key().alias("digest")).agg(F.min("at").alias("kept"), F.count("*").alias("n"))
+        shape = StructType([*state.schema.fields, StructField("batch", LongType())])
+
+        def save(batch: DataFrame, number: int) -> None:
+            batch.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{self.folder}/updates/number={number}")
+
+        with settings(self.spark, **STATE_STORE):
+            query = state.writeStream.outputMode("update").option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
+            query.awaitTermination()
+        try:
+            newest = self.spark.read.schema(shape).parquet(f"{self.folder}/updates/number=*")
+        except AnalysisException:  # nothing was ever taken in
+            return self.spark.createDataFrame([], state.schema)
+        return newest.groupBy("digest").agg(F.max_by(F.struct("kept", "n"), "batch").alias("s")).select("digest", "s.kept", "s.n")
+
+    def key(self) -> Column:
+        return F.substring("sha256", 1, self.digest_bytes)
+
+    def texts(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+        """The columns of wanted (with a locator in at) and the normalised text there."""
+        columns = wanted.columns
+        held = docs.select(_place().alias("place"), F.col(self.text_col).alias("held"))
+        side = wanted.withColumn("place", F.struct("at.file", "at.row"))
+        side = F.broadcast(side) if small_enough(side, 400) else side.hint("merge")
+        return held.join(side, "place").select(*columns, normalised("held").alias("text"))
+
+    def decide(self, docs: DataFrame) -> DataFrame:
+        """Take in docs: at, sha256, kept (id and locator of the row that stays) and n of every row of them."""
+        rows = self.take(docs)
+        state = materialise(self.advance(rows.schema), "dedup-kept")
+        keyed = rows.withColumn("digest", self.key())
+        out = materialise(keyed.join(state.hint("merge"), "digest"), "dedup-rows")
+        columns = ["at", "sha256", "kept", "n"]
+
+        # Full bytes are compared on hits only: new rows that don't stay, with the text at the retained locator.
+        hits = out.filter("n > 1 AND at <> kept").select("at", "digest")
+        kept = out.filter("n > 1").select(F.col("kept").alias("at"), "digest").distinct()
+        everything = self.spark.read.schema(docs.select(self.text_col).schema).parquet(*[r["file"] for r in self.spark.read.parquet(f"{self.folder}/sources").distinct().collect()]) if docs.inputFiles() else docs
+        held = self.texts(everything, kept).select("digest", F.col("text").alias("held"))
+        wrong = materialise(self.texts(docs, hits).join(held.hint("merge"), "digest").filter("text <> held").select("digest"), "dedup-wrong").distinct()
+        if wrong.isEmpty():
+            return out.select(columns)
+        mixed = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/digests/*").withColumn("digest", self.key()).join(wrong, "digest", "left_semi")
+        mixed = materialise(self.texts(everything, mixed), "dedup-mixed")
+        anew = mixed.groupBy("digest", "text").agg(F.min("at").alias("kept"), F.count("*").alias("n"))
+        right = out.join(wrong, "digest", "left_anti").select(columns)
+        again = mixed.join(anew, ["digest", "text"]).join(out.select(F.col("at").alias("own")).distinct(), F.col("at") == F.col("own"), "left_semi")
+        return right.unionByName(again.select(columns))
+
+
+def _rows_of(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    return spark.read.parquet(source) if isinstance(source, str) else located(source)
+
+
+def exact_dedup(spark: SparkSession, source: str | DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = DIGEST_BYTES, files_per_batch: int = FILES_PER_BATCH, state: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of the source (a path, or rows).
+
+    state: a shared folder that keeps the state between calls; without it one is made and dropped. digest_bytes shortens the state's keys;
+    results don't depend on it.
     """
-    path, schema = _source(spark, source)
-    out = _decide(spark, path, schema, id_col, text_col, digest_bytes, files_per_batch)
+    out = _decide(spark, _rows_of(spark, source), id_col, text_col, digest_bytes, files_per_batch, state)
     return out.select(
-        F.col("at.id").alias("doc_id"), F.col("kept.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("at") == F.col("kept")).alias("kept"), "text_sha256",
+        F.col("at.id").alias("doc_id"), F.col("kept.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("at") == F.col("kept")).alias("kept"), F.lower(F.hex("sha256")).alias("text_sha256"),
     )
 
 
-def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 4096) -> DataFrame:
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = FILES_PER_BATCH, state: str | None = None) -> DataFrame:
     """The rows that stay, with all their columns."""
-    path, schema = _source(docs.sparkSession, docs)
-    return _decide(docs.sparkSession, path, schema, id_col, text_col, 32, files_per_batch, whole=True).filter(F.col("at") == F.col("kept")).select("whole.*")
-
-
-def _source(spark: SparkSession, source: str | DataFrame) -> tuple[str, StructType]:
-    if isinstance(source, str):
-        return source, spark.read.parquet(source).schema
-    path = new_path(spark, "dedup-source")
-    source.write.option("compression", "zstd").parquet(path)
-    return path, source.schema
-
-
-def _decide(spark: SparkSession, source: str, schema: StructType, id_col: str, text_col: str, digest_bytes: int, files_per_batch: int, whole: bool = False) -> DataFrame:
-    """at (id and locator), kept (those of the row that stays), n and text_sha256 of every row, and on demand the whole row."""
-    checkpoint, updates = new_path(spark, "dedup-state"), new_path(spark, "dedup-updates")
-    read = StructType([f for f in schema if f.name in (id_col, text_col)])
-    state = materialise(build_state(spark, source, read, id_col, text_col, digest_bytes, files_per_batch, checkpoint, updates), "dedup-kept")
-    drop_path(spark, checkpoint)
-    drop_path(spark, updates)
-    rows = _rows(spark.read.schema(schema if whole else read).parquet(source), id_col, text_col, digest_bytes, schema.names if whole else [])
-
-    # Full bytes are compared on hits only: rows of groups of two and more.
-    groups = state.filter("n > 1").select("digest", "kept")
-    if small_enough(groups, 200):
-        groups = F.broadcast(groups)
-    members = rows.join(groups, "digest")
-    held = members.filter(F.col("at") == F.col("kept")).select("digest", F.col("text").alias("held"))
-    hits = members.filter(F.col("at") != F.col("kept")).select("digest", "text")
-    wrong = materialise(hits.join(held.hint("merge"), "digest").filter("text <> held").select("digest").distinct(), "dedup-wrong")
-
-    columns = ["at", "text_sha256", "kept", "n", "whole"]
-    out = rows.select("at", "digest", "text_sha256", "whole").join(state.hint("merge"), "digest")
-    if wrong.isEmpty():
-        return out.select(columns)
-    right = out.join(wrong, "digest", "left_anti").select(columns)
-    mixed = rows.join(wrong, "digest", "left_semi")
-    anew = mixed.groupBy("digest", "text").agg(F.min("at").alias("kept"), F.count("*").alias("n"))
-    return right.unionByName(mixed.join(anew, ["digest", "text"]).select(columns))
+    docs = located(docs)
+    gone = _decide(docs.sparkSession, docs, id_col, text_col, DIGEST_BYTES, files_per_batch, state).filter("at <> kept").select("at.file", "at.row")
+    gone = materialise(gone.select(F.struct("file", "row").alias("place")), "gone")
+    placed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), _place().alias("place"))
+    return placed.join(F.broadcast(gone) if small_enough(gone, 400) else gone.hint("merge"), "place", "left_anti").select("whole.*")
+
+
+def _decide(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, digest_bytes: int, files_per_batch: int, state: str | None) -> DataFrame:
+    folder = state or new_path(spark, "dedup-state")
+    out = Deduplicator(spark, folder, id_col, text_col, digest_bytes, files_per_batch).decide(docs)
+    if state is None:
+        out = materialise(out, "dedup")
+        drop_path(spark, folder)
+    return out

@@ -80,13 +80,27 @@ def test_exact_dedup_of_nothing(spark, empty):
     assert exact_dedup.exact_dedup(spark, empty).count() == 0
 
 
-def test_dedup_state_is_incremental(spark, tmp_path):
-    s = "doc_id bigint, text string"
-    source, state, updates = (str(tmp_path / x) for x in ("in", "state", "updates"))
-    for batch in ([(5, "a"), (6, "b")], [(1, "a"), (9, "c")]):
-        spark.createDataFrame(batch, s).coalesce(1).write.mode("append").parquet(source)
-        got = exact_dedup.build_state(spark, source, spark.createDataFrame([], s).schema, "doc_id", "text", 32, 10, state, updates)
-    assert sorted((r.kept["id"], r.n) for r in got.collect()) == [(1, 2), (6, 1), (9, 1)]
+@pytest.mark.parametrize("digest_bytes", [32, 1])
+def test_dedup_state_is_incremental(spark, tmp_path, digest_bytes):
+    state, seen = str(tmp_path / "state"), []
+    for k, rows in enumerate(([(5, "a"), (6, "b"), (7, "only here")], [(1, "a"), (9, " c"), (10, "\tc")], [], [(2, "b"), (3, None), (4, ""), (8, "a")])):
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        got = exact_dedup.exact_dedup(spark, str(tmp_path / f"in{k}"), digest_bytes=digest_bytes, state=state).collect()
+        seen += [(i, WS.sub(" ", t or "")) for i, t in rows]
+        groups = collections.defaultdict(list)
+        for i, t in seen:
+            groups[t].append(i)
+        want = {i: (min(groups[WS.sub(" ", t or "")]), len(groups[WS.sub(" ", t or "")])) for i, t in rows}
+        assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == want and all(r.kept == (r.keep_id == r.doc_id) for r in got)
+
+
+def test_clashing_columns(spark):
+    names = ["at", "kept", "n", "digest", "sha256", "place", "row", "file", "whole"]
+    docs = spark.createDataFrame([(1, "x y", *names), (2, "x  y", *names), (3, None, *names)], ", ".join(["doc_id bigint", "text string", *(f"{c} string" for c in names)]))
+    kept = exact_dedup.distinct_rows(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert simhash.one_of_each_group(docs).columns == docs.columns and suffix_dedup.remove_repeats(docs).count() == 3
+    assert token_counts.document_token_counts(docs).count() == brown.score_documents(docs).count() == 3
 
 
 # Suffix arrays
