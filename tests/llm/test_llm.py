@@ -587,7 +587,7 @@ def test_base_scores(docs):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     c = collections.Counter(w for r in rows if not held(r.doc_id) for w in tokens(r.text))
     n, v = sum(c.values()), len(c)
-    for params in ({}, {"head_most": 5, "clustered": 4, "classes": 2}):
+    for params in ({}, {"head_most": 5, "seeds": 4, "classes": 2}):
         got = brown.score_documents(docs, **params).collect()
         assert len(got) == len(rows)
         want = collections.Counter((r.doc_id, held(r.doc_id), len(tokens(r.text)), sum(c[w] > 0 for w in tokens(r.text)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(r.text)), 4)) for r in rows)
@@ -603,12 +603,42 @@ def test_classes_beat_words_on_held_out_text(spark):
     assert h.s > h.b * 0.85
 
 
-def test_probabilities_sum_to_one():
-    head = [(b"a", 5), (brown.END, 4), (b"b", 3), (b"c", 2)]
-    m = brown.Model(head, 15, 5, {"a": [0, 1], "b": [1, 0], "n": [4, 4]}, 2, 2, 0.5)
-    assert np.allclose((10**m.jump).sum(axis=1), 1)
-    rest = sum((c + 1) / 10**m.rest for c in (3, 2, 1)) + 1 / 10**m.rest  # the other words, and the unseen one
-    assert rest == pytest.approx(1)
+def test_probabilities_sum_to_one(docs):
+    model, vocabulary, n = brown.train(docs.filter(~brown.held_out("doc_id")).select("text"), seeds=6, classes=3, head_most=12)
+    rows = vocabulary.collect()
+    assert sum(r.c for r in rows) + model.ends == n
+    for k in range(3):
+        own = np.array([r.c for r in rows if r["class"] == k])
+        assert not len(own) or (10 ** model.emission(own, np.full(len(own), k))).sum() == pytest.approx(1)
+    pairs = np.random.default_rng(3).integers(0, 9, (256, 256))
+    pairs[:, 5:128] = pairs[:, 133:] = pairs[5:128] = pairs[133:] = 0
+    p = 10 ** model.transitions(pairs.ravel())
+    assert np.allclose(p[:5].sum(axis=1), 1)
+
+
+def test_tokenized_rows():
+    texts = ["A b\x0ba", None, "", " \t", "x" * 50, "é É\x85 b", "a"]
+    for most in (1, 8, 1 << 20):
+        got = []
+        for row, t in brown.tokenized(pa.array(["gone", *texts])[1:], most):
+            assert row == len(got)
+            words = [*t.words.to_pylist(), brown.END]
+            got += [[words[k] for k in t.code[a:b]] for a, b in zip(t.start, t.start[1:], strict=False)]
+        assert got == [[*low(x or "").encode().split(), brown.END] for x in texts]
+
+
+def test_every_word_has_the_class_of_its_neighbours(spark):
+    """Words too rare for the head still fall into the classes of the frequent words that stand in their places."""
+    rng = random.Random(4)
+    kinds = [[f"{k}{i}" for i in range(10)] for k in "xyz"]
+    rare = [[f"rare{k}{i}" for i in range(300)] for k in "xyz"]
+    words = lambda j: rng.choice(rare[j]) if rng.random() < 0.1 else rng.choice(kinds[j])
+    d = spark.createDataFrame([(" ".join(words(j % 3) for j in range(60)),) for _ in range(150)], "text string")
+    _, vocabulary, _ = brown.train(d, seeds=30, classes=3, head_most=30)
+    of = {bytes(r.word).decode(): r["class"] for r in vocabulary.collect()}
+    for frequent, seldom in zip(kinds, rare, strict=True):
+        most, = {of[w] for w in frequent}
+        assert sum(of[w] == most for w in seldom if w in of) > 0.9 * sum(w in of for w in seldom) > 100
 
 
 def test_exchange_raises_the_likelihood():
