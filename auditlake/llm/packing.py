@@ -2,7 +2,8 @@
 
 Each partition packs its pieces by best-fit decreasing and compares its bin count with lower bounds from
 dual-feasible functions. A partition that meets its bound is certified and rests. The others release the pieces of
-their bins that aren't full; released pieces meet in fewer partitions and are packed again, as long as that saves bins.
+their bins that aren't full; released pieces meet in fewer partitions and are packed again, until a round saves no bin. The
+result's own certificate compares its sequences with the bound of all lengths together.
 
 Defined cases: a null or empty text is one piece with the end id alone; repeated rows are packed once a row; ties in
 length are broken by id and piece; an empty table gives an empty result.
@@ -11,6 +12,7 @@ length are broken by id and piece; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,6 @@ from .common import materialise
 CAPACITY = 2048
 #: Pieces that one task packs; a partition never holds many more.
 PIECES_PER_TASK = 60_000
-ROUNDS = 4
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -102,7 +103,7 @@ def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-def _packer(base: int, last: bool, capacity: int):
+def _packer(base: int, capacity: int):
     """Packs one partition; its first row carries the bin count, the bound and how many bins it releases."""
 
     def run(key, pdf):
@@ -114,16 +115,14 @@ def _packer(base: int, last: bool, capacity: int):
         loose = fill < capacity
         if used == bound:  # certified: all stays but the emptiest bin, which may still share one with another partition's
             loose &= np.arange(used) == np.argmin(fill)
-        if last:
-            loose[:] = False
         counts = np.zeros((3, len(pdf)), dtype=np.int64)
         counts[:, 0] = used, bound, loose.sum()
-        return pdf.assign(sequence_id=base + (int(key[0]) << 32) + bins, offset=offsets, released=loose[bins], n_bins=counts[0], n_bound=counts[1], n_released=counts[2])
+        return pdf.assign(sequence_id=base + (int(key[0]) << 24) + bins, offset=offsets, released=loose[bins], n_bins=counts[0], n_bound=counts[1], n_released=counts[2])
 
     return run
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES_PER_TASK, rounds: int = ROUNDS) -> tuple[DataFrame, list[dict]]:
+def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES_PER_TASK) -> tuple[DataFrame, list[dict]]:
     """sequence_id and offset for each row of items (a written table with doc_id, row_key, piece, length), and what each round certified.
 
     Pieces as long as a sequence fill one each. The others are dealt out by hash, packed and certified in rounds.
@@ -135,14 +134,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES_PER_
     extra = ["sequence_id bigint", "offset bigint", "released boolean", "n_bins bigint", "n_bound bigint", "n_released bigint"]
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in items.schema), *extra])
     todo, left, before, held, log = items.filter(F.col("length") < capacity), n - whole, None, None, []
-    for turn in range(rounds):
+    for turn in count():
         if not left:
             break
         parts = -(-left // per_task)
-        last = turn == rounds - 1
-
         dealt = todo.withColumn("dealt", F.pmod(F.xxhash64(F.lit(turn), "row_key", "piece"), F.lit(parts)))
-        packed = materialise(dealt.groupBy("dealt").applyInPandas(_packer(turn << 58, last, capacity), schema), "packed")
+        packed = materialise(dealt.groupBy("dealt").applyInPandas(_packer(turn << 52, capacity), schema), "packed")
         used, bound, free, left = packed.agg(F.sum("n_bins"), F.sum("n_bound"), F.sum("n_released"), F.count_if("released")).first()
         log.append({"round": turn, "partitions": parts, "bins": used, "bound": bound})
         if before is not None and used >= before:
@@ -161,6 +158,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES_PER_
     return out, log
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """How many sequences the packed rows fill, and the fewest that any packing of their lengths can do with. At most capacity counts are collected."""
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for r in packed.groupBy("length").agg(F.count("*").alias("n")).collect():
+        counts[r["length"]] = r["n"]
+    return packed.select("sequence_id").distinct().count(), lower_bound(counts, capacity)
+
+
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY, per_task: int = PIECES_PER_TASK) -> DataFrame:
     """Pack every document's ids, each followed by end_id; documents over the capacity are cut into pieces."""
     table = materialise(pieces(docs, tokenizer or bpe.default_tokenizer(), end_id, capacity), "pieces")

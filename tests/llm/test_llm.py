@@ -290,6 +290,16 @@ def test_packing_of_nothing(empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_rounds_go_on_until_none_saves(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, i, 0, n) for i, n in enumerate(rng.choices(range(1, 100), k=3000))]
+    spark.createDataFrame(rows, "doc_id bigint, row_key bigint, piece int, length bigint").write.parquet(str(tmp_path / "t"))
+    packed, log = packing.pack(spark.read.parquet(str(tmp_path / "t")), 100, per_task=40)
+    used, bound = packing.certificate(packed, 100)
+    assert packed.count() == 3000 and bound <= used <= log[0]["bins"] and log[-1]["partitions"] <= log[0]["partitions"]
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 100
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     for _ in range(200):
