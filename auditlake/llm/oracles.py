@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from .quality import SCORES, Risk
+from .quality import SCORES, Risk, steps
 from .secrets import RULES
 
 _RISK = Risk()
-_SHARE = _RISK.alpha / len(SCORES)
-_GRID = ", ".join(f"('{rule}', {k}, {cutoff:.4f})" for rule, (_, grid) in SCORES.items() for k, cutoff in enumerate(grid))
-_SCORED = " UNION ALL ".join(f"SELECT doc_id, lang, base_failed, '{rule}' AS rule, {score} AS score FROM f" for rule, (score, _) in SCORES.items())
+_PATH = ", ".join(f"({k}, '{rule}', {cutoff})" for k, (rule, cutoff) in enumerate(steps()))
+_SCORED = " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, {score} AS score FROM f" for rule, (score, _) in SCORES.items())
 
 OP1 = r"""WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
   SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256 FROM d WINDOW w AS (PARTITION BY text_sha256)"""
@@ -46,12 +45,11 @@ OP6 = rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM document
   l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
   m AS (SELECT doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     coalesce(n_lines, 0) AS n_lines, coalesce(n_dup, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM w LEFT JOIN l USING (doc_id) LEFT JOIN cov USING (doc_id)),
-  f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m), x AS ({_SCORED}),
-  grid AS (SELECT * FROM (VALUES {_GRID}) v(rule, k, cutoff)), good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-  c AS (SELECT lang, rule, k, cutoff, count(*) AS n, count(*) FILTER (score > cutoff) AS bad FROM x JOIN good USING (doc_id) JOIN grid USING (rule) WHERE NOT base_failed GROUP BY ALL),
-  p AS (SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE}) + (n - i) * ln(1 - {_SHARE}))) FROM (SELECT unnest(range(0, bad + 1)) AS i)) AS tail FROM c),
-  ok AS (SELECT *, min(CASE WHEN tail <= {_RISK.delta} / {len(SCORES)} / (SELECT count(DISTINCT coalesce(lang, '')) FROM c) THEN 1 ELSE 0 END) OVER (PARTITION BY lang, rule ORDER BY k) AS passed FROM p), cut AS (SELECT lang, rule, min(cutoff) AS cutoff FROM ok WHERE passed = 1 GROUP BY lang, rule),
-  gone AS (SELECT DISTINCT doc_id FROM x JOIN cut ON cut.rule = x.rule AND cut.lang IS NOT DISTINCT FROM x.lang WHERE score > cutoff)
-  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM gone) AS kept FROM f"""
+  f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m), x AS ({_SCORED}), path AS (SELECT * FROM (VALUES {_PATH}) v(k, rule, cutoff)),
+  r AS (SELECT doc_id, min(k) AS first FROM x JOIN path USING (rule) WHERE score > cutoff GROUP BY doc_id), good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+  g AS (SELECT lang, first FROM f JOIN good USING (doc_id) LEFT JOIN r USING (doc_id) WHERE NOT base_failed), c AS (SELECT lang, k, count(*) AS n, count(*) FILTER (first <= k) AS bad FROM g, (SELECT k FROM path) GROUP BY lang, k),
+  p AS (SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RISK.alpha}) + (n - i) * ln(1 - {_RISK.alpha}))) FROM (SELECT unnest(range(0, bad + 1)) AS i)) AS tail FROM c),
+  ok AS (SELECT *, min(CASE WHEN tail <= {_RISK.delta} / (SELECT count(DISTINCT coalesce(lang, '')) FROM c) THEN 1 ELSE 0 END) OVER (PARTITION BY lang ORDER BY k) AS passed FROM p), cut AS (SELECT lang, max(k) AS step FROM ok WHERE passed = 1 GROUP BY lang)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (step IS NULL OR first IS NULL OR first > step) AS kept FROM f LEFT JOIN r USING (doc_id) LEFT JOIN cut ON cut.lang IS NOT DISTINCT FROM f.lang"""
 
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op2_suffix_dedup": OP2, "op4_secrets": OP4, "op5_warc": OP5, "op6_quality_rules": OP6}

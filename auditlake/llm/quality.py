@@ -1,11 +1,13 @@
 """Quality rules whose cutoffs are risk-controlled, in DataFrame functions throughout.
 
-Each document gets a few scores (higher is worse). Labelled documents are a holdout: for each stratum, rule and cutoff of
-a fixed grid, the documents of good quality that the cutoff would reject are counted, and the exact binomial tail tests
-"the rule falsely rejects more than its share of alpha". Cutoffs are tested from the mildest on and only as long as
-each passes (fixed sequence, no further correction); rules and strata share delta equally (Bonferroni). The strictest
-cutoff that passed is used. With probability 1 - delta, no stratum loses more than alpha of its good documents to the rules.
-A stratum with too few labels certifies nothing, and its documents are kept unless a base rule rejects them.
+Each document gets a few scores (higher is worse). The cutoffs of all of them are tightened in turn along one path fixed beforehand,
+so each step rejects what the one before it does and a little more. Labelled documents are a holdout: for each stratum and step the
+documents of good quality that the step would reject are counted, and the exact binomial tail tests "this step rejects more than
+alpha of the good documents". Steps are tested from the mildest on and only as long as each passes (fixed sequence, no further correction
+within a stratum); strata share delta equally (Bonferroni). The strictest step that passed is used. With probability
+1 - delta, no stratum loses more than alpha of its good documents to the scores.
+A stratum with too few labels (under log(strata / delta) / alpha, about 90 of four strata's) certifies nothing, and its documents are kept
+unless a base rule rejects them.
 
 Defined cases: null texts have no words (and fail by the least word count); null strata are a stratum of their own;
 labels may be missing, repeated (any bad one makes the document bad) or null (ignored); an empty table gives an empty result.
@@ -28,9 +30,9 @@ MAX_REPEAT_PERCENT = 30
 
 @dataclass(frozen=True)
 class Risk:
-    """alpha: falsely rejected share of a stratum's good documents, over all rules together. delta: chance to exceed it anywhere."""
+    """alpha: falsely rejected share of a stratum's good documents, over all scores together. delta: chance to exceed it anywhere."""
 
-    alpha: float = 0.01
+    alpha: float = 0.05
     delta: float = 0.05
     label: str = "quality"
     stratum: str = "lang"
@@ -38,13 +40,19 @@ class Risk:
 
 #: The method's scores, as expressions over the measured columns, and their grids from mild to strict.
 SCORES = {
-    "symbol_share": ("n_symbols / greatest(word_chars, 1)", [0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05]),
-    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2]),
-    "repeat_share": ("n_repeat_words / greatest(n_words, 1)", [0.3, 0.27, 0.24, 0.21, 0.18, 0.15, 0.12, 0.1]),
-    "word_length_off": ("abs(word_chars / greatest(n_words, 1) - 6)", [30, 24, 20, 16, 12, 10, 8, 6, 5, 4.5, 4]),
+    "symbol_share": ("n_symbols / greatest(word_chars, 1)", [0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1]),
+    "word_length_off": ("abs(word_chars / greatest(n_words, 1) - 6)", [30, 24, 20, 16, 12, 10, 8, 6, 5, 4]),
+    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35]),
+    "repeat_share": ("n_repeat_words / greatest(n_words, 1)", [0.3, 0.27, 0.24, 0.21, 0.2]),
 }
 
 
+def steps() -> list[tuple[str, float]]:
+    """Which score is tightened to which cutoff, step by step: all scores in turn."""
+    longest = max(len(grid) for _, grid in SCORES.values())
+    return [(rule, float(grid[k])) for k in range(longest) for rule, (_, grid) in SCORES.items() if k < len(grid)]
+
+
 def bind(value: Column, use) -> Column:
     """use(value), with the value computed once however often use names it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -94,46 +102,46 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
         term = s["term"] + F.log((n - i + 1) / i) + odds
         return F.struct(term.alias("term"), (s["sum"] + F.exp(term)).alias("sum"))
 
-    return F.least(F.when(k <= 0, start["sum"]).otherwise(F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(k, F.lit(1))), start, step, lambda s: s["sum"])), F.lit(1.0))
+    total = F.when(k <= 0, start["sum"]).otherwise(F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(k, F.lit(1))), start, step, lambda s: s["sum"]))
+    # Beyond the mean the tail is over one half, which no level of a test reaches.
+    return F.when(k > n * F.lit(p), F.lit(1.0)).otherwise(F.least(total, F.lit(1.0)))
+
+
+def first_rejection() -> Column:
+    """The first step that rejects a document, or the number of steps."""
+    path = steps()
+    places = []
+    for rule in SCORES:
+        own = [(k, cutoff) for k, (r, cutoff) in enumerate(path) if r == rule]
+        place = F.lit(len(path))
+        for k, cutoff in reversed(own):
+            place = F.when(F.col(rule) > cutoff, k).otherwise(place)
+        places.append(place)
+    return F.least(*places)
 
 
 def certify(scored: DataFrame, labels: DataFrame, risk: Risk, id_col: str = "doc_id") -> DataFrame:
-    """stratum, rule, cutoff: the strictest certified cutoff of each. scored: id, stratum, base_failed and the scores."""
+    """stratum, step: the strictest certified step of each. scored: id, stratum, base_failed and first (see first_rejection)."""
     good = labels.filter(F.col(risk.label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(risk.label).alias("good")).filter("good = 1").select("id")
     held = scored.filter(~F.col("base_failed")).join(good, "id", "left_semi")
-    # A document is rejected by every cutoff from the first on that its score exceeds: counts by that place suffice.
-    each = F.array(*(F.struct(F.lit(rule).alias("rule"), _first(rule, grid).alias("first")) for rule, (_, grid) in SCORES.items()))
-    counts = held.select("stratum", F.inline(each)).groupBy("stratum", "rule", "first").agg(F.count("*").alias("n"))
-    cuts = F.create_map(*(x for rule, (_, grid) in SCORES.items() for x in (F.lit(rule), F.array(*(F.lit(float(c)) for c in grid)))))
-    by_rule = materialise(counts.groupBy("stratum", "rule").agg(F.sum("n").alias("total"), F.collect_list(F.struct("first", "n")).alias("hits")), "strata")
-    level = risk.delta / (len(SCORES) * max(1, by_rule.select("stratum").distinct().count()))
-    tested = by_rule.select("stratum", "rule", "total", "hits", F.posexplode(F.element_at(cuts, F.col("rule"))).alias("k", "cutoff"))
-    rejected = F.aggregate(F.filter("hits", lambda h: h["first"] <= F.col("k")), F.lit(0).cast("bigint"), lambda a, h: a + h["n"])
-    tested = tested.withColumn("p", binomial_tail(rejected, F.col("total"), risk.alpha / len(SCORES)))
-    so_far = Window.partitionBy("stratum", "rule").orderBy("k")
+    counts = held.groupBy("stratum", "first").agg(F.count("*").alias("n"))
+    by_stratum = materialise(counts.groupBy("stratum").agg(F.sum("n").alias("total"), F.collect_list(F.struct("first", "n")).alias("hits")), "strata")
+    level = risk.delta / max(1, by_stratum.count())
+    tested = by_stratum.select("stratum", "total", "hits", F.explode(F.sequence(F.lit(0), F.lit(len(steps()) - 1))).alias("step"))
+    rejected = F.aggregate(F.filter("hits", lambda h: h["first"] <= F.col("step")), F.lit(0).cast("bigint"), lambda a, h: a + h["n"])
+    tested = tested.withColumn("p", binomial_tail(rejected, F.col("total"), risk.alpha))
+    so_far = Window.partitionBy("stratum").orderBy("step")
     passed = tested.withColumn("passed", F.min((F.col("p") <= level).cast("int")).over(so_far)).filter("passed = 1")
-    return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-
-
-def _first(rule: str, grid: list[float]) -> Column:
-    """How many of the grid's cutoffs, mildest first, the score does not exceed."""
-    place = F.lit(0)
-    for cutoff in grid:
-        place = place + (F.col(rule) <= cutoff).cast("int")
-    return place
+    return passed.groupBy("stratum").agg(F.max("step").alias("step"))
 
 
 def decide(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), keep: list[str] | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """row (a struct of the columns to keep), the base measures, base_failed, the scores and kept for every document."""
     keep = keep or docs.columns
     measured = measure(docs, keep, text_col).select("*", *(F.expr(e).cast("double").alias(rule) for rule, (e, _) in SCORES.items()))
-    measured = materialise(measured, "quality")
-    scored = measured.select(F.col(f"row.{id_col}").alias("id"), F.col(f"row.{risk.stratum}").alias("stratum"), "base_failed", *SCORES)
-    cutoffs = certify(scored, labels, risk, id_col)
-    wide = materialise(cutoffs.groupBy(F.col("stratum").alias("of")).pivot("rule", list(SCORES)).agg(F.min("cutoff")).select("of", F.struct(*SCORES).alias("cut")), "cutoffs")
-    side = F.broadcast(wide) if small_enough(wide, 256) else wide.hint("merge")
+    measured = materialise(measured.withColumn("first", first_rejection()), "quality")
+    scored = measured.select(F.col(f"row.{id_col}").alias("id"), F.col(f"row.{risk.stratum}").alias("stratum"), "base_failed", "first")
+    certified = materialise(certify(scored, labels, risk, id_col).withColumnRenamed("stratum", "of"), "cutoffs")
+    side = F.broadcast(certified) if small_enough(certified, 256) else certified.hint("merge")
     out = measured.join(side, F.col(f"row.{risk.stratum}").eqNullSafe(F.col("of")), "left")
-    passes = F.lit(True)
-    for rule in SCORES:
-        passes = passes & (F.col("cut")[rule].isNull() | (F.col(rule) <= F.col("cut")[rule]))
-    return out.withColumn("kept", ~F.col("base_failed") & passes)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("step").isNull() | (F.col("first") > F.col("step"))))

@@ -453,6 +453,27 @@ def test_cutoffs_hold_the_risk(spark):
     assert few.filter("NOT kept AND NOT base_failed").count() == 0  # too few labels certify nothing
 
 
+def test_certified_cutoffs_reject_beyond_the_base_rules(spark):
+    """On these tables one stratum has labels enough; the rows are those of the SQL."""
+    import duckdb
+
+    data = "/root/testdata/sf0.01"
+    rows = queries.QUERIES["op6_quality_rules"](spark, data).collect()
+    assert 0 < sum(not r.kept and not r.base_failed for r in rows) < 0.1 * len(rows)
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
+    assert collections.Counter(map(tuple, rows)) == collections.Counter(con.execute(queries.ORACLE_SQL["op6_quality_rules"]).fetchall())
+
+
+def test_steps_are_nested():
+    cut = {}
+    for rule, cutoff in quality.steps():
+        assert cutoff < cut.get(rule, math.inf)
+        cut[rule] = cutoff
+    assert cut == {rule: min(grid) for rule, (_, grid) in quality.SCORES.items()}
+
+
 def test_quality_of_nothing(empty, labels):
     assert quality.decide(empty, labels).count() == 0
 
