@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .quality import SCORES, Risk, steps
 from .secrets import RULES
+from .suffix_dedup import PASSAGE, WINDOW
 
 _RISK = Risk()
 _PATH = ", ".join(f"({k}, '{rule}', {cutoff})" for k, (rule, cutoff) in enumerate(steps()))
@@ -12,14 +13,22 @@ _SCORED = " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, {score} AS score
 OP1 = r"""WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
   SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256 FROM d WINDOW w AS (PARTITION BY text_sha256)"""
 
-OP2 = r"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), n AS (SELECT doc_id, octet_length(b) AS n FROM d),
-  w AS (SELECT doc_id, i, md5(b[i:i + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
-  hot AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
-  r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + 400 THEN 0 ELSE 1 END AS fresh FROM hot WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-  g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM r), s AS (SELECT doc_id, span, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, span),
+
+
+def _spans(name: str, size: int) -> str:
+    """CTEs whose last, named so, has the spans [a, z) that repeated strings of so many bytes cover."""
+    return f"""{name}_w AS (SELECT doc_id, i, md5(b[i:i + {size - 1}]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - {size - 2})) AS i FROM d)),
+  {name}_hot AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM {name}_w) WHERE c > 1),
+  {name}_r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + {size} THEN 0 ELSE 1 END AS fresh FROM {name}_hot WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  {name}_g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM {name}_r), {name} AS (SELECT doc_id, span, min(i) AS a, max(i) + {size} AS z FROM {name}_g GROUP BY doc_id, span)"""
+
+
+OP2 = f"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), n AS (SELECT doc_id, octet_length(b) AS n FROM d),
+  {_spans("s", WINDOW)}, {_spans("t", PASSAGE)},
   k AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS a, a AS z FROM s UNION ALL SELECT n.doc_id, coalesce(m.z, 1), n.n + 1 FROM n LEFT JOIN (SELECT doc_id, max(z) AS z FROM s GROUP BY doc_id) m USING (doc_id)),
   p AS (SELECT k.doc_id, string_agg(CASE WHEN k.z > k.a THEN hex(d.b[k.a:k.z - 1]) ELSE '' END, '' ORDER BY k.a) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
-  SELECT p.doc_id, CAST(n.n AS BIGINT) AS n_bytes, CAST(n.n - length(p.kept) // 2 AS BIGINT) AS n_removed, (SELECT count(*) FROM s WHERE s.doc_id = p.doc_id) AS n_spans, sha256(unhex(p.kept)) AS kept_sha256 FROM p JOIN n USING (doc_id)"""
+  SELECT p.doc_id, CAST(n.n AS BIGINT) AS n_bytes, CAST(n.n - length(p.kept) // 2 AS BIGINT) AS n_removed, (SELECT count(*) FROM s WHERE s.doc_id = p.doc_id) AS n_spans, sha256(unhex(p.kept)) AS kept_sha256,
+    CAST((SELECT coalesce(sum(z - a), 0) FROM t WHERE t.doc_id = p.doc_id) AS BIGINT) AS n_passage_bytes FROM p JOIN n USING (doc_id)"""
 
 _FOUND = " UNION ALL ".join(
     f"SELECT doc_id, '{r.kind}' AS kind, {k} AS place, {r.least} AS least, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS found, regexp_extract_all(t, '{p}', {r.group}) AS valued FROM d WHERE regexp_matches(t, '{p}')"

@@ -13,6 +13,8 @@ sorts by what precedes the next phrase and by the rank of the suffix there.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 TRIGGER, SPACING = 4, 32
@@ -136,8 +138,11 @@ def triggers(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_windows(excerpts: list[bytes], wanted: list[int], window: int) -> list[np.ndarray]:
-    """For each excerpt, whether each of its first `wanted` windows equals another such window of any excerpt."""
+def repeated_windows(excerpts: list[bytes], wanted: list[int], sizes: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each size, and each excerpt: whether each of its first `wanted` windows of that size equals another such window of any excerpt.
+
+    Sizes ascend. Windows of the first size lie within their excerpts; longer ones that don't are no windows.
+    """
     size = np.array([len(e) for e in excerpts], dtype=np.int64)
     stop = np.cumsum(size)
     start = stop - size
@@ -166,20 +171,44 @@ def repeated_windows(excerpts: list[bytes], wanted: list[int], window: int) -> l
     rank = rank[np.array(where, dtype=np.int64)]
 
     wanted_ = np.array(wanted, dtype=np.int64)
-    total = int(wanted_.sum())
     of = np.repeat(np.arange(len(excerpts)), wanted_)
-    i = np.arange(total) - np.repeat(np.cumsum(wanted_) - wanted_, wanted_) + start[of]
+    place = np.arange(len(of)) - np.repeat(np.cumsum(wanted_) - wanted_, wanted_) + start[of]
+    end = stop[of]
     sums = Text(text)
-    nxt = np.searchsorted(at, i)
-    p = np.concatenate([at, [len(text)]])[nxt]
-    inside = p + TRIGGER <= i + window
-    # What lies before the next phrase, its trigger included; a window without a trigger stands for itself.
-    head = sums.hashes(i, np.where(inside, p + TRIGGER, i + window))
-    tail = np.where(inside, np.concatenate([rank, [-1]])[np.where(inside, nxt, len(at))], -1)
-    order = np.lexsort((tail, head))
-    full = sums.hashes(i, i + window)
-    same = (head[order][1:] == head[order][:-1]) & (full[order][1:] == full[order][:-1])
-    hit = np.zeros(total, dtype=bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    return np.split(hit, np.cumsum(wanted_)[:-1])
+    nxt = np.searchsorted(at, place)
+    trigger = np.concatenate([at, [len(text)]])[nxt]
+    out, hit = [], np.ones(len(of), dtype=bool)
+    for window in sizes:
+        own = np.flatnonzero(hit & (place + window <= end))  # a longer window repeats only where a shorter one does
+        i, p = place[own], trigger[own]
+        inside = p + TRIGGER <= i + window
+        # What lies before the next phrase, its trigger included; a window without a trigger stands for itself.
+        head = sums.hashes(i, np.where(inside, p + TRIGGER, i + window))
+        tail = np.where(inside, np.concatenate([rank, [-1]])[np.where(inside, nxt[own], len(at))], -1)
+        order = np.lexsort((tail, head))
+        hit = np.zeros(len(of), dtype=bool)
+        hit[own[_equal_neighbours(whole, i, order, head, sums.hashes(i, i + window), window)]] = True
+        out.append(np.split(hit, np.cumsum(wanted_)[:-1]))
+    return out
+
+
+def _equal_neighbours(text: bytes, i: np.ndarray, order: np.ndarray, head: np.ndarray, full: np.ndarray, window: int) -> np.ndarray:
+    """Which windows (beginning at i) equal a neighbour in order. Hashes tell whom to compare, bytes decide."""
+    a, b = order[:-1], order[1:]
+    same = (head[a] == head[b]) & (full[a] == full[b])
+    a, b = a[same], b[same]
+    # Pairs at one distance whose windows follow one another are compared as one string.
+    x, y = np.minimum(i[a], i[b]), np.maximum(i[a], i[b])
+    by = np.lexsort((x, y - x))
+    x, y = x[by], y[by]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(x) > window) | (np.diff(y - x) != 0)])) if len(x) else np.empty(0, np.int64)
+    until = np.append(first[1:], len(x))[: len(first)] - 1
+    wrong = [k for k, (p, q, r, s) in enumerate(zip(x[first].tolist(), x[until].tolist(), y[first].tolist(), y[until].tolist(), strict=True)) if text[p : q + window] != text[r : s + window]]
+    hit = np.zeros(len(i), dtype=bool)
+    hit[a] = hit[b] = True
+    if wrong:  # hashes that lie: of all windows with one of them only the bytes tell
+        bad = np.isin(full, full[np.concatenate([a, b])][np.isin(i[np.concatenate([a, b])], np.concatenate([x[f : u + 1] for f, u in zip(first[wrong], until[wrong], strict=True)]))])
+        places = np.flatnonzero(bad)
+        counts = Counter(text[k : k + window] for k in i[places].tolist())
+        hit[places] = [counts[text[k : k + window]] > 1 for k in i[places].tolist()]
+    return np.flatnonzero(hit)

@@ -115,12 +115,20 @@ def test_suffix_array(s):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([b"abcabc", b"a" * 30, b"the common part of it ", b"x", b"yz"]), min_size=8, max_size=14), min_size=1, max_size=5))
 def test_repeated_windows(parts):
-    window = 24
-    texts = [t for t in map(b"".join, parts) if len(t) >= window]
+    sizes = (16, 24)
+    texts = [t for t in map(b"".join, parts) if len(t) >= sizes[0]]
     if texts:
-        counts = collections.Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
-        want = [[counts[t[i : i + window]] > 1 for i in range(len(t) - window + 1)] for t in texts]
-        assert [h.tolist() for h in suffixes.repeated_windows(texts, [len(t) - window + 1 for t in texts], window)] == want
+        wanted = [len(t) - sizes[0] + 1 for t in texts]
+        for window, hits in zip(sizes, suffixes.repeated_windows(texts, wanted, sizes), strict=True):
+            counts = collections.Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
+            assert [h.tolist() for h in hits] == [[i + window <= len(t) and counts[t[i : i + window]] > 1 for i in range(n)] for t, n in zip(texts, wanted, strict=True)]
+
+
+def test_bytes_decide_where_hashes_lie(monkeypatch):
+    monkeypatch.setattr(suffixes.Text, "hashes", lambda self, start, stop: np.zeros(len(start), np.uint64))
+    texts = [b"aaaabbbbccccdddd", b"xxxxbbbbccccyyyy", b"zzzzzzzz"]
+    hits = suffixes.repeated_windows(texts, [len(t) - 7 for t in texts], (8,))[0]
+    assert [np.flatnonzero(h).tolist() for h in hits] == [[4], [4], []]
 
 
 def removal(rows, window):
@@ -133,14 +141,32 @@ def removal(rows, window):
                 gone[k : k + window] = b"\1" * window
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         out.append((i, len(b), len(b) - len(kept), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
-    return collections.Counter(out)
+    return out
+
+
+def with_passages(rows):
+    return collections.Counter((*r, p[2]) for r, p in zip(removal(rows, 400), removal(rows, suffix_dedup.PASSAGE), strict=True))
 
 
 @pytest.mark.parametrize("large", [20_000, 1])
 def test_suffix_dedup(spark, docs, large):
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.filter("text IS NULL OR length(text) < 5000").collect()]
     got = suffix_dedup.remove_repeats(docs.filter("text IS NULL OR length(text) < 5000"), large=large)
-    assert collections.Counter(map(tuple, got.collect())) == removal(rows, 400)
+    assert collections.Counter(map(tuple, got.collect())) == with_passages(rows)
+
+
+@pytest.mark.parametrize("large", [20_000, 8, 1])
+def test_passages_in_many_texts(spark, tmp_path, large):
+    """Passages of 200 to 700 bytes in ever other surroundings: their grams are in as many distinct excerpts."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    passages = [some(200)[:n] for n in (200, 270, 330, 390, 400, 405, 700)]
+    rows = [(i, f"{some(rng.randint(0, 60))} {rng.choice(passages)} {some(rng.randint(0, 60))} {rng.choice([*passages, ''])}".encode()) for i in range(60)]
+    spark.createDataFrame([(i, b.decode()) for i, b in rows], "doc_id bigint, text string").write.parquet(str(tmp_path / "t"))
+    got = suffix_dedup.remove_repeats(spark.read.parquet(str(tmp_path / "t")), large=large)
+    assert collections.Counter(map(tuple, got.collect())) == with_passages(rows)
+    assert suffix_dedup.remove_repeats(spark.read.parquet(str(tmp_path / "t")), large=large, passage=None).filter("n_passage_bytes <> n_removed").isEmpty()
 
 
 def test_suffix_dedup_spans(spark, tmp_path):
