@@ -43,6 +43,8 @@ END = b"\n"
 CHUNK = 1 << 23
 #: Counts up to here have their gains in a table.
 TABLED = 64
+#: Words whose gains are held at a time.
+WORDS = 1024
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -265,6 +267,9 @@ class Exchange:
 
     def best(self, counts: np.ndarray, now: np.ndarray) -> np.ndarray:
         """The class of each word: counts of its events (rows of words), now its class before, or -1. A word's pairs with itself count as with its class."""
+        return np.concatenate([np.empty(0, np.int64), *(self._best(counts[k : k + WORDS], now[k : k + WORDS]) for k in range(0, len(counts), WORDS))])
+
+    def _best(self, counts: np.ndarray, now: np.ndarray) -> np.ndarray:
         side, total = self.classes + 1, np.zeros((len(counts), self.classes))
         word, key = np.nonzero(counts)
         n = counts[word, key]
