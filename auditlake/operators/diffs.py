@@ -7,16 +7,23 @@ from pyspark.sql import functions as F
 
 from .intervals import merge
 
-#: Definition patterns by language family, words that only look like calls, and the least name length.
+_NAME = r"[A-Za-z_$][\w$]*"
+#: How definitions are written, by language family: a keyword and the name; a method's receiver between them; a name bound to a function that is written
+#: with an arrow, with its parameters in parentheses or a single bare one; a name, parameters and an opening brace alone on a line.
 DEFINITIONS = (
-    r"(?m)^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)",
-    r"(?m)^\s*class\s+([A-Za-z_]\w*)",
-    r"\bfunction\s+([A-Za-z_]\w*)",
-    r"\bfunc\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)",
-    r"\b(?:const|let|var)\s+([A-Za-z_]\w*)\s*=\s*(?:async\s*)?\(",
+    rf"\bdef\s+({_NAME})\s*\(",
+    rf"(?m)^\s*class\s+({_NAME})",
+    rf"\b(?:function|modifier)\s+({_NAME})\s*\(",
+    rf"\bfunc\s+(?:\([^)]*\)\s*)?({_NAME})\s*\(",
+    rf"\b(?:const|let|var)\s+({_NAME})\s*=\s*(?:async\s*)?(?:\([^)]*\)|{_NAME})\s*=>",
+    rf"(?m)^[ \t]*(?:async\s+)?({_NAME})[ \t]*\([^;{{}}\n]*\)[ \t]*\{{",
 )
-CONTROL = ("if", "for", "while", "switch", "return", "catch", "function", "require", "assert")
+# Words that only look like calls or definitions, and the least length of a called name.
+CONTROL = ("catch", "else", "for", "if", "return", "switch", "while")
 LEAST_NAME = 5
+#: Lines that hold no call: comments, and declarations that look like calls.
+NO_CODE = r"^\s*(//|#|\*|returns\b|event\b)"
+CALL = rf"\b([A-Za-z_][\w$]{{{LEAST_NAME - 1},}})\s*\("
 
 
 def lines(diffs: DataFrame, id_col: str = "diff_id", text_col: str = "text") -> DataFrame:
@@ -97,13 +104,28 @@ def definitions(text: Column) -> Column:
 
 def calls(text: Column) -> Column:
     """Distinct names that a source text calls: of LEAST_NAME characters and more, outside comments, not its own definitions."""
-    code = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^\s*(//|#|\*|returns\b|event\b)")), "\n")
-    found = F.regexp_extract_all(code, F.lit(rf"\b([A-Za-z_]\w{{{LEAST_NAME - 1},}})\s*\("), F.lit(1))
+    code = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(NO_CODE)), "\n")
+    found = F.regexp_extract_all(code, F.lit(CALL), F.lit(1))
     return F.array_sort(F.array_distinct(F.array_except(F.array_except(found, F.array(*map(F.lit, CONTROL))), definitions(text))))
 
 
 def call_edges(symbols: DataFrame) -> DataFrame:
-    """caller, callee, name: files whose calls name what another file defines. symbols: path, defines, calls (arrays)."""
+    """caller, callee, name: files whose calls name what another file defines. symbols: path, defines, calls (arrays).
+
+    A name that many files define and call gives all their pairs; call_links gives one row a call.
+    """
     d = symbols.select(F.col("path").alias("callee"), F.explode("defines").alias("name"))
     c = symbols.select(F.col("path").alias("caller"), F.explode("calls").alias("name"))
     return c.join(d, "name").filter("caller <> callee").select("caller", "callee", "name").distinct()
+
+
+def call_links(symbols: DataFrame) -> DataFrame:
+    """caller, name, n_callees, callee: each call with how many other files define its name, and the first of those. Linear, however common a name is."""
+    d = symbols.select("path", F.explode("defines").alias("name")).distinct()
+    firsts = d.groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("first"))
+    seconds = d.join(firsts, "name").filter("path > first").groupBy("name").agg(F.min("path").alias("second"))
+    c = symbols.select(F.col("path").alias("caller"), F.explode("calls").alias("name")).distinct()
+    own = d.select(F.col("path").alias("caller"), "name", F.lit(1).alias("own"))
+    rows = c.join(firsts.join(seconds, "name", "left"), "name").join(own, ["caller", "name"], "left")
+    rows = rows.withColumn("n_callees", F.col("n") - F.coalesce("own", F.lit(0))).filter("n_callees > 0")
+    return rows.select("caller", "name", "n_callees", F.when(F.col("first") == F.col("caller"), F.col("second")).otherwise(F.col("first")).alias("callee"))

@@ -17,6 +17,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir; one of our own only where it is unset)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="auditlake-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -29,6 +31,15 @@ def written(df: DataFrame, name: str = "round") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of written rounds that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Edges reachable from the seeds (node) with their least hop, from 1. The frontier goes on over call edges only."""
     frontier = seeds.select("node").distinct()
@@ -93,9 +104,11 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         both = e.unionByName(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = written(both.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m")).select("node", F.least("node", "m").alias("m")), "stars")
         large = written(e.join(least, F.col("lo") == F.col("node")).select("hi", F.col("m").alias("lo")).distinct(), "stars")
-        least = written(large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m")), "stars")
-        small = large.join(least, F.col("hi") == F.col("node")).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo")
-        e = written(small.unionByName(least.select(F.col("node").alias("hi"), F.col("m").alias("lo"))).distinct(), "stars")
+        smallest = written(large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m")), "stars")
+        small = large.join(smallest, F.col("hi") == F.col("node")).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo")
+        after = written(small.unionByName(smallest.select(F.col("node").alias("hi"), F.col("m").alias("lo"))).distinct(), "stars")
+        dropped(e, least, large, smallest)
+        e = after
         now = e.agg(*figures).first()
         if now == before:
             break

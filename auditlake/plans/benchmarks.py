@@ -34,9 +34,9 @@ def case_denominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmarks.with_denominators(cases, results, "id")
 
 
-@query("""WITH x AS (SELECT source, lang, doc_id FROM documents WHERE doc_id % 6 = 0) SELECT lang, CAST(sum(f) AS BIGINT) AS found, CAST(sum(m) AS BIGINT) AS missed, string_agg(ids, ',' ORDER BY ids) AS found_ids FROM (SELECT lang, 1 AS f, doc_id % 4 AS m, concat(source, ':', doc_id) AS ids FROM x) GROUP BY lang""")
+@query("""WITH x AS (SELECT source, lang, doc_id FROM documents) SELECT lang, CAST(sum(f) AS BIGINT) AS found, CAST(sum(m) AS BIGINT) AS missed, string_agg(ids, ',' ORDER BY ids) AS found_ids FROM (SELECT lang, 1 AS f, doc_id % 4 AS m, concat(source, ':', doc_id) AS ids FROM x) GROUP BY lang""")
 def merged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "documents").filter("doc_id % 6 = 0").select("lang", F.col("source").alias("scope"), F.array(F.col("doc_id").cast("string")).alias("found_ids"), F.lit(1).alias("found"), (F.col("doc_id") % 4).alias("missed"), F.lit(0).alias("false_positives"), F.lit(0).alias("errors"))
+    parts = table(spark, sf_dir, "documents").select("lang", F.col("source").alias("scope"), F.array(F.col("doc_id").cast("string")).alias("found_ids"), F.lit(1).alias("found"), (F.col("doc_id") % 4).alias("missed"), F.lit(0).alias("false_positives"), F.lit(0).alias("errors"))
     return benchmarks.merged(parts, ["lang"]).select("lang", "found", "missed", F.array_join("found_ids", ",").alias("found_ids"))
 
 
@@ -88,10 +88,10 @@ def caller_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callgraph.callers(calls).select("callee", F.array_join(F.transform("callers", lambda x: x.cast("string")), ",").alias("callers"))
 
 
-@query("""SELECT DISTINCT l_suppkey AS source, c.t AS target FROM lineitem JOIN (SELECT p_partkey AS t, p_partkey % 211 AS key FROM part WHERE p_partkey <= 211) c ON c.key = l_partkey % 211 WHERE l_suppkey <> c.t AND l_returnflag = 'R'""")
+@query("""SELECT DISTINCT l_suppkey AS source, c.t AS target FROM lineitem JOIN (SELECT p_partkey AS t FROM part) c ON c.t = l_partkey WHERE l_suppkey <> c.t AND l_returnflag = 'R'""")
 def contract_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").selectExpr("l_suppkey AS source", "l_partkey % 211 AS key").distinct()
-    return callgraph.call_edges(calls, table(spark, sf_dir, "part").filter("p_partkey <= 211").selectExpr("p_partkey AS target", "p_partkey % 211 AS key"))
+    calls = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").selectExpr("l_suppkey AS source", "l_partkey AS key").distinct()
+    return callgraph.call_edges(calls, table(spark, sf_dir, "part").selectExpr("p_partkey AS target", "p_partkey AS key"))
 
 
 @query("""WITH f AS (SELECT DISTINCT source AS folder FROM documents WHERE doc_id % 2 = 0 UNION SELECT DISTINCT lang FROM documents WHERE doc_id % 2 = 0 UNION SELECT DISTINCT concat(lang, '/', source) FROM documents WHERE doc_id % 2 = 0)

@@ -9,18 +9,21 @@ from ..operators import graph
 from ..sources.adapters import EDGES_SQL, edges, table, view, view_sql
 from .catalogue import query
 
-SEEDS = "src % 50 = 7"
+#: Traversals begin at the parts of one type, which stand for the changed files.
+CHANGED = "p_type = 'PROMO'"
+SEEDS = f"src IN (SELECT p_partkey FROM part WHERE {CHANGED})"
 
 
-def _seeds(e: DataFrame) -> DataFrame:
-    return e.filter(SEEDS).select(F.col("src").alias("node")).distinct()
+def _seeds(spark: SparkSession, sf_dir: str, e: DataFrame) -> DataFrame:
+    changed = table(spark, sf_dir, "part").filter(CHANGED).select(F.col("p_partkey").alias("src"))
+    return e.join(changed, "src", "left_semi").select(F.col("src").alias("node")).distinct()
 
 
 @query(f"""WITH {EDGES_SQL}, one AS (SELECT src, dst, kind, 1 AS hop FROM edges_v WHERE {SEEDS}), f AS (SELECT DISTINCT dst AS node FROM one WHERE kind = 'call'),
   two AS (SELECT e.src, e.dst, e.kind, 2 AS hop FROM edges_v e JOIN f ON f.node = e.src), u AS (SELECT * FROM one UNION ALL SELECT * FROM two) SELECT src, dst, min(hop) AS hop FROM u GROUP BY src, dst""")
 def dependency_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = graph.written(edges(spark, sf_dir), "edges")
-    return graph.hops(e, _seeds(e), 2).select("src", "dst", "hop")
+    return graph.hops(e, _seeds(spark, sf_dir, e), 2).select("src", "dst", "hop")
 
 
 PATHS = f"""WITH {EDGES_SQL}, seeds AS (SELECT DISTINCT src AS node FROM edges_v WHERE {SEEDS}), c AS (SELECT src, dst FROM edges_v WHERE kind = 'call' AND dst NOT IN (SELECT node FROM seeds)),
@@ -30,13 +33,13 @@ PATHS = f"""WITH {EDGES_SQL}, seeds AS (SELECT DISTINCT src AS node FROM edges_v
 @query(f"{PATHS} SELECT concat(a, '>', b, '>', d) AS path FROM p2 UNION ALL SELECT concat(a, '>', b) FROM p1 WHERE NOT EXISTS (SELECT 1 FROM p2 WHERE p2.a = p1.a AND p2.b = p1.b)")
 def dependency_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = graph.written(edges(spark, sf_dir), "edges")
-    return graph.simple_paths(e, _seeds(e), 2).select(F.array_join("path", ">").alias("path"))
+    return graph.simple_paths(e, _seeds(spark, sf_dir, e), 2).select(F.array_join("path", ">").alias("path"))
 
 
 @query(f"{PATHS} SELECT DISTINCT src, dst FROM (SELECT a AS src, b AS dst FROM p1 UNION ALL SELECT b, d FROM p2)")
 def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = graph.written(edges(spark, sf_dir), "edges")
-    return graph.closure(graph.simple_paths(e, _seeds(e), 2))
+    return graph.closure(graph.simple_paths(e, _seeds(spark, sf_dir, e), 2))
 
 
 @query("""WITH RECURSIVE b AS (SELECT concat('c', c_custkey) AS node, concat('n', c_nationkey) AS target FROM customer UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation
@@ -50,13 +53,14 @@ def symbol_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fixpoint(b, customer.selectExpr("concat('c', c_custkey) AS node")).withColumnRenamed("start", "origin")
 
 
-_SPARSE = "SELECT src, dst FROM edges_v WHERE (src * 31 + dst) % 23 = 0"
+#: Rounds in which the SQL hands on the smallest node seen; the tables' graphs are less wide than that.
+_WIDTH = 12
+_SPREAD = ", ".join(f"r{k + 1} AS (SELECT r{k}.node, least(any_value(r{k}.root), coalesce(min(n.root), any_value(r{k}.root))) AS root FROM r{k} LEFT JOIN s ON s.a = r{k}.node LEFT JOIN r{k} n ON n.node = s.b GROUP BY r{k}.node)" for k in range(_WIDTH))
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, e AS ({_SPARSE}), s AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (SELECT a AS node, a AS root FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node)
-  SELECT node, min(root) AS root FROM r GROUP BY node""")
+@query(f"WITH {EDGES_SQL}, s AS (SELECT src AS a, dst AS b FROM edges_v UNION SELECT dst, src FROM edges_v), r0 AS (SELECT DISTINCT a AS node, a AS root FROM s), {_SPREAD} SELECT node, root FROM r{_WIDTH}")
 def connected_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(edges(spark, sf_dir).filter("(src * 31 + dst) % 23 = 0"))
+    return graph.components(edges(spark, sf_dir))
 
 
 @query(f"""WITH {EDGES_SQL}, i AS (SELECT src, dst FROM edges_v WHERE kind = 'import'), b AS (SELECT src AS a, dst AS b, 'forward' AS direction FROM i UNION ALL SELECT dst, src, 'reverse' FROM i),
@@ -64,7 +68,7 @@ def connected_units(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT seed, node, direction, min(hop) AS hop FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE seed <> node GROUP BY seed, node, direction""")
 def import_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = graph.written(edges(spark, sf_dir), "edges")
-    return graph.neighbours(e, _seeds(e))
+    return graph.neighbours(e, _seeds(spark, sf_dir, e))
 
 
 _PATH = r"regexp_replace(url, '^https?://', '')"
@@ -94,9 +98,9 @@ def unit_coverage_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.count("*").alias("n_files"), F.count_if(open_).alias("n_uncovered"), F.min(F.when(open_, F.col("doc_id"))).alias("first_uncovered"))
 
 
-@query("""WITH r AS (SELECT DISTINCT o_orderkey AS source, o_custkey % 97 AS name FROM orders WHERE o_orderkey % 5 = 0), d AS (SELECT DISTINCT c_custkey AS target, c_custkey % 97 AS name FROM customer WHERE c_custkey % 7 = 0),
+@query("""WITH r AS (SELECT DISTINCT o_orderkey AS source, o_custkey // 5 AS name FROM orders), d AS (SELECT DISTINCT c_custkey AS target, c_custkey // 5 AS name FROM customer),
   m AS (SELECT DISTINCT source, name, target FROM r JOIN d USING (name) WHERE source <> target) SELECT source, name, target, CASE WHEN count(*) OVER (PARTITION BY source, name) = 1 THEN 'exact' ELSE 'ambiguous' END AS resolution FROM m""")
 def reference_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").selectExpr("o_orderkey AS source", "o_custkey % 97 AS name").distinct()
-    d = table(spark, sf_dir, "customer").filter("c_custkey % 7 = 0").selectExpr("c_custkey AS target", "c_custkey % 97 AS name").distinct()
+    r = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS source", "o_custkey div 5 AS name").distinct()
+    d = table(spark, sf_dir, "customer").selectExpr("c_custkey AS target", "c_custkey div 5 AS name").distinct()
     return graph.resolve(r, d, "name")

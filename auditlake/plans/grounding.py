@@ -16,14 +16,14 @@ def relationship_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.relationships(e).withColumns({"source": F.col("source").cast("bigint"), "target": F.col("target").cast("bigint")})
 
 
-_SLICES = "SELECT l_partkey % 1500 AS file, CAST(l_quantity AS INT) AS lo, CAST(l_quantity AS INT) + l_linenumber * 40 - 60 AS hi, concat('s', l_suppkey % 9) AS source, l_orderkey % 9 = 0 AS inc FROM lineitem WHERE l_orderkey % 5 = 0"
+_SLICES = "SELECT l_partkey % 1500 AS file, CAST(l_quantity AS INT) AS lo, CAST(l_quantity AS INT) + l_linenumber * 40 - 60 AS hi, concat('s', l_suppkey % 9) AS source, l_orderkey % 9 = 0 AS inc FROM lineitem"
 
 
 @query(f"""WITH e AS ({_SLICES}), g AS (SELECT file, lo, hi, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources FROM e WHERE (file, lo, hi) NOT IN (SELECT (file, lo, hi) FROM e WHERE inc) GROUP BY file, lo, hi),
   h AS (SELECT g.*, d.text, g.lo >= 0 AND g.lo < g.hi AND g.hi <= coalesce(length(d.text), 0) AS valid, concat(g.file, ':', g.lo, ':', g.hi) AS identity FROM g LEFT JOIN documents d ON d.doc_id = g.file)
   SELECT concat('ev-', substr(sha256(identity), 1, 12)) AS evidence_id, concat(sources, ' -> ', identity) AS label, CASE WHEN valid THEN substr(text, lo + 1, hi - lo) END AS text, CASE WHEN valid THEN 'valid' ELSE 'invalid' END AS state FROM h""")
 def evidence_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 5 = 0").selectExpr("l_partkey % 1500 AS file", "CAST(l_quantity AS INT) AS lo", "CAST(l_quantity AS INT) + l_linenumber * 40 - 60 AS hi", "concat('s', l_suppkey % 9) AS source", "l_orderkey % 9 = 0 AS inc")
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_partkey % 1500 AS file", "CAST(l_quantity AS INT) AS lo", "CAST(l_quantity AS INT) + l_linenumber * 40 - 60 AS hi", "concat('s', l_suppkey % 9) AS source", "l_orderkey % 9 = 0 AS inc")
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text")
     return grounding.catalogue(rows, rows.filter("inc"), files).select("evidence_id", "label", "text", "state")
 
@@ -63,11 +63,11 @@ def fragment_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.first_owner(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan"), F.array(F.col("o_custkey"), F.col("o_custkey") + 1).alias("seeds")))
 
 
-@query("""WITH b AS (SELECT l_suppkey AS source, l_partkey % 60 AS target, CASE WHEN l_linenumber = 1 THEN '*' ELSE concat('n', l_linenumber) END AS local FROM lineitem), m AS (SELECT p_partkey AS file, concat('m', p_size % 5) AS name FROM part WHERE p_partkey < 60)
+@query("""WITH b AS (SELECT l_suppkey AS source, l_partkey AS target, CASE WHEN l_linenumber = 1 THEN '*' ELSE concat('n', l_linenumber) END AS local FROM lineitem), m AS (SELECT p_partkey AS file, concat('m', p_size % 5) AS name FROM part)
   SELECT DISTINCT source, name FROM (SELECT source, local AS name FROM b WHERE local <> '*' UNION ALL SELECT source, m.name FROM b JOIN m ON m.file = target WHERE local = '*')""")
 def bound_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS source", "l_partkey % 60 AS target", "CASE WHEN l_linenumber = 1 THEN '*' ELSE concat('n', l_linenumber) END AS local")
-    return grounding.local_names(b, table(spark, sf_dir, "part").filter("p_partkey < 60").selectExpr("p_partkey AS file", "concat('m', p_size % 5) AS name"))
+    b = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS source", "l_partkey AS target", "CASE WHEN l_linenumber = 1 THEN '*' ELSE concat('n', l_linenumber) END AS local")
+    return grounding.local_names(b, table(spark, sf_dir, "part").selectExpr("p_partkey AS file", "concat('m', p_size % 5) AS name"))
 
 
 @query()

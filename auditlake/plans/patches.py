@@ -9,14 +9,13 @@ from ..operators import diffs, replies
 from ..sources.adapters import table
 from .catalogue import query
 
-#: Diff texts built from documents: a header, one hunk, and the document's first lines with marks by position.
-_LINES = "list_transform(range(1, least(len(string_split(text, chr(10))), 12) + 1), lambda i: concat(CASE i % 4 WHEN 1 THEN ' ' WHEN 2 THEN '+' WHEN 3 THEN '-' ELSE '+' END, substr(string_split(text, chr(10))[i], 1, 40)))"
+#: Diff texts built from documents: a header, one hunk, and all of the document's lines with marks by position.
+_LINES = "list_transform(string_split(text, chr(10)), lambda x, i: concat(CASE i % 4 WHEN 1 THEN ' ' WHEN 2 THEN '+' WHEN 3 THEN '-' ELSE '+' END, x))"
 DIFFS = f"d AS (SELECT doc_id AS diff_id, {_LINES} AS ls FROM documents)"
 
 
 def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.slice(F.split("text", "\n"), 1, 12)
-    marked = F.transform(first, lambda x, i: F.concat(F.get(F.array(F.lit(" "), F.lit("+"), F.lit("-"), F.lit("+")), i % 4), F.substring(x, 1, 40)))
+    marked = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.get(F.array(F.lit(" "), F.lit("+"), F.lit("-"), F.lit("+")), i % 4), x))
     header = F.concat(F.lit("diff --git a/src/f"), F.col("doc_id").cast("string"), F.lit(".py b/src/f"), F.col("doc_id").cast("string"), F.lit(".py\n--- a/src/f"), F.col("doc_id").cast("string"), F.lit(".py\n+++ b/src/f"), F.col("doc_id").cast("string"), F.lit(".py\n@@ -10,9 +20,9 @@\n"))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("diff_id"), F.concat(header, F.array_join(marked, "\n")).alias("text"))
 
@@ -38,21 +37,43 @@ def diff_line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.line_ranges(rows, diffs.chunk_text(rows).select("diff_id", "chunk", "path")).select("diff_id", "path", "side", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"))
 
 
-_WORDS = "list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z]{5,}')))"
+#: A document defines its capitalised words and calls its other ones.
+_DEFINED, _CALLED = "^[A-Z][a-z][a-z][a-z]+$", "^[a-z][a-z][a-z][a-z]+$"
+_WORDS = "unnest(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: regexp_matches(x, '{0}')))"
 
 
-@query(f"""WITH w AS (SELECT doc_id AS path, {_WORDS} AS ws FROM documents), d AS (SELECT path AS callee, unnest(ws[1:3]) AS name FROM w), c AS (SELECT path AS caller, unnest(ws[4:9]) AS name FROM w)
-  SELECT DISTINCT caller, callee, name FROM c JOIN d USING (name) WHERE caller <> callee AND (caller + callee) % 7 = 0""")
+@query(rf"""WITH d AS (SELECT DISTINCT doc_id AS path, lower({_WORDS.format(_DEFINED)}) AS name FROM documents), c AS (SELECT DISTINCT doc_id AS caller, {_WORDS.format(_CALLED)} AS name FROM documents),
+  n AS (SELECT name, count(*) AS n FROM d GROUP BY name), o AS (SELECT caller, name, n, CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.path = caller AND d.name = c.name) THEN 1 ELSE 0 END AS own FROM c JOIN n USING (name)), f AS (SELECT name, list_sort(list(path)) AS ps FROM d GROUP BY name)
+  SELECT caller, name, n - own AS n_callees, CASE WHEN f.ps[1] = caller THEN f.ps[2] ELSE f.ps[1] END AS callee FROM o JOIN f USING (name) WHERE n - own > 0""")
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))))
-    symbols = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), words.alias("w")).select("path", F.slice("w", 1, 3).alias("defines"), F.slice("w", 4, 6).alias("calls"))
-    return diffs.call_edges(symbols).filter("(caller + callee) % 7 = 0")
+    """Each call with the number of files that define its name, and the first of them."""
+    lower = lambda words: F.array_distinct(F.transform(words, lambda x: F.lower(x)))
+    words = lambda p: F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda x: x.rlike(p))
+    symbols = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), lower(words(_DEFINED)).alias("defines"), F.array_distinct(words(_CALLED)).alias("calls"))
+    return diffs.call_links(symbols)
 
 
-@query(r"""SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\b([A-Za-z_]\w{4,})\s*\(', 1))) AS n_calls FROM documents WHERE NOT regexp_matches(text, '(?m)^\s*(//|#|\*|returns\b|event\b)') AND NOT regexp_matches(text, 'def\s|class\s|function|func\s|const|let\s|var\s|require|assert|return|while|switch|catch')""")
+_CONTROL = ", ".join(f"'{x}'" for x in diffs.CONTROL)
+_DEFINES = " || ".join(f"regexp_extract_all(text, '{p}', 1)" for p in diffs.DEFINITIONS)
+
+
+@query(rf"""WITH d AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{diffs.NO_CODE}')), chr(10)) AS code, {_DEFINES} AS defined FROM documents)
+  SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(code, '{diffs.CALL}', 1), lambda x: x NOT IN ({_CONTROL}) AND NOT list_contains(defined, x)))) AS n_calls,
+    len(list_distinct(list_filter(defined, lambda x: x NOT IN ({_CONTROL})))) AS n_defined FROM d""")
 def called_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = ~F.col("text").rlike(r"(?m)^\s*(//|#|\*|returns\b|event\b)") & ~F.col("text").rlike(r"def\s|class\s|function|func\s|const|let\s|var\s|require|assert|return|while|switch|catch")
-    return table(spark, sf_dir, "documents").filter(plain).select("doc_id", F.size(diffs.calls(F.col("text"))).cast("bigint").alias("n_calls"))
+    sizes = lambda names: F.size(names).cast("bigint")
+    return table(spark, sf_dir, "documents").select("doc_id", sizes(diffs.calls(F.col("text"))).alias("n_calls"), sizes(diffs.definitions(F.col("text"))).alias("n_defined"))
+
+
+_CODE = "concat('def f', o_orderkey, '(a): g', o_custkey, '(a)', chr(10), 'const h', o_custkey, ' = async x => call', o_orderkey, '(x)', chr(10), 'let k', o_custkey, ' = (a, b) => a', chr(10), '  run', o_orderkey, '(a) {', chr(10), 'modifier m', o_orderkey, '(x) {', chr(10), '// gone', o_orderkey, '(x)', chr(10), 'func (s *T) go', o_orderkey, '(x)', chr(10), 'if (ok) send', o_custkey, '(x)', chr(10), 'function js$', o_orderkey, '(y) {')"
+
+
+@query("""SELECT o_orderkey, array_to_string(list_sort(list_distinct([concat('f', o_orderkey), concat('h', o_custkey), concat('k', o_custkey), concat('run', o_orderkey), concat('m', o_orderkey), concat('go', o_orderkey), concat('js$', o_orderkey)])), ',') AS defined,
+  array_to_string(list_sort(list_distinct(list_filter([concat('g', o_custkey), concat('call', o_orderkey), concat('send', o_custkey)], lambda x: length(x) >= 5))), ',') AS called FROM orders""")
+def extracted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions and calls of sources in several languages, made of the orders."""
+    text = F.expr(_CODE)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(diffs.definitions(text), ",").alias("defined"), F.array_join(diffs.calls(text), ",").alias("called"))
 
 
 _REPLY = "CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN 'none' ELSE '[1, 2]' END"

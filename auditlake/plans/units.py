@@ -27,11 +27,11 @@ def exported_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 MOST_UNITS = 10_000
 
 
-@query(f"""WITH {view_sql("candidates_v")}, u AS (SELECT DISTINCT user_id % 5 AS unit, concat('src/mod', user_id % 20, '.py') AS file FROM events WHERE user_id % 3 = 0)
+@query(f"""WITH {view_sql("candidates_v")}, u AS (SELECT DISTINCT user_id % 5 AS unit, concat('src/mod', user_id % 20, '.py') AS file FROM events)
   SELECT u.unit, c.ord FROM candidates_v c JOIN u ON u.file = c.file WHERE c.line IS NOT NULL UNION ALL SELECT DISTINCT u.unit, c.ord FROM candidates_v c, (SELECT DISTINCT unit FROM u) u WHERE c.line IS NULL""")
 def known_findings_per_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = view(spark, sf_dir, "candidates_v")
-    files = table(spark, sf_dir, "events").filter("user_id % 3 = 0").select((F.col("user_id") % 5).alias("unit"), F.concat(F.lit("src/mod"), (F.col("user_id") % 20).cast("string"), F.lit(".py")).alias("file")).distinct()
+    files = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("unit"), F.concat(F.lit("src/mod"), (F.col("user_id") % 20).cast("string"), F.lit(".py")).alias("file")).distinct()
     # Findings without a place belong to every unit; the units are the list of one review.
     everywhere = [r["unit"] for r in files.select("unit").distinct().limit(MOST_UNITS + 1).collect()]
     if len(everywhere) > MOST_UNITS:
@@ -53,10 +53,10 @@ def undominated_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.undominated(_sets(spark, sf_dir), "customer", "spec", "items").select("customer", "spec")
 
 
-@query(f"WITH s AS ({_SETS}), u AS (SELECT DISTINCT items FROM s WHERE spec % 40 = 0 AND len(items) < 5) SELECT spec FROM s WHERE NOT EXISTS (SELECT 1 FROM u WHERE list_has_all(u.items, s.items))")
+@query(f"WITH s AS ({_SETS}), u AS (SELECT DISTINCT items FROM s WHERE spec % 2 = 0 AND len(items) < 5) SELECT spec FROM s WHERE spec % 2 = 1 AND NOT EXISTS (SELECT 1 FROM u WHERE list_has_all(u.items, s.items))")
 def uncovered_fact_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = graph.written(_sets(spark, sf_dir), "sets")
-    return units.not_covered(s, s.filter("spec % 40 = 0 AND size(items) < 5").select("items").distinct(), "spec", "items").select("spec")
+    return units.not_covered(s.filter("spec % 2 = 1"), s.filter("spec % 2 = 0 AND size(items) < 5").select("items").distinct(), "spec", "items").select("spec")
 
 
 @query("""SELECT coalesce(o.k, l.k) AS k, CASE WHEN l.k IS NULL THEN 'finding without proof' WHEN o.k IS NULL THEN 'proof without finding' ELSE 'both' END AS state
@@ -98,12 +98,12 @@ def file_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark, sf_dir).groupBy(F.col("src").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dst", line.alias("line")))), lambda x: x["line"]), "\n").alias("rendered"))
 
 
-@query(f"""WITH {view_sql("intervals_v")}, d AS (SELECT DISTINCT file, lo, hi FROM intervals_v WHERE o % 10 = 0), x AS (SELECT DISTINCT file, unnest(list_concat(range(lo - 5, lo), range(hi + 1, hi + 6))) AS line FROM d)
+@query(f"""WITH {view_sql("intervals_v")}, d AS (SELECT DISTINCT file, lo, hi FROM intervals_v), x AS (SELECT DISTINCT file, unnest(list_concat(range(lo - 5, lo), range(hi + 1, hi + 6))) AS line FROM d)
   SELECT file, count(*) AS n_context FROM x WHERE line >= 1 AND NOT EXISTS (SELECT 1 FROM d WHERE d.file = x.file AND x.line BETWEEN d.lo AND d.hi) GROUP BY file""")
 def hunk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import intervals
 
-    d = view(spark, sf_dir, "intervals_v").filter("o % 10 = 0").select("file", "lo", "hi").distinct()
+    d = view(spark, sf_dir, "intervals_v").select("file", "lo", "hi").distinct()
     lines = d.select("file", F.explode(F.concat(F.sequence(F.col("lo") - 5, F.col("lo") - 1), F.sequence(F.col("hi") + 1, F.col("hi") + 5))).alias("line")).filter("line >= 1").distinct()
     return intervals.members(lines, d, "file", "line", inside=False).groupBy("file").agg(F.count("*").alias("n_context"))
 
@@ -151,13 +151,13 @@ def edge_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.unionByName(s.filter("state = 'valid'").select("src", "dst").distinct().agg(F.lit("valid").alias("state"), F.count("*").alias("n")))
 
 
-@query(f"""WITH {EDGES_SQL}, c AS (SELECT src, dst FROM edges_v WHERE kind = 'call'), anchors AS (SELECT DISTINCT src AS anchor FROM edges_v WHERE src % 40 = 3), o1 AS (SELECT anchor, src, dst FROM anchors JOIN c ON src = anchor),
+@query(f"""WITH {EDGES_SQL}, c AS (SELECT src, dst FROM edges_v WHERE kind = 'call'), anchors AS (SELECT DISTINCT src AS anchor FROM edges_v), o1 AS (SELECT anchor, src, dst FROM anchors JOIN c ON src = anchor),
   o2 AS (SELECT o1.anchor, c.src, c.dst FROM o1 JOIN c ON c.src = o1.dst), i AS (SELECT anchor, src, dst FROM anchors JOIN c ON dst = anchor), u AS (SELECT anchor, src, dst, 1 AS hop FROM o1 UNION ALL SELECT anchor, src, dst, 2 FROM o2 UNION ALL SELECT anchor, src, dst, 0 FROM i)
   SELECT anchor, src, dst, min(hop) AS hop FROM u GROUP BY anchor, src, dst""")
 def unit_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = graph.written(edges(spark, sf_dir), "edges")
     call = e.filter("kind = 'call'").select("src", "dst")
-    anchors = e.filter("src % 40 = 3").select(F.col("src").alias("anchor")).distinct()
+    anchors = e.select(F.col("src").alias("anchor")).distinct()
     one = anchors.join(call, F.col("anchor") == F.col("src")).select("anchor", "src", "dst", F.lit(1).alias("hop"))
     two = one.select("anchor", F.col("dst").alias("src")).join(call, "src").select("anchor", "src", "dst", F.lit(2).alias("hop"))
     callers = anchors.join(call, F.col("anchor") == F.col("dst")).select("anchor", "src", "dst", F.lit(0).alias("hop"))
@@ -198,10 +198,10 @@ def first_known_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.first_known(wanted, known, "doc_id")
 
 
-@query(r"""SELECT doc_id, array_to_string(list_transform(range(1, len(string_split(t, chr(10))) + 1), lambda i: concat(lpad(CAST(i AS VARCHAR), CAST(length(CAST(len(string_split(t, chr(10))) AS VARCHAR)) AS INTEGER), ' '), ' | ', string_split(t, chr(10))[i])), chr(10)) AS shown,
-  trim(substr(trim(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:3], ' ')), 1, 240)) AS preview FROM (SELECT doc_id, substr(text, 1, 1500) AS t FROM documents WHERE NOT contains(text, '{'))""")
+@query(r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), p AS (SELECT doc_id, ls, array_to_string(list_filter(list_transform(ls, lambda x: trim(x)), lambda x: x <> '')[1:3], ' ') AS j FROM d)
+  SELECT doc_id, array_to_string(list_transform(ls, lambda x, i: concat(lpad(CAST(i AS VARCHAR), CAST(length(CAST(len(ls) AS VARCHAR)) AS INTEGER), ' '), ' | ', x)), chr(10)) AS shown, trim(substr(trim(split_part(j, '{', 1)), 1, 240)) AS preview FROM p""")
 def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").filter(~F.contains("text", F.lit("{"))).select("doc_id", F.substring("text", 1, 1500).alias("t"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     return rows.select("doc_id", context.numbered_lines(F.col("t")).alias("shown"), F.trim(context.preview(F.col("t"))).alias("preview"))
 
 
@@ -220,9 +220,9 @@ def usage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", *context.usage_fields(record))
 
 
-@query("SELECT doc_id, CAST(least(100, length(text)) AS BIGINT) AS chars FROM documents")
+@query("SELECT doc_id, CAST(length(text) // 2 AS BIGINT) AS chars FROM documents")
 def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.octet_length(F.substring("text", 1, 100))
+    n = F.octet_length(F.expr("substring(text, 1, length(text) div 2)"))
     return table(spark, sf_dir, "documents").select("doc_id", context.characters_before(F.col("text"), n).cast("bigint").alias("chars"))
 
 
@@ -250,9 +250,9 @@ _MATCH = {"endpoint": "r.l_suppkey % 7 = c.l_suppkey % 7", "category": "r.l_retu
 
 
 @query(f"""SELECT r.l_linenumber AS report, c.l_linenumber AS check_id, r.l_partkey AS rp, c.l_partkey AS cp, CASE WHEN {_MATCH["file"]} AND {_MATCH["category"]} THEN 4 WHEN {_MATCH["endpoint"]} AND {_MATCH["category"]} THEN 3 WHEN {_MATCH["endpoint"]} THEN 2 WHEN {_MATCH["file"]} THEN 1 ELSE 0 END AS weight
-  FROM lineitem r JOIN lineitem c ON c.l_orderkey = r.l_orderkey WHERE r.l_orderkey % 10 = 0""")
+  FROM lineitem r JOIN lineitem c ON c.l_orderkey = r.l_orderkey """)
 def match_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0")
+    lines = table(spark, sf_dir, "lineitem")
     r, c = lines.alias("r"), lines.alias("c")
     weight = scoring.match_weight(F.expr(_MATCH["endpoint"]), F.expr(_MATCH["category"]), F.expr(_MATCH["file"]))
     return r.join(c, F.col("r.l_orderkey") == F.col("c.l_orderkey")).select(F.col("r.l_linenumber").alias("report"), F.col("c.l_linenumber").alias("check_id"), F.col("r.l_partkey").alias("rp"), F.col("c.l_partkey").alias("cp"), weight.alias("weight"))
