@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Fragments that are told apart at a time, and remembered ones; only fragments of up to REMEMBERED bytes are remembered.
-GROUP, MEMORY, REMEMBERED = 1 << 19, 1 << 19, 64
+GROUP, MEMORY, REMEMBERED = 1 << 18, 1 << 18, 64
 #: Bytes in which cuts are searched at a time.
 STRIDE = 1 << 22
 #: Bytes of a fragment from which on the library without a bound on its pattern's stack encodes it; ids are the same.
