@@ -40,7 +40,7 @@ SEEDS, CLASSES, HEAD, ALPHA = 1024, 64, 200_000, 0.5
 #: No word holds a line feed, so this names the end.
 END = b"\n"
 #: Bytes of texts that are split into words at a time.
-CHUNK = 1 << 23
+CHUNK = 1 << 24
 #: Counts up to here have their gains in a table.
 TABLED = 64
 #: Words whose gains are held at a time.
@@ -234,6 +234,7 @@ def contexts(training: DataFrame, known: Words, classes: int, all_words: bool) -
                 behind = np.append(here[1:], -1)  # only an end is last
                 right = own & (behind >= 0)
                 keys = np.concatenate([t.code[left] * (2 * side) + before[left], t.code[right] * (2 * side) + side + behind[right]])
+                keys = keys.astype(np.int32) if (len(t.words) + 1) * 2 * side < 1 << 31 else keys
                 keys.sort()
                 first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
                 events = np.empty(len(first), dtype=EVENT)
@@ -262,7 +263,7 @@ class Exchange:
         self.with_class = np.concatenate([t[:, :classes], t[:classes].T])
         self.rows, self.columns = t.sum(axis=1)[:classes], t.sum(axis=0)[:classes]
         n = np.arange(TABLED + 1)
-        self.gain = xlog(self.with_class + n[:, None, None]) - xlog(self.with_class)
+        self.gain = (xlog(self.with_class + n[:, None, None]) - xlog(self.with_class)).astype(np.float32)
         self.common = int(self.rows.argmax())
 
     def best(self, counts: np.ndarray, now: np.ndarray) -> np.ndarray:
@@ -273,7 +274,7 @@ class Exchange:
         side, total = self.classes + 1, np.zeros((len(counts), self.classes))
         word, key = np.nonzero(counts)
         n = counts[word, key]
-        worth = np.empty((len(n), self.classes))
+        worth = np.empty((len(n), self.classes), dtype=np.float32)
         small = n <= TABLED
         worth[small] = self.gain[n[small], key[small]]
         held = self.with_class[key[~small]]
@@ -304,7 +305,7 @@ def exchanged(events: DataFrame, known: Words, table: np.ndarray, classes: int)
         first = np.flatnonzero(np.concatenate([[True], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)]))
         group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
         size = pc.binary_length(packed).to_numpy(zero_copy_only=False) // EVENT.itemsize
-        e = np.frombuffer(b"".join(packed.to_pylist()), dtype=EVENT)
+        e = _content(packed).view(EVENT)
         counts = np.bincount(np.repeat(group, size) * width + e["key"], weights=e["n"], minlength=len(first) * width).astype(np.int64).reshape(-1, width)
         own = words.take(pa.array(first))
         best = by.best(counts, sent.value[0].of(own, -1, -1)[:-1])
@@ -404,10 +405,19 @@ def _binary(data: np.ndarray, start: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(start) - 1, [None, pa.py_buffer((start * data.itemsize).astype(np.int64)), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
+def _content(column: pa.Array) -> np.ndarray:
+    """All bytes of a column of binaries without nulls, one row's after the other's."""
+    if not len(column):
+        return np.empty(0, dtype=np.uint8)
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+
+
 def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Items of all rows' bytes, and each row's first one."""
     size = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False) // np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(column.drop_null().to_pylist()), dtype=kind), np.concatenate([[0], np.cumsum(size)])
+    return _content(column.fill_null(b"")).view(kind), np.concatenate([[0], np.cumsum(size)])
 
 
 def first_look(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
