@@ -226,7 +226,7 @@ def contexts(training: DataFrame, known: Words, classes: int, all_words: bool) -
     def run(batches):
         for batch in batches:
             for _, t in tokenized(batch.column(0)):
-                label = sent.value.of(t.words, -1, classes)
+                label = sent.value.of(t.words, -1, classes).astype(np.int16)
                 wanted = np.append(np.ones(len(t.words), bool) if all_words else pc.is_in(t.words, sent.value.words).to_numpy(zero_copy_only=False), False)
                 here, before = label[t.code], label[t.before()]
                 own = wanted[t.code]
@@ -428,7 +428,7 @@ def first_look(docs: DataFrame, model: Model, id_col: str, text_col: str) -> Dat
     def run(batches):
         m = sent.value
         for batch in batches:
-            for row, t in tokenized(batch.column(3)):
+            for row, t in tokenized(batch.column(3), CHUNK // 2):
                 place = np.append(pc.index_in(t.words, m.head.words).fill_null(-1).to_numpy(zero_copy_only=False), -1)
                 known = place >= 0
                 c = np.where(known, m.counts[place] if len(m.counts) else 0, 0)
