@@ -95,7 +95,13 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.inline(replies.citations(F.col("text"))))
 
 
-@query()
+#: Up to the last line feed before a line that begins without white space.
+_LAST_LINE = r"length(regexp_extract(substr(text, {0} + 1, 2000), '(?s)^(.*\n)[^\t-\r \x1c-\x1f\x{85}\x{a0}]', 1))"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS (SELECT doc_id, 0 AS k, CAST(0 AS BIGINT) AS start, length(text) AS n, {_LAST_LINE.replace("{0}", "0")} AS cut FROM t
+    UNION ALL SELECT m.doc_id, k + 1, nx, n, {_LAST_LINE.replace("{0}", "nx")} FROM (SELECT *, CASE WHEN cut > 0 THEN start + cut ELSE greatest(start + 1, start + 1800) END AS nx FROM s WHERE n - start > 2000) m JOIN t USING (doc_id))
+  SELECT doc_id, CAST(k AS INT) AS "window", CAST(start AS INT) AS "start", CAST(CASE WHEN n - start <= 2000 THEN n WHEN cut > 0 THEN start + cut ELSE start + 2000 END AS INT) AS "end" FROM s""")
 def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.text_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 2000, 200)
 

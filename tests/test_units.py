@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import collections
+
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import context, facts, findings, scoring, sinks, units
+from auditlake.operators import context, diffs, facts, findings, graph, scoring, sinks, units
 from tests.conftest import DATA
 
 
@@ -159,3 +161,84 @@ def test_unfiltered_queries_work_on_all_rows(spark):
     for r in judgments.optimal_assignment(spark, DATA).collect():
         got[r.benchmark] += r.weight
     assert got == want
+
+
+def covered_places(ranges):
+    return {(f, k) for f, lo, hi in ranges for k in range(lo, hi)}
+
+
+def test_packed_plans_query(spark):
+    """Against sets of single places, plan by plan."""
+    from auditlake.plans import units as queries
+
+    plans = collections.defaultdict(lambda: collections.defaultdict(set))
+    for r in spark.read.parquet(f"{DATA}/lineitem.parquet").collect():
+        lo = int(r.l_quantity * 3)
+        plans[r.l_suppkey][r.l_orderkey].add((str(r.l_partkey % 4), lo, lo + r.l_linenumber))
+    want = {}
+    for run, own in plans.items():
+        unit, held = 0, set()
+        for k, plan in enumerate(sorted(own)):
+            both = held | covered_places(own[plan])
+            if k and len(both) > 300:
+                unit, both = unit + 1, covered_places(own[plan])
+            held = both
+            want[run, plan] = unit
+    assert {(r.run, r.plan): r.unit for r in queries.packed_plans(spark, DATA).collect()} == want
+
+
+def test_chosen_evidence_query(spark):
+    from auditlake.plans import units as queries
+
+    rows = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{DATA}/lineitem.parquet").collect():
+        lo = int(r.l_quantity * 3)
+        rows[r.l_orderkey].append((r.l_linenumber % 3, r.l_suppkey % 2, (str(r.l_partkey), lo, lo + r.l_linenumber)))
+    want = set()
+    for unit, edges in rows.items():
+        chosen = {e for hop, _, e in edges if not hop}
+        for hop, _, e in sorted(edges):
+            if hop and len(covered_places(chosen | {e})) <= 20:
+                chosen.add(e)
+        want |= {(unit, *e) for e in chosen}
+    assert {(r.unit, r.file, r.lo, r.hi) for r in queries.chosen_evidence(spark, DATA).collect()} == want
+
+
+def test_assembled_context_query(spark):
+    from auditlake.plans import grounding as queries
+
+    parts = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        if r.text is not None:
+            parts[r.source].append((r.doc_id % 5 != 0, r.doc_id, r.text))
+    for row in queries.assembled_context(spark, DATA).collect():
+        taken, total, omitted = [], 0, 0
+        for k, (_, _, text) in enumerate(sorted(parts[row.source])):
+            if not k or total + len(text) + 2 <= 6000:
+                taken.append(text)
+                total += len(text) + 2
+            else:
+                omitted += 1
+        assert row.text == "\n\n".join(taken) and row.n_omitted == omitted
+
+
+def test_links_of_calls(spark):
+    symbols = spark.createDataFrame([(1, ["a", "b"], ["b", "c"]), (2, ["b", "b"], ["a", "zz"]), (3, ["b", "c"], ["b"]), (4, [], ["b", "b"])], "path int, defines array<string>, calls array<string>")
+    pairs = diffs.call_edges(symbols).groupBy("caller", "name").agg(F.count("*").alias("n"), F.min("callee").alias("first")).collect()
+    assert {(r.caller, r.name): (r.n_callees, r.callee) for r in diffs.call_links(symbols).collect()} == {(r.caller, r.name): (r.n, r.first) for r in pairs}
+
+
+def test_components_of_all_edges(spark):
+    edges = spark.read.parquet(f"{DATA}/lineitem.parquet").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 1000 + 7).alias("dst")).distinct()
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for r in edges.collect():
+        a, b = sorted((find(r.src), find(r.dst)))
+        root[b] = a
+    got = {r.node: r.root for r in graph.components(edges).collect()}
+    assert got == {i: find(i) for i in root}
