@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from functools import cached_property
 from itertools import chain
 from typing import NamedTuple
 
@@ -75,11 +76,8 @@ class FragmentCodec:
     def __init__(self, path: str, group: int = GROUP):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -96,6 +94,16 @@ class FragmentCodec:
         self.group = group
         self.memory: dict[bytes, list[int]] = {}
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizers library's form, loaded only where a fragment needs it."""
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
     def starts(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Where fragments begin in the bytes of rows (their offsets, the end included): at each row and each certain cut."""
         base, stop = int(rows[0]), int(rows[-1])
