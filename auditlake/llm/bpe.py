@@ -22,15 +22,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Fragments that are told apart at a time, and remembered ones; only fragments of up to REMEMBERED bytes are remembered.
-GROUP, MEMORY, REMEMBERED = 1 << 18, 1 << 18, 64
-#: Bytes in which cuts are searched at a time.
-STRIDE = 1 << 22
+#: Remembered fragments; only those of up to REMEMBERED bytes are.
+MEMORY, REMEMBERED = 1 << 18, 64
+#: Bytes in which cuts are searched at a time; the fragments that end there are told apart and encoded before the next ones.
+STRIDE = 1 << 20
+#: Bytes of texts, but one text at least, whose ids a task holds at a time.
+PORTION = 1 << 22
 #: Bytes of a fragment from which on the library without a bound on its pattern's stack encodes it; ids are the same.
 LONG = 1 << 16
 # The public split pattern of this byte-level vocabulary and its contractions.
@@ -73,7 +76,7 @@ class Encoded(NamedTuple):
 
 
 class FragmentCodec:
-    def __init__(self, path: str, group: int = GROUP):
+    def __init__(self, path: str, stride: int = STRIDE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
         import tiktoken
 
@@ -91,7 +94,7 @@ class FragmentCodec:
         self.special = tuple(a["content"] for a in spec["added_tokens"])
         ranks = {raw: i for i, raw in tokens.items() if raw.decode("utf-8", "replace") not in self.special}
         self.short = tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.group = group
+        self.stride = stride
         self.memory: dict[bytes, list[int]] = {}
 
     @cached_property
@@ -104,15 +107,22 @@ class FragmentCodec:
         tokenizer.no_padding()
         return tokenizer
 
-    def starts(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Where fragments begin in the bytes of rows (their offsets, the end included): at each row and each certain cut."""
-        base, stop = int(rows[0]), int(rows[-1])
-        mark = np.zeros(stop - base, dtype=bool)
-        for at in range(base, stop, STRIDE):
-            b = data[at : min(at + STRIDE + 1, stop)].astype(np.uint16)
-            mark[at - base + 1 : at - base + len(b)] = self.cut[b[:-1] << 8 | b[1:]]
-        mark[rows[:-1][rows[:-1] < rows[1:]] - base] = True
-        return np.flatnonzero(mark) + base
+    def edges(self, data: np.ndarray, rows: np.ndarray):
+        """Where fragments begin in the bytes of rows (their offsets, the end included): at each row and each certain cut.
+
+        One array a stride; its last edge ends its last fragment and is the next one's first.
+        """
+        begin, stop = int(rows[0]), int(rows[-1])
+        for at in range(begin, stop, self.stride):
+            end = min(at + self.stride, stop)
+            b = data[at : end + (end < stop)].astype(np.uint16)
+            mark = np.zeros(end - at + 1, dtype=bool)
+            mark[1 : len(b)] = self.cut[b[:-1] << 8 | b[1:]]
+            mark[rows[np.searchsorted(rows, at, "right") : np.searchsorted(rows, end, "right")] - at] = True
+            own = np.flatnonzero(mark) + at
+            if len(own):
+                yield np.concatenate([[begin], own])
+                begin = int(own[-1])
 
     def encode_fragment(self, raw: bytes) -> list[int]:
         text = raw.decode()
@@ -142,30 +152,32 @@ class FragmentCodec:
         if not n or rows[0] == rows[-1]:
             return Encoded(np.empty(0, np.int32), np.zeros(n + 1, np.int64), np.zeros(n, np.int64))
         data = texts.buffers()[2]
-        start = self.starts(np.frombuffer(data, dtype=np.uint8), rows)
-        ends = np.concatenate([start, rows[-1:]])
-        ids, lengths = [], []
-        for at in range(0, len(start), self.group):
-            own = ends[at : at + self.group + 1]
-            fragments = pa.Array.from_buffers(pa.large_binary(), len(own) - 1, [None, pa.py_buffer(np.ascontiguousarray(own)), data]).dictionary_encode()
-            found = self.distinct(fragments.dictionary.to_pylist())
-            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(size.sum()))
-            which = fragments.indices.to_numpy()
+        ids, tokens, fragments = [], np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)  # the latter: how many there are before each row
+        n_ids = n_fragments = 0
+        for edges in self.edges(np.frombuffer(data, dtype=np.uint8), rows):
+            found = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), data]).dictionary_encode()
+            encoded = self.distinct(found.dictionary.to_pylist())
+            size = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
+            flat = np.fromiter(chain.from_iterable(encoded), dtype=np.int32, count=int(size.sum()))
+            which = found.indices.to_numpy()
             length = size[which]
-            shift = (np.cumsum(size) - size)[which] - (np.cumsum(length) - length)
-            ids.append(flat[np.repeat(shift, length) + np.arange(int(length.sum()))])
-            lengths.append(length)
-        so_far = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-        first = np.searchsorted(start, rows)  # the first fragment of each row
-        return Encoded(np.concatenate(ids), so_far[first], np.diff(first))
+            after = np.cumsum(length)
+            shift = (np.cumsum(size) - size)[which] - (after - length)
+            ids.append(flat[np.repeat(shift, length) + np.arange(int(after[-1]))])
+            own = slice(*np.searchsorted(rows, [edges[0], edges[-1]]))
+            place = np.searchsorted(edges, rows[own])
+            tokens[own], fragments[own] = n_ids + (after - length)[place], n_fragments + place
+            n_ids, n_fragments = n_ids + int(after[-1]), n_fragments + len(length)
+        rest = slice(np.searchsorted(rows, rows[-1]), None)
+        tokens[rest], fragments[rest] = n_ids, n_fragments
+        return Encoded(np.concatenate(ids), tokens, np.diff(fragments))
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_column(pa.array([text], pa.string())).ids.tolist()
 
     def fragments(self, raw: bytes) -> list[bytes]:
-        edges = [*self.starts(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])).tolist(), len(raw)] if raw else [0]
-        return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        found = self.edges(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+        return [raw[a:b] for edges in found for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
 
     def decode(self, ids) -> str:
         return b"".join(self.pieces.take(pa.array(ids, pa.int32())).to_pylist()).decode("utf-8", "replace")
@@ -181,6 +193,17 @@ def codec(path: str) -> FragmentCodec:
     return _codecs[path]
 
 
+def portions(batch: pa.RecordBatch, column: int, most: int = PORTION):
+    """The batch's rows in turn, as many at a time as have up to `most` bytes in a column of strings; a longer text comes alone."""
+    texts = batch.column(column)
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = done = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, done + most, "right")))
+        yield batch.slice(at, end - at)
+        at, done = end, int(size[end - 1])
+
+
 def spelled(forms: pa.Array, encoded: Encoded):
     """For each row the forms of its ids, joined."""
     for a, b in zip(encoded.start.tolist(), encoded.start[1:].tolist(), strict=False):
@@ -201,7 +224,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in chain.from_iterable(portions(b, 1) for b in batches):
             e = c.encode_column(batch.column(1))
             ids_sha256 = [hashlib.sha256(raw[:-1]).hexdigest() for raw in spelled(c.decimal, e)]
             decoded = [raw.decode("utf-8", "replace") for raw in spelled(c.pieces, e)]

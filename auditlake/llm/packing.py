@@ -12,7 +12,7 @@ length are broken by id and piece; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
 
     def run(batches):
         c = bpe.codec(tokenizer)
-        for batch in batches:
+        for batch in chain.from_iterable(bpe.portions(b, 2) for b in batches):
             out = {k: [] for k in arrow.names}
             e = c.encode_column(batch.column(2))
             for r, (i, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):

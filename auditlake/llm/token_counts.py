@@ -17,6 +17,7 @@ attempt is in no table and isn't read.
 from __future__ import annotations
 
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,9 +65,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         shard, out, n = f"shard-{TaskContext.get().partitionId():05d}", None, 0
         file = f"{shard}-{uuid.uuid4().hex}.tokens"  # another attempt writes another file
         fs, folder = file_system(path)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in chain.from_iterable(bpe.portions(b, 1) for b in batches):
             out = out or fs.open_output_stream(f"{folder}/{file}")
             e = c.encode_column(batch.column(1))
             ends = e.start[1:] + np.arange(batch.num_rows)

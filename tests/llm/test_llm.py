@@ -236,6 +236,20 @@ def test_every_text_is_cut_at_all_certain_places(tokenizer):
         assert e.ids[e.start[k] : e.start[k + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_portions_hold_every_row_once_and_ids_do_not_depend_on_the_stride():
+    texts = ["", None, "one two three", "", "x" * 50, "é ü 漢字 " * 9, None, "a b", ""]
+    batch = pa.RecordBatch.from_pydict({"n": range(len(texts)), "text": pa.array(texts, pa.string())})
+    for most in (1, 12, 60, 1 << 20):
+        taken = list(bpe.portions(batch, 1, most))
+        assert [n for p in taken for n in p.column(0).to_pylist()] == list(range(len(texts)))
+        assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= most for p in taken)
+    assert list(bpe.portions(batch.slice(0, 0), 1)) == []
+    whole = bpe.FragmentCodec(bpe.default_tokenizer()).encode_column(batch.column(1))
+    for stride in (1, 2, 7):
+        e = bpe.FragmentCodec(bpe.default_tokenizer(), stride).encode_column(batch.slice(2).column(1))
+        assert e.ids.tolist() == whole.ids.tolist() and e.start.tolist() == whole.start[2:].tolist() and e.fragments.tolist() == whole.fragments[2:].tolist()
+
+
 def test_bpe_of_nothing(empty):
     assert bpe.encode_decode(empty).count() == 0
 
