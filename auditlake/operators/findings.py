@@ -56,15 +56,20 @@ def union_findings(rows: DataFrame, key: Column, with_evidence: bool = True) ->
     return out.select(*columns, fold_evidence(F.transform(F.coalesce("e", F.array().cast("array<struct<at:bigint,evidence:string>>")), lambda x: x["evidence"])).alias("evidence"))
 
 
+#: Ordinals of findings that one task numbers.
+STRETCH = 1 << 18
+
+
 def rank_findings(union: DataFrame) -> DataFrame:
     """position by consensus, then severity, then first appearance."""
-    # Counting by (consensus, severity) first leaves the global order to sums over few groups; no task sorts all rows.
-    group = ["consensus", "level"]
-    rows = union.withColumn("level", T.severity_rank(F.col("severity")))
+    # Counting by (consensus, severity, stretch of ordinals) first leaves the global order to sums over few groups; no task sorts all rows
+    # of a common severity.
+    group = ["consensus", "level", "stretch"]
+    rows = union.withColumns({"level": T.severity_rank(F.col("severity")), "stretch": F.floor(F.col("ord") / STRETCH)})
     sizes = rows.groupBy(*group).agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("consensus"), "level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("consensus"), "level", "stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     within = F.row_number().over(Window.partitionBy(*group).orderBy("ord"))
-    return rows.withColumn("within", within).join(before, group).withColumn("position", F.col("before") + F.col("within")).drop("before", "within", "level")
+    return rows.withColumn("within", within).join(before, group).withColumn("position", F.col("before") + F.col("within")).drop("before", "within", "level", "stretch")
 
 
 def collapse_colocated(rows: DataFrame) -> DataFrame:

@@ -85,8 +85,12 @@ def changed_text(lines: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def shared_context(documents: DataFrame, templates: DataFrame, cap: int) -> DataFrame:
     """One text of documents (ord, name, text) that differ from their untouched template, cut at the cap with a marker."""
-    own = documents.join(templates.select("name", F.col("text").alias("_t")), "name", "left").filter(F.col("_t").isNull() | (F.col("_t") != F.col("text")))
-    joined = own.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    own = documents.filter("text IS NOT NULL").join(templates.select("name", F.col("text").alias("_t")), "name", "left").filter(F.col("_t").isNull() | (F.col("_t") != F.col("text")))
+    # Each document adds its separator at least, so the cap falls among the first ones; only those that begin before it are joined.
+    sizes = own.select("ord", F.length("text").alias("n")).orderBy("ord").limit(cap // 2 + 2)
+    before = F.coalesce(F.sum(F.col("n") + 2).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shown = own.join(sizes.withColumn("_before", before).filter(F.col("_before") <= cap + 2).select("ord"), "ord", "left_semi")
+    joined = shown.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
     return joined.select(T.truncated(F.col("text"), cap).alias("text"))
 
 

@@ -67,6 +67,7 @@ def nearest_enclosing(inner: DataFrame, outer: DataFrame, by: str) -> DataFrame:
 def not_only_nested(definitions: DataFrame, nested: DataFrame, changed: DataFrame, by: str) -> DataFrame:
     """Definitions with a changed line that lies in none of the changed definitions nested in them. changed: by, line (distinct)."""
     lines = overlap(definitions, changed.select(by, F.col("line").alias("lo_r"), F.col("line").alias("hi_r")), by).withColumnRenamed("lo_r", "line").drop("hi_r")
-    inner = nested.select(by, F.col("lo").alias("lo_n"), F.col("hi").alias("hi_n"))
-    on = (lines[by] == inner[by]) & (F.col("lo_n") >= F.col("lo")) & (F.col("hi_n") <= F.col("hi")) & (F.col("hi_n") - F.col("lo_n") < F.col("hi") - F.col("lo")) & F.col("line").between(F.col("lo_n"), F.col("hi_n"))
+    lines = lines.withColumn("_bin", F.floor(F.col("line") / BIN))
+    inner = nested.select(by, F.col("lo").alias("lo_n"), F.col("hi").alias("hi_n")).distinct().withColumn("_bin", _bins(F.col("lo_n"), F.col("hi_n")))
+    on = (lines[by] == inner[by]) & (lines["_bin"] == inner["_bin"]) & (F.col("lo_n") >= F.col("lo")) & (F.col("hi_n") <= F.col("hi")) & (F.col("hi_n") - F.col("lo_n") < F.col("hi") - F.col("lo")) & F.col("line").between(F.col("lo_n"), F.col("hi_n"))
     return lines.join(inner, on, "left_anti").select(*definitions.columns).distinct()

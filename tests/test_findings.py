@@ -98,3 +98,21 @@ def test_greedy(spark):
     assert units([1] * 9, 100, most=4) == [0, 0, 0, 0, 1, 1, 1, 1, 2]
     assert units([3, 3], 7, joint=2) == [0, 1]
     assert packing.equal_budget(100, 10, 3) == 26 and packing.equal_budget(5, 10, 3) == 0
+
+
+def test_ranks_do_not_depend_on_the_stretch(spark, monkeypatch):
+    union = spark.createDataFrame([(o, o % 3 + 1, ["LOW", "HIGH"][o % 2]) for o in (9, 4, 30, 0, 17, 5, 1 << 40, 22)], "ord bigint, consensus int, severity string")
+    want = [r.ord for r in sorted(union.collect(), key=lambda r: (-r.consensus, r.severity == "LOW", r.ord))]
+    for stretch in (1, 5, findings.STRETCH):
+        monkeypatch.setattr(findings, "STRETCH", stretch)
+        assert [r.ord for r in findings.rank_findings(union).orderBy("position").collect()] == want
+
+
+def test_nested_changes_across_bins(spark):
+    spans = [(1, 500), (60, 70), (63, 200), (128, 130), (300, 310), (400, 480), (410, 470)]
+    lines = [64, 65, 129, 305, 450, 415]
+    d = spark.createDataFrame([("f", lo, hi) for lo, hi in spans], "file string, lo int, hi int")
+    changed = spark.createDataFrame([("f", x) for x in lines], "file string, line int")
+    inside = lambda x, lo, hi: any(lo <= a and b <= hi and b - a < hi - lo and a <= x <= b for a, b in spans)
+    want = {(lo, hi) for lo, hi in spans if any(lo <= x <= hi and not inside(x, lo, hi) for x in lines)}
+    assert {(r.lo, r.hi) for r in intervals.not_only_nested(d, d, changed, "file").collect()} == want

@@ -27,6 +27,15 @@ def test_shared_context_leaves_templates_out(spark):
     assert grounding.shared_context(d, t, 100).first().text == "own\n\nmore"
 
 
+def test_shared_context_is_cut_like_the_whole(spark):
+    s = "ord int, name string, text string"
+    texts = ["ab", "", None, "cdefg", "h", "", "", "ijklmnop", "q"]
+    d, none = spark.createDataFrame([(k, str(k), t) for k, t in enumerate(texts)], s), spark.createDataFrame([], s)
+    whole = "\n\n".join(t for t in texts if t is not None)
+    for cap in range(len(whole) + 3):
+        assert grounding.shared_context(d, none, cap).first().text == (whole if len(whole) <= cap else whole[:cap] + "\n[truncated]")
+
+
 def test_wire_entries(spark):
     f = spark.createDataFrame([(1, "k", "SQL injection!", "HIGH", 2, "f", 3)], "position int, key string, title string, severity string, consensus int, file string, line int")
     r = grounding.wire_entries(f, proofs=spark.createDataFrame([("k", "p.md")], "key string, proof string")).first()
