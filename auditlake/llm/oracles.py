@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .quality import SCORES, Risk, steps
 from .secrets import RULES
+from .substring_dedup import WINDOW as WORDS
 from .suffix_dedup import PASSAGE, WINDOW
+from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 _RISK = Risk()
 _PATH = ", ".join(f"({k}, '{rule}', {cutoff})" for k, (rule, cutoff) in enumerate(steps()))
@@ -61,4 +63,24 @@ OP6 = rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM document
   ok AS (SELECT *, min(CASE WHEN tail <= {_RISK.delta} / (SELECT count(DISTINCT coalesce(lang, '')) FROM c) THEN 1 ELSE 0 END) OVER (PARTITION BY lang ORDER BY k) AS passed FROM p), cut AS (SELECT lang, max(k) AS step FROM ok WHERE passed = 1 GROUP BY lang)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (step IS NULL OR first IS NULL OR first > step) AS kept FROM f LEFT JOIN r USING (doc_id) LEFT JOIN cut ON cut.lang IS NOT DISTINCT FROM f.lang"""
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op2_suffix_dedup": OP2, "op4_secrets": OP4, "op5_warc": OP5, "op6_quality_rules": OP6}
+OP11 = rf"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  p AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + {WORDS - 1}], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WORDS - 2})) AS i FROM w)),
+  later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM p) WHERE k > 1), gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, (SELECT unnest(range(0, {WORDS})) AS k)),
+  words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w), kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+_DISTANCE = "CAST(list_sum(list_transform(part, lambda y, i: (y - c[i]) * (y - c[i]))) AS BIGINT)"
+_ROUNDS = ", ".join(
+    f"""a{k} AS (SELECT j, part, w, min(struct_pack(d := {_DISTANCE}, e := e)).e AS e FROM d JOIN b{k} USING (j) GROUP BY j, part, w), t{k} AS (SELECT j, e, i, sum(w * y) AS s, sum(w) AS n FROM (SELECT j, e, w, unnest(part) AS y, unnest(range(0, len(part))) AS i FROM a{k}) GROUP BY j, e, i),
+  m{k} AS (SELECT j, e, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM t{k} GROUP BY j, e), b{k + 1} AS MATERIALIZED (SELECT j, e, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (j, e))"""
+    for k in range(ROUNDS)
+)
+#: Vectors whose width is a multiple of the number of parts.
+OP13 = f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * {SCALE}) AS BIGINT)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+  p AS (SELECT vec_id, label, j, x[j * (len(x) // {PARTS}) + 1:(j + 1) * (len(x) // {PARTS})] AS part FROM (SELECT *, unnest(range(0, {PARTS})) AS j FROM v)), d AS (SELECT j, part, count(*) AS w FROM p GROUP BY j, part),
+  b0 AS MATERIALIZED (SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS e, part AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {ENTRIES})),
+  {_ROUNDS}, f AS (SELECT j, part, min(struct_pack(d := {_DISTANCE}, e := e)) AS best FROM d JOIN b{ROUNDS} USING (j) GROUP BY j, part),
+  r AS (SELECT vec_id, label, string_agg(lower(lpad(hex(best.e), 2, '0')), '' ORDER BY j) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM p JOIN f USING (j, part) GROUP BY vec_id, label)
+  SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY j, e)) FROM b{ROUNDS}) AS codebooks_sha256 FROM r"""
+
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op2_suffix_dedup": OP2, "op4_secrets": OP4, "op5_warc": OP5, "op6_quality_rules": OP6, "op11_substring_dedup": OP11, "op13_vector_codes": OP13}

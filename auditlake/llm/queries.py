@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, exact_dedup, packing, quality, secrets, simhash, suffix_dedup, token_counts, warc
+from . import bpe, brown, exact_dedup, packing, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, vector_codes, warc, whitening
 from .common import documents, spread
 from .oracles import ORACLE_SQL
 
@@ -61,4 +61,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spread(documents(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_token_counts, op4_secrets, op5_warc, op6_quality_rules, op7_bpe, op8_simhash, op9_brown_scores, op10_packing)}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_suffix_dedup, op3_token_counts, op4_secrets, op5_warc, op6_quality_rules, op7_bpe, op8_simhash, op9_brown_scores, op10_packing, op11_substring_dedup, op12_whitening, op13_vector_codes,
+    )
+}

@@ -750,7 +750,7 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted((tuple(x[c] for c in columns) for x in df.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL) - {"op12_whitening"}))
 def test_query_covers_its_table(spark, name):
     n = spark.read.parquet(f"{DATA}/documents.parquet").count()
     got = queries.QUERIES[name](spark, DATA)
