@@ -6,13 +6,14 @@ offsets, so their anchored suffixes share that prefix.
 
 1. Prefix hashes are counted: each task deals those of its texts out to parts by hash, packed in arrays; a part sends back those that occur twice.
    A prefix that occurs once is a leaf of its own and goes no further.
-2. Anchors that are left join to runs of words. Equal runs (copies, shared passages) are counted by their SHA-256 digest, only the first is looked into.
-3. The first runs' anchored suffixes are split by prefixes of variable length: a prefix of few words, where more than `large` suffixes share it one of more
+2. Anchors that are left join to runs of words. Equal runs (copies, shared passages) are counted by their SHA-256 digest, only the first is looked into; so are, within
+   first runs, equal excerpts around anchors, by two 64-bit hashes.
+3. The first excerpts' anchored suffixes are split by prefixes of variable length: a prefix of few words, where more than `large` suffixes share it one of more
    words. Suffixes with one prefix, in the order of their words, are the leaves of one subtree. Going through them, the words shared with the leaf before
    tell which inner nodes end; below a node deep enough for a window that begins some words before the anchor, leaves are told apart by these words. What stays
    together is a repeat, and all but its first place are hits. Prefixes that stay too large at full length become whole windows, which are only grouped.
 
-Words are compared by their bytes in step 3; hashes choose anchors and filter. Texts are written once, dealt out by their place, so that later
+Words are compared by their bytes in step 3. Texts are written once, dealt out by their place, so that later
 steps join them without another shuffle. Texts and their hits are never held beyond one text; a subtree holds the leaves below nodes that are open.
 
 Defined cases: null texts have no words; texts shorter than the window lose nothing; of repeated rows and repeated ids the order of
@@ -227,29 +228,50 @@ def runs_of(texts: DataFrame, shape: Shape, parts: int, id_type: str) -> DataFra
     return runs.select("digest", "n", F.struct("none", "id", "file", "row", "at").alias("place"))
 
 
-def suffixes_of(texts: DataFrame, shape: Shape, prefixes: tuple[int, ...], id_type: str) -> DataFrame:
-    """Anchored suffixes of runs: prefix hashes, the words from the anchor on, those before it, and where they are. texts: file, row, none, id, text, cuts."""
-    names = [f"prefix{k}" for k in range(len(prefixes))]
-    schema = f"{', '.join(f'{c} bigint' for c in names)}, right binary, left binary, n_left int, digest binary, k bigint, at bigint, none boolean, id {id_type}, file bigint, row bigint"
+def excerpts_of(texts: DataFrame, shape: Shape, id_type: str) -> DataFrame:
+    """prefix and excerpt (hashes), place (whose start is the first window's number) and n (windows) of each anchor in runs. texts: none, id, file, row, text, cuts."""
+    schema = f"prefix bigint, excerpt bigint, none boolean, id {id_type}, file bigint, row bigint, start bigint, n bigint"
     arrow = _arrow(schema)
 
     def run(batches):
         known = _WordHashes()
         for batch in batches:
             columns: list[list] = [[] for _ in arrow.names]
-            for file, row, none, own, text, cuts in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), batch.column(5).to_pylist(), strict=True):
+            for *place, text, cuts in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), batch.column(5).to_pylist(), strict=True):
                 words = text.as_py().encode().split()
                 for cut in cuts:
                     part = words[cut["at"] : cut["at"] + cut["n"]]
-                    _, anchor, first, last = shape.anchored(part, known)
-                    keys = [prefix_hashes(part, p, known).view(np.int64)[anchor].tolist() for p in prefixes]
-                    for a, i, j, *key in zip(anchor.tolist(), first.tolist(), last.tolist(), *keys, strict=True):
-                        right = b" ".join([*part[a : j + shape.window], b""])
-                        for c, v in zip(columns, (*key, right, b" ".join(part[i:a]), a - i, cut["digest"], i, cut["at"], none, own, file, row), strict=True):
+                    hashes, _, first, last = shape.anchored(part, known)
+                    for h, i, j in zip(hashes.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
+                        own = xxhash.xxh3_64_intdigest(b" ".join(part[i : j + shape.window]))
+                        for c, v in zip(columns, (h, own - (own >> 63 << 64), *place, cut["at"] + i, j - i + 1), strict=True):
                             c.append(v)
             yield _batch(columns, arrow)
 
-    return texts.select("file", "row", "none", "id", "text", "cuts").mapInArrow(run, schema)
+    return texts.select("none", "id", "file", "row", "text", "cuts").mapInArrow(run, schema)
+
+
+def suffixes_of(texts: DataFrame, shape: Shape, prefixes: tuple[int, ...], id_type: str) -> DataFrame:
+    """Anchored suffixes: prefix hashes, the words from the anchor on, those before it, and where the first window begins. texts: none, id, file, row, text, cuts (start and n of excerpts)."""
+    names = [f"prefix{k}" for k in range(len(prefixes))]
+    schema = f"{', '.join(f'{c} bigint' for c in names)}, right binary, left binary, n_left int, none boolean, id {id_type}, file bigint, row bigint, start bigint"
+    arrow = _arrow(schema)
+
+    def run(batches):
+        known = _WordHashes()
+        for batch in batches:
+            columns: list[list] = [[] for _ in arrow.names]
+            for *place, text, cuts in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), batch.column(5).to_pylist(), strict=True):
+                words = text.as_py().encode().split()
+                for cut in cuts:
+                    part = words[cut["start"] : cut["start"] + cut["n"] - 1 + shape.window]
+                    a = int(prefix_hashes(part[: shape.window], shape.prefix, known).argmin())
+                    keys = [int(prefix_hashes(part[a : a + p], p, known).view(np.int64)[0]) for p in prefixes]
+                    for c, v in zip(columns, (*keys, b" ".join([*part[a:], b""]), b" ".join(part[:a]), a, *place, cut["start"]), strict=True):
+                        c.append(v)
+            yield _batch(columns, arrow)
+
+    return texts.select("none", "id", "file", "row", "text", "cuts").mapInArrow(run, schema)
 
 
 class Subtree:
@@ -259,8 +281,9 @@ class Subtree:
         self.shape = shape
         self.words: list[bytes] = []
         #: For windows that begin so many words before the anchor: what lies below the open node that is deep enough, by the words before the anchor.
-        self.open: list[dict[bytes, list]] = [{} for _ in range(shape.reach)]
-        self.hits: list[tuple[bytes, int]] = []
+        self.open: list[dict[bytes, list[tuple]]] = [{} for _ in range(shape.reach)]
+        #: file, row and the window's number
+        self.hits: list[tuple[int, int, int]] = []
 
     def close(self, shared: int) -> None:
         """Nodes deeper than the words shared with the next leaf end."""
@@ -268,11 +291,10 @@ class Subtree:
             for leaves in self.open[before].values():
                 if len(leaves) > 1:
                     least = min(leaves)
-                    self.hits += [x[1:] for x in leaves if x is not least]
+                    self.hits += [x[2:] for x in leaves if x is not least]
             self.open[before].clear()
 
-    def add(self, right: bytes, left: bytes, n_left: int, digest: bytes, k: int, at: int, place: tuple) -> None:
-        """A leaf. k: its first window, counted in its run; at: the run's first word in its text."""
+    def add(self, right: bytes, left: bytes, n_left: int, none: bool, own, file: int, row: int, start: int) -> None:
         words, shared = right.split(), 0
         for a, b in zip(words, self.words, strict=False):
             if a != b:
@@ -281,31 +303,29 @@ class Subtree:
         self.close(shared)
         self.words = words
         before = left.split()
-        least = self.shape.window - len(words)
-        for offset in range(max(0, least), n_left + 1):
-            number = k + n_left - offset
-            self.open[offset].setdefault(b" ".join(before[n_left - offset :]), []).append(((*place, at + number), digest, number))
+        for offset in range(max(0, self.shape.window - len(words)), n_left + 1):
+            self.open[offset].setdefault(b" ".join(before[n_left - offset :]), []).append((none, own, file, row, start + n_left - offset))
 
 
 def hits_in_subtrees(suffixes: DataFrame, shape: Shape) -> DataFrame:
-    """digest, ks: windows (counted in the run of that digest) that begin earlier elsewhere. suffixes have the column prefix."""
-    schema = "digest binary, ks array<bigint>"
+    """file, row, starts: windows of a text that begin earlier elsewhere. suffixes have the column prefix."""
+    schema = "file bigint, row bigint, starts array<bigint>"
     arrow = _arrow(schema)
 
     def told(hits):
-        by: dict[bytes, list[int]] = {}
-        for digest, k in hits:
-            by.setdefault(digest, []).append(k)
-        return _batch([list(by), list(by.values())], arrow)
+        by: dict[tuple[int, int], list[int]] = {}
+        for file, row, start in hits:
+            by.setdefault((file, row), []).append(start)
+        return _batch([[k[0] for k in by], [k[1] for k in by], list(by.values())], arrow)
 
     def run(batches):
         tree, now = Subtree(shape), None
         for batch in batches:
-            for prefix, right, left, n_left, digest, k, at, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for prefix, *leaf in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if prefix != now:
                     tree.close(0)
                     tree.words, now = [], prefix
-                tree.add(right, left, n_left, digest, k, at, tuple(place))
+                tree.add(*leaf)
             if tree.hits:
                 yield told(tree.hits)
                 tree.hits = []
@@ -313,29 +333,31 @@ def hits_in_subtrees(suffixes: DataFrame, shape: Shape) -> DataFrame:
         if tree.hits:
             yield told(tree.hits)
 
-    rows = suffixes.select("prefix", "right", "left", "n_left", "digest", "k", "at", "none", "id", "file", "row")
-    return rows.repartition("prefix").sortWithinPartitions("prefix", "right").mapInArrow(run, schema)
+    return suffixes.select("prefix", *_LEAF).repartition("prefix").sortWithinPartitions("prefix", "right").mapInArrow(run, schema)
+
+
+_LEAF = ("right", "left", "n_left", "none", "id", "file", "row", "start")
 
 
 def hits_of_windows(suffixes: DataFrame, shape: Shape, id_type: str) -> DataFrame:
     """The same for prefixes that stay too large: every window stands for itself, equal ones are grouped."""
-    schema = f"content binary, digest binary, k bigint, none boolean, id {id_type}, file bigint, row bigint, start bigint"
+    schema = f"content binary, none boolean, id {id_type}, file bigint, row bigint, start bigint"
     arrow = _arrow(schema)
 
     def run(batches):
         for batch in batches:
             columns: list[list] = [[] for _ in arrow.names]
-            for right, left, n_left, digest, k, at, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for right, left, _, *place, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = [*left.split(), *right.split()]
-                for i in range(min(n_left + 1, len(words) - shape.window + 1)):
-                    for c, v in zip(columns, (b" ".join(words[i : i + shape.window]), digest, k + i, *place, at + k + i), strict=True):
+                for i in range(len(words) - shape.window + 1):
+                    for c, v in zip(columns, (b" ".join(words[i : i + shape.window]), *place, start + i), strict=True):
                         c.append(v)
             yield _batch(columns, arrow)
 
-    rows = suffixes.select("right", "left", "n_left", "digest", "k", "at", "none", "id", "file", "row").mapInArrow(run, schema)
-    rows = materialise(rows.withColumn("place", F.struct("none", "id", "file", "row", "start")).select("content", "digest", "k", "place"), "windows")
+    rows = suffixes.select(*_LEAF).mapInArrow(run, schema)
+    rows = materialise(rows.select("content", F.struct("none", "id", "file", "row", "start").alias("place")), "windows")
     first = materialise(rows.groupBy("content").agg(F.min("place").alias("least"), F.count("*").alias("many")).filter("many > 1").select("content", "least"), "first")
-    return rows.join(first.hint("merge"), "content").filter("place <> least").select("digest", F.array("k").alias("ks"))
+    return rows.join(first.hint("merge"), "content").filter("place <> least").select("place.file", "place.row", F.array("place.start").alias("starts"))
 
 
 def hits_by_prefix(suffixes: DataFrame, shape: Shape, prefixes: int, large: int, id_type: str) -> DataFrame:
@@ -355,7 +377,7 @@ def hits_by_prefix(suffixes: DataFrame, shape: Shape, prefixes: int, large: int,
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out.groupBy("digest").agg(F.flatten(F.collect_list("ks")).alias("ks"))
+    return out
 
 
 def dealt_by_place(keyed: DataFrame) -> DataFrame:
@@ -383,16 +405,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = dealt_by_place(keyed)
     codes = materialise(repeated_prefixes(keyed, shape, parts, salts or -(-many // SALT_ROWS) or 1), "codes")
     placed = materialise(runs_of(texts.join(codes.hint("merge"), ["file", "row"]), shape, parts, id_type), "runs")
-    firsts = materialise(placed.groupBy("digest", "n").agg(F.min("place").alias("first")), "firsts")
-    cuts = firsts.select("first.file", "first.row", F.struct("first.at", "n", "digest").alias("cut")).groupBy("file", "row").agg(F.collect_list("cut").alias("cuts"))
+    # Of equal runs the first is looked into, the others go as a whole.
+    firsts = materialise(placed.groupBy("digest", "n").agg(F.min("place").alias("first"), F.count("*").alias("many")), "firsts")
+    span = lambda a, n: F.struct(a.alias("a"), (a + n).alias("z"))
+    again = placed.join(firsts.filter("many > 1").select("digest", "first").hint("merge"), "digest").filter("place <> first").select("place.file", "place.row", F.array(span(F.col("place.at"), F.col("n"))).alias("gone"))
+    cuts = firsts.select("first.file", "first.row", F.struct("first.at", "n").alias("cut")).groupBy("file", "row").agg(F.collect_list("cut").alias("cuts"))
+    excerpts = materialise(excerpts_of(texts.join(cuts.hint("merge"), ["file", "row"]), shape, id_type).select("prefix", "excerpt", F.struct("none", "id", "file", "row", "start", "n").alias("place")), "excerpts")
+    # So with equal surroundings of an anchor. Prefixes that only one of them has are leaves.
+    kinds = materialise(excerpts.groupBy("prefix", "excerpt").agg(F.min("place").alias("first"), F.count("*").alias("many")), "kinds")
+    copies = excerpts.join(kinds.filter("many > 1").select("prefix", "excerpt", "first").hint("merge"), ["prefix", "excerpt"]).filter("place <> first")
+    copies = copies.select("place.file", "place.row", F.array(span(F.col("place.start"), F.col("place.n") - 1 + window)).alias("gone"))
+    several = kinds.groupBy("prefix").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("prefix")
+    cuts = kinds.join(several.hint("merge"), "prefix").select("first.file", "first.row", F.struct("first.start", "first.n").alias("cut")).groupBy("file", "row").agg(F.collect_list("cut").alias("cuts"))
     suffixes = materialise(suffixes_of(texts.join(cuts.hint("merge"), ["file", "row"]), shape, lengths, id_type), "suffixes")
-    hits = materialise(hits_by_prefix(suffixes, shape, len(lengths), large, id_type), "hits")
-    # Of equal runs the first loses its hits, the others everything.
-    whole = F.array(F.struct(F.col("place.at").alias("a"), (F.col("place.at") + F.col("n")).alias("z")))
-    single = F.transform("ks", lambda k: F.struct((F.col("place.at") + k).alias("a"), (F.col("place.at") + k + window).alias("z")))
-    known = materialise(firsts.join(hits.hint("merge"), "digest", "left"), "known")
-    marked = placed.join(known.drop("n").hint("merge"), "digest").select("place.file", "place.row", F.when(F.col("place") == F.col("first"), single).otherwise(whole).alias("gone")).filter("gone IS NOT NULL")
-    gone = materialise(marked.groupBy("file", "row").agg(F.flatten(F.collect_list("gone")).alias("gone")), "gone")
+    hits = hits_by_prefix(suffixes, shape, len(lengths), large, id_type).select("file", "row", F.transform("starts", lambda k: span(k, F.lit(window))).alias("gone"))
+    gone = again.unionByName(copies).unionByName(hits).groupBy("file", "row").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    gone = materialise(gone, "gone")
 
     schema = f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text
     arrow = _arrow(schema)
