@@ -37,23 +37,37 @@ def sarif_level(level: Column) -> Column:
 
 
 def category_spelling(text: Column) -> Column:
-    """Lower case, runs of blanks and underscores as one hyphen, no hyphens at the ends."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[ _]+", "-"), F.lit("-"))
+    """Lower case, runs of white space and underscores as one hyphen, no hyphens or white space at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s_]+", "-"), "^-+|-+$", "")
 
 
 def slug(text: Column, length: int = 80) -> Column:
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^0-9a-z]+", "-"), F.lit("-"))
-    return F.substring(plain, 1, length)
+    """Lower-case ASCII letters and digits, runs of others as one hyphen, cut at a length."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^0-9a-z]+", "-"), "^-+|-+$", ""), 1, length)
+
+
+def finding_slug(text: Column, length: int = 80) -> Column:
+    """Lower case, every character but letters and digits (of all alphabets) a hyphen, none at the ends, cut at a length. `finding` if nothing is left."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]", "-"), "^-+|-+$", "")
+    return F.substring(F.when(plain == "", "finding").otherwise(F.lower(plain)), 1, length)
+
+
+def unit_slug(path: Column, length: int = 64) -> Column:
+    """Lower-case ASCII letters and digits of a path, runs of others as one hyphen, cut at a length (`unit` if nothing is left), and a short digest of the whole path."""
+    whole = F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))
+    plain = F.regexp_replace(F.regexp_replace(F.lower(whole), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.concat_ws("-", F.substring(F.when(plain == "", "unit").otherwise(plain), 1, length), F.substring(F.sha2(whole, 256), 1, 16))
 
 
 def endpoint_normal(text: Column) -> Column:
-    """Lower case without backticks, query strings and parentheses; path parameters as *; single blanks."""
+    """Lower case without backticks, query strings and what is in parentheses; path parameters as *; single blanks."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, to in ((r"`", ""), (r"\?[^ ,]*", ""), (r"\([^)]*\)", ""), (r"<[^>]*>|\{[^}]*\}", "*"), (r"\s+", " ")):
+    for pattern, to in ((r"`", ""), (r"(?U)\?\S*", ""), (r"\([^)]*\)", " "), (r"[<{][^>}]*[>}]", "*"), (r"(?U)\s+", " ")):
         out = F.regexp_replace(out, pattern, to)
     return F.trim(out)
 
 
+#: The methods that an endpoint may begin with.
 METHODS = "get|post|put|patch|delete|head|options"
 
 
@@ -63,30 +77,36 @@ def endpoint_method(normal: Column) -> Column:
 
 
 def endpoint_segments(normal: Column) -> Column:
-    path = F.regexp_replace(normal, rf"^({METHODS}) ", "")
+    """The path's segments; a path begins after the first blank, if there is one."""
+    path = F.when(F.contains(normal, F.lit(" ")), F.regexp_replace(normal, "^[^ ]* ", "")).otherwise(normal)
     return F.filter(F.split(path, "/"), lambda x: x != "")
 
 
 def endpoints_named(text: Column) -> Column:
-    """Every endpoint that a report's text lists: separated by commas or by a fresh method."""
-    return F.filter(F.transform(F.split(endpoint_normal(text), rf",\s*|\s+(?=(?:{METHODS}) /)"), lambda x: F.trim(x)), lambda x: x != "")
+    """Every normalised route that a report's text lists: a comma or a fresh method begins the next. A text without any is one route."""
+    normal = endpoint_normal(text)
+    pieces = F.flatten(F.transform(F.split(normal, r" ?, ?"), lambda part: F.split(part, rf"(?=\b(?:{METHODS})\b )")))
+    routes = F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(routes) > 0, routes).otherwise(F.array(normal))
 
 
-def endpoint_match(report: Column, key: Column) -> Column:
+def route_match(report: Column, key: Column) -> Column:
     """Whether two normalised endpoints are the same route.
 
-    Methods must agree where both name one. The shorter path must equal the end of the longer, its first segment literally;
-    other segments agree if equal or if either is a parameter, and a number on the report's side fills a parameter.
+    Methods must agree where both name one. The shorter path lies at the end of the longer; its first segment is there literally (or a
+    parameter on both sides), further ones agree if equal or if either is a parameter.
     """
     a, b = F.reverse(endpoint_segments(report)), F.reverse(endpoint_segments(key))
     ma, mb = endpoint_method(report), endpoint_method(key)
     n = F.least(F.size(a), F.size(b))
-    same = lambda x, y: (x == y) | (x == "*") | (y == "*")
-    pairs = F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), same)
-    heads = F.get(a, n - 1) == F.get(b, n - 1)
-    item = (F.get(a, F.lit(0)) == "*") != (F.get(b, F.lit(0)) == "*")
-    longer_item = (F.size(a) != F.size(b)) & item & F.coalesce((F.get(a, F.lit(0)) == "*") | (F.get(b, F.lit(0)) == "*"), F.lit(False))
-    return (n > 0) & ((ma == "") | (mb == "") | (ma == mb)) & F.forall(pairs, lambda x: x) & F.coalesce(heads, F.lit(False)) & ~F.coalesce(longer_item, F.lit(False))
+    pairs = F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: (x == y) | (x == "*") | (y == "*"))
+    return (n > 0) & ((ma == "") | (mb == "") | (ma == mb)) & F.coalesce(F.get(a, n - 1) == F.get(b, n - 1), F.lit(False)) & F.forall(pairs, lambda x: x)
+
+
+def endpoint_match(report: Column, key: Column) -> Column:
+    """Whether any route that a report's text lists is the key's route."""
+    normal = endpoint_normal(key)
+    return F.exists(endpoints_named(report), lambda route: route_match(route, normal))
 
 
 def category_match(a: Column, b: Column) -> Column:
@@ -100,6 +120,11 @@ def whole_token(text: Column, token: str) -> Column:
     return text.rlike(rf"(?<!\w){re.escape(token)}(?!\w)")
 
 
+def any_token(text: Column, tokens: Column) -> Column:
+    """Whether one of the tokens (an array) stands in the text as a whole, whatever characters it begins and ends with."""
+    return F.exists(tokens, lambda t: F.rlike(text, F.concat(F.lit(r"(?U)(?<!\w)\Q"), t, F.lit(r"\E(?!\w)"))))
+
+
 def field(text: Column, key: str) -> Column:
     """The value of a `key: value` line, whatever the case of the key."""
     return F.regexp_extract(text, rf"(?im)^[ \t]*-?[ \t]*{re.escape(key)}[ \t]*:[ \t]*(.+?)[ \t]*$", 1)

@@ -1,4 +1,4 @@
-"""Unified diffs as rows: chunks, numbered lines, changed ranges, symbols, call edges."""
+"""Unified diffs as rows: chunks, numbered lines, changed ranges, call links."""
 
 from __future__ import annotations
 
@@ -7,25 +7,6 @@ from pyspark.sql import functions as F
 
 from .intervals import merge
 
-_NAME = r"[A-Za-z_$][\w$]*"
-#: How definitions are written, by language family: a keyword and the name; a method's receiver between them; a name bound to a function that is written
-#: with an arrow, with its parameters in parentheses or a single bare one; a name, parameters and an opening brace alone on a line.
-DEFINITIONS = (
-    rf"\bdef\s+({_NAME})\s*\(",
-    rf"(?m)^\s*class\s+({_NAME})",
-    rf"\b(?:function|modifier)\s+({_NAME})\s*\(",
-    rf"\bfunc\s+(?:\([^)]*\)\s*)?({_NAME})\s*\(",
-    rf"\b(?:const|let|var)\s+({_NAME})\s*=\s*(?:async\s*)?(?:\([^)]*\)|{_NAME})\s*=>",
-    rf"(?m)^[ \t]*(?:async\s+)?({_NAME})[ \t]*\([^;{{}}\n]*\)[ \t]*\{{",
-)
-# Words that only look like calls or definitions, and the least length of a called name.
-CONTROL = ("catch", "else", "for", "if", "return", "switch", "while")
-LEAST_NAME = 5
-#: Lines that hold no call: comments, and declarations that look like calls.
-NO_CODE = r"^\s*(//|#|\*|returns\b|event\b)"
-CALL = rf"\b([A-Za-z_][\w$]{{{LEAST_NAME - 1},}})\s*\("
-
-
 def lines(diffs: DataFrame, id_col: str = "diff_id", text_col: str = "text") -> DataFrame:
     """diff_id, pos, line: rows of a diff's text, in order."""
     return diffs.select(F.col(id_col).alias("diff_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
@@ -96,29 +77,6 @@ def line_ranges(rows: DataFrame, paths: DataFrame) -> DataFrame:
     return merge(flat, ["diff_id", "path", "side"])
 
 
-def definitions(text: Column) -> Column:
-    """Distinct names that a source text defines, sorted, control words left out."""
-    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in DEFINITIONS)))
-    return F.array_sort(F.array_distinct(F.array_except(found, F.array(*map(F.lit, CONTROL)))))
-
-
-def calls(text: Column) -> Column:
-    """Distinct names that a source text calls: of LEAST_NAME characters and more, outside comments, not its own definitions."""
-    code = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(NO_CODE)), "\n")
-    found = F.regexp_extract_all(code, F.lit(CALL), F.lit(1))
-    return F.array_sort(F.array_distinct(F.array_except(F.array_except(found, F.array(*map(F.lit, CONTROL))), definitions(text))))
-
-
-def call_edges(symbols: DataFrame) -> DataFrame:
-    """caller, callee, name: files whose calls name what another file defines. symbols: path, defines, calls (arrays).
-
-    A name that many files define and call gives all their pairs; call_links gives one row a call.
-    """
-    d = symbols.select(F.col("path").alias("callee"), F.explode("defines").alias("name"))
-    c = symbols.select(F.col("path").alias("caller"), F.explode("calls").alias("name"))
-    return c.join(d, "name").filter("caller <> callee").select("caller", "callee", "name").distinct()
-
-
 def call_links(symbols: DataFrame) -> DataFrame:
     """caller, name, n_callees, callee: each call with how many other files define its name, and the first of those. Linear, however common a name is."""
     d = symbols.select("path", F.explode("defines").alias("name")).distinct()

@@ -104,7 +104,7 @@ def owned_files(documents: DataFrame, inventory: DataFrame) -> DataFrame:
 
 def wire_entries(findings: DataFrame, owners: DataFrame | None = None, proofs: DataFrame | None = None) -> DataFrame:
     """Ranked findings in their wire form: position, name, severity, consensus, owner, link to the proof; unknown owners and proofs are null."""
-    out = findings.withColumn("name", F.concat(F.lpad(F.col("position").cast("string"), 3, F.lit("0")), F.lit("-"), T.slug(F.col("title"))))
+    out = findings.withColumn("name", F.concat(F.lpad(F.col("position").cast("string"), 3, F.lit("0")), F.lit("-"), T.finding_slug(F.col("title"))))
     out = out.join(owners, ["file", "line"], "left") if owners is not None else out.withColumn("owner", F.lit(None).cast("string"))
     out = out.join(proofs, "key", "left") if proofs is not None else out.withColumn("proof", F.lit(None).cast("string"))
     return out.select("position", "name", "severity", "consensus", "owner", "proof")

@@ -1,4 +1,4 @@
-"""Scoring reports against ground truth: match weights, optimal assignment, recall and precision, repeated runs."""
+"""Scoring reports against answer keys: routes, files and symbols that match, optimal assignment, recall and precision, repeated runs."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import written
 
 
 def match_weight(endpoint: Column, category: Column, file: Column) -> Column:
@@ -16,16 +17,15 @@ def match_weight(endpoint: Column, category: Column, file: Column) -> Column:
     return F.when(file & category, 4).when(endpoint & category, 3).when(endpoint | (category & file), 2).when(file, 1).otherwise(0)
 
 
-def assign(weights: list[tuple[int, ...]]) -> list[int | None]:
-    """Column of each row: as many pairs as possible, then the greatest weight, by augmenting paths of greatest gain.
+def assign_edges(edges: list[dict[int, int]], m: int) -> list[int | None]:
+    """Column of each row, from the rows' columns with positive weights: as many pairs as possible, then the greatest weight.
 
-    Weights of 0 mean no match. Rows and columns are taken in the order given, which decides between equal optima.
+    Augmenting paths of greatest gain, over the edges alone. Rows and columns are taken in the order given, which decides between equal optima.
     """
-    n, m = len(weights), len(weights[0]) if weights else 0
-    if any(len(w) != m for w in weights):
-        raise ValueError("ragged weights")
+    n = len(edges)
     row_of: list[int | None] = [None] * m
     column_of: list[int | None] = [None] * n
+    ordered = [sorted(e.items()) for e in edges]
     while True:
         # Longest gains from any free row; a cell is left by its column's present row.
         gain: list[float] = [0.0 if column_of[i] is None else float("-inf") for i in range(n)]
@@ -35,15 +35,15 @@ def assign(weights: list[tuple[int, ...]]) -> list[int | None]:
         while queue:
             i = queue.popleft()
             waiting.discard(i)
-            for j, w in enumerate(weights[i]):
-                if w <= 0 or column_of[i] == j:
+            for j, w in ordered[i]:
+                if column_of[i] == j:
                     continue
                 other = row_of[j]
                 if other is None:
                     if gain[i] + w > best:
                         best, end = gain[i] + w, (i, j)
-                elif gain[i] + w - weights[other][j] > gain[other]:
-                    gain[other], came[other] = gain[i] + w - weights[other][j], (i, j)
+                elif gain[i] + w - edges[other][j] > gain[other]:
+                    gain[other], came[other] = gain[i] + w - edges[other][j], (i, j)
                     if other not in waiting:
                         queue.append(other)
                         waiting.add(other)
@@ -58,13 +58,26 @@ def assign(weights: list[tuple[int, ...]]) -> list[int | None]:
             i, j = came[i]
 
 
+def assign(weights: list[tuple[int, ...]]) -> list[int | None]:
+    """The same for a table of weights, where 0 means no match."""
+    m = len(weights[0]) if weights else 0
+    if any(len(w) != m for w in weights):
+        raise ValueError("ragged weights")
+    return assign_edges([{j: w for j, w in enumerate(row) if w > 0} for row in weights], m)
+
+
 def optimal_assignment(pairs: DataFrame, by: str) -> DataFrame:
-    """Chosen pairs (row_id, col_id, weight) of each group from its weighted pairs. A group is one benchmark's checks and reports: small by nature."""
+    """Chosen pairs (row_id, col_id, weight) of each group from its weighted pairs. A task holds the edges of one group, not the product of its sides."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="row_id", columns="col_id", values="weight", aggfunc="max", fill_value=0).sort_index().sort_index(axis=1)
-        chosen = assign([tuple(int(x) for x in row) for row in table.to_numpy()])
-        out = [(pdf[by].iloc[0], table.index[i], table.columns[j], int(table.iat[i, j])) for i, j in enumerate(chosen) if j is not None]
+        best = pdf.groupby(["row_id", "col_id"], sort=True)["weight"].max()
+        rows, columns = sorted(pdf["row_id"].unique()), sorted(pdf["col_id"].unique())
+        at, place = {r: i for i, r in enumerate(rows)}, {c: j for j, c in enumerate(columns)}
+        edges: list[dict[int, int]] = [{} for _ in rows]
+        for (r, c), w in best.items():
+            edges[at[r]][place[c]] = int(w)
+        chosen = assign_edges(edges, len(columns))
+        out = [(pdf[by].iloc[0], rows[i], columns[j], edges[i][j]) for i, j in enumerate(chosen) if j is not None]
         return pd.DataFrame(out, columns=[by, "row_id", "col_id", "weight"])
 
     types = dict(pairs.dtypes)
@@ -89,27 +102,116 @@ def repeated(hits: DataFrame, by: list[str], runs: int) -> DataFrame:
     return f.withColumns({"majority": F.col("freq") * 2 > runs, "flaky": (F.col("freq") > 0) & (F.col("freq") < runs), "catch_rate": T.ratio(F.col("freq"), F.lit(runs), 3, 0.0)})
 
 
-def score(reports: DataFrame, checks: DataFrame, by: str) -> DataFrame:
-    """Per benchmark, check or report: outcome found, missed, fp, quiet (a clean check that nothing claims) or extra.
+def _plain_path(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(path, "/+", "/"), r"^\./", "")
+
 
-    reports: by, report, file, endpoint, category. checks: by, check_id, expectation, file, endpoint, category. Findings are
-    assigned reports one to one; each report left over claims at most one clean check, what claims nothing is extra.
+def _base(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def route_candidates(reports: DataFrame, checks: DataFrame, by: list[str]) -> DataFrame:
+    """The columns by, report, check_id of reports (by, report, route) and checks (by, check_id, route), normalised, that are the same route.
+
+    The shorter route's first segment stands at its length from the end of the longer, so they meet on length and segment there.
+    """
+    one = F.struct(F.size("seg").alias("k"), F.get("seg", F.lit(0)).alias("head"))
+    each = F.transform("seg", lambda x, i: F.struct((F.size("seg") - i).alias("k"), x.alias("head")))
+    r = reports.select(*by, "report", F.col("route").alias("_r"), T.endpoint_segments(F.col("route")).alias("seg")).filter(F.size("seg") > 0)
+    c = checks.select(*by, "check_id", F.col("route").alias("_c"), T.endpoint_segments(F.col("route")).alias("seg")).filter(F.size("seg") > 0)
+    shorter_report = r.withColumn("key", one).drop("seg").join(c.withColumn("key", F.explode(each)).drop("seg"), [*by, "key"])
+    shorter_check = r.withColumn("key", F.explode(each)).filter(F.col("key.k") < F.size("seg")).drop("seg").join(c.withColumn("key", one).drop("seg"), [*by, "key"])
+    return shorter_report.unionByName(shorter_check).filter(T.route_match(F.col("_r"), F.col("_c"))).select(*by, "report", "check_id").distinct()
+
+
+def match_pairs(reports: DataFrame, checks: DataFrame, by: str, definitions: DataFrame | None = None, endpoint_required: bool = True) -> DataFrame:
+    """by, report, check_id, localised, quality (0 for none, to 4) of reports and checks that share a route or a file name; and whether the check is clean.
+
+    reports: by, report, endpoint, category, text, locations (array of file, line). checks: by, check_id, expectation, files, symbols, endpoint, category.
+    definitions: by, file, name, lo, hi of symbols in the sources.
+
+    A check with an endpoint is matched by a report of the same route (a clean one only of the same class); a finding's file and symbol stand in for
+    the route. Without endpoint_required the file does, too. A check without endpoint takes a report that names one of its files
+    (by a name that one file of the report has) and one of its symbols, as a word or by a line inside its definition; without symbols, one of its class.
+    """
+    r = reports.select(by, "report", F.coalesce("endpoint", F.lit("")).alias("re"), F.coalesce("category", F.lit("")).alias("rc"), F.lower(F.concat_ws(" ", "text", "endpoint")).alias("hay"), "locations")
+    r = r.withColumn("rfiles", F.array_distinct(F.transform(F.coalesce("locations", F.array()), lambda x: x["file"])))
+    some = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    c = checks.select(by, "check_id", "expectation", some("files").alias("cfiles"), F.transform(some("symbols"), F.lower).alias("symbols"), F.coalesce("endpoint", F.lit("")).alias("ce"), F.coalesce("category", F.lit("")).alias("cc"))
+
+    routes = r.filter("re <> ''").select(by, "report", F.explode(T.endpoints_named(F.col("re"))).alias("route"))
+    same_route = route_candidates(routes, c.filter("ce <> ''").select(by, "check_id", T.endpoint_normal(F.col("ce")).alias("route")), [by])
+    # Files meet by name. A name counts where one file of the report has it; exact paths are looked at apart.
+    named = r.select(by, "report", F.explode("rfiles").alias("file")).withColumn("base", _base(F.col("file")))
+    once = named.groupBy(by, "report", "base").agg(F.count("*").alias("n"), F.collect_set(_plain_path(F.col("file"))).alias("paths"))
+    wanted = c.select(by, "check_id", F.explode("cfiles").alias("cfile")).withColumn("base", _base(F.col("cfile")))
+    same_file = once.join(wanted, [by, "base"]).groupBy(by, "report", "check_id").agg(F.bool_or(F.col("n") == 1).alias("named"), F.bool_or(F.array_contains("paths", _plain_path(F.col("cfile")))).alias("exact"))
+    candidates = same_route.withColumn("route", F.lit(True)).join(same_file.filter("named OR exact"), [by, "report", "check_id"], "full")
+    if definitions is not None:
+        lines = r.select(by, "report", F.explode("locations").alias("x")).filter("x.line IS NOT NULL").select(by, "report", _base(F.col("x.file")).alias("base"), F.col("x.line").alias("line")).distinct()
+        lines = lines.join(once.filter("n = 1").select(by, "report", "base"), [by, "report", "base"])
+        spans = c.select(by, "check_id", F.explode("cfiles").alias("file"), "symbols").select(by, "check_id", "file", F.explode("symbols").alias("name"))
+        spans = spans.join(definitions.select(by, "file", F.lower("name").alias("name"), "lo", "hi"), [by, "file", "name"]).withColumn("base", _base(F.col("file")))
+        inside = lines.join(spans, [by, "base"]).filter("line BETWEEN lo AND hi").select(by, "report", "check_id").distinct().withColumn("cited", F.lit(True))
+        candidates = candidates.join(inside, [by, "report", "check_id"], "left")
+    else:
+        candidates = candidates.withColumn("cited", F.lit(False))
+    is_true = lambda name: F.coalesce(F.col(name), F.lit(False))
+    met = candidates.join(r.drop("locations", "rfiles"), [by, "report"]).join(c, [by, "check_id"])
+
+    klass = T.category_match(F.col("rc"), F.col("cc"))
+    class_ok = (F.col("cc") == "") | klass
+    has_symbols, has_files, route = F.size("symbols") > 0, F.size("cfiles") > 0, is_true("route")
+    anchored = is_true("named") & F.when(has_symbols, T.any_token(F.col("hay"), F.col("symbols")) | is_true("cited")).otherwise(klass)
+    localised = is_true("exact") & klass
+    clean = F.col("expectation") != "finding"
+    by_file = has_files & F.when(has_symbols, anchored).otherwise(localised) & class_ok
+    other_anchor = by_file if not endpoint_required else ~clean & has_symbols & has_files & anchored & class_ok
+    keyed = F.when(clean, (route & class_ok) | (~route & other_anchor)).otherwise(route | other_anchor)
+    matches = F.when(F.col("ce") != "", keyed).otherwise(anchored & class_ok)
+    quality = F.when(~matches, 0).when(localised, 4).when(route, F.when(klass, 3).otherwise(2)).when(klass, 2).otherwise(1)
+    return met.select(by, "report", "check_id", clean.alias("clean"), localised.alias("localised"), quality.alias("quality"))
+
+
+def score(reports: DataFrame, checks: DataFrame, by: str, definitions: DataFrame | None = None, endpoint_required: bool = True) -> DataFrame:
+    """by, id, outcome, report, localised: found or missed for each finding, fp for each report on a clean check, quiet for a clean check without one, extra for other reports.
+
+    Findings get reports one to one, as many as possible and then the best; a report that matches any finding is on no clean check,
+    others count on the first clean check (by id) that they match. localised tells of findings with files whether any report has the exact file and
+    the class. See match_pairs for the columns.
     """
-    r = reports.select(by, "report", F.col("file").alias("rf"), T.endpoint_normal(F.col("endpoint")).alias("re"), F.col("category").alias("rc"))
-    c = checks.select(by, "check_id", "expectation", F.col("file").alias("cf"), T.endpoint_normal(F.col("endpoint")).alias("ce"), F.col("category").alias("cc"))
-    # Reports and checks of one benchmark meet; both are short lists of one benchmark by nature.
-    met = r.join(c, by)
-    endpoint = (F.col("re") != "") & (F.col("ce") != "") & T.endpoint_match(F.col("re"), F.col("ce"))
-    weight = match_weight(endpoint, T.category_match(F.col("rc"), F.col("cc")), (F.col("rf") != "") & (F.col("rf") == F.col("cf")))
-    # A check that names an endpoint is matched by endpoint only.
-    weighted = met.withColumn("weight", F.when((F.col("ce") != "") & ~endpoint, 0).otherwise(weight)).filter("weight > 0")
-    finding = F.col("expectation") == "finding"
-    chosen = optimal_assignment(weighted.filter(finding).select(by, F.col("check_id").alias("row_id"), F.col("report").alias("col_id"), "weight"), by)
-    free = weighted.filter(~finding).join(weighted.filter(finding).select(by, "report").distinct(), [by, "report"], "left_anti")
-    claimed = free.groupBy(by, "report").agg(F.min("check_id").alias("check_id"))
-    hit = chosen.select(by, F.col("row_id").alias("check_id")).unionByName(claimed.select(by, "check_id")).distinct().withColumn("hit", F.lit(True))
-    judged = checks.select(by, "check_id", "expectation").join(hit, [by, "check_id"], "left")
-    outcome = F.when(finding, F.when(F.col("hit"), "found").otherwise("missed")).otherwise(F.when(F.col("hit"), "fp").otherwise("quiet"))
-    used = chosen.select(by, F.col("col_id").alias("report")).unionByName(claimed.select(by, "report"))
-    extra = reports.select(by, "report").join(used, [by, "report"], "left_anti")
-    return judged.select(by, F.col("check_id").alias("id"), outcome.alias("outcome")).unionByName(extra.select(by, F.col("report").alias("id"), F.lit("extra").alias("outcome")))
+    pairs = written(match_pairs(reports, checks, by, definitions, endpoint_required), "pairs")
+    findings = pairs.filter("NOT clean AND quality > 0")
+    chosen = optimal_assignment(findings.select(by, F.col("check_id").alias("row_id"), F.col("report").alias("col_id"), F.col("quality").alias("weight")), by)
+    chosen = chosen.select(by, F.col("row_id").alias("check_id"), F.col("col_id").alias("report"))
+    claimed = pairs.filter("clean AND quality > 0").join(findings.select(by, "report").distinct(), [by, "report"], "left_anti").groupBy(by, "report").agg(F.min("check_id").alias("check_id"))
+    exact = pairs.filter("NOT clean AND localised").select(by, "check_id").distinct().withColumn("exact", F.lit(True))
+    finding = checks.filter("expectation = 'finding'").join(chosen, [by, "check_id"], "left").join(exact, [by, "check_id"], "left")
+    clean = checks.filter("expectation <> 'finding'").join(claimed, [by, "check_id"], "left")
+    extra = reports.join(chosen.select(by, "report").unionByName(claimed.select(by, "report")), [by, "report"], "left_anti")
+    outcome = lambda yes, no: F.when(F.col("report").isNotNull(), yes).otherwise(no).alias("outcome")
+    no_file = F.lit(None).cast("boolean").alias("localised")
+    type_ = dict(checks.dtypes)["check_id"]
+    return (
+        finding.select(by, F.col("check_id").alias("id"), outcome("found", "missed"), "report", F.when(F.size("files") > 0, F.coalesce("exact", F.lit(False))).alias("localised"))
+        .unionByName(clean.select(by, F.col("check_id").alias("id"), outcome("fp", "quiet"), "report", no_file))
+        .unionByName(extra.select(by, F.lit(None).cast(type_).alias("id"), F.lit("extra").alias("outcome"), "report", no_file))
+    )
+
+
+def totals(scored: DataFrame, by: str) -> DataFrame:
+    """found, missed, false_positives (reports), extra, file_found, file_missed, and recall, precision and file_recall of score()'s rows."""
+    count = lambda what: F.count_if(F.col("outcome") == what)
+    t = scored.groupBy(by).agg(
+        count("found").alias("found"), count("missed").alias("missed"), count("fp").alias("false_positives"), count("extra").alias("extra"), F.count_if("localised").alias("file_found"), F.count_if(~F.col("localised")).alias("file_missed"),
+    )
+    return t.withColumns({
+        "recall": T.ratio(F.col("found"), F.col("found") + F.col("missed"), 4, 0.0), "precision": T.ratio(F.col("found"), F.col("found") + F.col("false_positives"), 4, 1.0),
+        "file_recall": T.ratio(F.col("file_found"), F.col("file_found") + F.col("file_missed"), 4, 0.0),
+    })
+
+
+def without_degraded(totals_: DataFrame, states: DataFrame, by: str) -> DataFrame:
+    """totals with errors and reason of the run (by, errors, reason): of a run that failed or lost a step rates are null, since a lost step is not a clean pass."""
+    rows = totals_.join(states.select(by, F.coalesce("errors", F.lit(0)).alias("errors"), "reason"), by, "full").withColumn("errors", F.coalesce("errors", F.lit(0)))
+    return rows.withColumns({c: F.when(F.col("errors") == 0, F.col(c)) for c in ("recall", "precision", "file_recall")})

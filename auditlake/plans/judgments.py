@@ -200,13 +200,3 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
         contracts.orphans(lines.select((F.col("l_orderkey") * 2).alias("k")), "k", orders, "o_orderkey", "unknown order"),
         contracts.out_of_sequence(table(spark, sf_dir, "conversations").filter("(conv_id + turn) % 9 <> 0"), "conv_id", "turn", "out of sequence"),
     )
-
-
-@query(r"""WITH k AS (SELECT page_id, concat('get ', regexp_replace(url, '^https?://[^/]+', '')) AS route FROM pages), s AS (SELECT page_id, list_filter(string_split(regexp_replace(route, '^get ', ''), '/'), lambda x: x <> '') AS seg FROM k)
-  SELECT a.page_id AS report, b.page_id AS check_id FROM s a JOIN s b ON a.seg[-1] = b.seg[-1] WHERE len(a.seg) > 0
-    AND a.seg[greatest(1, len(a.seg) - least(len(a.seg), len(b.seg)) + 1):] = b.seg[greatest(1, len(b.seg) - least(len(a.seg), len(b.seg)) + 1):]""")
-def endpoint_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    route = T.endpoint_normal(F.concat(F.lit("GET "), F.regexp_replace("url", r"^https?://[^/]+", "")))
-    rows = table(spark, sf_dir, "pages").select("page_id", route.alias("route"), F.element_at(F.filter(F.split(F.regexp_replace("url", r"^https?://[^/]+", ""), "/"), lambda x: x != ""), -1).alias("tail"))
-    a, b = rows.select(F.col("page_id").alias("report"), F.col("route").alias("ra"), "tail"), rows.select(F.col("page_id").alias("check_id"), F.col("route").alias("rb"), "tail")
-    return a.join(b, "tail").filter(T.endpoint_match(F.col("ra"), F.col("rb"))).select("report", "check_id")

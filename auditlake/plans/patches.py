@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import diffs, replies
+from ..operators import diffs, lexis, replies
 from ..sources.adapters import table
 from .catalogue import query
 
@@ -53,16 +55,26 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.call_links(symbols)
 
 
-_CONTROL = ", ".join(f"'{x}'" for x in diffs.CONTROL)
-_DEFINES = " || ".join(f"regexp_extract_all(text, '{p}', 1)" for p in diffs.DEFINITIONS)
+#: Sources made of the documents' lines: a word's place tells whether it is defined, called, imported, or only stands in a comment or a string.
+_SHAPES = (
+    "concat('function ', a, '(x) {{ return ', b, '(x); }}')", "concat('// ', a, '(x) ', b, '(y)')", "concat('const ', a, ' = async (x, y) => ', b, '(x, \"', c, '(z)\");')", "concat('v = \"', a, '(\" + ', b, '(1) /* ', c, '(2) */')",
+    "concat('event ', a, '(uint x);')", "concat('import ', a, ' from \"', b, '/', c, '\"')", "concat('  ', a, ' (x) {{ if (', b, '(x)) {{ ', c, '.run(x) }} }}')", "concat('function ', a, '(x) external returns (', b, '(y));')",
+)
 
 
-@query(rf"""WITH d AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{diffs.NO_CODE}')), chr(10)) AS code, {_DEFINES} AS defined FROM documents)
-  SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(code, '{diffs.CALL}', 1), lambda x: x NOT IN ({_CONTROL}) AND NOT list_contains(defined, x)))) AS n_calls,
-    len(list_distinct(list_filter(defined, lambda x: x NOT IN ({_CONTROL})))) AS n_defined FROM d""")
+@query(rf"""WITH l AS (SELECT doc_id, i, regexp_extract_all(x, '[A-Za-z]+') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)),
+  n AS (SELECT doc_id, i % 8 AS k, concat(coalesce(w[1], 'none'), '_') AS a, concat(coalesce(w[2], 'none'), '_') AS b, concat(coalesce(w[3], 'none'), '_') AS c FROM l),
+  s AS (SELECT doc_id, 'definition' AS kind, a AS name FROM n WHERE k IN (0, 2, 6, 7) UNION SELECT doc_id, 'call', b FROM n WHERE k IN (0, 2, 3, 6) AND length(b) >= 5 UNION SELECT doc_id, 'assignment', a FROM n WHERE k = 2 AND length(a) >= 5 UNION SELECT doc_id, 'import', concat(b, '/', c) FROM n WHERE k = 5)
+  SELECT d.doc_id, coalesce(string_agg(name, ',' ORDER BY name) FILTER (kind = 'definition'), '') AS defined, coalesce(string_agg(name, ',' ORDER BY name) FILTER (kind = 'call'), '') AS called, coalesce(string_agg(name, ',' ORDER BY name) FILTER (kind = 'import'), '') AS imported,
+    count(DISTINCT name) FILTER (kind <> 'import' AND length(name) >= 5) AS n_changed FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id""")
 def called_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = lambda names: F.size(names).cast("bigint")
-    return table(spark, sf_dir, "documents").select("doc_id", sizes(diffs.calls(F.col("text"))).alias("n_calls"), sizes(diffs.definitions(F.col("text"))).alias("n_defined"))
+    """What sources made of whole documents define, call and import, with names in strings, comments and declarations among them that count for nothing."""
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(*(F.concat(F.coalesce(F.get(F.regexp_extract_all(x, F.lit("[A-Za-z]+"), F.lit(0)), F.lit(k)), F.lit("none")), F.lit("_")).alias(n) for k, n in enumerate("abc")), (i % 8).alias("k")))
+    shaped = "transform(parts, p -> element_at(array(" + ", ".join(re.sub(r"(?<![\w'])([abc])(?![\w'])", r"p.\1", s.replace("{{", "{").replace("}}", "}")) for s in _SHAPES) + "), p.k + 1))"
+    sources = table(spark, sf_dir, "documents").select("doc_id", line.alias("parts")).select("doc_id", F.array_join(F.expr(shaped), "\n").alias("text"))
+    s = lexis.with_symbols(sources).select("doc_id", "symbols")
+    joined = lambda kind: F.array_join(lexis.names(F.col("symbols"), kind), ",")
+    return s.select("doc_id", joined("definition").alias("defined"), joined("call").alias("called"), joined("import").alias("imported"), F.size(lexis.changed_names(F.col("symbols"))).cast("bigint").alias("n_changed"))
 
 
 _CODE = "concat('def f', o_orderkey, '(a): g', o_custkey, '(a)', chr(10), 'const h', o_custkey, ' = async x => call', o_orderkey, '(x)', chr(10), 'let k', o_custkey, ' = (a, b) => a', chr(10), '  run', o_orderkey, '(a) {', chr(10), 'modifier m', o_orderkey, '(x) {', chr(10), '// gone', o_orderkey, '(x)', chr(10), 'func (s *T) go', o_orderkey, '(x)', chr(10), 'if (ok) send', o_custkey, '(x)', chr(10), 'function js$', o_orderkey, '(y) {')"
@@ -72,8 +84,8 @@ _CODE = "concat('def f', o_orderkey, '(a): g', o_custkey, '(a)', chr(10), 'const
   array_to_string(list_sort(list_distinct(list_filter([concat('g', o_custkey), concat('call', o_orderkey), concat('send', o_custkey)], lambda x: length(x) >= 5))), ',') AS called FROM orders""")
 def extracted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions and calls of sources in several languages, made of the orders."""
-    text = F.expr(_CODE)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(diffs.definitions(text), ",").alias("defined"), F.array_join(diffs.calls(text), ",").alias("called"))
+    s = lexis.with_symbols(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_CODE).alias("text")))
+    return s.select("o_orderkey", F.array_join(lexis.definitions(F.col("symbols")), ",").alias("defined"), F.array_join(lexis.calls(F.col("symbols")), ",").alias("called"))
 
 
 _REPLY = "CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN 'none' ELSE '[1, 2]' END"

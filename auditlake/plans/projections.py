@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import diffs, dimensions, facts, projections, replies, reports, rounds, scoring
+from ..operators import diffs, dimensions, facts, projections, replies, reports, rounds
 from ..sources.adapters import table, view, view_sql
 from .catalogue import query
 from .patches import NUMBERED
@@ -259,16 +259,3 @@ def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "orders").selectExpr("o_custkey AS run", "o_orderkey AS round", "o_orderkey % 3 AS errors", "o_orderkey % 5 = 0 AS pending")
     failures = r.filter("errors > 0").selectExpr("run", "round", "round % 2 AS index", "2 AS total", "'p' AS paths", "concat('reason ', round % 4) AS reason")
     return rounds.outcome(r, failures, "run")
-
-
-@query("""WITH k AS (SELECT c_custkey AS benchmark, c_custkey % 4 AS kind FROM customer) SELECT benchmark, id, outcome FROM (SELECT benchmark, 1 AS id, CASE WHEN kind IN (0, 1) THEN 'found' ELSE 'missed' END AS outcome FROM k UNION ALL SELECT benchmark, 2, CASE WHEN kind IN (1, 2) THEN 'fp' ELSE 'quiet' END FROM k UNION ALL SELECT benchmark, 11, 'extra' FROM k WHERE kind = 3)""")
-def scored_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer is a benchmark with a finding and a clean check; reports hit the first, both, the clean one, or nothing."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("benchmark"), (F.col("c_custkey") % 4).alias("kind"))
-    checks = c.select("benchmark", F.explode(F.array(F.struct(F.lit(1).alias("check_id"), F.lit("finding").alias("expectation"), F.lit("a.py").alias("file")), F.struct(F.lit(2).alias("check_id"), F.lit("clean").alias("expectation"), F.lit("b.py").alias("file")))).alias("x"))
-    checks = checks.select("benchmark", "x.*", F.lit("").alias("endpoint"), F.lit("injection").alias("category"))
-    files = F.when(F.col("kind") == 0, F.array(F.lit("a.py"))).when(F.col("kind") == 1, F.array(F.lit("a.py"), F.lit("b.py"))).when(F.col("kind") == 2, F.array(F.lit("b.py"))).otherwise(F.array(F.lit("z.py")))
-    found = c.select("benchmark", "kind", F.posexplode(files).alias("pos", "file"))
-    category = F.when(F.col("kind") == 3, "other").otherwise("injection")
-    named = found.select("benchmark", (F.col("pos") + 11).alias("report"), "file", F.lit("").alias("endpoint"), category.alias("category"))
-    return scoring.score(named, checks, "benchmark").select("benchmark", "id", "outcome")

@@ -99,15 +99,18 @@ def stack_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(root.alias("root")).agg(*flags, F.bool_or(F.col("path").endswith(".sol")).alias("contracts"))
 
 
-_RAW = "concat(CASE page_id % 3 WHEN 0 THEN 'GET ' WHEN 1 THEN 'post ' ELSE '' END, regexp_replace(url, '^https?://[^/]+', ''), CASE page_id % 4 WHEN 0 THEN '/<id>' WHEN 1 THEN '/{key}?q=1' ELSE '' END)"
-_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(raw), '\?[^ ,]*', '', 'g'), '<[^>]*>|\{[^}]*\}', '*', 'g'), '\s+', ' ', 'g'))"
+_RAW = "concat(CASE page_id % 3 WHEN 0 THEN 'GET ' WHEN 1 THEN 'post ' ELSE '' END, regexp_replace(url, '^https?://[^/]+', ''), CASE page_id % 5 WHEN 0 THEN '/<id>' WHEN 1 THEN '/{key}?q=1, GET /next' WHEN 2 THEN '(the handler)' || chr(9) || '`x`' ELSE '' END)"
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(raw), '`', ''), '\?\S*', '', 'g'), '\([^)]*\)', ' ', 'g'), '[<{][^>}]*[>}]', '*', 'g'), '\s+', ' ', 'g'))"
+_METHODS = "get|post|put|patch|delete|head|options"
 
 
-@query(f"WITH e AS (SELECT page_id, {_RAW} AS raw FROM pages), n AS (SELECT *, {_NORM} AS normal FROM e) SELECT page_id, normal, regexp_extract(normal, '^(get|post|put|patch|delete|head|options) ', 1) AS http_method, len(list_filter(string_split(regexp_replace(normal, '^(get|post|put|patch|delete|head|options) ', ''), '/'), lambda x: x <> '')) AS n_segments FROM n")
+@query(rf"""WITH e AS (SELECT page_id, {_RAW} AS raw FROM pages), n AS (SELECT *, {_NORM} AS normal FROM e)
+  SELECT page_id, normal, regexp_extract(normal, '^({_METHODS}) ', 1) AS http_method, len(list_filter(string_split(regexp_replace(normal, '^[^ ]* ', ''), '/'), lambda x: x <> '')) AS n_segments,
+    array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(normal, ' ?, ?', chr(10), 'g'), '\b({_METHODS}) ', concat(chr(10), '\1 '), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), '; ') AS routes FROM n""")
 def endpoint_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     normal = T.endpoint_normal(F.col("raw"))
     rows = table(spark, sf_dir, "pages").select("page_id", F.expr(_RAW).alias("raw"))
-    return rows.select("page_id", normal.alias("normal"), T.endpoint_method(normal).alias("http_method"), F.size(T.endpoint_segments(normal)).cast("bigint").alias("n_segments"))
+    return rows.select("page_id", normal.alias("normal"), T.endpoint_method(normal).alias("http_method"), F.size(T.endpoint_segments(normal)).cast("bigint").alias("n_segments"), F.array_join(T.endpoints_named(F.col("raw")), "; ").alias("routes"))
 
 
 _CAT = "concat(CASE o_orderkey % 4 WHEN 0 THEN 'SQL_injection' WHEN 1 THEN 'code injection' WHEN 2 THEN 'Injection' ELSE 'access-control' END)"
@@ -124,13 +127,15 @@ def category_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", category.alias("category"), F.coalesce(F.element_at(aliases, category), category).alias("canonical"), T.category_match(F.col("a"), F.col("b")).alias("matches"))
 
 
-@query("""SELECT doc_id, concat('ev-', substr(sha256(concat(source, chr(31), lang)), 1, 12)) AS evidence_id, concat('finding-', substr(sha256(concat(lang, chr(31), source, chr(31), doc_id)), 1, 16)) AS finding_id,
-  concat(trim(regexp_replace(lower(concat(lang, '/', source, ' ', doc_id)), '[^0-9a-z]+', '-', 'g'), '-'), '-', substr(sha256(source), 1, 16)) AS unit_slug, sha256(text) AS content FROM documents""")
+@query(r"""WITH t AS (SELECT *, concat('src\', lang, '/', source, ' ', doc_id, '.PY') AS path, substr(coalesce(text, ''), 1, 100) AS title FROM documents), u AS (SELECT *, replace(path, '\', '/') AS whole, trim(regexp_replace(title, '[^\p{L}\p{N}]', '-', 'g'), '-') AS plain FROM t)
+  SELECT doc_id, concat('ev-', substr(sha256(concat(source, chr(31), lang)), 1, 12)) AS evidence_id, concat('finding-', substr(sha256(concat(lang, chr(31), source, chr(31), doc_id)), 1, 16)) AS finding_id,
+    concat(substr(trim(regexp_replace(lower(whole), '[^0-9a-z]+', '-', 'g'), '-'), 1, 64), '-', substr(sha256(whole), 1, 16)) AS unit_slug, substr(CASE WHEN plain = '' THEN 'finding' ELSE lower(plain) END, 1, 80) AS finding_slug, sha256(text) AS content FROM u""")
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat("lang", F.lit("/"), "source", F.lit(" "), F.col("doc_id").cast("string"))
+    """Identities of files and findings; the beginning of a text stands for a finding's title."""
+    path = F.concat(F.lit("src\\"), "lang", F.lit("/"), "source", F.lit(" "), F.col("doc_id").cast("string"), F.lit(".PY"))
     return table(spark, sf_dir, "documents").select(
         "doc_id", T.short_hash("ev-", 12, F.col("source"), F.col("lang")).alias("evidence_id"), T.short_hash("finding-", 16, F.col("lang"), F.col("source"), F.col("doc_id").cast("string")).alias("finding_id"),
-        F.concat(T.slug(name), F.lit("-"), F.substring(F.sha2("source", 256), 1, 16)).alias("unit_slug"), F.sha2("text", 256).alias("content"),
+        T.unit_slug(path).alias("unit_slug"), T.finding_slug(F.substring("text", 1, 100)).alias("finding_slug"), F.sha2("text", 256).alias("content"),
     )
 
 

@@ -164,12 +164,6 @@ def test_diff_paths(spark, text, path):
     assert spark.createDataFrame([(text,)], "t string").select(diffs.path_of(F.col("t")).alias("p")).first().p == path
 
 
-def test_symbols(spark):
-    code = "def handler(x):\n    return loader(x)\n# comment call_me()\nclass Thing:\n    pass\nshort()\n"
-    r = spark.createDataFrame([(code,)], "t string").select(diffs.definitions(F.col("t")).alias("d"), diffs.calls(F.col("t")).alias("c")).first()
-    assert r.d == ["Thing", "handler"] and r.c == ["loader", "short"]
-
-
 @pytest.mark.parametrize(
     "text,want",
     [
