@@ -49,6 +49,7 @@ PACK = 256
 PART_BYTES = 32 << 20
 #: Rows among which one task may meet all places of one prefix.
 SALT_ROWS = 4 << 20
+MULTIPLIER = 0x9E3779B97F4A7C15
 #: Words whose hashes a task remembers.
 REMEMBERED = 1 << 19
 
@@ -62,12 +63,16 @@ class _WordHashes(dict):
 
 
 def prefix_hashes(words: list[bytes], n: int, known: _WordHashes) -> np.ndarray:
-    """A 64-bit hash of the n words from each place on."""
-    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    count = max(0, len(h) - n + 1)
-    out = np.zeros(count, dtype=np.uint64)
-    for k in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + count]
+    """A 64-bit hash of the n words from each place on, put together from those of 1, 2, 4 ... words."""
+    one = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    count = max(0, len(one) - n + 1)
+    out, done, size = np.zeros(count, dtype=np.uint64), 0, 1
+    while count and size <= n:
+        if n & size:  # the places after what is done
+            out = out * np.uint64(pow(MULTIPLIER, size, 1 << 64)) + one[done : done + count]
+            done += size
+        one = one[:-size] * np.uint64(pow(MULTIPLIER, size, 1 << 64)) + one[size:]
+        size *= 2
     out ^= out >> np.uint64(31)
     return out * np.uint64(0xBF58476D1CE4E5B9) ^ (out >> np.uint64(29))
 
@@ -114,6 +119,14 @@ def _stretches(sorted_values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[:-1], edge[1:], strict=True)) if len(sorted_values) else []
 
 
+def _signed(h: int) -> int:
+    return h - (h >> 63 << 64)
+
+
+def _hashed(words: list[bytes]) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
+
+
 def _codes(hashes: np.ndarray, parts: int) -> np.ndarray:
     """The part (high half) and what is left of a hash."""
     return ((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(parts)) << np.uint64(32) | hashes >> np.uint64(32)
@@ -229,8 +242,8 @@ def runs_of(texts: DataFrame, shape: Shape, parts: int, id_type: str) -> DataFra
 
 
 def excerpts_of(texts: DataFrame, shape: Shape, id_type: str) -> DataFrame:
-    """prefix and excerpt (hashes), place (whose start is the first window's number) and n (windows) of each anchor in runs. texts: none, id, file, row, text, cuts."""
-    schema = f"prefix bigint, excerpt bigint, none boolean, id {id_type}, file bigint, row bigint, start bigint, n bigint"
+    """prefix and excerpt (hashes), place (whose start is the first window's number), n (windows) and offset (of the anchor) of each anchor in runs. texts: none, id, file, row, text, cuts."""
+    schema = f"prefix bigint, excerpt bigint, none boolean, id {id_type}, file bigint, row bigint, start bigint, n int, offset int"
     arrow = _arrow(schema)
 
     def run(batches):
@@ -241,10 +254,8 @@ def excerpts_of(texts: DataFrame, shape: Shape, id_type: str) -> DataFrame:
                 words = text.as_py().encode().split()
                 for cut in cuts:
                     part = words[cut["at"] : cut["at"] + cut["n"]]
-                    hashes, _, first, last = shape.anchored(part, known)
-                    for h, i, j in zip(hashes.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
-                        own = xxhash.xxh3_64_intdigest(b" ".join(part[i : j + shape.window]))
-                        for c, v in zip(columns, (h, own - (own >> 63 << 64), *place, cut["at"] + i, j - i + 1), strict=True):
+                    for h, a, i, j in zip(*(x.tolist() for x in shape.anchored(part, known)), strict=True):
+                        for c, v in zip(columns, (_signed(h), _hashed(part[i : j + shape.window]), *place, cut["at"] + i, j - i + 1, a - i), strict=True):
                             c.append(v)
             yield _batch(columns, arrow)
 
@@ -252,22 +263,20 @@ def excerpts_of(texts: DataFrame, shape: Shape, id_type: str) -> DataFrame:
 
 
 def suffixes_of(texts: DataFrame, shape: Shape, prefixes: tuple[int, ...], id_type: str) -> DataFrame:
-    """Anchored suffixes: prefix hashes, the words from the anchor on, those before it, and where the first window begins. texts: none, id, file, row, text, cuts (start and n of excerpts)."""
+    """Anchored suffixes: prefix hashes, the words from the anchor on, those before it, and where the first window begins. texts: none, id, file, row, text, cuts (start, n and offset of excerpts)."""
     names = [f"prefix{k}" for k in range(len(prefixes))]
     schema = f"{', '.join(f'{c} bigint' for c in names)}, right binary, left binary, n_left int, none boolean, id {id_type}, file bigint, row bigint, start bigint"
     arrow = _arrow(schema)
 
     def run(batches):
-        known = _WordHashes()
         for batch in batches:
             columns: list[list] = [[] for _ in arrow.names]
             for *place, text, cuts in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), batch.column(5).to_pylist(), strict=True):
                 words = text.as_py().encode().split()
                 for cut in cuts:
-                    part = words[cut["start"] : cut["start"] + cut["n"] - 1 + shape.window]
-                    a = int(prefix_hashes(part[: shape.window], shape.prefix, known).argmin())
-                    keys = [int(prefix_hashes(part[a : a + p], p, known).view(np.int64)[0]) for p in prefixes]
-                    for c, v in zip(columns, (*keys, b" ".join([*part[a:], b""]), b" ".join(part[:a]), a, *place, cut["start"]), strict=True):
+                    start, a = cut["start"], cut["start"] + cut["offset"]
+                    right = b" ".join([*words[a : start + cut["n"] - 1 + shape.window], b""])
+                    for c, v in zip(columns, (*(_hashed(words[a : a + p]) for p in prefixes), right, b" ".join(words[start:a]), cut["offset"], *place, start), strict=True):
                         c.append(v)
             yield _batch(columns, arrow)
 
@@ -410,13 +419,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span = lambda a, n: F.struct(a.alias("a"), (a + n).alias("z"))
     again = placed.join(firsts.filter("many > 1").select("digest", "first").hint("merge"), "digest").filter("place <> first").select("place.file", "place.row", F.array(span(F.col("place.at"), F.col("n"))).alias("gone"))
     cuts = firsts.select("first.file", "first.row", F.struct("first.at", "n").alias("cut")).groupBy("file", "row").agg(F.collect_list("cut").alias("cuts"))
-    excerpts = materialise(excerpts_of(texts.join(cuts.hint("merge"), ["file", "row"]), shape, id_type).select("prefix", "excerpt", F.struct("none", "id", "file", "row", "start", "n").alias("place")), "excerpts")
+    excerpts = materialise(excerpts_of(texts.join(cuts.hint("merge"), ["file", "row"]), shape, id_type).select("prefix", "excerpt", F.struct("none", "id", "file", "row", "start", "n", "offset").alias("place")), "excerpts")
     # So with equal surroundings of an anchor. Prefixes that only one of them has are leaves.
     kinds = materialise(excerpts.groupBy("prefix", "excerpt").agg(F.min("place").alias("first"), F.count("*").alias("many")), "kinds")
     copies = excerpts.join(kinds.filter("many > 1").select("prefix", "excerpt", "first").hint("merge"), ["prefix", "excerpt"]).filter("place <> first")
     copies = copies.select("place.file", "place.row", F.array(span(F.col("place.start"), F.col("place.n") - 1 + window)).alias("gone"))
     several = kinds.groupBy("prefix").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("prefix")
-    cuts = kinds.join(several.hint("merge"), "prefix").select("first.file", "first.row", F.struct("first.start", "first.n").alias("cut")).groupBy("file", "row").agg(F.collect_list("cut").alias("cuts"))
+    cuts = kinds.join(several.hint("merge"), "prefix").select("first.file", "first.row", F.struct("first.start", "first.n", "first.offset").alias("cut")).groupBy("file", "row").agg(F.collect_list("cut").alias("cuts"))
     suffixes = materialise(suffixes_of(texts.join(cuts.hint("merge"), ["file", "row"]), shape, lengths, id_type), "suffixes")
     hits = hits_by_prefix(suffixes, shape, len(lengths), large, id_type).select("file", "row", F.transform("starts", lambda k: span(k, F.lit(window))).alias("gone"))
     gone = again.unionByName(copies).unionByName(hits).groupBy("file", "row").agg(F.flatten(F.collect_list("gone")).alias("gone"))
