@@ -80,27 +80,35 @@ def closure(paths: DataFrame) -> DataFrame:
     return paths.select(F.inline(steps)).distinct()
 
 
-def fixpoint(bindings: DataFrame, starts: DataFrame, rounds: int = 64) -> DataFrame:
-    """start, node: where following bindings (node, target) from each start ends: all nodes without a binding that can be reached. Cycles end."""
-    reached = written(starts.select(F.col("node").alias("start"), "node"), "reach")
-    frontier = reached
-    for _ in range(rounds):
-        step = frontier.join(bindings, "node").select("start", F.col("target").alias("node")).distinct().join(reached, ["start", "node"], "left_anti")
-        frontier = written(step, "reach")
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    return reached.join(bindings.select("node").distinct(), "node", "left_anti").select("start", "node")
-
-
-def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def fixpoint(bindings: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, node: where following bindings (node, target) from each start ends: all nodes without a binding that can be reached. Walks that never leave a cycle end nowhere.
+
+    Each round doubles the length of the walks, so a chain takes rounds in the logarithm of its length; once they are as long as there are nodes, whoever still walks is in a cycle.
+    """
+    bound = written(bindings.select("node", "target").distinct(), "bindings")
+    nodes = bound.select("node").distinct()
+    n = nodes.count()
+    ends = nodes.withColumnRenamed("node", "target").withColumn("going", F.lit(True))
+    walks = written(bound.join(ends, "target", "left").select("node", "target", F.coalesce("going", F.lit(False)).alias("going")), "walks")
+    length = 1
+    while length < n and not walks.filter("going").isEmpty():
+        step = walks.select(F.col("node").alias("target"), F.col("target").alias("next"), F.col("going").alias("on"))
+        longer = walks.filter("going").join(step, "target").select("node", F.col("next").alias("target"), F.col("on").alias("going"))
+        after = written(walks.filter("NOT going").unionByName(longer).distinct(), "walks")
+        dropped(walks)
+        walks, length = after, 2 * length
+    begun = starts.select(F.col("node").alias("start")).distinct()
+    moved = begun.join(walks.filter("NOT going").select(F.col("node").alias("start"), F.col("target").alias("node")), "start")
+    stayed = begun.join(nodes.withColumnRenamed("node", "start"), "start", "left_anti").select("start", F.col("start").alias("node"))
+    return moved.unionByName(stayed).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of the component) of every node of the edges: large and small stars until nothing changes."""
     e = written(edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).filter("hi <> lo").distinct(), "stars")
     figures = (F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")))
     before = e.agg(*figures).first()
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = e.unionByName(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = written(both.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m")).select("node", F.least("node", "m").alias("m")), "stars")
         large = written(e.join(least, F.col("lo") == F.col("node")).select("hi", F.col("m").alias("lo")).distinct(), "stars")

@@ -39,7 +39,7 @@ def catalogue(edges: DataFrame, included: DataFrame, files: DataFrame) -> DataFr
 
 
 def shares(rows: DataFrame, by: str, order: list[str], size: str, cap: int) -> DataFrame:
-    """A column share: parts in order get what they need, at most what is left of the cap divided by the parts that are left."""
+    """A column share: parts in order get what they need, at most what is left of the cap divided by the parts that are left. A null size counts as none."""
     counted = rows.withColumn("_parts", F.count("*").over(Window.partitionBy(by)))
     schema = StructType([*counted.schema.fields, StructField("share", LongType())])
     arrow = to_arrow_schema(schema)
@@ -52,7 +52,7 @@ def shares(rows: DataFrame, by: str, order: list[str], size: str, cap: int) -> D
             for k, s, n in zip(batch.column(at_key).to_pylist(), batch.column(at_size).to_pylist(), batch.column(at_parts).to_pylist(), strict=True):
                 if not begun or k != key:
                     key, left, parts, begun = k, cap, n, True
-                share = min(s, left // parts)
+                share = min(s or 0, left // parts)
                 left, parts = left - share, parts - 1
                 out.append(share)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], schema=arrow)

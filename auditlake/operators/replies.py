@@ -41,17 +41,16 @@ def objects_in(text: str) -> Iterator[str]:
 
 
 def parse_object(text: str | None) -> dict | None:
-    """The reply's object: the text itself, a fenced block, or the first balanced braces that parse; trailing commas are forgiven."""
-    text = (text or "")[:SEARCHED].strip()
-    fenced = re.search(r"```(?:json)?\s*(.*?)```", text, re.S)
-    for candidate in (text, fenced[1] if fenced else None):
-        if candidate:
-            try:
-                found = json.loads(candidate)
-            except ValueError:
-                continue
-            return found if isinstance(found, dict) else None
-    for candidate in objects_in(text):
+    """The reply's object: the text itself, a fenced object, or the first balanced braces that parse; trailing commas are forgiven. Texts that are JSON but no object have none."""
+    text = (text or "").strip()[:SEARCHED]
+    try:
+        found = json.loads(text)
+    except ValueError:
+        pass
+    else:
+        return found if isinstance(found, dict) else None
+    fenced = re.search(r"```(?:json)?\s*(\{.*?\})\s*```", text, re.S)
+    for candidate in (*([fenced[1]] if fenced else ()), *objects_in(text)):
         for attempt in (candidate, re.sub(r",\s*([}\]])", r"\1", candidate)):
             try:
                 found = json.loads(attempt)
@@ -63,7 +62,7 @@ def parse_object(text: str | None) -> dict | None:
 
 
 def reply_objects(replies: DataFrame, text_col: str = "text") -> DataFrame:
-    """A column object (JSON text, null if there is none). Texts that are JSON objects as they stand never leave the JVM."""
+    """Columns object (JSON text, null if there is none) and cut: whether only the first SEARCHED characters were searched. Texts that are JSON objects as they stand never leave the JVM and are never cut."""
     direct = F.when(F.trim(text_col).startswith("{"), F.try_parse_json(F.col(text_col)))
 
     @F.pandas_udf("string")
@@ -71,7 +70,9 @@ def reply_objects(replies: DataFrame, text_col: str = "text") -> DataFrame:
         return texts.map(lambda t: None if (o := parse_object(t)) is None else json.dumps(o, sort_keys=True))
 
     easy = replies.withColumn("_v", direct)
-    return easy.filter("_v IS NOT NULL").withColumn("object", F.to_json("_v")).drop("_v").unionByName(easy.filter("_v IS NULL").drop("_v").withColumn("object", search(F.col(text_col))))
+    found = easy.filter("_v IS NOT NULL").withColumn("object", F.to_json("_v")).drop("_v").withColumn("cut", F.lit(False))
+    rest = easy.filter("_v IS NULL").drop("_v").withColumn("object", search(F.col(text_col)))
+    return found.unionByName(rest.withColumn("cut", F.coalesce(F.length(F.trim(text_col)) > SEARCHED, F.lit(False))))
 
 
 def contract_ok(obj: Column, required: list[str], optional: list[str] = ()) -> Column:
@@ -94,43 +95,64 @@ def citations(text: Column) -> Column:
     return F.filter(F.zip_with(names, lines, lambda p, n: F.struct(p.alias("path"), n.try_cast("int").alias("line"))), lambda x: x["line"].isNotNull())
 
 
+#: The ratio from which long texts count as one, and the characters of a long one.
 SIMILAR, LEAST_SIMILAR_CHARS = 0.92, 120
 
 
-def distinct_blocks(evidence: str) -> list[str]:
-    """Blocks of evidence (parted by blank lines or "; ") without those that repeat a kept one: equal words, or long and similar ones. Headings stay."""
-    kept, words = [], []
-    for block in re.split(r"\n\s*\n|; ", evidence or ""):
-        block = block.strip()
-        if not block:
-            continue
-        if block.startswith("#"):
+def compared_words(block: str) -> str:
+    """What blocks are compared by: lower-case words, without the headings at the beginning unless there is nothing else."""
+    lines = block.splitlines()
+    start = next((k for k, line in enumerate(lines) if not line.lstrip().startswith("#")), len(lines))
+    return " ".join(re.findall(r"\w+", ("\n".join(lines[start:]).strip() or block).lower()))
+
+
+def alike(known: str, words: str) -> bool:
+    """Equal words, or long ones that hardly differ. Cheap upper bounds of the ratio go first."""
+    if words == known:
+        return True
+    if len(words) < LEAST_SIMILAR_CHARS:
+        return False
+    m = difflib.SequenceMatcher(None, words, known)
+    return m.real_quick_ratio() >= SIMILAR and m.quick_ratio() >= SIMILAR and m.ratio() >= SIMILAR
+
+
+def distinct_blocks(evidence: str | None) -> tuple[list[str], str]:
+    """Blocks of evidence without those that repeat an earlier one, and what joins them.
+
+    Blank lines part blocks; only where there are none, "; " does. Blocks that begin with a heading stay, but count among those that others repeat. Blocks without words go.
+    """
+    body = (evidence or "").strip()
+    joint = next((j for j in ("\n\n", "; ") if j in body), "")
+    if not joint:
+        return [body] * bool(body), joint
+    kept, seen = [], []
+    for block in filter(None, (b.strip() for b in (re.split(r"\n{2,}", body) if joint == "\n\n" else body.split(joint)))):
+        words = compared_words(block)
+        again = not words or any(alike(known, words) for known in seen)
+        if not again:
+            seen.append(words)
+        if not again or block.startswith("#"):
             kept.append(block)
-            continue
-        w = " ".join(re.findall(r"\w+", block.lower()))
-        if any(w == k or (min(len(w), len(k)) >= LEAST_SIMILAR_CHARS and difflib.SequenceMatcher(None, k, w).ratio() >= SIMILAR) for k in words):
-            continue
-        kept.append(block)
-        words.append(w)
-    return kept
+    return kept, joint
 
 
 def fuzzy_evidence(rows: DataFrame, text_col: str) -> DataFrame:
-    """A column blocks: one row's distinct evidence blocks. The comparison is within one finding's text."""
+    """Columns blocks (one row's distinct blocks of evidence) and joined. The comparison is within one finding's text."""
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(distinct_blocks)
+    @F.pandas_udf("struct<blocks:array<string>,joined:string>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [distinct_blocks(t) for t in texts]
+        return pd.DataFrame({"blocks": [b for b, _ in found], "joined": [j.join(b) for b, j in found]})
 
-    return rows.withColumn("blocks", run(F.col(text_col)))
+    return rows.withColumn("_e", run(F.col(text_col))).withColumns({"blocks": F.col("_e.blocks"), "joined": F.col("_e.joined")}).drop("_e")
 
 
 def windows_of(text: str, cap: int, overlap: int) -> list[tuple[int, int]]:
     """[start, end) windows of a text: each ends at the last line start without indent within the cap, else at the cap with an overlap to the next."""
     out, start = [], 0
     while len(text) - start > cap:
-        cuts = [m.start() + 1 for m in re.finditer(r"\n(?=\S)", text[start : start + cap])]
-        if cuts and cuts[-1] > 0:
+        cuts = [m.end() for m in re.finditer(r"\n(?=\S)", text[start : start + cap + 1])]  # a line may start right at the cap
+        if cuts:
             end = start + cuts[-1]
             nxt = end
         else:

@@ -17,7 +17,7 @@ Range = tuple[str, int, int]
 
 
 def within_budget(rows: DataFrame, by: str, order: list[str], size: str, cap: int) -> DataFrame:
-    """A column taken: rows in order are taken while their total stays within the cap; the first always, one that doesn't fit is passed over.
+    """A column taken: rows in order are taken while their total stays within the cap; the first always, one that doesn't fit is passed over. A null size counts as none.
 
     Streams each group in order and holds one total.
     """
@@ -33,6 +33,7 @@ def within_budget(rows: DataFrame, by: str, order: list[str], size: str, cap: in
                 first = not begun or k != key
                 if first:
                     key, total, begun = k, 0, True
+                s = s or 0
                 fits = first or total + s <= cap
                 total += s * fits
                 taken.append(fits)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, modules
 from ..sources.adapters import EDGES_SQL, edges, table, view, view_sql
 from .catalogue import query
 
@@ -53,6 +53,28 @@ def symbol_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fixpoint(b, customer.selectExpr("concat('c', c_custkey) AS node")).withColumnRenamed("start", "origin")
 
 
+#: Modules made of the parts: each defines a name, binds one of another module's names, its default one or a whole module, and some pass on all names of another.
+_BINDINGS = """SELECT concat('m', p_partkey) AS file, CASE p_partkey % 5 WHEN 0 THEN '*' WHEN 1 THEN 'default' ELSE concat('g', p_partkey % 5) END AS name, concat('m', CASE p_partkey % 5 WHEN 1 THEN p_partkey ELSE (p_partkey * 7 + p_size) % 150 END) AS source_file,
+  CASE p_partkey % 5 WHEN 0 THEN '*' WHEN 1 THEN concat('f', p_partkey % 3) WHEN 2 THEN concat('g', p_size % 5) WHEN 3 THEN CASE WHEN p_size % 2 = 0 THEN 'default' ELSE '*' END ELSE concat('f', p_size % 3) END AS source_name FROM part"""
+_DEFINED = "SELECT concat('m', p_partkey) AS file, concat('f', p_partkey % 3) AS name FROM part"
+_USED = "SELECT concat('m', p_partkey) AS file, CASE WHEN p_size % 4 = 0 THEN 'default' WHEN p_size % 2 = 0 THEN concat('f', p_size % 3) ELSE concat('g', p_size % 5) END AS name FROM part"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT DISTINCT * FROM ({_BINDINGS})), d AS (SELECT DISTINCT * FROM ({_DEFINED})), u AS (SELECT DISTINCT * FROM ({_USED})), e AS (SELECT * FROM b ANTI JOIN d USING (file, name) WHERE name <> '*'), s AS (SELECT file, source_file FROM b WHERE name = '*'),
+  w AS (SELECT file, name, file AS f, name AS n FROM u UNION (SELECT w.file, w.name, e.source_file, e.source_name FROM w JOIN e ON e.file = w.f AND e.name = w.n
+    UNION ALL SELECT w.file, w.name, s.source_file, w.n FROM w JOIN s ON s.file = w.f WHERE w.n NOT IN ('default', '*') AND (w.f, w.n) NOT IN (SELECT (file, name) FROM d) AND (w.f, w.n) NOT IN (SELECT (file, name) FROM e))),
+  x AS (SELECT w.file, w.name, w.f, w.n FROM w WHERE n = '*' OR (f, n) IN (SELECT (file, name) FROM d))
+  SELECT u.file, u.name, count(f) AS n_ends, min(f || ':' || n) AS first_end FROM u LEFT JOIN x ON x.file = u.file AND x.name = u.name GROUP BY u.file, u.name""")
+def names_across_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each used name is defined: how many ends it has, and the first."""
+    part = table(spark, sf_dir, "part")
+    rows = lambda sql: spark.sql(sql.replace("FROM part", "FROM {part}"), part=part)
+    starts = rows(_USED).distinct()
+    ends, _ = modules.resolve_names(starts, rows(_BINDINGS), rows(_DEFINED))
+    counted = ends.groupBy("file", "name").agg(F.count("*").alias("n_ends"), F.min(F.concat_ws(":", "target_file", "target_name")).alias("first_end"))
+    return starts.join(counted, ["file", "name"], "left").select("file", "name", F.coalesce("n_ends", F.lit(0)).cast("bigint").alias("n_ends"), "first_end")
+
+
 #: Rounds in which the SQL hands on the smallest node seen; the tables' graphs are less wide than that.
 _WIDTH = 12
 _SPREAD = ", ".join(f"r{k + 1} AS (SELECT r{k}.node, least(any_value(r{k}.root), coalesce(min(n.root), any_value(r{k}.root))) AS root FROM r{k} LEFT JOIN s ON s.a = r{k}.node LEFT JOIN r{k} n ON n.node = s.b GROUP BY r{k}.node)" for k in range(_WIDTH))

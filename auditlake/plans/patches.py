@@ -108,7 +108,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Up to the last line feed before a line that begins without white space.
-_LAST_LINE = r"length(regexp_extract(substr(text, {0} + 1, 2000), '(?s)^(.*\n)[^\t-\r \x1c-\x1f\x{85}\x{a0}]', 1))"
+_LAST_LINE = r"length(regexp_extract(substr(text, {0} + 1, 2001), '(?s)^(.*\n)[^\t-\r \x1c-\x1f\x{85}\x{a0}]', 1))"
 
 
 @query(f"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS (SELECT doc_id, 0 AS k, CAST(0 AS BIGINT) AS start, length(text) AS n, {_LAST_LINE.replace("{0}", "0")} AS cut FROM t
@@ -122,4 +122,4 @@ def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's turns as blocks of one finding's evidence."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("evidence"))
-    return replies.fuzzy_evidence(rows, "evidence").select("conv_id", F.size("blocks").alias("n_blocks"), F.array_join("blocks", "\n\n").alias("evidence"))
+    return replies.fuzzy_evidence(rows, "evidence").select("conv_id", F.size("blocks").alias("n_blocks"), F.col("joined").alias("evidence"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import knowledge, packing
+from ..operators import knowledge, packing, sinks
 from ..sources.adapters import table, view, view_sql
 from .catalogue import query
 
@@ -139,11 +139,12 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT source, sha256(string_agg(concat(doc_id, ':', sha256(text)), chr(10) ORDER BY doc_id)) AS fingerprint, count(*) AS files FROM documents GROUP BY source""")
+@query("""WITH f AS (SELECT source, CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS text FROM documents), n AS (SELECT source, CAST(ceil(count(*) / 16) AS BIGINT) AS n FROM f GROUP BY source),
+  l AS (SELECT source, CAST(concat('0x', substr(sha256(path), 1, 8)) AS BIGINT) % n AS s, path, concat(path, ':', sha256(text)) AS line FROM f JOIN n USING (source)), p AS (SELECT source, s, sha256(string_agg(line, chr(10) ORDER BY path)) AS h, count(*) AS n FROM l GROUP BY source, s)
+  SELECT source, sha256(concat('1', chr(10), 'web', chr(10), string_agg(h, chr(10) ORDER BY s))) AS fingerprint, CAST(sum(n) AS BIGINT) AS files FROM p GROUP BY source""")
 def source_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256)).alias("line"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "\n")
-    return rows.groupBy("source").agg(F.sha2(joined, 256).alias("fingerprint"), F.count("*").alias("files"))
+    """Each source is a tree; stretches are short here, so that every tree has several."""
+    return sinks.fingerprints(table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("path"), "text"), ["source"], "web", stretch=16)
 
 
 @query(r"""SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, length(substr(text, 1, 200)) - length(replace(substr(text, 1, 200), chr(10), '')) + 1 AS line_at_200,

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from auditlake.operators import findings, intervals, packing, reports
@@ -66,11 +68,30 @@ def test_breakdown_and_reports(spark):
     assert [x.ord for x in r.orderBy(*reports.report_order()).collect()][0] == 0
     s = reports.sarif_results(r).orderBy("ord").collect()
     assert [(x.level, x.rule_index, x.start_line) for x in s] == [("error", 0, 42), ("warning", 1, 10)]
-    assert reports.sarif_json(r).count() == 2
     named = reports.unique_names(r.withColumn("base", F.lit("n")), F.col("base"), [F.col("ord")])
     assert [x.name for x in named.orderBy("ord").collect()] == ["n", "n-2", "n-3"]
 
 
+def free_names(bases):
+    """Brute force: the least free number for each base in turn."""
+    used, out = set(), []
+    for b in bases:
+        name, k = b, 2
+        while name in used:
+            name, k = f"{b}-{k}", k + 1
+        used.add(name)
+        out.append(name)
+    return out
+
+
+def test_names_are_free_where_bases_look_like_them(spark):
+    rng = random.Random(4)
+    for bases in (["a", "a", "a-2"], ["a-2", "a", "a", "a"], ["a", "a-2", "a-2", "a", "a-2-2", "b"], [rng.choice(["x", "x-2", "x-3", "x-2-2", "y", "z-9"]) for _ in range(60)]):
+        rows = spark.createDataFrame(list(enumerate(bases)), "ord bigint, base string")
+        got = [x.name for x in reports.unique_names(rows, F.col("base"), [F.col("ord")]).orderBy("ord").collect()]
+        assert got == free_names(bases) and len(set(got)) == len(got)
+
+
 def test_intervals(spark):
     d = spark.createDataFrame([("f", 0, 100), ("f", 20, 60), ("f", 101, 110), ("g", 5, 5)], "file string, lo int, hi int")
     assert sorted(map(tuple, intervals.merge(d, ["file"]).collect())) == [("f", 0, 110), ("g", 5, 5)]

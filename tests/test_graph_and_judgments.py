@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import backtest, contracts, diffs, graph, replies, rounds, scoring, verification
+from auditlake.operators import backtest, contracts, diffs, graph, modules, replies, rounds, scoring, verification
 
 
 def edges(spark, *pairs, kind="call"):
@@ -180,8 +180,75 @@ def test_reply_contract(spark):
     assert [x.ok for x in d.select(replies.contract_ok(F.col("o"), ["findings"], ["notes"]).alias("ok")).collect()] == [True, False, False, False]
 
 
-def test_evidence_and_windows():
-    long = "word " * 60
-    assert replies.distinct_blocks(f"# h\n\n{long}\n\n{long.upper()}; other; # h") == ["# h", long.strip(), "other", "# h"]
-    w = replies.windows_of("a\nb\n c\nd" * 3, 8, 2)
-    assert w[0][0] == 0 and w[-1][1] == 24 and all(b - a <= 8 for a, b in w) and all(x[1] >= y[0] for x, y in zip(w, w[1:], strict=False))
+LONG = "word " * 60
+
+
+@pytest.mark.parametrize(
+    "text,blocks,joint",
+    [
+        ("first; part\n\nsecond block", ["first; part", "second block"], "\n\n"),  # blank lines go before "; "
+        ("one; two; ONE!; two", ["one", "two"], "; "),
+        ("one", ["one"], ""), (None, [], ""), ("  ", [], ""),
+        ("a\n \nb", ["a\n \nb"], ""),  # a line of blanks parts nothing
+        ("# Cause\nthe same\n\nthe same\n\n# Cause\nthe same", ["# Cause\nthe same", "# Cause\nthe same"], "\n\n"),  # headings stay and count
+        ("# Only\n\n# Only\n\nonly", ["# Only", "# Only"], "\n\n"),
+        ("---\n\nx\n\n!!!", ["x"], "\n\n"),  # blocks without words
+        (f"{LONG}end\n\n{LONG.upper()}End\n\n{LONG}and", [f"{LONG}end"], "\n\n"),
+        ("short words\n\nshort word", ["short words", "short word"], "\n\n"),
+        (f"{LONG}\n\n{'other ' * 15}", [LONG.strip(), ("other " * 15).strip()], "\n\n"),
+    ],
+)
+def test_distinct_blocks(text, blocks, joint):
+    assert replies.distinct_blocks(text) == (blocks, joint)
+
+
+def slow_windows(text, cap, overlap):
+    starts = [i for i, c in enumerate(text) if not c.isspace() and (i == 0 or text[i - 1] == "\n")]
+    out, at = [], 0
+    while at + cap < len(text):
+        inside = [b for b in starts if at < b <= at + cap]
+        out.append((at, inside[-1] if inside else at + cap))
+        at = inside[-1] if inside else at + cap - overlap
+    return [*out, (at, len(text))]
+
+
+def test_windows_end_at_lines():
+    assert replies.windows_of("a" * 9 + "\n" + "b" * 5, 10, 2) == [(0, 10), (10, 15)]  # a line that begins at the cap
+    assert replies.windows_of("", 8, 2) == [(0, 0)] and replies.windows_of("a" * 8, 8, 2) == [(0, 8)]
+    rng = random.Random(2)
+    for _ in range(400):
+        text = "".join(rng.choice("ab\n\n \t") for _ in range(rng.randrange(90)))
+        assert replies.windows_of(text, 12, 3) == slow_windows(text, 12, 3)
+
+
+def test_cut_replies_say_so(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, '{"a": 1}' + " " * 50), (2, "x" * 30 + '{"b": 2}'), (3, 'x {"c": 3}'), (4, None)], "id int, text string")
+    monkeypatch.setattr(replies, "SEARCHED", 20)
+    got = {r.id: (r.object, r.cut) for r in replies.reply_objects(rows).collect()}
+    assert got[1] == ('{"a":1}', False) and got[2][1] and got[3][1] is False and got[4] == (None, False)
+
+
+def test_long_chains_and_cycles_end(spark):
+    n = 300
+    chain = spark.range(n).selectExpr("concat('n', id) AS node", "concat('n', id + 1) AS target")
+    loop = spark.createDataFrame([("p", "q"), ("q", "p"), ("q", "out"), ("r", "r"), ("s", "p"), ("s", "end")], "node string, target string")
+    got = {(r.start, r.node) for r in graph.fixpoint(chain.union(loop), nodes(spark, "n0", "n299", "p", "r", "s", "free")).collect()}
+    assert got == {("n0", "n300"), ("n299", "n300"), ("p", "out"), ("s", "out"), ("s", "end"), ("free", "free")}
+
+
+def test_names_across_modules(spark):
+    s = "file string, name string, source_file string, source_name string"
+    chain = [(f"m{k}", "x", f"m{k + 1}", "x") for k in range(200)]
+    bindings = [
+        *chain, ("bar", "*", "a", "*"), ("bar", "*", "b", "*"), ("top", "*", "bar", "*"), ("bar", "shadow", "c", "deep"), ("a", "default", "a", "main"), ("use", "Main", "a", "default"), ("use", "ns", "b", "*"),
+        ("l1", "*", "l2", "*"), ("l2", "*", "l1", "*"), ("e1", "y", "e2", "y"), ("e2", "y", "e1", "y"), ("l2", "*", "b", "*"), ("c", "own", "b", "own"),
+    ]
+    definitions = [("m200", "x"), ("a", "main"), ("a", "both"), ("b", "both"), ("b", "own"), ("c", "own"), ("c", "deep"), ("a", "shadow"), ("b", "only")]
+    starts = [("m0", "x"), ("top", "both"), ("top", "shadow"), ("top", "default"), ("use", "Main"), ("use", "ns"), ("l1", "only"), ("e1", "y"), ("c", "own"), ("top", "none"), ("a", "main")]
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    ends, gaps = modules.resolve_names(rows(starts, "file string, name string"), rows(bindings, s), rows(definitions, "file string, name string"))
+    got = {tuple(r) for r in ends.collect()}
+    assert got == {
+        ("m0", "x", "m200", "x"), ("top", "both", "a", "both"), ("top", "both", "b", "both"), ("top", "shadow", "c", "deep"), ("use", "Main", "a", "main"), ("use", "ns", "b", "*"), ("l1", "only", "b", "only"), ("c", "own", "c", "own"), ("a", "main", "a", "main"),
+    }
+    assert {tuple(r) for r in gaps.collect()} == {("top", "default"), ("e1", "y"), ("top", "none")}

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import collections
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import context, diffs, facts, findings, graph, scoring, sinks, units
+from auditlake.operators import context, diffs, facts, findings, graph, grounding, scoring, sinks, units
 from tests.conftest import DATA
 
 
@@ -118,15 +119,56 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(0, "x", "b.py", 3, "LOW"), (1, "y", "a.py", None, "CRITICAL")], "ord bigint, category string, file string, line int, severity string")
     sinks.write_text(rows, str(tmp_path / "t"))
     assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["[CRITICAL] a.py y", "[LOW] b.py:3 x"]
-    sinks.write_json(rows, str(tmp_path / "j"))
-    assert spark.read.json(str(tmp_path / "j")).count() == 2
-    sinks.write_sarif(rows, str(tmp_path / "s"))
-    assert spark.read.json(str(tmp_path / "s")).select("ruleId").count() == 2
+    whole = lambda name: json.loads("".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*"))))
+    sinks.write_json(rows, str(tmp_path / "j"), {"name": "x"})
+    report = whole("j")
+    assert [f["file"] for f in report["findings"]] == ["a.py", "b.py"] and report["findings"][0]["line"] is None
+    assert report["summary"] == {"CRITICAL": 1, "HIGH": 0, "MEDIUM": 0, "LOW": 1} and report["target"] == {"name": "x"}
+    rows = rows.unionByName(spark.createDataFrame([(2, "", "c.py", 7, "HIGH"), (3, "x", "d.py", 0, "low"), (4, "z", "", 1, "LOW")], rows.schema))
+    sinks.write_sarif(rows, str(tmp_path / "s"), "tool")
+    log = whole("s")
+    run = log["runs"][0]
+    assert log["version"] == "2.1.0" and [r["id"] for r in run["tool"]["driver"]["rules"]] == ["y", "security", "x"]
+    assert [(r["ruleId"], r["ruleIndex"], r["level"], r["message"]["text"]) for r in run["results"]] == [("y", 0, "error", "y"), ("security", 1, "error", "security finding"), ("x", 2, "note", "x"), ("x", 2, "note", "x")]
+    places = [r["locations"][0]["physicalLocation"] for r in run["results"]]
+    assert [p.get("region") for p in places] == [None, {"startLine": 7}, {"startLine": 3}, None] and places[0]["artifactLocation"] == {"uri": "a.py"}
+    sinks.write_json(rows.filter("false"), str(tmp_path / "j0"))
+    assert whole("j0") == {"findings": [], "summary": {"CRITICAL": 0, "HIGH": 0, "MEDIUM": 0, "LOW": 0}}
+    sinks.write_sarif(rows.filter("false"), str(tmp_path / "s0"))
+    assert whole("s0")["runs"][0]["results"] == []
+    sinks.write_markdown(rows, str(tmp_path / "m"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "m").glob("part-*")))
+    assert "1 critical, 1 high, 0 medium, 3 low." in text and text.index("### CRITICAL y `a.py`") < text.index("### HIGH `c.py:7`") < text.index("### LOW z ``" if "### LOW z ``" in text else "### LOW")
+    rows = rows.filter("ord < 2")
     sinks.append_log(rows, str(tmp_path / "l"))
     sinks.append_log(rows, str(tmp_path / "l"))
     assert spark.read.json(str(tmp_path / "l")).count() == 4
 
 
+def test_checkpoints_are_whole(spark, tmp_path):
+    path, schema = str(tmp_path / "state"), "unit string, n int"
+    assert sinks.read_checkpoint(spark, path, schema) is None
+    first = spark.createDataFrame([("a", 1)], schema)
+    sinks.write_checkpoint(first, path)
+    reader = sinks.read_checkpoint(spark, path, schema)
+    fails = F.udf(lambda n: 1 // (n - 2), "int")
+    with pytest.raises(Exception, match="division"):
+        sinks.write_checkpoint(spark.createDataFrame([("b", 2)], schema).withColumn("n", fails("n")), path)
+    assert [tuple(r) for r in sinks.read_checkpoint(spark, path, schema).collect()] == [("a", 1)]  # a failed write leaves the old state
+    sinks.write_checkpoint(spark.createDataFrame([("c", 3)], schema), path)
+    assert [tuple(r) for r in reader.collect()] == [("a", 1)]  # a reader that has begun sees its own
+    assert [tuple(r) for r in sinks.read_checkpoint(spark, path, schema).collect()] == [("c", 3)]
+    for k in range(4, 7):
+        sinks.write_checkpoint(spark.createDataFrame([("d", k)], schema), path)
+    assert len(list((tmp_path / "state").glob("version=*"))) == 2 and sinks.read_checkpoint(spark, path, schema).first().n == 6
+
+
+def test_missing_sizes_count_as_none(spark):
+    rows = spark.createDataFrame([("g", 1, 5), ("g", 2, None), ("g", 3, 5), ("g", 4, 1)], "g string, o int, size int")
+    assert [r.taken for r in units.within_budget(rows, "g", ["o"], "size", 6).orderBy("o").collect()] == [True, True, False, True]
+    assert [r.share for r in grounding.shares(rows, "g", ["o"], "size", 8).orderBy("o").collect()] == [2, 0, 3, 1]
+
+
 def test_facts_cache(spark, tmp_path):
     files = spark.createDataFrame([("a.py", "x"), ("b.py", "y")], "path string, text string")
     key = sinks.fingerprint(files, "web")
