@@ -108,13 +108,14 @@ def count_tokens(spark: SparkSession, path: str, kind: np.dtype, end_id: int | N
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k]), pa.array([size // width]), pa.array([ends], pa.list_(pa.int64()))], schema=arrow)
 
     blocks = materialise(dealt.repartition(tasks, "file", "block").mapInArrow(run, schema), "blocks")
+    # Only counts and last ends go through the scan over a file's blocks; the ends stay where they are.
     in_order = Window.partitionBy("file").orderBy("block")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    last = F.get("ends", F.size("ends") - 1)
-    scanned = blocks.select(
-        "file", "total", "ends", last.alias("last"), F.coalesce(F.sum(F.size("ends")).over(so_far), F.lit(0)).alias("base"),
-        F.coalesce(F.max(last).over(so_far), F.lit(-1)).alias("before"), F.lead("block").over(in_order).isNull().alias("final"),
+    narrow = blocks.select("file", "block", F.size("ends").alias("n"), F.get("ends", F.size("ends") - 1).alias("last"))
+    offsets = narrow.select(
+        "file", "block", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("base"), F.coalesce(F.max("last").over(so_far), F.lit(-1)).alias("before"), F.lead("block").over(in_order).isNull().alias("final"),
     )
+    scanned = blocks.join(materialise(offsets, "offsets"), ["file", "block"]).withColumn("last", F.get("ends", F.size("ends") - 1))
     documents = scanned.select("file", "base", "before", "ends", F.posexplode("ends").alias("k", "stop"))
     start = F.when(F.col("k") == 0, F.col("before")).otherwise(F.get("ends", F.col("k") - 1)) + 1
     documents = documents.select("file", (F.col("base") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("stop") - start).alias("n_tokens"), F.lit(True).alias("finished"))

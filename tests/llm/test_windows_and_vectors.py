@@ -10,8 +10,9 @@ import random
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import DataFrameWriter
 
-from auditlake.llm import queries, substring_dedup, vector_codes, whitening
+from auditlake.llm import exact_dedup, queries, substring_dedup, vector_codes, whitening
 from tests.conftest import DATA
 
 # Word windows
@@ -209,3 +210,37 @@ def test_codes_of_nothing(spark):
 def test_vector_queries(spark):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in pq.read_table(f"{DATA}/embeddings.parquet").to_pylist()]
     check_whitened(queries.QUERIES["op12_whitening"](spark, DATA).collect(), rows, 64)
+
+
+# State of exact dedup between calls
+
+
+def test_a_source_given_again_counts_once(spark, tmp_path):
+    state = str(tmp_path / "state")
+    write = lambda name, rows: spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / name)) or str(tmp_path / name)
+    sizes = lambda path: sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(spark, path, state=state).collect())
+    a, b = write("a", [(1, "x"), (2, "x"), (3, "y")]), write("b", [(4, "y"), (5, "z")])
+    first = [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
+    assert sizes(a) == first and sizes(a) == first
+    assert sizes(b) == [(4, 3, 2), (5, 5, 1)]
+    assert sizes(a) == [(1, 1, 2), (2, 1, 2), (3, 3, 2)]
+    write("a", [(6, "z")])  # a file more
+    assert sizes(a) == [(1, 1, 2), (2, 1, 2), (3, 3, 2), (6, 5, 2)]
+
+
+@pytest.mark.parametrize("breaks", ["sources", "stream"])
+def test_a_call_that_broke_off_is_repeated(spark, tmp_path, monkeypatch, breaks):
+    state, path = str(tmp_path / "state"), str(tmp_path / "a")
+    spark.createDataFrame([(1, "x"), (2, "x")], "doc_id bigint, text string").coalesce(1).write.parquet(path)
+
+    def stop(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError, match="lost"):
+        if breaks == "stream":
+            m.setattr(exact_dedup.Deduplicator, "advance", stop)
+        else:  # between the digests and the list of sources
+            mode = DataFrameWriter.mode
+            m.setattr(DataFrameWriter, "mode", lambda self, how: stop() if how == "append" else mode(self, how))
+        exact_dedup.exact_dedup(spark, path, state=state)
+    assert sorted((r.doc_id, r.group_size) for r in exact_dedup.exact_dedup(spark, path, state=state).collect()) == [(1, 2), (2, 2)]
