@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .packing import greedy
 
@@ -12,31 +18,55 @@ IMPACTS = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 MOST_CLASSES, PACK_CHARS = 4, 6000
 
 
-#: Hints without an inner word are matched by a list within the plan; it has at most so many.
-MOST_SHORT = 5000
+#: Hints that one automaton holds; more take several passes over the texts.
+HINTS_PER_PASS = 100_000
 
 
-def select_hints(texts: DataFrame, hints: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per text and class: matched hints' count and the longest one's length. A hint matches where a text contains it, whatever the case.
+def select_hints(texts: DataFrame, hints: DataFrame, id_col: str, text_col: str, per_pass: int = HINTS_PER_PASS) -> DataFrame:
+    """text_id, id, longest, matches: per text and class, the longest matched hint's length and how many match. A hint matches where a text contains it, whatever the case.
 
-    Words inside a hint are whole words of any text that contains it, so a text meets only hints whose longest inner
-    word it has. Hints of one or two words have no such word; they are a short list (checked), looked up in each text.
+    All hints go into one Aho-Corasick automaton that each task builds once and runs over its texts as they are read: no text is shuffled or split into words. Hints are dealt
+    into passes by their hash, so what is sent to tasks at a time is bounded. Null texts and null or empty hints match nothing; hints that a class has twice count twice.
     """
-    split = lambda c: F.split(F.lower(c), r"[^0-9a-z]+", -1)
-    inner = F.filter(F.slice(split(F.col("hint")), 2, F.greatest(F.size(split(F.col("hint"))) - 2, F.lit(0))), lambda w: w != "")
-    longest = F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
-    keyed = hints.filter(F.length("hint") > 0).select("id", F.lower("hint").alias("hint"), longest.alias("word"))
-    held = texts.select(F.col(id_col).alias("text_id"), F.lower(text_col).alias("text"))
-    tokens = held.select("text_id", F.explode(F.array_distinct(split(F.col("text")))).alias("word"))
-    candidates = tokens.join(keyed.filter("word IS NOT NULL"), "word").select("text_id", "id", "hint")
-    found = held.join(candidates, "text_id").filter(F.contains("text", "hint")).select("text_id", "id", "hint")
-    short = keyed.filter("word IS NULL").select("id", "hint").limit(MOST_SHORT + 1).collect()
-    if len(short) > MOST_SHORT:
-        raise ValueError(f"over {MOST_SHORT} hints without an inner word")
-    if short:
-        known = F.array(*(F.struct(F.lit(r["id"]).alias("id"), F.lit(r["hint"]).alias("hint")) for r in short))
-        found = found.unionByName(held.select("text_id", F.inline(F.filter(known, lambda h: F.contains(F.col("text"), h["hint"])))))
-    return found.groupBy("text_id", "id").agg(F.max(F.length("hint")).cast("bigint").alias("longest"), F.count("*").alias("matches"))
+    keyed = hints.filter(F.length("hint") > 0).select("id", F.lower("hint").alias("hint"))
+    passes = max(1, -(-keyed.count() // per_pass))
+    held = texts.select(F.col(id_col).alias("text_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    id_type = hints.schema["id"].dataType.simpleString()
+    schema = StructType([held.schema["text_id"], *StructType.fromDDL(f"id {id_type}, longest bigint, matches bigint").fields])
+    out = None
+    for k in range(passes):
+        rows = keyed.filter(F.pmod(F.xxhash64("hint"), F.lit(passes)) == k).collect()
+        found = _matched(held, [(r["id"], r["hint"]) for r in rows], schema)
+        out = found if out is None else out.unionByName(found)
+    return out if passes == 1 else out.groupBy("text_id", "id").agg(F.max("longest").alias("longest"), F.sum("matches").alias("matches"))
+
+
+def _matched(held: DataFrame, hints: list[tuple], schema: StructType) -> DataFrame:
+    arrow = to_arrow_schema(schema)
+    sent = held.sparkSession.sparkContext.broadcast(hints)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes: dict[str, list] = {}
+        for id_, hint in sent.value:
+            classes.setdefault(hint, []).append(id_)
+        automaton = ahocorasick.Automaton()
+        for hint in classes:
+            automaton.add_word(hint, hint)
+        automaton.make_automaton()
+        for batch in batches:
+            at, ids, longest, matches = [], [], [], []
+            for k, text in enumerate(batch.column(1)):
+                met: dict = {}
+                for hint in {h for _, h in automaton.iter(text.as_py())} if classes else ():
+                    for id_ in classes[hint]:
+                        n, most = met.get(id_, (0, 0))
+                        met[id_] = n + 1, max(most, len(hint))
+                for id_, (n, most) in met.items():
+                    for column, v in zip((at, ids, longest, matches), (k, id_, most, n), strict=True):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, f.type) for c, f in zip((ids, longest, matches), list(arrow)[1:], strict=True))], schema=arrow)
+
+    return held.mapInArrow(run, schema)
 
 
 def relevance() -> list[Column]:

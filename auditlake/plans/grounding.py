@@ -42,11 +42,11 @@ def caller_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.caller_snippets(rows, "source", 3000, 9000).select("source", "doc_id")
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents), r AS (SELECT DISTINCT l_partkey AS file, l_linenumber AS lo, l_linenumber + 1 AS hi FROM lineitem WHERE l_returnflag = 'A')
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents), r AS (SELECT DISTINCT l_partkey AS file, l_linenumber AS lo, l_linenumber + 1 AS hi FROM lineitem)
   SELECT doc_id AS file, string_agg(t, chr(10) ORDER BY line) AS text FROM l WHERE EXISTS (SELECT 1 FROM r WHERE r.file = doc_id AND line BETWEEN lo AND hi) GROUP BY doc_id""")
 def changed_lines_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("file", (F.col("pos") + 1).alias("line"), "text")
-    ranges = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").selectExpr("l_partkey AS file", "l_linenumber AS lo", "l_linenumber + 1 AS hi").distinct()
+    ranges = table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS file", "l_linenumber AS lo", "l_linenumber + 1 AS hi").distinct()
     return grounding.changed_text(lines, ranges)
 
 

@@ -105,9 +105,9 @@ def score_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.result(_checks(spark, sf_dir, "doc_id % 3 <> 0"), ["lang"])
 
 
-@query("""WITH p AS (SELECT l_suppkey AS report, l_partkey AS check_id FROM lineitem WHERE l_returnflag = 'R') SELECT report, min(check_id) AS check_id FROM p GROUP BY report""")
+@query("""SELECT l_suppkey AS report, min(l_partkey) AS check_id FROM lineitem GROUP BY l_suppkey""")
 def clean_check_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.claims(table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("report"), F.col("l_partkey").alias("check_id")))
+    return scoring.claims(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("report"), F.col("l_partkey").alias("check_id")))
 
 
 _PAIRS = "l_suppkey AS benchmark, l_orderkey % 6 AS row_id, l_partkey % 5 AS col_id, (l_orderkey + l_partkey) % 5 AS weight"
@@ -161,12 +161,12 @@ def arm_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.join(backtest.comparable(totals, "arm", ["errors", "incomplete"]).select("arm", "comparable"), "arm")
 
 
-@query("""WITH f AS (SELECT d.source AS ref, CASE WHEN l.quality = 1 THEN 'finding' ELSE 'clean' END AS expectation, CASE WHEN d.doc_id % 2 = 0 THEN 'diff' ELSE 'repository' END AS path FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.doc_id % 3 = 0),
+@query("""WITH f AS (SELECT d.source AS ref, CASE WHEN l.quality = 1 THEN 'finding' ELSE 'clean' END AS expectation, CASE WHEN d.doc_id % 2 = 0 THEN 'diff' ELSE 'repository' END AS path FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
   dims AS (SELECT DISTINCT source AS ref FROM documents UNION ALL SELECT 'unused'), a AS (SELECT ref, count(*) FILTER (expectation = 'finding') AS positive, count(*) FILTER (expectation = 'clean') AS clean, count(*) FILTER (path = 'diff') AS diff, count(*) FILTER (path = 'repository') AS repository FROM f GROUP BY ref)
   SELECT ref, coalesce(positive, 0) AS positive, coalesce(clean, 0) AS clean, coalesce(diff, 0) AS diff, coalesce(repository, 0) AS repository, CASE WHEN coalesce(positive, 0) = 0 THEN 'no positive evidence' WHEN coalesce(clean, 0) = 0 THEN 'no clean evidence' END AS problem FROM dims LEFT JOIN a USING (ref)""")
 def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("ref"))
-    facts = table(spark, sf_dir, "labels").filter("doc_id % 3 = 0").join(documents, "doc_id").select("ref", F.when(F.col("quality") == 1, "finding").otherwise("clean").alias("expectation"), F.when(F.col("doc_id") % 2 == 0, "diff").otherwise("repository").alias("path"))
+    facts = table(spark, sf_dir, "labels").join(documents, "doc_id").select("ref", F.when(F.col("quality") == 1, "finding").otherwise("clean").alias("expectation"), F.when(F.col("doc_id") % 2 == 0, "diff").otherwise("repository").alias("path"))
     dims = documents.select("ref").distinct().unionByName(spark.createDataFrame([("unused",)], "ref string"))
     return backtest.coverage(facts, dims, "ref")
 

@@ -60,9 +60,9 @@ def uncovered_fact_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT coalesce(o.k, l.k) AS k, CASE WHEN l.k IS NULL THEN 'finding without proof' WHEN o.k IS NULL THEN 'proof without finding' ELSE 'both' END AS state
-  FROM (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R') l ON l.k = o.k""")
+  FROM (SELECT DISTINCT o_orderkey AS k FROM orders) o FULL JOIN (SELECT DISTINCT CASE WHEN l_partkey % 2 = 0 THEN l_orderkey ELSE -l_suppkey END AS k FROM lineitem) l ON l.k = o.k""")
 def proof_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.reconcile(table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k")), table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k")), "k")
+    return sinks.reconcile(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), table(spark, sf_dir, "lineitem").select(F.expr("CASE WHEN l_partkey % 2 = 0 THEN l_orderkey ELSE -l_suppkey END").alias("k")), "k")
 
 
 _STATE = "CASE WHEN value > 60 THEN 'required' WHEN value > 2 THEN 'included' ELSE 'omitted' END"
@@ -164,12 +164,12 @@ def unit_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(two).unionByName(callers).groupBy("anchor", "src", "dst").agg(F.min("hop").alias("hop"))
 
 
-@query("""WITH r AS (SELECT user_id AS unit, event_id % 3 = 0 AND value > 50 AS second, concat('ev-', event_id % 40) AS evidence_id FROM events WHERE value > 25), c AS (SELECT concat('ev-', p_partkey) AS evidence_id, p_size * 30 AS size FROM part WHERE p_partkey BETWEEN 1 AND 38),
+@query("""WITH r AS (SELECT event_id // 3 AS unit, event_id % 3 = 0 AND value > 50 AS second, concat('ev-', event_id % 997 + 1) AS evidence_id FROM events), c AS (SELECT concat('ev-', p_partkey) AS evidence_id, p_size * 300 AS size FROM part),
   j AS (SELECT unit, count(DISTINCT second) AS n, count(*) FILTER (size IS NULL) AS unknown, coalesce(sum(size), 0) AS total, count(size) AS n_granted FROM r LEFT JOIN c USING (evidence_id) GROUP BY unit)
   SELECT unit, n_granted, CASE WHEN n > 1 THEN 'second request' WHEN unknown > 0 THEN 'unknown evidence' WHEN total > 20000 THEN 'over budget' ELSE 'granted' END AS state FROM j""")
 def evidence_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "events").filter("value > 25").selectExpr("user_id AS unit", "event_id % 3 = 0 AND value > 50 AS request", "concat('ev-', event_id % 40) AS evidence_id")
-    c = table(spark, sf_dir, "part").filter("p_partkey BETWEEN 1 AND 38").selectExpr("concat('ev-', p_partkey) AS evidence_id", "p_size * 30 AS size")
+    r = table(spark, sf_dir, "events").selectExpr("event_id div 3 AS unit", "event_id % 3 = 0 AND value > 50 AS request", "concat('ev-', event_id % 997 + 1) AS evidence_id")
+    c = table(spark, sf_dir, "part").selectExpr("concat('ev-', p_partkey) AS evidence_id", "p_size * 300 AS size")
     return units.exchange(r, c, 20_000)
 
 
@@ -180,13 +180,13 @@ def proof_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.enrich(view(spark, sf_dir, "candidates_v"), p, "file").select("ord", "evidence")
 
 
-@query("""WITH old AS (SELECT concat('u', doc_id) AS slug, CASE WHEN quality = 1 THEN 'reviewed' ELSE 'open' END AS status FROM labels), wanted AS (SELECT concat('u', doc_id) AS slug FROM documents WHERE doc_id % 3 <> 0), done AS (SELECT concat('u', doc_id) AS slug FROM labels WHERE toxic = 1)
+@query("""WITH old AS (SELECT concat('u', doc_id + 50) AS slug, CASE WHEN quality = 1 THEN 'reviewed' ELSE 'open' END AS status FROM labels), wanted AS (SELECT concat('u', doc_id) AS slug FROM documents), done AS (SELECT concat('u', doc_id) AS slug FROM labels WHERE toxic = 1)
   SELECT slug, CASE WHEN slug IN (SELECT slug FROM done) THEN 'reviewed' ELSE coalesce(status, 'open') END AS status FROM wanted LEFT JOIN old USING (slug)""")
 def worklist_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     slug = F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("slug")
     labels = table(spark, sf_dir, "labels")
-    old = labels.select(slug, F.when(F.col("quality") == 1, "reviewed").otherwise("open").alias("status"))
-    return units.mark_reviewed(units.merge_worklist(old, table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select(slug)), labels.filter("toxic = 1").select(slug))
+    old = labels.select(F.concat(F.lit("u"), (F.col("doc_id") + 50).cast("string")).alias("slug"), F.when(F.col("quality") == 1, "reviewed").otherwise("open").alias("status"))
+    return units.mark_reviewed(units.merge_worklist(old, table(spark, sf_dir, "documents").select(slug)), labels.filter("toxic = 1").select(slug))
 
 
 @query("""WITH k AS (SELECT DISTINCT concat(lang, '/', source) AS path FROM documents WHERE doc_id % 4 = 0), c AS (SELECT doc_id, unnest([concat(lang, '/src', doc_id % 60), concat(lang, '/', source), concat('en/', source)]) AS path, unnest([0, 1, 2]) AS pos FROM documents)

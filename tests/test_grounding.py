@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from auditlake.operators import grounding
+from auditlake.operators import grounding, knowledge
 
 
 def test_catalogue(spark):
@@ -48,3 +48,14 @@ def test_contexts_are_filled_from_whole_texts(spark):
 
     long = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("length(text) BETWEEN 800 AND 3000").select("text").collect()]
     assert any(t.strip() in r.text for r in plans.assembled_context(spark, DATA).collect() for t in long)
+
+
+def test_hints_in_any_number_of_passes(spark):
+    hints = [(1, "Raw SQL"), (1, "sql"), (1, "sql"), (2, "é("), (2, ""), (2, None), (3, "a.b"), (4, "zzz"), (5, " ")]
+    texts = [(1, "uses RAW sql twice: sql"), (2, "É(x) a.b acb"), (3, None), (4, ""), (5, "x" * 50_000 + "zzz"), (6, "again zzz")]
+    want = sorted((i, c, max(map(len, m)), len(m)) for i, t in texts for c in {c for c, _ in hints} if (m := [h for d, h in hints if d == c and h and h.lower() in (t or "").lower()]))
+    t, h = spark.createDataFrame(texts, "doc int, body string"), spark.createDataFrame(hints, "id int, hint string")
+    for per_pass in (1, 3, 100):
+        got = sorted((r.text_id, r.id, r.longest, r.matches) for r in knowledge.select_hints(t, h, "doc", "body", per_pass).collect())
+        assert got == want
+    assert knowledge.select_hints(t, h.filter("false"), "doc", "body").count() == 0
