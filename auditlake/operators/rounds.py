@@ -44,3 +44,16 @@ def replay(prompts: DataFrame, replies: DataFrame, on: list[str]) -> DataFrame:
     """Judgments from a table of recorded replies; a prompt without one gets an error row, never a clean result."""
     out = prompts.join(replies, on, "left")
     return out.withColumn("error", F.when(F.col("text").isNull() | (F.trim("text") == ""), "no reply"))
+
+
+def sibling_outcomes(judgments: DataFrame, by: str) -> DataFrame:
+    """by, judgments, failed, clean, failures of each unit from its judgments (by, place, label, error): a failed one is told with its place among its siblings and leaves theirs standing."""
+    n = F.count("*").over(Window.partitionBy(by))
+    told = F.concat(F.col("error"), F.lit(" [knowledge judgment "), F.col("place").cast("string"), F.lit("/"), F.col("_n").cast("string"), F.lit(" for "), F.col("label"), F.lit("]"))
+    rows = judgments.withColumn("_n", n).groupBy(by).agg(F.count("*").alias("judgments"), F.count("error").alias("failed"), F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("place", told.alias("t"))))).alias("_f"))
+    return rows.select(by, "judgments", "failed", (F.col("failed") == 0).alias("clean"), F.transform("_f", lambda x: x["t"]).alias("failures"))
+
+
+def standing_findings(findings: DataFrame, judgments: DataFrame, by: str) -> DataFrame:
+    """findings (by, place and what they hold) of judgments that didn't fail."""
+    return findings.join(judgments.filter("error IS NULL").select(by, "place"), [by, "place"], "left_semi")

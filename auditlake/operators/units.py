@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .graph import written
+from .graph import components, written
 
 Range = tuple[str, int, int]
 
@@ -195,3 +195,31 @@ def run_until_converged(judge: Callable[[int], DataFrame], key: Column, k: int,
         if len(new) >= k and not any(new[-k:]):
             return pool, new, True
     return pool, new, False
+
+
+def merge_connected_plans(seeds: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """plan, unit: plans that depend on each other's seeds become one unit, named by its first plan. seeds: plan (its place), seed. dependencies: plan, kind, source, target, resolution.
+
+    Exact dependencies join the owners of their source (the plan itself where it has that seed, or nobody has) to the first owner of their target. A call into a plan's own seed from a
+    source that no plan has is left out: whoever calls from outside doesn't bring plans together.
+    """
+    owners = written(seeds.select("plan", "seed").distinct(), "owners")
+    first = owners.groupBy(F.col("seed").alias("target")).agg(F.min("plan").alias("owner"))
+    has = lambda c, name: owners.select("plan", F.col("seed").alias(c), F.lit(True).alias(name))
+    owned = owners.select(F.col("seed").alias("source")).distinct().withColumn("_owned", F.lit(True))
+    d = dependencies.filter("resolution = 'exact'").select("plan", "kind", "source", "target").distinct()
+    d = d.join(has("source", "_own_source"), ["plan", "source"], "left").join(has("target", "_own_target"), ["plan", "target"], "left").join(owned, "source", "left")
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    inbound = (F.col("kind") == "call") & F.col("source").isNotNull() & ~is_("_owned") & is_("_own_target")
+    d = written(d.filter(~F.coalesce(inbound, F.lit(False))).join(first, "target"), "joined")
+    own = is_("_own_source") | ~is_("_owned")
+    others = d.filter(~own).select("source", "owner").distinct().join(owners.select(F.col("seed").alias("source"), "plan"), "source")
+    edges = d.filter(own).select(F.col("plan").alias("src"), F.col("owner").alias("dst")).unionByName(others.select(F.col("plan").alias("src"), F.col("owner").alias("dst"))).distinct()
+    roots = components(edges)
+    return owners.select("plan").distinct().join(roots, F.col("plan") == F.col("node"), "left").select("plan", F.coalesce("root", "plan").alias("unit"))
+
+
+def related_order() -> list[Column]:
+    """Order of related files: required targets, preferred ones, those that share most names with changed peers, direct targets, most required, most names of the seed's text, path."""
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return [~F.col("required"), ~F.col("preferred"), -none("peer_names"), ~F.col("direct"), -none("target_score"), -none("name_hits"), F.col("path")]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import diffs, dimensions, facts, projections, replies, reports, rounds
+from ..operators import diffs, dimensions, facts, projections, replies, reports, rounds, table_functions
 from ..sources.adapters import table, view, view_sql
 from .catalogue import query
 from .patches import NUMBERED
@@ -259,3 +261,30 @@ def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "orders").selectExpr("o_custkey AS run", "o_orderkey AS round", "o_orderkey % 3 AS errors", "o_orderkey % 5 = 0 AS pending")
     failures = r.filter("errors > 0").selectExpr("run", "round", "round % 2 AS index", "2 AS total", "'p' AS paths", "concat('reason ', round % 4) AS reason")
     return rounds.outcome(r, failures, "run")
+
+
+_JUDGED = "SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{7,}')) AS words, doc_id % 17 = 5 AS fails FROM documents"
+
+
+@query(f"""WITH j AS ({_JUDGED}), x AS (SELECT doc_id, unnest(words) AS word, NULL AS error FROM j WHERE NOT fails UNION ALL SELECT doc_id, NULL, 'ValueError: no judgment' FROM j WHERE fails)
+  SELECT doc_id, count(word) AS n_rows, min(word) AS first, max(error) AS error FROM x GROUP BY doc_id""")
+def judged_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge as a table function: rows for each document, an error row where it fails."""
+
+    def judge(doc_id: int, text: str | None):
+        if doc_id % 17 == 5:
+            raise ValueError("no judgment")
+        yield from ((w,) for w in dict.fromkeys(re.findall("[A-Z][a-z]{7,}", text or "")))
+
+    table_functions.register(spark, "judge_document", judge, "word string")
+    sql = "SELECT d.doc_id, j.* FROM {documents} d, LATERAL judge_document(d.doc_id, d.text) j"
+    return spark.sql(sql, documents=table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("word").alias("n_rows"), F.min("word").alias("first"), F.max("error").alias("error"))
+
+
+@query("""WITH j AS (SELECT conv_id AS unit, turn + 1 AS place, role AS label, CASE WHEN length(text) % 4 = 0 THEN concat('failed of ', length(text) % 3) END AS error FROM conversations), n AS (SELECT unit, count(*) AS n, count(error) AS failed FROM j GROUP BY unit)
+  SELECT unit, n AS judgments, failed, failed = 0 AS clean, coalesce((SELECT string_agg(concat(error, ' [knowledge judgment ', place, '/', n.n, ' for ', label, ']'), '; ' ORDER BY place) FROM j WHERE j.unit = n.unit AND error IS NOT NULL), '') AS failures FROM n""")
+def sibling_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation is a unit, its turns are judgments."""
+    error = F.when(F.length("text") % 4 == 0, F.concat(F.lit("failed of "), (F.length("text") % 3).cast("string")))
+    j = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("unit"), (F.col("turn") + 1).alias("place"), F.col("role").alias("label"), error.alias("error"))
+    return rounds.sibling_outcomes(j, "unit").withColumn("failures", F.array_join("failures", "; "))

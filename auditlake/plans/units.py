@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -127,10 +129,32 @@ def chosen_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.evidence_units(rows, "unit", 20)
 
 
-@query("SELECT lang, doc_id, place FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS place FROM documents) WHERE place <= 20")
+_RELATED = {
+    "required": "doc_id % 11 = 0", "preferred": "doc_id % 5 = 0", "peer_names": "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE n_chars % 4 END", "direct": "n_chars % 2 = 0", "target_score": "CASE WHEN doc_id % 11 = 0 THEN 1 END", "name_hits": "n_chars % 7", "path": "concat('src/f', doc_id, '.py')",
+}
+
+
+@query(f"""WITH r AS (SELECT lang, source, doc_id, {", ".join(f"{sql} AS {name}" for name, sql in _RELATED.items())} FROM documents)
+  SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY CASE WHEN required THEN 0 ELSE 1 END, CASE WHEN preferred THEN 0 ELSE 1 END, coalesce(peer_names, 0) DESC, CASE WHEN direct THEN 0 ELSE 1 END, coalesce(target_score, 0) DESC, name_hits DESC, path) AS place FROM r""")
 def related_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("n_chars"), "doc_id")).cast("bigint")
-    return table(spark, sf_dir, "documents").select("lang", "doc_id", place.alias("place")).filter("place <= 20")
+    """The order in which files related to a group's changes are read."""
+    rows = table(spark, sf_dir, "documents").selectExpr("lang", "source", "doc_id", *(f"{sql} AS {name}" for name, sql in _RELATED.items()))
+    return rows.select("lang", "source", "doc_id", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*units.related_order())).cast("bigint").alias("place"))
+
+
+_OWNED = "SELECT DISTINCT p_partkey % (SELECT 3 * max(s_suppkey) + 3 FROM supplier) AS plan, p_partkey AS seed FROM part"
+_DEPENDS = "SELECT l_partkey % (SELECT 3 * max(s_suppkey) + 3 FROM supplier) AS plan, CASE WHEN l_suppkey % 2 = 0 THEN 'call' ELSE 'import' END AS kind, CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN l_partkey WHEN 2 THEN l_partkey + 1 ELSE -l_suppkey END AS source, CASE WHEN l_orderkey % 97 = 0 THEN l_partkey + 7 WHEN l_orderkey % 3 = 0 THEN l_partkey ELSE -1 - l_orderkey END AS target, CASE WHEN l_orderkey % 5 = 0 THEN 'ambiguous' ELSE 'exact' END AS resolution FROM lineitem"
+
+
+@query(f"""WITH RECURSIVE o AS ({_OWNED}), d AS (SELECT DISTINCT * FROM ({_DEPENDS}) WHERE resolution = 'exact'), f AS (SELECT seed, min(plan) AS owner FROM o GROUP BY seed),
+  k AS (SELECT d.*, (d.plan, d.source) IN (SELECT (plan, seed) FROM o) AS own_source, d.source IN (SELECT seed FROM o) AS owned, (d.plan, d.target) IN (SELECT (plan, seed) FROM o) AS own_target FROM d),
+  e AS (SELECT DISTINCT CASE WHEN coalesce(own_source, FALSE) OR NOT coalesce(owned, FALSE) THEN k.plan ELSE s.plan END AS a, f.owner AS b FROM k JOIN f ON f.seed = k.target LEFT JOIN o s ON s.seed = k.source WHERE NOT (kind = 'call' AND k.source IS NOT NULL AND NOT owned AND own_target)),
+  g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), w AS (SELECT DISTINCT plan, plan AS other FROM o UNION SELECT w.plan, g.b FROM w JOIN g ON g.a = w.other) SELECT plan, min(other) AS unit FROM w GROUP BY plan""")
+def merged_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of review that share definitions become one unit. Plans own parts, orders' lines are dependencies."""
+    tables = {n: table(spark, sf_dir, n) for n in ("part", "supplier", "lineitem")}
+    rows = lambda sql: spark.sql(re.sub(r"FROM (part|supplier|lineitem)", r"FROM {\1}", sql), **tables)
+    return units.merge_connected_plans(rows(_OWNED), rows(_DEPENDS))
 
 
 @query("""WITH RECURSIVE t AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS owner FROM part), a AS (SELECT node, owner AS ancestor, 1 AS steps FROM t WHERE owner IS NOT NULL AND owner IN (SELECT node FROM t)
