@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -52,26 +53,67 @@ def union_size(ranges: set[Range]) -> int:
     return total
 
 
+class Cover:
+    """Places covered by half-open ranges: disjoint ones per file in order, so what a range adds is found by search."""
+
+    def __init__(self):
+        self.starts: dict[str, list[int]] = {}
+        self.ends: dict[str, list[int]] = {}
+        self.size = 0
+
+    def _met(self, file: str, start: int, end: int) -> tuple[list[int], list[int], int, int]:
+        starts, ends = self.starts.setdefault(file, []), self.ends.setdefault(file, [])
+        return starts, ends, bisect_left(ends, start), bisect_right(starts, end)
+
+    def growth(self, file: str, start: int, end: int) -> int:
+        """Places of a range that aren't covered yet."""
+        if end <= start:
+            return 0
+        starts, ends, i, j = self._met(file, start, end)
+        return end - start - sum(min(end, ends[k]) - max(start, starts[k]) for k in range(i, j))
+
+    def add(self, file: str, start: int, end: int) -> None:
+        self.size += self.growth(file, start, end)
+        if end > start:
+            starts, ends, i, j = self._met(file, start, end)
+            if i < j:
+                start, end = min(start, starts[i]), max(end, ends[j - 1])
+            starts[i:j], ends[i:j] = [start], [end]
+
+    def pieces(self) -> list[Range]:
+        return [(f, a, b) for f in self.starts for a, b in zip(self.starts[f], self.ends[f], strict=True)]
+
+    @classmethod
+    def of(cls, ranges) -> Cover:
+        out = cls()
+        for r in ranges:
+            out.add(*r)
+        return out
+
+
 def choose_evidence(seeds: list[Range], edges: list[tuple[int, int, Range]], budget: int) -> list[Range]:
     """Seeds first, then by hop and exactness every end of an edge with which the union stays within the budget."""
-    chosen = set(seeds)
+    chosen, cover = set(seeds), Cover.of(seeds)
     for _, _, end in sorted(edges):
-        if end not in chosen and union_size(chosen | {end}) <= budget:
+        if end not in chosen and cover.size + cover.growth(*end) <= budget:
             chosen.add(end)
+            cover.add(*end)
     return sorted(chosen)
 
 
 def pack_plans(plans: list[set[Range]], budget: int) -> list[list[int]]:
     """Plans in order joined into units while the union of their ranges stays within the budget; shared ranges count once."""
     units: list[list[int]] = []
-    merged: set[Range] = set()
+    merged = Cover()
     for k, plan in enumerate(plans):
-        if units and union_size(merged | plan) <= budget:
+        own = Cover.of(plan)
+        if units and merged.size + sum(merged.growth(*piece) for piece in own.pieces()) <= budget:
             units[-1].append(k)
-            merged |= plan
+            for piece in own.pieces():
+                merged.add(*piece)
         else:
             units.append([k])
-            merged = set(plan)
+            merged = own
     return units
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import knowledge, packing, sinks
+from ..operators import knowledge, packing, review, sinks
 from ..sources.adapters import table, view, view_sql
 from .catalogue import query
 
@@ -75,28 +75,19 @@ def path_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FILES} SELECT doc_id, path, regexp_matches(path, '/src1[^/]*/') AS globbed, contains(lower(text), 'password') OR contains(lower(text), 'http') AS marked FROM files_v
   WHERE NOT {_TEST} AND NOT {_SKIP} AND (regexp_matches(path, '/src1[^/]*/') OR ({_EXT} IN ('py', 'js', 'ts', 'go', 'java', 'sol') AND (contains(lower(text), 'password') OR contains(lower(text), 'http'))))""")
 def entrypoint_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, low = F.col("path"), F.lower("text")
-    rows = view(spark, sf_dir, "files_v").select("doc_id", "path", path.rlike("/src1[^/]*/").alias("globbed"), (low.contains("password") | low.contains("http")).alias("marked"))
-    return rows.filter(~P.is_test(path, RULES) & ~P.is_skipped(path, RULES) & (F.col("globbed") | (P.is_source(path, RULES) & F.col("marked"))))
+    found = review.entrypoints(view(spark, sf_dir, "files_v"), F.col("path").rlike("/src1[^/]*/"), ("password", "http"), RULES)
+    return found.select("doc_id", "path", "globbed", "marked")
 
 
-#: A stack profile as data: name, language it belongs to, file glob, content markers.
-STACKS = (("solidity", "en", "*.sol", ("contract", "the ")), ("script", "de", "*.py", ("und", "der ")), ("browser", "fr", "*.js", ("pour", "de ")))
+STACKS = (review.Stack("solidity", ("*.sol",), ("contract", "the ")), review.Stack("script", ("*.py",), ("und", "der ")), review.Stack("browser", ("*.js",), ("pour", "de ")), review.Stack("contracts", ("*.sol",), ()))
 
 
 @query(f"""WITH {FILES}, m AS (SELECT *, (path LIKE '%.sol' OR contains(lower(text), 'contract') OR contains(lower(text), 'the ')) AS solidity, (path LIKE '%.py' OR contains(lower(text), 'und') OR contains(lower(text), 'der ')) AS script,
     (path LIKE '%.js' OR contains(lower(text), 'pour') OR contains(lower(text), 'de ')) AS browser FROM files_v)
   SELECT split_part(split_part(path, '/src', 1), '/', -1) AS root, count(*) FILTER (solidity) AS solidity, count(*) FILTER (script) AS script, count(*) FILTER (browser) AS browser, bool_or(path LIKE '%.sol') AS contracts FROM m GROUP BY 1""")
 def stack_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, low = view(spark, sf_dir, "files_v"), F.lower("text")
-    flags = []
-    for name, _, glob, markers in STACKS:
-        hit = F.col("path").rlike(T.glob_regex(glob))
-        for m in markers:
-            hit = hit | low.contains(m)
-        flags.append(F.count_if(hit).alias(name))
     root = F.substring_index(F.substring_index("path", "/src", 1), "/", -1)
-    return rows.groupBy(root.alias("root")).agg(*flags, F.bool_or(F.col("path").endswith(".sol")).alias("contracts"))
+    return review.stacks(view(spark, sf_dir, "files_v").withColumn("root", root), STACKS, ["root"]).withColumn("contracts", F.col("contracts") > 0)
 
 
 _RAW = "concat(CASE page_id % 3 WHEN 0 THEN 'GET ' WHEN 1 THEN 'post ' ELSE '' END, regexp_replace(url, '^https?://[^/]+', ''), CASE page_id % 5 WHEN 0 THEN '/<id>' WHEN 1 THEN '/{key}?q=1, GET /next' WHEN 2 THEN '(the handler)' || chr(9) || '`x`' ELSE '' END)"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators import context, graph, scoring, sinks, units
+from ..operators import context, graph, review, scoring, sinks, units
 from ..sources.adapters import EDGES_SQL, edges, table, view, view_sql
 from .catalogue import query
 from .texts import _EXT, _SKIP, _TEST, FILES, RULES
@@ -22,7 +22,7 @@ def reviewable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, lang FROM documents WHERE regexp_matches(text, '(?m)^The ') OR regexp_matches(text, '(?m)^D[a-z]+ ')""")
 def exported_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(F.exists(F.array(F.lit("(?m)^The "), F.lit("(?m)^D[a-z]+ ")), lambda p: F.regexp_like("text", p))).select("doc_id", "lang")
+    return review.exporting(table(spark, sf_dir, "documents"), ("(?m)^The ", "(?m)^D[a-z]+ ")).select("doc_id", "lang")
 
 
 #: Units of one review; more are refused, not dropped.
@@ -91,23 +91,18 @@ def numbered_unit_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EDGES_SQL} SELECT kind, resolution, count(*) AS n_edges, count(DISTINCT src) AS n_sources, count(DISTINCT dst) AS n_targets FROM edges_v GROUP BY kind, resolution")
 def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).groupBy("kind", "resolution").agg(F.count("*").alias("n_edges"), F.count_distinct("src").alias("n_sources"), F.count_distinct("dst").alias("n_targets"))
+    return review.graph_summary(edges(spark, sf_dir))
 
 
 @query(f"WITH {EDGES_SQL} SELECT src AS file, string_agg(concat(kind, ' ', dst), chr(10) ORDER BY dst) AS rendered FROM edges_v GROUP BY src")
 def file_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat("kind", F.lit(" "), F.col("dst").cast("string"))
-    return edges(spark, sf_dir).groupBy(F.col("src").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dst", line.alias("line")))), lambda x: x["line"]), "\n").alias("rendered"))
+    return review.rendered_edges(edges(spark, sf_dir))
 
 
 @query(f"""WITH {view_sql("intervals_v")}, d AS (SELECT DISTINCT file, lo, hi FROM intervals_v), x AS (SELECT DISTINCT file, unnest(list_concat(range(lo - 5, lo), range(hi + 1, hi + 6))) AS line FROM d)
   SELECT file, count(*) AS n_context FROM x WHERE line >= 1 AND NOT EXISTS (SELECT 1 FROM d WHERE d.file = x.file AND x.line BETWEEN d.lo AND d.hi) GROUP BY file""")
 def hunk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import intervals
-
-    d = view(spark, sf_dir, "intervals_v").select("file", "lo", "hi").distinct()
-    lines = d.select("file", F.explode(F.concat(F.sequence(F.col("lo") - 5, F.col("lo") - 1), F.sequence(F.col("hi") + 1, F.col("hi") + 5))).alias("line")).filter("line >= 1").distinct()
-    return intervals.members(lines, d, "file", "line", inside=False).groupBy("file").agg(F.count("*").alias("n_context"))
+    return review.context_lines(view(spark, sf_dir, "intervals_v"), 5).groupBy("file").agg(F.count("*").alias("n_context"))
 
 
 @query("""WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
@@ -284,22 +279,21 @@ def match_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, n_findings, row_number() OVER (ORDER BY n_findings DESC, n_kinds DESC, source) AS place FROM (SELECT source, count(*) AS n_findings, count(DISTINCT lang) AS n_kinds FROM documents GROUP BY source)")
 def target_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_findings"), F.count_distinct("lang").alias("n_kinds"))
-    return targets.select("source", "n_findings", F.row_number().over(Window.orderBy(F.desc("n_findings"), F.desc("n_kinds"), "source")).cast("bigint").alias("place"))
+    targets = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("target")).agg(F.count("*").alias("n_findings"), F.count_distinct("lang").alias("n_kinds"))
+    return targets.select(F.col("target").alias("source"), "n_findings", F.row_number().over(Window.orderBy(*review.target_order())).cast("bigint").alias("place"))
 
 
 @query("""SELECT c_custkey, TRY_CAST(c_name AS BIGINT) AS number, TRY_CAST(CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE c_mktsegment END AS BOOLEAN) AS verified, NULLIF(trim(CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE c_mktsegment END), '') AS licence FROM customer""")
 def provenance_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(
-        "c_custkey", F.col("c_name").try_cast("bigint").alias("number"), F.when(F.col("c_custkey") % 3 == 0, "true").otherwise(F.col("c_mktsegment")).try_cast("boolean").alias("verified"),
-        F.nullif(F.trim(F.when(F.col("c_custkey") % 4 == 0, " ").otherwise(F.col("c_mktsegment"))), F.lit("")).alias("licence"),
-    )
+    said = lambda every, word: F.when(F.col("c_custkey") % every == 0, word).otherwise(F.col("c_mktsegment"))
+    fields = {"number": (F.col("c_name"), "bigint"), "verified": (said(3, "true"), "boolean"), "licence": (said(4, " "), "string")}
+    return table(spark, sf_dir, "customer").select("c_custkey", *(review.provenance_value(*v).alias(n) for n, v in fields.items()))
 
 
 @query("""SELECT arm, count(DISTINCT target) = 1 AS same_target, count(DISTINCT n) = 1 AS same_denominator FROM (SELECT user_id % 10 AS arm, user_id AS run, min(event_type) AS target, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY arm""")
 def repeated_run_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("arm"), "user_id").agg(F.min("event_type").alias("target"), F.count("*").alias("n"))
-    return runs.groupBy("arm").agg((F.count_distinct("target") == 1).alias("same_target"), (F.count_distinct("n") == 1).alias("same_denominator"))
+    return review.repeated_contract(runs, "arm")
 
 
 @query("""WITH o AS (SELECT doc_id AS check_id, 'key' AS ref, 2 AS level FROM labels WHERE quality = 0 UNION ALL SELECT doc_id, source, 1 FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, lang, 0 FROM documents) SELECT check_id, arg_max(ref, level) AS ref FROM o GROUP BY check_id""")
@@ -307,12 +301,11 @@ def issue_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     own = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("check_id"), F.lit("key").alias("ref"), F.lit(2).alias("level"))
     o = own.unionByName(d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("check_id"), F.col("source").alias("ref"), F.lit(1).alias("level"))).unionByName(d.select(F.col("doc_id").alias("check_id"), F.col("lang").alias("ref"), F.lit(0).alias("level")))
-    return o.groupBy("check_id").agg(F.max_by("ref", "level").alias("ref"))
+    return review.attribution(o, "check_id")
 
 
 @query("""WITH s AS (SELECT o_orderkey AS run, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'running' ELSE 'failed' END AS state, o_custkey % 2 = 0 AS complete, o_custkey % 5 AS errors FROM orders)
   SELECT run, CASE WHEN state = 'running' THEN 'still running' WHEN complete AND errors > 0 THEN 'complete with errors' WHEN state = 'complete' AND NOT complete THEN 'state without completion' ELSE 'consistent' END AS verdict FROM s""")
 def status_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     state, complete, errors = F.expr("CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'running' ELSE 'failed' END"), F.col("o_custkey") % 2 == 0, F.col("o_custkey") % 5
-    verdict = F.when(state == "running", "still running").when(complete & (errors > 0), "complete with errors").when((state == "complete") & ~complete, "state without completion").otherwise("consistent")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), verdict.alias("verdict"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), review.run_consistency(state, complete, errors).alias("verdict"))

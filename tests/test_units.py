@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import collections
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import context, diffs, facts, findings, graph, grounding, scoring, sinks, units
+from auditlake.functions import paths as P
+from auditlake.operators import context, diffs, facts, findings, graph, grounding, review, scoring, sinks, units
 from tests.conftest import DATA
 
 
@@ -284,3 +286,29 @@ def test_components_of_all_edges(spark):
         root[b] = a
     got = {r.node: r.root for r in graph.components(edges).collect()}
     assert got == {i: find(i) for i in root}
+
+
+def test_covers_grow_as_unions_do():
+    rng = random.Random(3)
+    for _ in range(500):
+        cover, ranges = units.Cover(), set()
+        for _ in range(rng.randrange(1, 25)):
+            a = rng.randrange(40)
+            r = (rng.choice("fg"), a, a + rng.randrange(-1, 9))
+            assert cover.growth(*r) == units.union_size(ranges | {r}) - units.union_size(ranges)
+            cover.add(*r)
+            ranges.add(r)
+            assert cover.size == units.union_size(ranges) == units.union_size(set(cover.pieces()))
+
+
+def test_what_a_review_looks_at(spark):
+    files = spark.createDataFrame([("a.sol", "Contract X"), ("b.py", None), ("c.py", "uses PASSWORD"), ("tests/test_d.py", "password"), ("node_modules/e.py", "password"), ("urls.txt", "x")], "path string, text string")
+    flags = review.stacks(files.withColumn("root", F.lit("r")), (review.Stack("evm", ("*.sol",), ("contract",)), review.Stack("web", (), ("password",))), ["root"]).first()
+    assert (flags.evm, flags.web) == (1, 3)
+    found = review.entrypoints(files, review.named(F.col("path"), ("urls*",)), ("password",), P.PathRules())
+    assert {r.path: (r.globbed, r.marked) for r in found.collect()} == {"c.py": (False, True), "urls.txt": (True, False)}
+    assert [r.path for r in review.exporting(files, ("^Contract", "PASS")).orderBy("path").collect()] == ["a.sol", "c.py"]
+    value_of = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
+    assert [value_of(review.provenance_value(F.lit(v), k)) for v, k in (("7", "bigint"), ("x", "bigint"), ("True", "boolean"), (" ", "string"), (" a ", "string"))] == [7, None, True, None, "a"]
+    states = [("running", False, 0), ("complete", True, 2), ("complete", False, 0), ("complete", True, 0)]
+    assert [value_of(review.run_consistency(F.lit(s), F.lit(c), F.lit(e))) for s, c, e in states] == ["still running", "complete with errors", "state without completion", "consistent"]
