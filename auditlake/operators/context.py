@@ -15,6 +15,15 @@ def numbered_lines(text: Column, first: int = 1) -> Column:
     return F.array_join(F.transform(lines, lambda x, i: F.concat(F.lpad((i + first).cast("string"), width, F.lit(" ")), F.lit(" | "), x)), "\n")
 
 
+def patch_gutter(lines: DataFrame, by: list[str]) -> DataFrame:
+    """by, text: shown lines of patches (by, pos, old_line, new_line, line) behind a gutter old:new, a side that a line isn't on left blank; widths are those of each patch's longest number."""
+    width = lambda c: F.max(F.length(F.col(c).cast("string")))
+    sized = lines.groupBy(*by).agg(F.coalesce(width("old_line"), F.lit(0)).alias("_o"), F.coalesce(width("new_line"), F.lit(0)).alias("_n"), F.array_sort(F.collect_list(F.struct("pos", "old_line", "new_line", "line"))).alias("_l"))
+    number = lambda c, w: F.lpad(F.coalesce(c.cast("string"), F.lit("")), w, F.lit(" "))
+    shown = F.transform("_l", lambda x: F.concat(number(x["old_line"], F.col("_o")), F.lit(":"), number(x["new_line"], F.col("_n")), F.lit(" | "), x["line"]))
+    return sized.select(*by, F.array_join(shown, "\n").alias("text"))
+
+
 def preview(text: Column) -> Column:
     """A declaration: its first nonblank lines, trimmed and joined, up to an opening brace."""
     lines = F.slice(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, PREVIEW_LINES)

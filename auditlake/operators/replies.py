@@ -95,6 +95,43 @@ def citations(text: Column) -> Column:
     return F.filter(F.zip_with(names, lines, lambda p, n: F.struct(p.alias("path"), n.try_cast("int").alias("line"))), lambda x: x["line"].isNotNull())
 
 
+def plain_path(path: Column) -> Column:
+    """Without doubled slashes and . segments."""
+    return F.regexp_replace(F.regexp_replace(path, "/+", "/"), r"(^|/)(?:\./)+", "$1")
+
+
+#: How an extension looks, and how a folder does that is a date or a number.
+_EXTENSION, _DATED = r"\.[A-Za-z][A-Za-z0-9]{0,15}", r"^\d+(?:-|$)"
+
+
+def source_paths(text: Column) -> Column:
+    """Distinct paths that a text names, sorted: in backticks (blanks allowed), or bare before a colon and a line. Bare ones below a dated folder are none."""
+    quoted = F.regexp_extract_all(text, F.lit(rf"`([\w./-][\w ./-]*{_EXTENSION})`"), F.lit(1))
+    rest = F.regexp_replace(text, rf"`[\w./-][\w ./-]*{_EXTENSION}`", " ")
+    rest = F.aggregate(F.filter(quoted, lambda p: p.contains(" ")), rest, lambda t, p: F.replace(t, p, F.lit(" ")))
+    plain = F.filter(F.regexp_extract_all(rest, F.lit(rf"(?<![\w./-])([\w./-]+{_EXTENSION})(?=:\d)"), F.lit(1)), lambda p: ~F.substring_index(p, "/", 1).rlike(_DATED))
+    return F.array_sort(F.array_distinct(F.concat(quoted, plain)))
+
+
+def file_of(cited: Column, files: Column) -> Column:
+    """The file that a cited path means: the same path, else the only one of its name, else null."""
+    exact = F.filter(files, lambda f: plain_path(f) == plain_path(cited))
+    named = F.filter(files, lambda f: F.substring_index(f, "/", -1) == F.substring_index(plain_path(cited), "/", -1))
+    return F.when(F.size(exact) > 0, F.get(exact, F.lit(0))).when(F.size(named) == 1, F.get(named, F.lit(0)))
+
+
+def cited_locations(text: Column, files: Column) -> Column:
+    """array<struct<file, line>>, sorted: lines that a text cites of the files (an array), as `path`:line or path:line, bare paths with blanks too; a file that no line is cited of comes with a null line."""
+    at = lambda file, line: F.struct(file.alias("file"), line.try_cast("int").alias("line"))
+    found = F.regexp_extract_all(text, F.lit(r"`[^`\r\n]+`:\d+|[\w./-]+\.\w+:\d+"), F.lit(0))
+    cited = F.transform(found, lambda c: at(file_of(F.regexp_replace(F.regexp_replace(c, r":\d+$", ""), "^`|`$", ""), files), F.substring_index(c, ":", -1)))
+    blank = F.filter(files, lambda f: f.contains(" "))
+    spaced = F.flatten(F.transform(blank, lambda f: F.transform(F.regexp_extract_all(text, F.concat(F.lit(r"(?<![\w./-])\Q"), f, F.lit(r"\E:(\d+)")), F.lit(1)), lambda n: at(f, n))))
+    lines = F.filter(F.concat(cited, spaced), lambda x: x["file"].isNotNull())
+    bare = F.transform(F.array_except(files, F.transform(lines, lambda x: x["file"])), lambda f: at(f, F.lit(None).cast("string")))
+    return F.array_sort(F.array_distinct(F.concat(lines, bare)))
+
+
 #: The ratio from which long texts count as one, and the characters of a long one.
 SIMILAR, LEAST_SIMILAR_CHARS = 0.92, 120
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import diffs, lexis, replies
+from ..operators import context, diffs, lexis, replies
 from ..sources.adapters import table
 from .catalogue import query
 
@@ -123,3 +123,24 @@ def fuzzy_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's turns as blocks of one finding's evidence."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("evidence"))
     return replies.fuzzy_evidence(rows, "evidence").select("conv_id", F.size("blocks").alias("n_blocks"), F.col("joined").alias("evidence"))
+
+
+_PROSE = "concat('Seen in `src/mod ', page_id % 7, '/a b.py`:', page_id, ' and lib/x.ts:', page_id + 1, ', ./lib//x.ts:4, `y.go`:', page_id % 5, ', on 2024-01-01/z.py:3, src/mod ', page_id % 7, '/a b.py:9; ', url)"
+
+
+@query(f"""WITH p AS (SELECT page_id, concat('src/mod ', page_id % 7, '/a b.py') AS spaced, page_id % 2 = 0 AS two FROM pages), l AS (SELECT page_id, spaced AS file, page_id AS line FROM p UNION SELECT page_id, spaced, 9 FROM p
+    UNION SELECT page_id, 'lib/x.ts', page_id + 1 FROM p UNION SELECT page_id, 'lib/x.ts', 4 FROM p UNION SELECT page_id, 'cmd/y.go', CASE WHEN two THEN NULL ELSE page_id % 5 END FROM p UNION SELECT page_id, 'other/y.go', NULL FROM p WHERE two)
+  SELECT page_id, file, CAST(line AS INT) AS line FROM l""")
+def resolved_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations in prose, held against each page's files: blanks in paths, odd spellings, and a name that two files have on every other page."""
+    files = F.array(F.concat(F.lit("src/mod "), (F.col("page_id") % 7).cast("string"), F.lit("/a b.py")), F.lit("lib/x.ts"), F.lit("cmd/y.go"))
+    files = F.when(F.col("page_id") % 2 == 0, F.concat(files, F.array(F.lit("other/y.go")))).otherwise(files)
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.expr(_PROSE), r"https?://\S+", "").alias("text"), files.alias("files"))
+    return rows.select("page_id", F.inline(replies.cited_locations(F.col("text"), F.col("files"))))
+
+
+@query(f"""WITH {NUMBERED}, g AS (SELECT n.diff_id, n.i, CASE WHEN n.mark <> '+' THEN n.o END AS o, CASE WHEN n.mark <> '-' THEN n.n END AS n, l.line FROM n JOIN l ON l.diff_id = n.diff_id AND l.i = n.i), w AS (SELECT diff_id, coalesce(max(length(CAST(o AS VARCHAR))), 0) AS wo, coalesce(max(length(CAST(n AS VARCHAR))), 0) AS wn FROM g GROUP BY diff_id)
+  SELECT diff_id, string_agg(concat(lpad(coalesce(CAST(o AS VARCHAR), ''), CAST(wo AS INT), ' '), ':', lpad(coalesce(CAST(n AS VARCHAR), ''), CAST(wn AS INT), ' '), ' | ', line), chr(10) ORDER BY i) AS text FROM g JOIN w USING (diff_id) GROUP BY diff_id""")
+def patch_gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches of whole documents with the numbers of both sides before their lines."""
+    return context.patch_gutter(diffs.numbered(diffs.lines(_diffs(spark, sf_dir))), ["diff_id"])

@@ -252,3 +252,23 @@ def test_names_across_modules(spark):
         ("m0", "x", "m200", "x"), ("top", "both", "a", "both"), ("top", "both", "b", "both"), ("top", "shadow", "c", "deep"), ("use", "Main", "a", "main"), ("use", "ns", "b", "*"), ("l1", "only", "b", "only"), ("c", "own", "c", "own"), ("a", "main", "a", "main"),
     }
     assert {tuple(r) for r in gaps.collect()} == {("top", "default"), ("e1", "y"), ("top", "none")}
+
+
+@pytest.mark.parametrize(
+    "text,paths",
+    [
+        ("in `my app/main file.py` and lib/a.ts:12, again lib/a.ts:13; not b.py alone", ["lib/a.ts", "my app/main file.py"]),
+        ("on 2024-05-06/c.py:3 and 17/d.py:4 but v2/e.py:5", ["v2/e.py"]),
+        ("`src/x.py`:4 and `no path`, my app/main file.py:7 with `my app/main file.py`", ["my app/main file.py", "src/x.py"]),
+        ("", []),
+    ],
+)
+def test_source_paths(spark, text, paths):
+    assert spark.createDataFrame([(text,)], "t string").select(replies.source_paths(F.col("t")).alias("p")).first().p == paths
+
+
+def test_cited_locations(spark):
+    text = "at `src/a b.py`:3, src/a b.py:4, ./src//c.py:5, c.py:6, d.py:7, e.go:8 and `gone.rs`:9"
+    files = ["src/a b.py", "src/c.py", "x/d.py", "y/d.py", "z/e.go", "never.md"]
+    got = spark.createDataFrame([(text, files)], "t string, f array<string>").select(replies.cited_locations(F.col("t"), F.col("f")).alias("l")).first().l
+    assert [tuple(x) for x in got] == [("never.md", None), ("src/a b.py", 3), ("src/a b.py", 4), ("src/c.py", 5), ("src/c.py", 6), ("x/d.py", None), ("y/d.py", None), ("z/e.go", 8)]
