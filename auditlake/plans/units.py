@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators import context, graph, review, scoring, sinks, units
+from ..operators import anchors, context, graph, review, scoring, sinks, units
 from ..sources.adapters import EDGES_SQL, edges, table, view, view_sql
 from .catalogue import query
 from .texts import _EXT, _SKIP, _TEST, FILES, RULES
@@ -152,6 +152,19 @@ def merged_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.merge_connected_plans(rows(_OWNED), rows(_DEPENDS))
 
 
+@query()
+def anchored_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans around promoted parts: parts are definitions in files, order lines are edges from a part to the one that has its supplier's number. For each plan how many fragments it has and leaves out."""
+    fragment = F.struct(F.concat(F.lit("f"), (F.col("p_partkey") % 101).cast("string"), F.lit(".py")).alias("file"), (F.col("p_partkey") * 10).alias("start"), (F.col("p_partkey") * 10 + F.col("p_size") * 5).cast("bigint").alias("end"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", fragment.alias("fragment"))
+    seeds = parts.filter(F.col("p_type").startswith("PROMO")).select(F.col("fragment.file").alias("anchor"), F.col("fragment").alias("seed"))
+    kind, resolution = F.when(F.col("l_orderkey") % 50 == 0, "call").otherwise("import"), F.when(F.col("l_orderkey") % 3 == 0, "ambiguous").otherwise("exact")
+    ends = parts.select(F.col("p_partkey").alias("l_partkey"), F.col("fragment").alias("source")), parts.select(F.col("p_partkey").alias("l_suppkey"), F.col("fragment").alias("target"))
+    edges_ = table(spark, sf_dir, "lineitem").join(ends[0], "l_partkey").join(ends[1], "l_suppkey").select("source", "target", kind.alias("kind"), resolution.alias("resolution"))
+    plans = anchors.plan_anchors(seeds, edges_, 2, 1_000)
+    return plans.groupBy("anchor", F.col("caller.file").alias("caller_file"), F.col("caller.start").alias("caller_start")).agg(F.count_if("taken").alias("n_taken"), F.count_if(~F.col("taken")).alias("n_left_out"))
+
+
 @query("""WITH RECURSIVE t AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS owner FROM part), a AS (SELECT node, owner AS ancestor, 1 AS steps FROM t WHERE owner IS NOT NULL AND owner IN (SELECT node FROM t)
     UNION ALL SELECT a.node, t.owner, a.steps + 1 FROM a JOIN t ON t.node = a.ancestor WHERE t.owner IS NOT NULL AND t.owner IN (SELECT node FROM t)) SELECT node, ancestor, steps FROM a""")
 def visibility_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
