@@ -137,18 +137,18 @@ def related_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("lang", "source", "doc_id", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*units.related_order())).cast("bigint").alias("place"))
 
 
-_OWNED = "SELECT DISTINCT p_partkey % (SELECT 3 * max(s_suppkey) + 3 FROM supplier) AS plan, p_partkey AS seed FROM part"
-_DEPENDS = "SELECT l_partkey % (SELECT 3 * max(s_suppkey) + 3 FROM supplier) AS plan, CASE WHEN l_suppkey % 2 = 0 THEN 'call' ELSE 'import' END AS kind, CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN l_partkey WHEN 2 THEN l_partkey + 1 ELSE -l_suppkey END AS source, CASE WHEN l_orderkey % 97 = 0 THEN l_partkey + 7 WHEN l_orderkey % 3 = 0 THEN l_partkey ELSE -1 - l_orderkey END AS target, CASE WHEN l_orderkey % 5 = 0 THEN 'ambiguous' ELSE 'exact' END AS resolution FROM lineitem"
+_OWNED = "SELECT p_partkey DIV 2 AS plan, p_partkey AS seed FROM part"
+_DEPENDS = "SELECT l_partkey DIV 2 AS plan, CASE WHEN l_suppkey % 2 = 0 THEN 'call' ELSE 'import' END AS kind, CASE WHEN l_orderkey % 89 = 0 THEN l_partkey + 1 WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_linenumber % 3 = 1 THEN l_partkey ELSE -l_suppkey END AS source, CASE WHEN l_orderkey % 997 = 0 THEN l_partkey + 7 WHEN l_orderkey % 3 = 0 THEN l_partkey ELSE -1 - l_orderkey END AS target, CASE WHEN l_orderkey % 5 = 0 THEN 'ambiguous' ELSE 'exact' END AS resolution FROM lineitem"
 
 
-@query(f"""WITH RECURSIVE o AS ({_OWNED}), d AS (SELECT DISTINCT * FROM ({_DEPENDS}) WHERE resolution = 'exact'), f AS (SELECT seed, min(plan) AS owner FROM o GROUP BY seed),
+@query(f"""WITH RECURSIVE o AS ({_OWNED.replace("DIV", "//")}), d AS (SELECT DISTINCT * FROM ({_DEPENDS.replace("DIV", "//")}) WHERE resolution = 'exact'), f AS (SELECT seed, min(plan) AS owner FROM o GROUP BY seed),
   k AS (SELECT d.*, (d.plan, d.source) IN (SELECT (plan, seed) FROM o) AS own_source, d.source IN (SELECT seed FROM o) AS owned, (d.plan, d.target) IN (SELECT (plan, seed) FROM o) AS own_target FROM d),
   e AS (SELECT DISTINCT CASE WHEN coalesce(own_source, FALSE) OR NOT coalesce(owned, FALSE) THEN k.plan ELSE s.plan END AS a, f.owner AS b FROM k JOIN f ON f.seed = k.target LEFT JOIN o s ON s.seed = k.source WHERE NOT (kind = 'call' AND k.source IS NOT NULL AND NOT owned AND own_target)),
   g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), w AS (SELECT DISTINCT plan, plan AS other FROM o UNION SELECT w.plan, g.b FROM w JOIN g ON g.a = w.other) SELECT plan, min(other) AS unit FROM w GROUP BY plan""")
 def merged_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans of review that share definitions become one unit. Plans own parts, orders' lines are dependencies."""
-    tables = {n: table(spark, sf_dir, n) for n in ("part", "supplier", "lineitem")}
-    rows = lambda sql: spark.sql(re.sub(r"FROM (part|supplier|lineitem)", r"FROM {\1}", sql), **tables)
+    tables = {n: table(spark, sf_dir, n) for n in ("part", "lineitem")}
+    rows = lambda sql: spark.sql(re.sub(r"FROM (part|lineitem)", r"FROM {\1}", sql), **tables)
     return units.merge_connected_plans(rows(_OWNED), rows(_DEPENDS))
 
 
