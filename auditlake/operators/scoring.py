@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as T
 from .graph import written
@@ -67,21 +69,36 @@ def assign(weights: list[tuple[int, ...]]) -> list[int | None]:
 
 
 def optimal_assignment(pairs: DataFrame, by: str) -> DataFrame:
-    """Chosen pairs (row_id, col_id, weight) of each group from its weighted pairs. A task holds the edges of one group, not the product of its sides."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = pdf.groupby(["row_id", "col_id"], sort=True)["weight"].max()
-        rows, columns = sorted(pdf["row_id"].unique()), sorted(pdf["col_id"].unique())
-        at, place = {r: i for i, r in enumerate(rows)}, {c: j for j, c in enumerate(columns)}
-        edges: list[dict[int, int]] = [{} for _ in rows]
-        for (r, c), w in best.items():
-            edges[at[r]][place[c]] = int(w)
-        chosen = assign_edges(edges, len(columns))
-        out = [(pdf[by].iloc[0], rows[i], columns[j], edges[i][j]) for i, j in enumerate(chosen) if j is not None]
-        return pd.DataFrame(out, columns=[by, "row_id", "col_id", "weight"])
-
-    types = dict(pairs.dtypes)
-    return pairs.filter("weight > 0").groupBy(by).applyInPandas(solve, f"{by} {types[by]}, row_id {types['row_id']}, col_id {types['col_id']}, weight bigint")
+    """Chosen pairs (row_id, col_id, weight) of each group from its weighted pairs. Groups go through a task one after the other, in order; it holds the edges of one group, not the product of its sides."""
+    best = pairs.filter("weight > 0").groupBy(by, "row_id", "col_id").agg(F.max("weight").cast("bigint").alias("weight"))
+    schema = best.schema
+    arrow = to_arrow_schema(schema)
+
+    def solve(group, rows: list[tuple]) -> list[tuple]:
+        at = {r: i for i, r in enumerate(sorted({r for r, _, _ in rows}))}
+        place = {c: j for j, c in enumerate(sorted({c for _, c, _ in rows}))}
+        edges: list[dict[int, int]] = [{} for _ in at]
+        for r, c, w in rows:
+            edges[at[r]][place[c]] = w
+        names, columns = list(at), list(place)
+        return [(group, names[i], columns[j], edges[i][j]) for i, j in enumerate(assign_edges(edges, len(place))) if j is not None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, begun = None, [], False
+        told = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, arrow, strict=True)], schema=arrow)
+        for batch in batches:
+            out = []
+            for group, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if begun and group != now:
+                    out += solve(now, held)
+                    held = []
+                now, begun = group, True
+                held.append(tuple(row))
+            yield told(out)
+        if held:
+            yield told(solve(now, held))
+
+    return best.repartition(by).sortWithinPartitions(by).mapInArrow(run, schema)
 
 
 def claims(pairs: DataFrame) -> DataFrame:
