@@ -141,16 +141,27 @@ def route_candidates(reports: DataFrame, checks: DataFrame, by: list[str]) -> Da
     return shorter_report.unionByName(shorter_check).filter(T.route_match(F.col("_r"), F.col("_c"))).select(*by, "report", "check_id").distinct()
 
 
+def _whole(rows: DataFrame) -> DataFrame:
+    """Reports or checks with every column that is looked at: a single file stands for locations and files, missing texts and symbols are empty."""
+    has = F.coalesce(F.col("file"), F.lit("")) != "" if "file" in rows.columns else F.lit(False)
+    file = F.col("file") if "file" in rows.columns else F.lit("")
+    none = {"locations": F.when(has, F.array(F.struct(file.alias("file"), F.lit(None).cast("int").alias("line")))).otherwise(F.array().cast("array<struct<file:string,line:int>>")), "text": F.lit("")}
+    none |= {"files": F.when(has, F.array(file)).otherwise(F.array().cast("array<string>")), "symbols": F.array().cast("array<string>")}
+    wanted = ("locations", "text") if "report" in rows.columns else ("files", "symbols")
+    return rows.withColumns({c: none[c] for c in wanted if c not in rows.columns})
+
+
 def match_pairs(reports: DataFrame, checks: DataFrame, by: str, definitions: DataFrame | None = None, endpoint_required: bool = True) -> DataFrame:
     """by, report, check_id, localised, quality (0 for none, to 4) of reports and checks that share a route or a file name; and whether the check is clean.
 
     reports: by, report, endpoint, category, text, locations (array of file, line). checks: by, check_id, expectation, files, symbols, endpoint, category.
-    definitions: by, file, name, lo, hi of symbols in the sources.
+    definitions: by, file, name, lo, hi of symbols in the sources. A column file may stand for locations and files; text and symbols may be missing.
 
     A check with an endpoint is matched by a report of the same route (a clean one only of the same class); a finding's file and symbol stand in for
     the route. Without endpoint_required the file does, too. A check without endpoint takes a report that names one of its files
     (by a name that one file of the report has) and one of its symbols, as a word or by a line inside its definition; without symbols, one of its class.
     """
+    reports, checks = _whole(reports), _whole(checks)
     r = reports.select(by, "report", F.coalesce("endpoint", F.lit("")).alias("re"), F.coalesce("category", F.lit("")).alias("rc"), F.lower(F.concat_ws(" ", "text", "endpoint")).alias("hay"), "locations")
     r = r.withColumn("rfiles", F.array_distinct(F.transform(F.coalesce("locations", F.array()), lambda x: x["file"])))
     some = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
@@ -191,12 +202,13 @@ def match_pairs(reports: DataFrame, checks: DataFrame, by: str, definitions: Dat
 
 
 def score(reports: DataFrame, checks: DataFrame, by: str, definitions: DataFrame | None = None, endpoint_required: bool = True) -> DataFrame:
-    """by, id, outcome, report, localised: found or missed for each finding, fp for each report on a clean check, quiet for a clean check without one, extra for other reports.
+    """by, id, outcome, report, localised: found or missed for each finding, fp for each report on a clean check, quiet for a clean check without one, extra for other reports (whose name is the id, too, if it fits its type).
 
     Findings get reports one to one, as many as possible and then the best; a report that matches any finding is on no clean check,
     others count on the first clean check (by id) that they match. localised tells of findings with files whether any report has the exact file and
     the class. See match_pairs for the columns.
     """
+    reports, checks = _whole(reports), _whole(checks)
     pairs = written(match_pairs(reports, checks, by, definitions, endpoint_required), "pairs")
     findings = pairs.filter("NOT clean AND quality > 0")
     chosen = optimal_assignment(findings.select(by, F.col("check_id").alias("row_id"), F.col("report").alias("col_id"), F.col("quality").alias("weight")), by)
@@ -212,7 +224,7 @@ def score(reports: DataFrame, checks: DataFrame, by: str, definitions: DataFrame
     return (
         finding.select(by, F.col("check_id").alias("id"), outcome("found", "missed"), "report", F.when(F.size("files") > 0, F.coalesce("exact", F.lit(False))).alias("localised"))
         .unionByName(clean.select(by, F.col("check_id").alias("id"), outcome("fp", "quiet"), "report", no_file))
-        .unionByName(extra.select(by, F.lit(None).cast(type_).alias("id"), F.lit("extra").alias("outcome"), "report", no_file))
+        .unionByName(extra.select(by, F.col("report").try_cast(type_).alias("id"), F.lit("extra").alias("outcome"), "report", no_file))
     )
 
 

@@ -21,7 +21,7 @@ def report(name, endpoint="", category="", text="", at=()):
 def outcomes(spark, checks, reports, definitions=None, endpoint_required=True):
     known = spark.createDataFrame([(1, *d) for d in definitions], "b int, file string, name string, lo int, hi int") if definitions else None
     rows = scoring.score(spark.createDataFrame(reports, REPORT), spark.createDataFrame(checks, CHECK), "b", known, endpoint_required)
-    return {(r.id or r.report, r.outcome, r.report if r.id else None) for r in rows.collect()}
+    return {(r.id, r.outcome, r.report if r.outcome in ("found", "fp") else None) for r in rows.collect()}
 
 
 SITUATIONS = {
