@@ -100,16 +100,20 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "/+", "/"), r"(^|/)(?:\./)+", "$1")
 
 
-#: How an extension looks, and how a folder does that is a date or a number.
-_EXTENSION, _DATED = r"\.[A-Za-z][A-Za-z0-9]{0,15}", r"^\d+(?:-|$)"
+# Patterns of an extension, of a path in backticks, of a bare path before a line, of a folder that is a date or a number, and of a cited line.
+_EXTENSION = r"\.[A-Za-z][A-Za-z0-9]{0,15}"
+_QUOTED = rf"`([\w./-][\w ./-]*{_EXTENSION})`"
+_BARE = rf"(?<![\w./-])([\w./-]+{_EXTENSION})(?=:\d)"
+_DATED = r"^\d+(?:-|$)"
+_CITED = r"`[^`\r\n]+`:\d+|[\w./-]+\.\w+:\d+"
 
 
 def source_paths(text: Column) -> Column:
     """Distinct paths that a text names, sorted: in backticks (blanks allowed), or bare before a colon and a line. Bare ones below a dated folder are none."""
-    quoted = F.regexp_extract_all(text, F.lit(rf"`([\w./-][\w ./-]*{_EXTENSION})`"), F.lit(1))
-    rest = F.regexp_replace(text, rf"`[\w./-][\w ./-]*{_EXTENSION}`", " ")
+    quoted = F.regexp_extract_all(text, F.lit(_QUOTED), F.lit(1))
+    rest = F.regexp_replace(text, _QUOTED, " ")
     rest = F.aggregate(F.filter(quoted, lambda p: p.contains(" ")), rest, lambda t, p: F.replace(t, p, F.lit(" ")))
-    plain = F.filter(F.regexp_extract_all(rest, F.lit(rf"(?<![\w./-])([\w./-]+{_EXTENSION})(?=:\d)"), F.lit(1)), lambda p: ~F.substring_index(p, "/", 1).rlike(_DATED))
+    plain = F.filter(F.regexp_extract_all(rest, F.lit(_BARE), F.lit(1)), lambda p: ~F.substring_index(p, "/", 1).rlike(_DATED))
     return F.array_sort(F.array_distinct(F.concat(quoted, plain)))
 
 
@@ -123,7 +127,7 @@ def file_of(cited: Column, files: Column) -> Column:
 def cited_locations(text: Column, files: Column) -> Column:
     """array<struct<file, line>>, sorted: lines that a text cites of the files (an array), as `path`:line or path:line, bare paths with blanks too; a file that no line is cited of comes with a null line."""
     at = lambda file, line: F.struct(file.alias("file"), line.try_cast("int").alias("line"))
-    found = F.regexp_extract_all(text, F.lit(r"`[^`\r\n]+`:\d+|[\w./-]+\.\w+:\d+"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(_CITED), F.lit(0))
     cited = F.transform(found, lambda c: at(file_of(F.regexp_replace(F.regexp_replace(c, r":\d+$", ""), "^`|`$", ""), files), F.substring_index(c, ":", -1)))
     blank = F.filter(files, lambda f: f.contains(" "))
     spaced = F.flatten(F.transform(blank, lambda f: F.transform(F.regexp_extract_all(text, F.concat(F.lit(r"(?<![\w./-])\Q"), f, F.lit(r"\E:(\d+)")), F.lit(1)), lambda n: at(f, n))))
