@@ -127,17 +127,35 @@ def _base(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def _stars(segments: Column) -> Column:
+    """Which segments are parameters: one character each."""
+    return F.array_join(F.transform(segments, lambda x: F.when(x == "*", "*").otherwise("-")), "")
+
+
 def route_candidates(reports: DataFrame, checks: DataFrame, by: list[str]) -> DataFrame:
     """The columns by, report, check_id of reports (by, report, route) and checks (by, check_id, route), normalised, that are the same route.
 
-    The shorter route's first segment stands at its length from the end of the longer, so they meet on length and segment there.
+    The shorter route stands at the end of the longer. Routes with parameters in some places and those with parameters in others meet on all segments that are
+    none on either side, so only routes that match (but for their method) meet. Which places occur is a small table: parameters' places, not routes.
     """
-    one = F.struct(F.size("seg").alias("k"), F.get("seg", F.lit(0)).alias("head"))
-    each = F.transform("seg", lambda x, i: F.struct((F.size("seg") - i).alias("k"), x.alias("head")))
-    r = reports.select(*by, "report", F.col("route").alias("_r"), T.endpoint_segments(F.col("route")).alias("seg")).filter(F.size("seg") > 0)
-    c = checks.select(*by, "check_id", F.col("route").alias("_c"), T.endpoint_segments(F.col("route")).alias("seg")).filter(F.size("seg") > 0)
-    shorter_report = r.withColumn("key", one).drop("seg").join(c.withColumn("key", F.explode(each)).drop("seg"), [*by, "key"])
-    shorter_check = r.withColumn("key", F.explode(each)).filter(F.col("key.k") < F.size("seg")).drop("seg").join(c.withColumn("key", one).drop("seg"), [*by, "key"])
+    whole, ends = F.array("seg"), F.transform("seg", lambda x, i: F.slice("seg", i + 1, F.size("seg") - i))
+    sides = []
+    for rows, name, route in ((reports, "report", "_r"), (checks, "check_id", "_c")):
+        sides.append(rows.select(*by, name, F.col("route").alias(route), T.endpoint_segments(F.col("route")).alias("seg")).filter(F.size("seg") > 0))
+    r, c = sides
+
+    def met(r: DataFrame, c: DataFrame) -> DataFrame:
+        r, c = r.withColumn("_rs", _stars(F.col("tail"))), c.withColumn("_cs", _stars(F.col("tail")))
+        fits = (F.length("_rs") == F.length("_cs")) & (F.substring("_rs", 1, 1) == F.substring("_cs", 1, 1))
+        places = r.select("_rs").distinct().join(c.select("_cs").distinct(), fits)
+        # Segments that are parameters on neither side, with the places of both.
+        fixed = F.filter("tail", lambda x, i: (F.substring("_rs", i + 1, F.lit(1)) == "-") & (F.substring("_cs", i + 1, F.lit(1)) == "-")).alias("fixed")
+        side = lambda rows, own, other, *columns: rows.join(F.broadcast(places.groupBy(own).agg(F.collect_list(other).alias("_o"))), own).withColumn(other, F.explode("_o")).select(*by, *columns, "_rs", "_cs", fixed)
+        return side(r, "_rs", "_cs", "report", "_r").join(side(c, "_cs", "_rs", "check_id", "_c"), [*by, "_rs", "_cs", "fixed"])
+
+    tails = lambda rows, of: rows.withColumn("tail", F.explode(of))
+    shorter_report = met(tails(r, whole), tails(c, ends))
+    shorter_check = met(tails(r, ends).filter(F.size("tail") < F.size("seg")), tails(c, whole))
     return shorter_report.unionByName(shorter_check).filter(T.route_match(F.col("_r"), F.col("_c"))).select(*by, "report", "check_id").distinct()
 
 

@@ -100,3 +100,25 @@ def test_assignment_of_many_takes_edges_alone(spark):
     pairs = spark.range(n).selectExpr("1 AS g", "id AS row_id", "explode(array(id, (id + 1) % 1000)) AS col_id").selectExpr("g", "row_id", "col_id", "CASE WHEN row_id = col_id THEN 1 ELSE 2 END AS weight")
     rows = scoring.optimal_assignment(pairs, "g").collect()
     assert len(rows) == n and len({r.col_id for r in rows}) == n
+
+
+def test_routes_meet_on_all_segments(spark):
+    """Twenty thousand routes below one segment: if they met on that segment alone, there would be 400 million pairs."""
+    routes = spark.range(20_000).selectExpr("id", "concat('get /en/', id) AS route")
+    reports = routes.selectExpr("id AS report", "concat('get /api/en/', id) AS route")
+    keys = routes.selectExpr("id AS check_id", "route").unionByName(spark.createDataFrame([(-1, "post /en/*"), (-2, "/en/*")], "check_id long, route string"))
+    met = scoring.route_candidates(reports, keys, [])
+    assert {(r.kind, r.n) for r in met.selectExpr("CASE WHEN check_id = report THEN 0 ELSE check_id END AS kind").groupBy("kind").count().withColumnRenamed("count", "n").collect()} == {(0, 20_000), (-2, 20_000)}
+
+
+def test_routes_meet_as_all_pairs_do(spark):
+    from itertools import product
+
+    from auditlake.functions import text as T
+
+    routes = [m + "/".join(("", *x)) for m in ("", "get ", "post ") for n in range(4) for x in product(("a", "b", "*"), repeat=n)]
+    rows = spark.createDataFrame([(r,) for r in routes], "route string")
+    r, c = rows.selectExpr("route AS report", "route"), rows.selectExpr("route AS check_id", "route")
+    got = [tuple(x) for x in scoring.route_candidates(r, c, []).collect()]
+    want = r.select("report").crossJoin(c.select("check_id")).filter(T.route_match(r["report"], c["check_id"])).collect()
+    assert len(got) == len(set(got)) and set(got) == {tuple(x) for x in want}
