@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from math import inf
 
 import pandas as pd
 import pyarrow as pa
@@ -72,13 +73,28 @@ class Cover:
         starts, ends, i, j = self._met(file, start, end)
         return end - start - sum(min(end, ends[k]) - max(start, starts[k]) for k in range(i, j))
 
-    def add(self, file: str, start: int, end: int) -> None:
-        self.size += self.growth(file, start, end)
-        if end > start:
-            starts, ends, i, j = self._met(file, start, end)
-            if i < j:
-                start, end = min(start, starts[i]), max(end, ends[j - 1])
-            starts[i:j], ends[i:j] = [start], [end]
+    def add(self, file: str, start: int, end: int, most: float = inf) -> bool:
+        """Adds a range if the size stays within `most`; whether it does."""
+        starts = self.starts.get(file)
+        if starts is None or end <= start:
+            if self.size + max(0, end - start) > most:
+                return False
+            if end > start:
+                self.starts[file], self.ends[file] = [start], [end]
+                self.size += end - start
+            return True
+        ends = self.ends[file]
+        i, j = bisect_left(ends, start), bisect_right(starts, end)
+        size = self.size + end - start
+        for k in range(i, j):
+            size -= min(end, ends[k]) - max(start, starts[k])
+        if size > most:
+            return False
+        self.size = size
+        if i < j:
+            start, end = min(start, starts[i]), max(end, ends[j - 1])
+        starts[i:j], ends[i:j] = [start], [end]
+        return True
 
     def pieces(self) -> list[Range]:
         return [(f, a, b) for f in self.starts for a, b in zip(self.starts[f], self.ends[f], strict=True)]
@@ -95,9 +111,8 @@ def choose_evidence(seeds: list[Range], edges: list[tuple[int, int, Range]], bud
     """Seeds first, then by hop and exactness every end of an edge with which the union stays within the budget."""
     chosen, cover = set(seeds), Cover.of(seeds)
     for _, _, end in sorted(edges):
-        if end not in chosen and cover.size + cover.growth(*end) <= budget:
+        if end not in chosen and cover.add(*end, budget):
             chosen.add(end)
-            cover.add(*end)
     return sorted(chosen)
 
 
@@ -130,14 +145,33 @@ def plan_units(plans: DataFrame, by: str, budget: int) -> DataFrame:
 
 
 def evidence_units(rows: DataFrame, by: str, budget: int) -> DataFrame:
-    """by, file, lo, hi chosen from rows (by, hop, ambiguous, file, lo, hi); hop 0 are the seeds."""
+    """by, file, lo, hi chosen from rows (by, hop, ambiguous, file, lo, hi); hop 0 are the seeds. Streams a unit's rows in order and holds what is chosen of one unit."""
+    schema = StructType.fromDDL(f"{by} {dict(rows.dtypes)[by]}, file string, lo bigint, hi bigint")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, chosen, cover = object(), set(), Cover()  # before the first row
+        for batch in batches:
+            taken = []
+            for k, *place, seed in zip(*map(_values, batch.columns), strict=True):
+                if k != key:
+                    key, chosen, cover = k, set(), Cover()
+                end = tuple(place)
+                fits = end not in chosen and cover.add(*end, inf if seed else budget)
+                if fits:
+                    chosen.add(end)
+                taken.append(fits)
+            kept = batch.filter(pa.array(taken, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept.columns[:4], arrow, strict=True)], schema=arrow)
+
+    whole = lambda *names: [F.col(c).cast("bigint").alias(c) for c in names]
+    typed = rows.select(by, F.col("file").cast("string").alias("file"), *whole("lo", "hi", "hop", "ambiguous"), (F.col("hop") == 0).alias("seed"))
+    return typed.repartition(by).sortWithinPartitions(by, F.col("seed").desc(), "hop", "ambiguous", "file", "lo", "hi").select(by, "file", "lo", "hi", "seed").mapInArrow(run, schema)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = [(int(h), int(x), (str(f), int(a), int(b))) for h, x, f, a, b in zip(pdf["hop"], pdf["ambiguous"], pdf["file"], pdf["lo"], pdf["hi"], strict=True)]
-        chosen = choose_evidence([r for h, _, r in items if not h], [i for i in items if i[0]], budget)
-        return pd.DataFrame([(pdf[by].iloc[0], *r) for r in chosen], columns=[by, "file", "lo", "hi"])
 
-    return rows.groupBy(by).applyInPandas(run, f"{by} {dict(rows.dtypes)[by]}, file string, lo bigint, hi bigint")
+def _values(column: pa.Array) -> list:
+    """A column as Python values; numbers without nulls go by numpy, which is faster."""
+    return column.to_numpy().tolist() if pa.types.is_integer(column.type) and not column.null_count else column.to_pylist()
 
 
 def undominated(specs: DataFrame, by: str, key: str, items: str) -> DataFrame:
