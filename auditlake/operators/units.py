@@ -6,7 +6,6 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from math import inf
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,15 +132,52 @@ def pack_plans(plans: list[set[Range]], budget: int) -> list[list[int]]:
 
 
 def plan_units(plans: DataFrame, by: str, budget: int) -> DataFrame:
-    """by, plan, unit from rows (by, plan, file, lo, hi). A run's plans are one review's work, bounded by its size."""
+    """by, plan, unit from rows (by, plan, file, lo, hi). Streams a run's plans in order and holds one plan and the unit that it may join."""
+    types = dict(plans.dtypes)
+    schema = StructType.fromDDL(f"{by} {types[by]}, plan {types['plan']}, unit bigint")
+    arrow = to_arrow_schema(schema)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(pdf["plan"].unique())
-        sets = [{(str(f), int(a), int(b)) for f, a, b in zip(g["file"], g["lo"], g["hi"], strict=True)} for _, g in pdf.sort_values("plan").groupby("plan")]
-        return pd.DataFrame([(pdf[by].iloc[0], names[k], u) for u, members in enumerate(pack_plans(sets, budget)) for k in members], columns=[by, "plan", "unit"])
+    def joins(merged: Cover, own: list[Range]) -> bool:
+        if len(own) == 1:
+            return merged.add(*own[0], budget)
+        pieces = Cover.of(own).pieces()
+        fits = merged.size + sum(merged.growth(*piece) for piece in pieces) <= budget
+        if fits:
+            for piece in pieces:
+                merged.add(*piece)
+        return fits
 
-    types = dict(plans.dtypes)
-    return plans.groupBy(by).applyInPandas(run, f"{by} {types[by]}, plan {types['plan']}, unit bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = plan = object()  # before the first row
+        unit, own, merged, out = -1, [], Cover(), ([], [], [])
+
+        def end() -> None:
+            """The plan joins the unit, or begins the next."""
+            nonlocal unit, merged
+            if unit < 0 or not joins(merged, own):
+                unit, merged = unit + 1, Cover.of(own)
+            out[0].append(key)
+            out[1].append(plan)
+            out[2].append(unit)
+
+        for batch in batches:
+            for k, p, *place in zip(*map(_values, batch.columns), strict=True):
+                if p != plan or k != key:
+                    if own:
+                        end()
+                    if k != key:
+                        unit = -1
+                    key, plan, own = k, p, []
+                own.append(place)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+            out = ([], [], [])
+        if own:
+            end()
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    whole = lambda *names: [F.col(c).cast("bigint").alias(c) for c in names]
+    rows = plans.select(by, "plan", F.col("file").cast("string").alias("file"), *whole("lo", "hi"))
+    return rows.repartition(by).sortWithinPartitions(by, "plan").mapInArrow(run, schema)
 
 
 def evidence_units(rows: DataFrame, by: str, budget: int) -> DataFrame:

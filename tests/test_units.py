@@ -312,3 +312,39 @@ def test_what_a_review_looks_at(spark):
     assert [value_of(review.provenance_value(F.lit(v), k)) for v, k in (("7", "bigint"), ("x", "bigint"), ("True", "boolean"), (" ", "string"), (" a ", "string"))] == [7, None, True, None, "a"]
     states = [("running", False, 0), ("complete", True, 2), ("complete", False, 0), ("complete", True, 0)]
     assert [value_of(review.run_consistency(F.lit(s), F.lit(c), F.lit(e))) for s, c, e in states] == ["still running", "complete with errors", "state without completion", "consistent"]
+
+
+def made_ranges(seed, n):
+    rng = random.Random(seed)
+    return [(rng.randrange(60), rng.randrange(9), rng.randrange(3), rng.randrange(2), rng.choice("abc"), lo := rng.randrange(60), lo + rng.randrange(-2, 25)) for _ in range(n)]
+
+
+def test_evidence_and_plans_stream_through_their_groups(spark):
+    """Against brute force, batches ending anywhere; no group is a call of its own."""
+    rows = made_ranges(5, 1500)
+    table = spark.createDataFrame(rows, "g int, plan int, hop int, ambiguous int, file string, lo int, hi int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        chosen, packed = units.evidence_units(table, "g", 40), units.plan_units(table, "g", 60)
+        got = sorted(map(tuple, chosen.collect())), sorted(map(tuple, packed.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = sorted({r[0] for r in rows})
+    want = []
+    for g in groups:
+        taken, all_ = {r[4:] for r in rows if r[0] == g and r[2] == 0}, sorted((r[2], r[3], r[4:]) for r in rows if r[0] == g and r[2])
+        for *_, end in all_:
+            if units.union_size({*taken, end}) <= 40:
+                taken.add(end)
+        want += [(g, *r) for r in taken]
+    assert got[0] == sorted(want)
+    want = []
+    for g in groups:
+        unit, held = -1, set()
+        for plan in sorted({r[1] for r in rows if r[0] == g}):
+            own = {r[4:] for r in rows if r[:2] == (g, plan)}
+            joins = unit >= 0 and units.union_size(held | own) <= 60
+            unit, held = (unit, held | own) if joins else (unit + 1, own)
+            want.append((g, plan, unit))
+    assert got[1] == want
+    assert not any("FlatMapGroups" in x._jdf.queryExecution().toString() for x in (chosen, packed))
