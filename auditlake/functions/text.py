@@ -84,7 +84,11 @@ def endpoint_segments(normal: Column) -> Column:
 
 def endpoints_named(text: Column) -> Column:
     """Every normalised route that a report's text lists: a comma or a fresh method begins the next. A text without any is one route."""
-    normal = endpoint_normal(text)
+    return routes_in(endpoint_normal(text))
+
+
+def routes_in(normal: Column) -> Column:
+    """endpoints_named of a text that is normalised already."""
     pieces = F.flatten(F.transform(F.split(normal, r" ?, ?"), lambda part: F.split(part, rf"(?=\b(?:{METHODS})\b )")))
     routes = F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(routes) > 0, routes).otherwise(F.array(normal))
@@ -109,13 +113,17 @@ def endpoint_match(report: Column, key: Column) -> Column:
     return F.exists(endpoints_named(report), lambda route: route_match(route, normal))
 
 
-def category_match(a: Column, b: Column) -> Column:
-    """Equal, or the hyphenated tokens of one are among the other's; nothing matches an empty category."""
-    x, y = category_spelling(a), category_spelling(b)
+def spellings_match(x: Column, y: Column) -> Column:
+    """category_match of two categories in category_spelling."""
     tx, ty = F.split(x, "-"), F.split(y, "-")
     return (x != "") & (y != "") & ((x == y) | (F.size(F.array_except(tx, ty)) == 0) | (F.size(F.array_except(ty, tx)) == 0))
 
 
+def category_match(a: Column, b: Column) -> Column:
+    """Equal, or the hyphenated tokens of one are among the other's; nothing matches an empty category."""
+    return spellings_match(category_spelling(a), category_spelling(b))
+
+
 def whole_token(text: Column, token: str) -> Column:
     return text.rlike(rf"(?<!\w){re.escape(token)}(?!\w)")
 

@@ -132,31 +132,41 @@ def _stars(segments: Column) -> Column:
     return F.array_join(F.transform(segments, lambda x: F.when(x == "*", "*").otherwise("-")), "")
 
 
-def route_candidates(reports: DataFrame, checks: DataFrame, by: list[str]) -> DataFrame:
-    """The columns by, report, check_id of reports (by, report, route) and checks (by, check_id, route), normalised, that are the same route.
+def _route_keys(reports: DataFrame, checks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both without their route (normalised) but with method and key, one row for each key: a report and a check that share one have the same route, but for the method.
 
     The shorter route stands at the end of the longer. Routes with parameters in some places and those with parameters in others meet on all segments that are
-    none on either side, so only routes that match (but for their method) meet. Which places occur is a small table: parameters' places, not routes.
+    none on either side, so only routes that match meet. Which places occur is a small table: parameters' places, not routes.
     """
-    whole, ends = F.array("seg"), F.transform("seg", lambda x, i: F.slice("seg", i + 1, F.size("seg") - i))
+    ends = lambda way: F.transform("seg", lambda x, i: F.struct(way(i).alias("way"), F.slice("seg", i + 1, F.size("seg") - i).alias("tail")))
+    # Way 0: the report's whole route against ends of the check's. Way 1: an end of the report's against the check's whole route.
+    ways = ends(lambda i: F.when(i == 0, 0).otherwise(1)), F.concat(ends(lambda i: F.lit(0)), F.array(F.struct(F.lit(1).alias("way"), F.col("seg").alias("tail"))))
     sides = []
-    for rows, name, route in ((reports, "report", "_r"), (checks, "check_id", "_c")):
-        sides.append(rows.select(*by, name, F.col("route").alias(route), T.endpoint_segments(F.col("route")).alias("seg")).filter(F.size("seg") > 0))
+    for rows, own, way in zip((reports, checks), ("_rs", "_cs"), ways, strict=True):
+        parts = rows.withColumns({"method": T.endpoint_method(F.col("route")), "seg": T.endpoint_segments(F.col("route"))}).filter(F.size("seg") > 0)
+        sides.append(parts.select("*", F.inline(way)).withColumn(own, _stars(F.col("tail"))).drop("route", "seg"))
     r, c = sides
+    fits = (F.length("_rs") == F.length("_cs")) & (F.substring("_rs", 1, 1) == F.substring("_cs", 1, 1))
+    places = written(r.select("way", "_rs").distinct().join(c.select("way", "_cs").distinct(), "way").filter(fits), "places")
+    fixed = F.filter("tail", lambda x, i: (F.substring("_rs", i + 1, F.lit(1)) == "-") & (F.substring("_cs", i + 1, F.lit(1)) == "-"))
+
+    def keyed(rows: DataFrame, own: str, other: str) -> DataFrame:
+        others = places.groupBy("way", own).agg(F.collect_list(other).alias("_o"))
+        met = rows.join(F.broadcast(others), ["way", own]).withColumn(other, F.explode("_o"))
+        return met.withColumn("key", F.concat_ws("/", "way", "_rs", "_cs", fixed)).drop("way", "_rs", "_cs", "_o", "tail")
+
+    return keyed(r, "_rs", "_cs"), keyed(c, "_cs", "_rs")
 
-    def met(r: DataFrame, c: DataFrame) -> DataFrame:
-        r, c = r.withColumn("_rs", _stars(F.col("tail"))), c.withColumn("_cs", _stars(F.col("tail")))
-        fits = (F.length("_rs") == F.length("_cs")) & (F.substring("_rs", 1, 1) == F.substring("_cs", 1, 1))
-        places = r.select("_rs").distinct().join(c.select("_cs").distinct(), fits)
-        # Segments that are parameters on neither side, with the places of both.
-        fixed = F.filter("tail", lambda x, i: (F.substring("_rs", i + 1, F.lit(1)) == "-") & (F.substring("_cs", i + 1, F.lit(1)) == "-")).alias("fixed")
-        side = lambda rows, own, other, *columns: rows.join(F.broadcast(places.groupBy(own).agg(F.collect_list(other).alias("_o"))), own).withColumn(other, F.explode("_o")).select(*by, *columns, "_rs", "_cs", fixed)
-        return side(r, "_rs", "_cs", "report", "_r").join(side(c, "_cs", "_rs", "check_id", "_c"), [*by, "_rs", "_cs", "fixed"])
 
-    tails = lambda rows, of: rows.withColumn("tail", F.explode(of))
-    shorter_report = met(tails(r, whole), tails(c, ends))
-    shorter_check = met(tails(r, ends).filter(F.size("tail") < F.size("seg")), tails(c, whole))
-    return shorter_report.unionByName(shorter_check).filter(T.route_match(F.col("_r"), F.col("_c"))).select(*by, "report", "check_id").distinct()
+def _one_method(a: Column, b: Column) -> Column:
+    return (a == "") | (b == "") | (a == b)
+
+
+def route_candidates(reports: DataFrame, checks: DataFrame, by: list[str]) -> DataFrame:
+    """The columns by, report, check_id of reports (by, report, route) and checks (by, check_id, route), normalised, that are the same route. See _route_keys."""
+    r, c = _route_keys(reports.select(*by, "report", "route"), checks.select(*by, "check_id", "route"))
+    met = r.join(c.withColumnRenamed("method", "_m"), [*by, "key"])
+    return met.filter(_one_method(F.col("method"), F.col("_m"))).select(*by, "report", "check_id").distinct()
 
 
 def _whole(rows: DataFrame) -> DataFrame:
@@ -180,36 +190,45 @@ def match_pairs(reports: DataFrame, checks: DataFrame, by: str, definitions: Dat
     (by a name that one file of the report has) and one of its symbols, as a word or by a line inside its definition; without symbols, one of its class.
     """
     reports, checks = _whole(reports), _whole(checks)
-    r = reports.select(by, "report", F.coalesce("endpoint", F.lit("")).alias("re"), F.coalesce("category", F.lit("")).alias("rc"), F.lower(F.concat_ws(" ", "text", "endpoint")).alias("hay"), "locations")
+    r = reports.select(by, "report", F.coalesce("endpoint", F.lit("")).alias("re"), T.category_spelling(F.col("category")).alias("rc"), F.lower(F.concat_ws(" ", "text", "endpoint")).alias("hay"), "locations")
+    # A name counts where one file of the report has it; exact paths are looked at apart.
     r = r.withColumn("rfiles", F.array_distinct(F.transform(F.coalesce("locations", F.array()), lambda x: x["file"])))
+    with_name = lambda base: F.filter("rfiles", lambda f: _base(f) == base)
+    r = r.withColumn("names", F.transform(F.array_distinct(F.transform("rfiles", _base)), lambda x: F.struct(x.alias("base"), (F.size(with_name(x)) == 1).alias("one"), F.transform(with_name(x), _plain_path).alias("paths"))))
     some = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    c = checks.select(by, "check_id", "expectation", some("files").alias("cfiles"), F.transform(some("symbols"), F.lower).alias("symbols"), F.coalesce("endpoint", F.lit("")).alias("ce"), F.coalesce("category", F.lit("")).alias("cc"))
-
-    routes = r.filter("re <> ''").select(by, "report", F.explode(T.endpoints_named(F.col("re"))).alias("route"))
-    same_route = route_candidates(routes, c.filter("ce <> ''").select(by, "check_id", T.endpoint_normal(F.col("ce")).alias("route")), [by])
-    # Files meet by name. A name counts where one file of the report has it; exact paths are looked at apart.
-    named = r.select(by, "report", F.explode("rfiles").alias("file")).withColumn("base", _base(F.col("file")))
-    once = named.groupBy(by, "report", "base").agg(F.count("*").alias("n"), F.collect_set(_plain_path(F.col("file"))).alias("paths"))
-    wanted = c.select(by, "check_id", F.explode("cfiles").alias("cfile")).withColumn("base", _base(F.col("cfile")))
-    same_file = once.join(wanted, [by, "base"]).groupBy(by, "report", "check_id").agg(F.bool_or(F.col("n") == 1).alias("named"), F.bool_or(F.array_contains("paths", _plain_path(F.col("cfile")))).alias("exact"))
-    candidates = same_route.withColumn("route", F.lit(True)).join(same_file.filter("named OR exact"), [by, "report", "check_id"], "full")
+    c = checks.select(by, "check_id", "expectation", some("files").alias("cfiles"), F.transform(some("symbols"), F.lower).alias("symbols"), F.coalesce("endpoint", F.lit("")).alias("ce"), F.coalesce("category", F.lit("")).alias("cc"), T.category_spelling(F.col("category")).alias("cs"))
+
+    # Reports and checks meet on routes and on names of files; only what tells of these goes along.
+    routes = r.filter("re <> ''").select(by, "report", T.endpoint_normal(F.col("re")).alias("normal")).select(by, "report", F.explode(T.routes_in(F.col("normal"))).alias("route"))
+    said, keyed = _route_keys(routes, c.filter("ce <> ''").select(by, "check_id", T.endpoint_normal(F.col("ce")).alias("route")))
+    name = lambda base: F.concat(F.lit("name/"), base).alias("key")
+    said = said.unionByName(r.select(by, "report", F.inline("names")).select(by, "report", name(F.col("base")), "one", "paths"), allowMissingColumns=True)
+    keyed = keyed.unionByName(c.select(by, "check_id", F.explode("cfiles").alias("f")).select(by, "check_id", name(_base(F.col("f"))), _plain_path(F.col("f")).alias("path")), allowMissingColumns=True)
+    met = said.join(keyed.withColumnRenamed("method", "_m"), [by, "key"])
+    false = F.lit(False)
+    met = met.select(by, "report", "check_id", F.coalesce(_one_method(F.col("method"), F.col("_m")), false).alias("route"), F.coalesce("one", false).alias("named"), F.coalesce(F.array_contains("paths", F.col("path")), false).alias("exact"))
+    pairs = met.filter("route OR named OR exact").repartition(by, "report").groupBy(by, "report", "check_id").agg(*(F.bool_or(x).alias(x) for x in ("route", "named", "exact")))
+    place = "array<struct<base:string,lo:bigint,hi:bigint>>"
     if definitions is not None:
-        lines = r.select(by, "report", F.explode("locations").alias("x")).filter("x.line IS NOT NULL").select(by, "report", _base(F.col("x.file")).alias("base"), F.col("x.line").alias("line")).distinct()
-        lines = lines.join(once.filter("n = 1").select(by, "report", "base"), [by, "report", "base"])
-        spans = c.select(by, "check_id", F.explode("cfiles").alias("file"), "symbols").select(by, "check_id", "file", F.explode("symbols").alias("name"))
-        spans = spans.join(definitions.select(by, "file", F.lower("name").alias("name"), "lo", "hi"), [by, "file", "name"]).withColumn("base", _base(F.col("file")))
-        inside = lines.join(spans, [by, "base"]).filter("line BETWEEN lo AND hi").select(by, "report", "check_id").distinct().withColumn("cited", F.lit(True))
-        candidates = candidates.join(inside, [by, "report", "check_id"], "left")
+        named = c.select(by, "check_id", F.explode("cfiles").alias("file"), "symbols").select(by, "check_id", "file", F.explode("symbols").alias("name"))
+        spans = named.join(definitions.select(by, "file", F.lower("name").alias("name"), "lo", "hi"), [by, "file", "name"])
+        spans = spans.groupBy(by, "check_id").agg(F.collect_set(F.struct(_base(F.col("file")).alias("base"), "lo", "hi")).cast(place).alias("spans"))
+        c = c.join(spans, [by, "check_id"], "left")
     else:
-        candidates = candidates.withColumn("cited", F.lit(False))
+        c = c.withColumn("spans", F.lit(None).cast(place))
+    once = F.transform(F.filter("names", lambda x: x["one"]), lambda x: x["base"])
+    lines = F.transform(F.filter("locations", lambda x: x["line"].isNotNull() & F.array_contains(once, _base(x["file"]))), lambda x: F.struct(_base(x["file"]).alias("base"), x["line"].alias("line")))
+    met = pairs.join(r.select(by, "report", "rc", "hay", lines.alias("lines")), [by, "report"]).join(c, [by, "check_id"])
+    inside = F.exists("lines", lambda x: F.exists("spans", lambda y: (x["base"] == y["base"]) & x["line"].between(y["lo"], y["hi"])))
+    # Columns of their own, so that each is evaluated once a pair.
+    has_symbols, has_files = F.size("symbols") > 0, F.size("cfiles") > 0
+    met = met.withColumns({"klass": T.spellings_match(F.col("rc"), F.col("cs")), "symbol": F.when(F.col("named") & has_symbols, T.any_token(F.col("hay"), F.col("symbols")) | F.coalesce(inside, false))})
     is_true = lambda name: F.coalesce(F.col(name), F.lit(False))
-    met = candidates.join(r.drop("locations", "rfiles"), [by, "report"]).join(c, [by, "check_id"])
 
-    klass = T.category_match(F.col("rc"), F.col("cc"))
+    klass, route = F.col("klass"), F.col("route")
     class_ok = (F.col("cc") == "") | klass
-    has_symbols, has_files, route = F.size("symbols") > 0, F.size("cfiles") > 0, is_true("route")
-    anchored = is_true("named") & F.when(has_symbols, T.any_token(F.col("hay"), F.col("symbols")) | is_true("cited")).otherwise(klass)
-    localised = is_true("exact") & klass
+    anchored = F.col("named") & F.when(has_symbols, is_true("symbol")).otherwise(klass)
+    localised = F.col("exact") & klass
     clean = F.col("expectation") != "finding"
     by_file = has_files & F.when(has_symbols, anchored).otherwise(localised) & class_ok
     other_anchor = by_file if not endpoint_required else ~clean & has_symbols & has_files & anchored & class_ok
