@@ -89,9 +89,17 @@ def endpoints_named(text: Column) -> Column:
 
 def routes_in(normal: Column) -> Column:
     """endpoints_named of a text that is normalised already."""
+    return routes_of(route_pieces(normal), normal)
+
+
+def route_pieces(normal: Column) -> Column:
     pieces = F.flatten(F.transform(F.split(normal, r" ?, ?"), lambda part: F.split(part, rf"(?=\b(?:{METHODS})\b )")))
-    routes = F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(F.size(routes) > 0, routes).otherwise(F.array(normal))
+    return F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def routes_of(pieces: Column, normal: Column) -> Column:
+    """routes_in of a text whose pieces are told already."""
+    return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(normal))
 
 
 def route_match(report: Column, key: Column) -> Column:
@@ -100,11 +108,21 @@ def route_match(report: Column, key: Column) -> Column:
     Methods must agree where both name one. The shorter path lies at the end of the longer; its first segment is there literally (or a
     parameter on both sides), further ones agree if equal or if either is a parameter.
     """
-    a, b = F.reverse(endpoint_segments(report)), F.reverse(endpoint_segments(key))
-    ma, mb = endpoint_method(report), endpoint_method(key)
+    return parts_match(route_parts(report), route_parts(key))
+
+
+def route_parts(normal: Column) -> Column:
+    """Method and path, last segment first, of a normalised endpoint."""
+    return F.struct(endpoint_method(normal).alias("method"), F.reverse(endpoint_segments(normal)).alias("path"))
+
+
+def parts_match(x: Column, y: Column) -> Column:
+    """route_match of two routes in route_parts."""
+    a, b = x["path"], y["path"]
     n = F.least(F.size(a), F.size(b))
-    pairs = F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: (x == y) | (x == "*") | (y == "*"))
-    return (n > 0) & ((ma == "") | (mb == "") | (ma == mb)) & F.coalesce(F.get(a, n - 1) == F.get(b, n - 1), F.lit(False)) & F.forall(pairs, lambda x: x)
+    # The longer path's other segments stand beside nulls.
+    pairs = F.zip_with(a, b, lambda s, t: s.isNull() | t.isNull() | (s == t) | (s == "*") | (t == "*"))
+    return (n > 0) & ((x["method"] == "") | (y["method"] == "") | (x["method"] == y["method"])) & F.coalesce(F.get(a, n - 1) == F.get(b, n - 1), F.lit(False)) & F.forall(pairs, lambda same: same)
 
 
 def endpoint_match(report: Column, key: Column) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import scoring
-from ..operators.graph import written
 from ..sources.adapters import table
 from .catalogue import query
 
@@ -70,7 +69,6 @@ _PAIRS = f"""l AS ({_LINES}), k AS (SELECT l_orderkey AS benchmark, {", ".join(_
 def _benchmarks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.row_number().over(order).cast("bigint").alias("l_linenumber"))
-    lines = written(lines, "lines")
     marks = ("array(", ")", "array<string>", "", "")
     checks = lines.selectExpr("l_orderkey AS benchmark", *_columns(_CHECK, *marks))
     located = F.transform("locations", lambda x: F.struct(x["col1"].alias("file"), x["col2"].alias("line")))

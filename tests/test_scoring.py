@@ -122,3 +122,39 @@ def test_routes_meet_as_all_pairs_do(spark):
     got = [tuple(x) for x in scoring.route_candidates(r, c, []).collect()]
     want = r.select("report").crossJoin(c.select("check_id")).filter(T.route_match(r["report"], c["check_id"])).collect()
     assert len(got) == len(set(got)) and set(got) == {tuple(x) for x in want}
+
+
+def _mixed(spark):
+    """Groups of 1 to 40 reports and checks with all kinds of anchors, and definitions."""
+    reports = spark.range(400).selectExpr(
+        "CAST(sqrt(id * 4) AS INT) AS b", "concat('r', id) AS report", "element_at(array('GET /a/<x>', 'POST /v1/b, GET /a/7', '`put /a`', '', NULL, '/c/d?x=1', ','), CAST(id % 7 + 1 AS INT)) AS endpoint",
+        "element_at(array('xss', 'stored xss', '', NULL, 'sqli'), CAST(id % 5 + 1 AS INT)) AS category", "element_at(array('pay() is open', 'repay', ''), CAST(id % 3 + 1 AS INT)) AS text",
+        "element_at(array(array(struct('src/a.py' AS file, 3 AS line)), array(struct('./src//a.py' AS file, 12 AS line), struct('y/a.py' AS file, 1 AS line)), array(struct('x/b.py' AS file, CAST(NULL AS INT) AS line), struct('src/a.py' AS file, 5 AS line)), array(), NULL), CAST(id % 11 % 5 + 1 AS INT)) AS locations",
+    )
+    checks = spark.range(400).selectExpr(
+        "CAST(sqrt(id * 4) AS INT) AS b", "concat('k', id) AS check_id", "IF(id % 3 = 0, 'clean', 'finding') AS expectation", "element_at(array(array('src/a.py'), array('lib/b.py', 'src//a.py'), array(), NULL), CAST(id % 4 + 1 AS INT)) AS files",
+        "element_at(array(array('Pay'), array('_x', '$q'), array(), NULL), CAST(id % 5 % 4 + 1 AS INT)) AS symbols", "element_at(array('GET /a/<id>', '/a', '', NULL, '/c/<k>'), CAST(id % 7 % 5 + 1 AS INT)) AS endpoint", "element_at(array('xss', '', NULL, 'XSS'), CAST(id % 13 % 4 + 1 AS INT)) AS category",
+    )
+    definitions = spark.range(40).selectExpr("CAST(id AS INT) AS b", "IF(id % 4 = 0, 'lib/b.py', 'src/a.py') AS file", "IF(id % 3 = 0, '_X', 'pay') AS name", "id % 5 AS lo", "id % 5 + 2 AS hi")
+    return reports, checks, definitions
+
+
+@pytest.mark.parametrize("endpoint_required", [True, False])
+@pytest.mark.parametrize("known", [True, False])
+def test_large_groups_give_the_rows_of_small_ones(spark, monkeypatch, known, endpoint_required):
+    reports, checks, definitions = _mixed(spark)
+
+    def pairs(most):
+        monkeypatch.setattr(scoring, "SMALL", dict.fromkeys(scoring.SMALL, most))
+        return sorted(tuple(x) for x in scoring.match_pairs(reports, checks, "b", definitions if known else None, endpoint_required).collect())
+
+    small = pairs(1000)
+    assert len(small) > 1000 and {x[-1] for x in small} == {0, 1, 2, 3, 4}
+    assert pairs(0) == small and pairs(10) == small
+
+
+def test_small_groups_are_dealt_out_once(spark):
+    """Reports, checks and definitions go to their group; nothing that grows with routes, names or pairs is shuffled."""
+    reports, checks, definitions = _mixed(spark)
+    plan = scoring.match_pairs(reports, checks, "b", definitions)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
