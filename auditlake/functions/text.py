@@ -61,8 +61,8 @@ def unit_slug(path: Column, length: int = 64) -> Column:
 
 def endpoint_normal(text: Column) -> Column:
     """Lower case without backticks, query strings and what is in parentheses; path parameters as *; single blanks."""
-    out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, to in ((r"`", ""), (r"(?U)\?\S*", ""), (r"\([^)]*\)", " "), (r"[<{][^>}]*[>}]", "*"), (r"(?U)\s+", " ")):
+    out = F.translate(F.lower(F.coalesce(text, F.lit(""))), "`", "")
+    for pattern, to in ((r"(?U)\?\S*", ""), (r"\([^)]*\)", " "), (r"[<{][^>}]*[>}]", "*"), (r"(?U)\s+", " ")):
         out = F.regexp_replace(out, pattern, to)
     return F.trim(out)
 
@@ -120,9 +120,11 @@ def parts_match(x: Column, y: Column) -> Column:
     """route_match of two routes in route_parts."""
     a, b = x["path"], y["path"]
     n = F.least(F.size(a), F.size(b))
-    # The longer path's other segments stand beside nulls.
-    pairs = F.zip_with(a, b, lambda s, t: s.isNull() | t.isNull() | (s == t) | (s == "*") | (t == "*"))
-    return (n > 0) & ((x["method"] == "") | (y["method"] == "") | (x["method"] == y["method"])) & F.coalesce(F.get(a, n - 1) == F.get(b, n - 1), F.lit(False)) & F.forall(pairs, lambda same: same)
+    one = lambda s, t: (s == t) | (s == "*") | (t == "*")
+    # The last segments decide most pairs. The longer path's other segments stand beside nulls.
+    last = (n > 0) & one(F.get(a, F.lit(0)), F.get(b, F.lit(0)))
+    pairs = F.zip_with(a, b, lambda s, t: s.isNull() | t.isNull() | one(s, t))
+    return last & ((x["method"] == "") | (y["method"] == "") | (x["method"] == y["method"])) & F.coalesce(F.get(a, n - 1) == F.get(b, n - 1), F.lit(False)) & F.forall(pairs, lambda same: same)
 
 
 def endpoint_match(report: Column, key: Column) -> Column:
@@ -131,15 +133,19 @@ def endpoint_match(report: Column, key: Column) -> Column:
     return F.exists(endpoints_named(report), lambda route: route_match(route, normal))
 
 
-def spellings_match(x: Column, y: Column) -> Column:
-    """category_match of two categories in category_spelling."""
-    tx, ty = F.split(x, "-"), F.split(y, "-")
-    return (x != "") & (y != "") & ((x == y) | (F.size(F.array_except(tx, ty)) == 0) | (F.size(F.array_except(ty, tx)) == 0))
+def spelling_tokens(spelling: Column) -> Column:
+    """The hyphenated tokens of a category in category_spelling; none of an empty one."""
+    return F.when(spelling == "", F.array().cast("array<string>")).otherwise(F.split(spelling, "-"))
+
+
+def tokens_match(tx: Column, ty: Column) -> Column:
+    """category_match of two categories in spelling_tokens."""
+    return (F.size(tx) > 0) & (F.size(ty) > 0) & ((tx == ty) | (F.size(F.array_except(tx, ty)) == 0) | (F.size(F.array_except(ty, tx)) == 0))
 
 
 def category_match(a: Column, b: Column) -> Column:
     """Equal, or the hyphenated tokens of one are among the other's; nothing matches an empty category."""
-    return spellings_match(category_spelling(a), category_spelling(b))
+    return tokens_match(spelling_tokens(category_spelling(a)), spelling_tokens(category_spelling(b)))
 
 
 def whole_token(text: Column, token: str) -> Column:
@@ -148,7 +154,7 @@ def whole_token(text: Column, token: str) -> Column:
 
 def any_token(text: Column, tokens: Column) -> Column:
     """Whether one of the tokens (an array) stands in the text as a whole, whatever characters it begins and ends with."""
-    return F.exists(tokens, lambda t: F.rlike(text, F.concat(F.lit(r"(?U)(?<!\w)\Q"), t, F.lit(r"\E(?!\w)"))))
+    return F.exists(tokens, lambda t: F.contains(text, t) & F.rlike(text, F.concat(F.lit(r"(?U)(?<!\w)\Q"), t, F.lit(r"\E(?!\w)"))))
 
 
 def field(text: Column, key: str) -> Column:

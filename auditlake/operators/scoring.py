@@ -193,38 +193,43 @@ def _large_groups(reports: DataFrame, checks: DataFrame, definitions: DataFrame
 def _looked_at(reports: DataFrame, checks: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
     """Reports and checks with what is compared, each text and path brought into form once."""
     r = reports.select(by, "report", F.coalesce("endpoint", F.lit("")).alias("re"), T.category_spelling(F.col("category")).alias("rc"), F.lower(F.concat_ws(" ", "text", "endpoint")).alias("hay"), "locations")
-    r = r.withColumn("rfiles", F.array_distinct(F.transform(F.coalesce("locations", F.array()), lambda x: x["file"])))
+    r = r.withColumns({"rfiles": F.array_distinct(F.transform(F.coalesce("locations", F.array()), lambda x: x["file"])), "rt": T.spelling_tokens(F.col("rc"))})
     some = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    c = checks.select(by, "check_id", "expectation", some("files").alias("cfiles"), F.transform(some("symbols"), F.lower).alias("symbols"), F.coalesce("endpoint", F.lit("")).alias("ce"), F.coalesce("category", F.lit("")).alias("cc"), T.category_spelling(F.col("category")).alias("cs"))
+    c = checks.select(
+        by, "check_id", (F.col("expectation") != "finding").alias("clean"), some("files").alias("cfiles"), F.transform(some("symbols"), F.lower).alias("symbols"), F.coalesce("endpoint", F.lit("")).alias("ce"), (F.coalesce("category", F.lit("")) == "").alias("any_class"), T.category_spelling(F.col("category")).alias("cs")
+    )
+    c = c.withColumns({"ct": T.spelling_tokens(F.col("cs")), "keyed": F.col("ce") != "", "has_files": F.size("cfiles") > 0, "has_symbols": F.size("symbols") > 0})
     # A name counts where one file of the report has it; exact paths are looked at apart.
     bases = F.transform("rfiles", _base)
-    r = r.withColumn("once", F.filter(F.array_distinct(bases), lambda x: F.size(F.filter(bases, lambda y: y == x)) == 1))
-    at = F.filter("locations", lambda x: x["line"].isNotNull() & F.array_contains("once", _base(x["file"])))
-    return r.withColumn("lines", F.transform(at, lambda x: F.struct(_base(x["file"]).alias("base"), x["line"].alias("line")))).drop("locations"), c
+    alone = F.filter(F.array_distinct(bases), lambda x: F.size(F.filter(bases, lambda y: y == x)) == 1)
+    return r.withColumn("once", F.when(F.size("rfiles") < 2, bases).otherwise(alone)).drop("rc"), c.drop("cs")
+
+
+_SPANS = "array<struct<file:string,name:string,lo:bigint,hi:bigint>>"
 
 
-_SPANS = "array<struct<base:string,lo:bigint,hi:bigint>>"
+def _span() -> Column:
+    return F.struct("file", F.lower("name").alias("name"), F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"))
 
 
 def _pairs_in_small_groups(r: DataFrame, c: DataFrame, definitions: DataFrame | None, by: str) -> DataFrame:
     """Reports beside the checks of their group, where route, named or exact holds. Everything meets on the group alone, so that each side is dealt out once."""
     known = F.lit(None).cast(_SPANS)
     if definitions is not None:
-        all_ = definitions.groupBy(by).agg(F.collect_list(F.struct("file", F.lower("name").alias("name"), "lo", "hi")).alias("defined"))
+        all_ = definitions.groupBy(by).agg(F.collect_list(_span()).alias("defined"))
         c = c.join(all_, by, "left")
-        own = F.filter("defined", lambda d: F.array_contains("cfiles", d["file"]) & F.array_contains("symbols", d["name"]))
-        known = F.transform(own, lambda d: F.struct(_base(d["file"]).alias("base"), d["lo"].alias("lo"), d["hi"].alias("hi"))).cast(_SPANS)
-    c = c.withColumn("spans", F.when(F.size("symbols") > 0, known)).drop("defined")
+        known = F.filter("defined", lambda d: F.array_contains("cfiles", d["file"]) & F.array_contains("symbols", d["name"]))
+    c = c.withColumn("spans", F.when(F.col("has_symbols"), known)).drop("defined")
     # Each step in a column of its own, so that it is evaluated once a row.
     normal = lambda name: F.when(F.col(name) != "", T.endpoint_normal(F.col(name)))
     r = r.withColumns({"normal": normal("re"), "rpaths": F.transform("rfiles", _plain_path)}).withColumn("pieces", T.route_pieces(F.col("normal")))
     r = r.withColumn("routes", T.routes_of(F.col("pieces"), F.col("normal"))).withColumn("routes", F.transform("routes", T.route_parts)).drop("re", "rfiles", "normal", "pieces")
     c = c.withColumns({"normal": normal("ce"), "cbases": F.transform("cfiles", _base), "cpaths": F.transform("cfiles", _plain_path)})
-    c = c.withColumn("key", F.when(F.col("normal").isNotNull(), T.route_parts(F.col("normal")))).drop("normal")
+    c = c.withColumn("key", F.when(F.col("normal").isNotNull(), T.route_parts(F.col("normal")))).drop("normal", "ce", "cfiles")
     false = F.lit(False)
     named, exact = (F.coalesce(F.arrays_overlap(x, y), false) for x, y in (("once", "cbases"), ("rpaths", "cpaths")))
     route = F.when(F.col("key").isNotNull() & F.col("routes").isNotNull(), F.exists("routes", lambda x: T.parts_match(x, F.col("key")))).otherwise(false)
-    return r.join(c, by).filter(named | exact | route).withColumns({"route": route, "named": named, "exact": exact}).drop("routes", "rpaths", "key", "cbases", "cpaths", "once")
+    return r.join(c, by).filter(named | exact | route).withColumns({"route": route, "named": named, "exact": exact}).drop("routes", "rpaths", "key", "cbases", "cpaths")
 
 
 def _pairs_by_keys(r: DataFrame, c: DataFrame, definitions: DataFrame | None, by: str) -> DataFrame:
@@ -243,11 +248,11 @@ def _pairs_by_keys(r: DataFrame, c: DataFrame, definitions: DataFrame | None, by
     if definitions is not None:
         named = c.select(by, "check_id", F.explode("cfiles").alias("file"), "symbols").select(by, "check_id", "file", F.explode("symbols").alias("name"))
         spans = named.join(definitions.select(by, "file", F.lower("name").alias("name"), "lo", "hi"), [by, "file", "name"])
-        spans = spans.groupBy(by, "check_id").agg(F.collect_set(F.struct(_base(F.col("file")).alias("base"), "lo", "hi")).cast(_SPANS).alias("spans"))
+        spans = spans.groupBy(by, "check_id").agg(F.collect_set(_span()).alias("spans"))
         c = c.join(spans, [by, "check_id"], "left")
     else:
         c = c.withColumn("spans", F.lit(None).cast(_SPANS))
-    return pairs.join(r.drop("re", "rfiles", "once"), [by, "report"]).join(c, [by, "check_id"])
+    return pairs.join(r.drop("re", "rfiles"), [by, "report"]).join(c.drop("ce", "cfiles"), [by, "check_id"])
 
 
 def match_pairs(reports: DataFrame, checks: DataFrame, by: str, definitions: DataFrame | None = None, endpoint_required: bool = True) -> DataFrame:
@@ -269,23 +274,23 @@ def match_pairs(reports: DataFrame, checks: DataFrame, by: str, definitions: Dat
         sides = lambda how: [x if x is None else x.join(large, by, how) for x in (reports, checks, definitions)]
         (r, c, d), (lr, lc, ld) = sides("left_anti"), sides("left_semi")
         met = _pairs_in_small_groups(*_looked_at(r, c, by), d, by).unionByName(_pairs_by_keys(*_looked_at(lr, lc, by), ld, by))
-    inside = F.exists("lines", lambda x: F.exists("spans", lambda y: (x["base"] == y["base"]) & x["line"].between(y["lo"], y["hi"])))
+    own = lambda x: F.exists("spans", lambda y: (_base(x["file"]) == _base(y["file"])) & x["line"].between(y["lo"], y["hi"]))
+    inside = F.when(F.size("spans") > 0, F.exists("locations", lambda x: x["line"].isNotNull() & F.array_contains("once", _base(x["file"])) & own(x)))
     # Columns of their own, so that each is evaluated once a pair.
-    has_symbols, has_files = F.size("symbols") > 0, F.size("cfiles") > 0
-    met = met.withColumns({"klass": T.spellings_match(F.col("rc"), F.col("cs")), "symbol": F.when(F.col("named") & has_symbols, T.any_token(F.col("hay"), F.col("symbols")) | F.coalesce(inside, F.lit(False)))})
+    has_symbols, has_files = F.col("has_symbols"), F.col("has_files")
+    met = met.withColumns({"klass": T.tokens_match(F.col("rt"), F.col("ct")), "symbol": F.when(F.col("named") & has_symbols, T.any_token(F.col("hay"), F.col("symbols")) | F.coalesce(inside, F.lit(False)))})
     is_true = lambda name: F.coalesce(F.col(name), F.lit(False))
 
-    klass, route = F.col("klass"), F.col("route")
-    class_ok = (F.col("cc") == "") | klass
+    klass, route, clean = F.col("klass"), F.col("route"), F.col("clean")
+    class_ok = F.col("any_class") | klass
     anchored = F.col("named") & F.when(has_symbols, is_true("symbol")).otherwise(klass)
     localised = F.col("exact") & klass
-    clean = F.col("expectation") != "finding"
     by_file = has_files & F.when(has_symbols, anchored).otherwise(localised) & class_ok
     other_anchor = by_file if not endpoint_required else ~clean & has_symbols & has_files & anchored & class_ok
     keyed = F.when(clean, (route & class_ok) | (~route & other_anchor)).otherwise(route | other_anchor)
-    matches = F.when(F.col("ce") != "", keyed).otherwise(anchored & class_ok)
+    matches = F.when(F.col("keyed"), keyed).otherwise(anchored & class_ok)
     quality = F.when(~matches, 0).when(localised, 4).when(route, F.when(klass, 3).otherwise(2)).when(klass, 2).otherwise(1)
-    return met.select(by, "report", "check_id", clean.alias("clean"), localised.alias("localised"), quality.alias("quality"))
+    return met.select(by, "report", "check_id", "clean", localised.alias("localised"), quality.alias("quality"))
 
 
 def score(reports: DataFrame, checks: DataFrame, by: str, definitions: DataFrame | None = None, endpoint_required: bool = True) -> DataFrame:
